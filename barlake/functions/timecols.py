@@ -29,3 +29,22 @@ def seconds_between(a: str | Column, b: str | Column) -> Column:
 def whole_days_between(a: str | Column, b: str | Column) -> Column:
     """Whole days of the elapsed time (floor), like ``timedelta.days``."""
     return F.floor(seconds_between(a, b) / 86400.0)
+
+
+def day_start(ts: str | Column) -> Column:
+    """Midnight of the bar's date as timestamp_ntz (no time-zone arithmetic)."""
+    return F.to_date(col(ts)).cast("timestamp_ntz")
+
+
+def minute_start(ts: str | Column) -> Column:
+    t = col(ts)
+    return F.timestamp_add("MINUTE", F.hour(t) * 60 + F.minute(t), day_start(t))
+
+
+def week_start_sunday(ts: str | Column) -> Column:
+    t = col(ts)
+    return F.date_sub(F.to_date(t), F.dayofweek(t) - 1).cast("timestamp_ntz")
+
+
+def month_start(ts: str | Column) -> Column:
+    return F.trunc(F.to_date(col(ts)), "month").cast("timestamp_ntz")

@@ -150,3 +150,164 @@ def ma_cross_backtest_metrics() -> str:
 {metrics('led', 'symbol', 'ts')}
 {screen_select('met')}"""
     return rounded(body, METRIC_DOUBLES)
+
+
+# --------------------------------------------------------------------------
+# bars, sessions, quality
+# --------------------------------------------------------------------------
+
+def sod(ts: str = "ts") -> str:
+    """Seconds of day incl. the fraction."""
+    return f"(hour({ts}) * 3600 + minute({ts}) * 60 + microsecond({ts}) / 1e6)"
+
+
+def bin_expr(tf: str, ts: str = "ts", origin: str | None = None) -> str:
+    if tf == "D":
+        return f"CAST(CAST({ts} AS DATE) AS TIMESTAMP)"
+    if tf == "W":
+        return f"CAST(CAST({ts} AS DATE) - CAST(dayofweek({ts}) AS INTEGER) AS TIMESTAMP)"
+    n = int(tf.replace("min", ""))
+    base = origin or f"CAST(CAST({ts} AS DATE) AS TIMESTAMP)"
+    return (f"{base} + to_minutes(CAST(floor((epoch_us({ts}) - epoch_us({base})) / {n * 60_000_000}) "
+            f"AS BIGINT) * {n})")
+
+
+RES_COLS = ["open", "high", "low", "close"]
+
+
+def minute_bars_q() -> str:
+    return rounded(f"WITH {MINUTE_BARS} SELECT * FROM minute_bars", RES_COLS)
+
+
+def resample_q(tf: str) -> str:
+    n = tf.replace("min", "")
+    if n.isdigit() and 1440 % int(n) != 0:
+        src = ("(SELECT *, CAST(CAST(min(ts) OVER (PARTITION BY symbol) AS DATE) AS TIMESTAMP) AS origin "
+               "FROM minute_bars)")
+        b = bin_expr(tf, "ts", "origin")
+    else:
+        src, b = "minute_bars", bin_expr(tf)
+    sql = f"""WITH {MINUTE_BARS}
+SELECT symbol, {b} AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low,
+       arg_max(close, ts) AS close
+FROM {src} GROUP BY symbol, {b}"""
+    return rounded(sql, RES_COLS)
+
+
+def _is_day(ts="ts", inclusive=True):
+    s = sod(ts)
+    return f"({s} >= 31500 AND {s} {'<=' if inclusive else '<'} 49500)"
+
+
+def _is_night(ts="ts", inclusive=True):
+    s = sod(ts)
+    if inclusive:
+        return f"(({s} >= 54000 AND {s} <= 86399) OR {s} <= 18000)"
+    return f"({s} >= 54000 OR {s} < 18000)"
+
+
+def _classify(ts="ts"):
+    return (f"CASE WHEN {_is_day(ts)} THEN 'day_session' WHEN {_is_night(ts)} THEN 'night_session' "
+            f"ELSE 'non_trading' END")
+
+
+def session_classify_q() -> str:
+    s = sod("ts")
+    return f"""WITH {TICKS}
+SELECT event_id, symbol, ts, {_classify()} AS session_type,
+  {_is_day('ts', False)} AS in_day_slice, {_is_night('ts', False)} AS in_night_slice,
+  ({s} >= 31500 AND {s} < 48300) AS open_daytrade_day, {s} = 49140 AS close_daytrade_day,
+  (({s} >= 54000 AND {s} <= 86399) OR {s} < 15900) AS open_daytrade_night,
+  {s} = 17040 AS close_daytrade_night,
+  ({s} >= 31500 AND {s} <= 49500) AS open_swing_day, false AS close_swing_day,
+  ({_classify()} <> 'non_trading') AS open_swing_full, false AS close_swing_full
+FROM ticks"""
+
+
+def session_slice_day_q() -> str:
+    return rounded(f"WITH {MINUTE_BARS} SELECT * FROM minute_bars WHERE {_is_day('ts', False)}",
+                   RES_COLS)
+
+
+def trading_sessions_q() -> str:
+    return rounded(f"WITH {TICKS} SELECT * FROM ticks WHERE {_is_day('ts', False)} OR "
+                   f"{_is_night('ts', False)}", ["price"])
+
+
+DATE_DIM = f"""dd0 AS (
+  SELECT symbol, CAST(ts AS DATE) AS date, bool_or({_is_day()}) AS has_day
+  FROM ticks GROUP BY symbol, CAST(ts AS DATE)),
+dd AS (
+  SELECT *, min(CASE WHEN has_day THEN date END) OVER (PARTITION BY symbol ORDER BY date
+         ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_day FROM dd0)"""
+
+
+def next_trading_day_q() -> str:
+    return f"WITH {TICKS}, {DATE_DIM} SELECT * FROM dd"
+
+
+def trading_day_assign_q() -> str:
+    s = sod("ts")
+    return f"""WITH {TICKS}, {DATE_DIM}
+SELECT t.event_id, t.symbol, t.ts,
+  CASE WHEN {_is_day('t.ts')} THEN CAST(t.ts AS DATE)
+       WHEN {s.replace('ts', 't.ts')} >= 54000 AND {s.replace('ts', 't.ts')} <= 86399 THEN d.next_day
+       WHEN {s.replace('ts', 't.ts')} <= 18000 THEN
+         CASE WHEN d.has_day THEN CAST(t.ts AS DATE) ELSE coalesce(d.next_day, CAST(t.ts AS DATE)) END
+  END AS trading_day,
+  {_classify('t.ts')} AS session_type
+FROM ticks t LEFT JOIN dd d ON d.symbol = t.symbol AND d.date = CAST(t.ts AS DATE)"""
+
+
+FLAGGED = f"""{MINUTE_BARS},
+fl0 AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS prev_close,
+               lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS prev_ts FROM minute_bars),
+fl AS (SELECT *, (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS is_null,
+  (coalesce(high < low, false) OR coalesce(open <= 0, false) OR coalesce(close <= 0, false)) AS is_ohlc_error,
+  coalesce(abs(open - prev_close) / CASE WHEN prev_close <> 0 THEN prev_close END > 0.05, false) AS is_jump,
+  (epoch_us(ts) - epoch_us(prev_ts)) / 60e6 AS gap_min
+  FROM fl0),
+flagged AS (SELECT *, is_null OR is_ohlc_error OR is_jump AS is_anomaly,
+  CASE WHEN {_is_day('prev_ts', False)} AND {_is_day('ts', False)}
+             AND CAST(ts AS DATE) - CAST(prev_ts AS DATE) = 0 THEN 'day'
+       WHEN {_is_night('prev_ts', False)} AND {_is_night('ts', False)}
+             AND CAST(ts AS DATE) - CAST(prev_ts AS DATE) <= 1 THEN 'night'
+       ELSE 'cross-session' END AS gap_session
+  FROM fl)"""
+
+
+def bar_flags_q() -> str:
+    return rounded(f"""WITH {FLAGGED}
+SELECT symbol, ts, prev_close, is_null, is_ohlc_error, is_jump, is_anomaly FROM flagged""",
+                   ["prev_close"])
+
+
+def bar_gaps_q() -> str:
+    return rounded(f"""WITH {FLAGGED}
+SELECT symbol, prev_ts AS gap_start, ts AS gap_end, gap_min AS gap_minutes, gap_session AS session
+FROM flagged WHERE prev_ts IS NOT NULL AND gap_min > 5 AND gap_session <> 'cross-session'""",
+                   ["gap_minutes"])
+
+
+def bar_quality_report_q() -> str:
+    return rounded(f"""WITH {FLAGGED}
+SELECT symbol, count(*) AS total_bars, count_if(is_null) AS null_count,
+  count_if(is_ohlc_error) AS ohlc_error_count, count_if(is_jump) AS price_jump_count,
+  count_if(is_anomaly) AS anomaly_count,
+  count_if(prev_ts IS NOT NULL AND gap_min > 5 AND gap_session <> 'cross-session') AS gap_count,
+  min(ts) AS first_ts, max(ts) AS last_ts,
+  count(*) - count_if(is_anomaly) AS valid_bars,
+  count_if(is_null) / count(*) AS null_rate, count_if(is_anomaly) / count(*) AS anomaly_rate
+FROM flagged GROUP BY symbol""", ["null_rate", "anomaly_rate"])
+
+
+def symbol_summary_q() -> str:
+    return f"""WITH {MINUTE_BARS}
+SELECT symbol, count(*) AS bar_count, min(ts) AS first_ts, max(ts) AS last_ts
+FROM minute_bars GROUP BY symbol"""
+
+
+def bars_between_q() -> str:
+    return rounded(f"""WITH {DAY_BARS}
+SELECT * FROM day_bars WHERE symbol = '1-URGENT' AND ts >= TIMESTAMP '1996-01-01'
+  AND ts <= TIMESTAMP '1996-12-31 23:59:59'""", RES_COLS)

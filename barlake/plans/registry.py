@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import backtests, oracle
+from barlake.plans import backtests, barplans, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,3 +22,18 @@ def register(name: str, fn: Query, sql: str | None = None) -> None:
 
 register("ma_cross_backtest_metrics", backtests.ma_cross_backtest_metrics,
          oracle.ma_cross_backtest_metrics())
+
+register("minute_bars", barplans.minute_bars, oracle.minute_bars_q())
+for _tf, _norm in [("5m", "5min"), ("45m", "45min"), ("60m", "60min"), ("17m", "17min"),
+                   ("1d", "D"), ("1w", "W")]:
+    register(f"resample_ohlc_{_tf}", barplans.resample(_tf), oracle.resample_q(_norm))
+register("session_classify", barplans.session_classify, oracle.session_classify_q())
+register("session_slice_day", barplans.session_slice_day, oracle.session_slice_day_q())
+register("trading_sessions", barplans.trading_sessions, oracle.trading_sessions_q())
+register("trading_day_assign", barplans.trading_day_assign, oracle.trading_day_assign_q())
+register("next_trading_day", barplans.next_trading_day, oracle.next_trading_day_q())
+register("bar_flags", barplans.bar_flags, oracle.bar_flags_q())
+register("bar_gaps", barplans.bar_gaps, oracle.bar_gaps_q())
+register("bar_quality_report", barplans.bar_quality_report, oracle.bar_quality_report_q())
+register("symbol_summary", barplans.symbol_summary, oracle.symbol_summary_q())
+register("bars_between", barplans.bars_between, oracle.bars_between_q())

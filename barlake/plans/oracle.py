@@ -311,3 +311,294 @@ def bars_between_q() -> str:
     return rounded(f"""WITH {DAY_BARS}
 SELECT * FROM day_bars WHERE symbol = '1-URGENT' AND ts >= TIMESTAMP '1996-01-01'
   AND ts <= TIMESTAMP '1996-12-31 23:59:59'""", RES_COLS)
+
+
+# --------------------------------------------------------------------------
+# indicators and signals on daily bars (recursive CTEs)
+# --------------------------------------------------------------------------
+
+def _d(v: float) -> str:
+    return f"CAST({v!r} AS DOUBLE)"
+
+
+def rec_cte(name: str, src: str, states: list[tuple[str, str, str]]) -> str:
+    """Row-by-row recursion per symbol over ``rn``; ``s.`` is the current row,
+    ``r.`` the previous state."""
+    init = ", ".join(f"{i} AS {c}" for c, i, _ in states)
+    step = ", ".join(f"{st} AS {c}" for c, _, st in states)
+    return f"""{name} AS (
+  SELECT s.symbol, s.rn, {init} FROM {src} s WHERE s.rn = 0
+  UNION ALL
+  SELECT s.symbol, s.rn, {step} FROM {name} r JOIN {src} s ON s.symbol = r.symbol AND s.rn = r.rn + 1)"""
+
+
+def ema_states(col: str, x: str, n: int, seed: str, alpha: float | None = None):
+    a = alpha if alpha is not None else 2.0 / (n + 1)
+    init = f"CAST(CASE WHEN s.rn = {n - 1} THEN s.{seed} END AS DOUBLE)"
+    step = (f"CASE WHEN s.rn < {n - 1} THEN NULL WHEN s.rn = {n - 1} THEN s.{seed} "
+            f"ELSE {_d(1.0 - a)} * r.{col} + {_d(a)} * s.{x} END")
+    return [(col, init, step)]
+
+
+def ewm_states(col: str, x: str, alpha: float):
+    a = _d(1.0 - alpha)
+    v = f"CAST(CASE WHEN s.{x} IS NULL THEN 0.0 ELSE 1.0 END AS DOUBLE)"
+    k = f"CAST(CASE WHEN s.{x} IS NULL THEN 0 ELSE 1 END AS BIGINT)"
+    return [(f"{col}_n", f"CAST(coalesce(s.{x}, 0.0) AS DOUBLE)", f"{a} * r.{col}_n + coalesce(s.{x}, 0.0)"),
+            (f"{col}_d", v, f"{a} * r.{col}_d + {v}"),
+            (f"{col}_k", k, f"r.{col}_k + {k}")]
+
+
+def ewm_value(col: str, mp: int) -> str:
+    return f"CASE WHEN {col}_k >= {mp} THEN {col}_n / {col}_d END"
+
+
+def _seed(x: str, n: int, order: str = "rn") -> str:
+    fr = f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
+    return (f"CASE WHEN count({x}) OVER (PARTITION BY symbol ORDER BY {order} {fr}) = {n} "
+            f"THEN avg({x}) OVER (PARTITION BY symbol ORDER BY {order} {fr}) END")
+
+
+def ind_sql(emas=(), macd=None, rsi=(), atr=(), adx=()) -> str:
+    """CTEs ending in ``ind``: day bars with rn and the requested indicators:
+    ``ema_<n>``, ``macd``/``macd_signal``/``macd_hist``, ``rsi_<n>`` (ratio
+    form) and ``rsis_<n>`` (share form), ``atr_<n>``, ``adx_<n>``/``dmp_<n>``/``dmn_<n>``."""
+    emas = sorted(set(emas) | (set(macd[:2]) if macd else set()))
+    W = "(PARTITION BY symbol ORDER BY ts)"
+    seeds = "".join(f",\n    {_seed('close', n, 'ts')} AS seed_{n}" for n in emas)
+    ctes = [DAY_BARS, f"""s0 AS (
+  SELECT *, row_number() OVER {W} - 1 AS rn, lag(close) OVER {W} AS pc, lag(high) OVER {W} AS ph,
+    lag(low) OVER {W} AS pl{seeds} FROM day_bars)""", """s1 AS (
+  SELECT *, CASE WHEN close - pc IS NULL THEN NULL ELSE greatest(close - pc, 0.0) END AS gain,
+    CASE WHEN close - pc IS NULL THEN NULL ELSE greatest(pc - close, 0.0) END AS loss,
+    CASE WHEN pc IS NULL THEN NULL ELSE greatest(high - low, abs(high - pc), abs(pc - low)) END AS tr,
+    CASE WHEN high - ph IS NULL OR pl - low IS NULL THEN NULL
+         WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0.0 END AS pdm,
+    CASE WHEN high - ph IS NULL OR pl - low IS NULL THEN NULL
+         WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0.0 END AS ndm
+  FROM s0)"""]
+    st = []
+    for n in emas:
+        st += ema_states(f"ema_{n}", "close", n, f"seed_{n}")
+    for n in rsi:
+        st += ewm_states(f"g{n}", "gain", 1.0 / n) + ewm_states(f"l{n}", "loss", 1.0 / n)
+    for n in set(atr) | set(adx):
+        st += ewm_states(f"t{n}", "tr", 1.0 / n)
+    for n in adx:
+        st += ewm_states(f"p{n}", "pdm", 1.0 / n) + ewm_states(f"m{n}", "ndm", 1.0 / n)
+    cols = ["s.*"]
+    if st:
+        ctes.append(rec_cte("r1", "s1", st))
+    for n in emas:
+        cols.append(f"r1.ema_{n}")
+    for n in rsi:
+        g, lo = ewm_value(f"r1.g{n}", n), ewm_value(f"r1.l{n}", n)
+        cols.append(f"100.0 - 100.0 / (1.0 + ({g}) / nullif({lo}, 0.0)) AS rsi_{n}")
+        cols.append(f"100.0 * (({g}) / (({g}) + ({lo}))) AS rsis_{n}")
+    for n in set(atr) | set(adx):
+        cols.append(f"{ewm_value(f'r1.t{n}', n)} AS atr_{n}")
+    for n in adx:
+        cols.append(f"{ewm_value(f'r1.p{n}', n)} AS mp_{n}")
+        cols.append(f"{ewm_value(f'r1.m{n}', n)} AS mn_{n}")
+    join = " JOIN r1 ON r1.symbol = s.symbol AND r1.rn = s.rn" if st else ""
+    ctes.append(f"i1 AS (SELECT {', '.join(cols)} FROM s1 s{join})")
+    last = "i1"
+    if adx:
+        exprs = []
+        for n in adx:
+            exprs.append(f"(100.0 / atr_{n}) * mp_{n} AS dmp_{n}, (100.0 / atr_{n}) * mn_{n} AS dmn_{n}")
+        ctes.append(f"i2 AS (SELECT *, {', '.join(exprs)} FROM {last})")
+        exprs = [f"100.0 * (abs(dmp_{n} - dmn_{n}) / (dmp_{n} + dmn_{n})) AS dx_{n}" for n in adx]
+        ctes.append(f"i3 AS (SELECT *, {', '.join(exprs)} FROM i2)")
+        st3 = []
+        for n in adx:
+            st3 += ewm_states(f"x{n}", f"dx_{n}", 1.0 / n)
+        ctes.append(rec_cte("r3", "i3", st3))
+        av = ", ".join(f"{ewm_value(f'r3.x{n}', n)} AS adx_{n}" for n in adx)
+        ctes.append(f"i4 AS (SELECT i3.*, {av} FROM i3 JOIN r3 ON r3.symbol = i3.symbol AND r3.rn = i3.rn)")
+        last = "i4"
+    if macd:
+        f, s, g = macd
+        first = max(f, s) - 1
+        ctes.append(f"""m0 AS (
+  SELECT symbol, rn - {first} AS rn, ema_{f} - ema_{s} AS macd FROM {last} WHERE rn >= {first})""")
+        ctes.append(f"m1 AS (SELECT *, {_seed('macd', g)} AS seed_m FROM m0)")
+        ctes.append(rec_cte("r2", "m1", ema_states("macd_signal", "macd", g, "seed_m")))
+        ctes.append(f"""i5 AS (
+  SELECT x.*, x.ema_{f} - x.ema_{s} AS macd, r2.macd_signal,
+         (x.ema_{f} - x.ema_{s}) - r2.macd_signal AS macd_hist
+  FROM {last} x LEFT JOIN r2 ON r2.symbol = x.symbol AND r2.rn = x.rn - {first})""")
+        last = "i5"
+    ctes.append(f"ind AS (SELECT * FROM {last})")
+    return "WITH RECURSIVE " + ",\n".join(ctes)
+
+
+def ema_12_q() -> str:
+    return rounded(f"{ind_sql(emas=[12])}\nSELECT symbol, ts, ema_12 FROM ind", ["ema_12"], 4)
+
+
+def macd_q() -> str:
+    return rounded(f"{ind_sql(macd=(12, 26, 9))}\nSELECT symbol, ts, macd, macd_signal, macd_hist FROM ind",
+                   ["macd", "macd_signal", "macd_hist"], 4)
+
+
+def rsi_q() -> str:
+    return rounded(f"{ind_sql(rsi=[14])}\nSELECT symbol, ts, rsi_14 AS rsi, rsis_14 AS rsi_wilder FROM ind",
+                   ["rsi", "rsi_wilder"], 6)
+
+
+def atr_q() -> str:
+    return rounded(f"{ind_sql(atr=[14])}\nSELECT symbol, ts, atr_14 AS atr FROM ind", ["atr"], 4)
+
+
+def adx_q() -> str:
+    return rounded(f"{ind_sql(adx=[14])}\nSELECT symbol, ts, adx_14 AS adx, dmp_14 AS dmp, dmn_14 AS dmn FROM ind",
+                   ["adx", "dmp", "dmn"], 6)
+
+
+def bollinger_q() -> str:
+    fr = "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
+    w_ = f"(PARTITION BY symbol ORDER BY ts {fr})"
+    return rounded(f"""WITH {DAY_BARS}, b AS (
+  SELECT symbol, ts, CASE WHEN count(close) OVER {w_} = 20 THEN avg(close) OVER {w_} END AS m,
+         CASE WHEN count(close) OVER {w_} = 20 THEN stddev_pop(close) OVER {w_} END AS sd,
+         CASE WHEN count(high) OVER {w_} = 20 THEN max(high) OVER {w_} END AS highest_20,
+         CASE WHEN count(low) OVER {w_} = 20 THEN min(low) OVER {w_} END AS lowest_20
+  FROM day_bars)
+SELECT symbol, ts, m AS bb_mid, m + 2.0 * sd AS bb_upper, m - 2.0 * sd AS bb_lower, highest_20, lowest_20
+FROM b""", ["bb_mid", "bb_upper", "bb_lower", "highest_20", "lowest_20"], 4)
+
+
+WO = "(PARTITION BY symbol ORDER BY rn)"
+
+
+def _vcross(a: str, b: str) -> tuple[str, str]:
+    up = f"coalesce({a} > {b} AND lag({a}) OVER {WO} <= lag({b}) OVER {WO}, false)"
+    dn = f"coalesce({a} < {b} AND lag({a}) OVER {WO} >= lag({b}) OVER {WO}, false)"
+    return up, dn
+
+
+def _gt(a: str, b: str) -> str:
+    return f"coalesce({a} > {b}, false)"
+
+
+def _sig(long_: str, short: str) -> str:
+    return f"CASE WHEN {long_} THEN 1 WHEN {short} THEN -1 ELSE 0 END"
+
+
+def _delay(src: str) -> str:
+    return f"""SELECT symbol, ts, CAST(coalesce(lag(raw) OVER {WO}, 0) AS INTEGER) AS signal FROM {src}"""
+
+
+def sig_ma_cross_q() -> str:
+    return f"""WITH {DAY_BARS},
+{ma_cross_signals('day_bars', 'symbol', 'ts', 20, 60)}
+SELECT symbol, ts, CAST(signal AS INTEGER) AS signal FROM sig"""
+
+
+def sig_rsi_reversal_q() -> str:
+    st = [("st", "CAST(CASE WHEN s.rsi_14 IS NULL THEN 0 WHEN s.rsi_14 < 30 THEN 1 WHEN s.rsi_14 > 70 THEN -1 ELSE 0 END AS INTEGER)",
+           """CASE WHEN s.rsi_14 IS NULL THEN r.st
+                WHEN r.st = 0 THEN (CASE WHEN s.rsi_14 < 30 THEN 1 WHEN s.rsi_14 > 70 THEN -1 ELSE 0 END)
+                WHEN r.st = 1 THEN (CASE WHEN s.rsi_14 >= 50 THEN 0 ELSE 1 END)
+                ELSE (CASE WHEN s.rsi_14 <= 50 THEN 0 ELSE -1 END) END""")]
+    return f"""{ind_sql(rsi=[14])},
+{rec_cte('q', 'ind', st)},
+a AS (SELECT i.symbol, i.ts, i.rn, CASE WHEN i.rsi_14 IS NULL THEN 0 ELSE q.st END AS state
+      FROM ind i JOIN q ON q.symbol = i.symbol AND q.rn = i.rn),
+b AS (SELECT *, coalesce(sign(state - lag(state) OVER {WO}), 0) AS raw FROM a)
+{_delay('b')}"""
+
+
+def sig_dual_ema_cross_q() -> str:
+    up, dn = _vcross("ema_12", "ema_26")
+    w12 = "ROWS BETWEEN 11 PRECEDING AND CURRENT ROW"
+    atr_ma = (f"CASE WHEN count(atr_14) OVER (PARTITION BY symbol ORDER BY rn {w12}) = 12 "
+              f"THEN avg(atr_14) OVER (PARTITION BY symbol ORDER BY rn {w12}) END")
+    vol = _gt("atr_14", f"1.2 * ({atr_ma})")
+    return f"""{ind_sql(emas=[12, 26], atr=[14])},
+b AS (SELECT *, {_sig(f'{up} AND {vol}', f'{dn} AND {vol}')} AS raw FROM ind)
+{_delay('b')}"""
+
+
+def sig_dual_ema_atr_trend_q() -> str:
+    tu, ok = _gt("ema_18", "ema_55"), _gt("adx_14", "20")
+    return f"""{ind_sql(emas=[18, 55], adx=[14])},
+b AS (SELECT *, {_sig(f'{tu} AND {ok}', f'NOT {tu} AND {ok}')} AS raw FROM ind)
+{_delay('b')}"""
+
+
+def sig_ema_adx_q() -> str:
+    up, dn = _vcross("ema_9", "ema_21")
+    ok = _gt("adx_14", "25")
+    return f"""{ind_sql(emas=[9, 21], adx=[14])},
+b AS (SELECT *, {_sig(f'{up} AND {ok}', f'{dn} AND {ok}')} AS raw FROM ind)
+{_delay('b')}"""
+
+
+def sig_macd_ma_trend_q() -> str:
+    up, dn = _vcross("macd", "macd_signal")
+    m20 = win_mean("close", 20, "symbol", "rn")
+    m60 = win_mean("close", 60, "symbol", "rn")
+    return f"""{ind_sql(macd=(12, 26, 9))},
+b AS (SELECT *, {_sig(f'{up} AND {_gt(m20, m60)}', f'{dn} AND {_gt(m60, m20)}')} AS cross_ FROM ind),
+c AS (SELECT *, coalesce(last_value(nullif(cross_, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn {RUN}), 0) AS raw FROM b)
+{_delay('c')}"""
+
+
+def sig_macd_rsi_trend_q() -> str:
+    up, dn = _vcross("macd", "macd_signal")
+    return f"""{ind_sql(emas=[20], macd=(12, 26, 9), rsi=[14])},
+b AS (SELECT *, {_sig(f"{_gt('close', 'ema_20')} AND {up} AND {_gt('rsis_14', '50.0')}",
+                      f"{_gt('ema_20', 'close')} AND {dn} AND {_gt('50.0', 'rsis_14')}")} AS raw FROM ind)
+{_delay('b')}"""
+
+
+def sig_macd_trend_confirm_q() -> str:
+    ab, be = _gt("macd", "macd_signal"), _gt("macd_signal", "macd")
+    up = f"{ab} AND coalesce(lag({ab}) OVER {WO} = false, false)"
+    dn = f"{be} AND coalesce(lag({be}) OVER {WO} = false, false)"
+    return f"""{ind_sql(emas=[50], macd=(12, 26, 9))},
+b AS (SELECT *, {_sig(f"{up} AND {_gt('close', 'ema_50')}", f"{dn} AND {_gt('ema_50', 'close')}")} AS raw FROM ind)
+{_delay('b')}"""
+
+
+def sig_trend_breakout_q() -> str:
+    fr = "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
+    hi = f"CASE WHEN count(high) OVER (PARTITION BY symbol ORDER BY rn {fr}) = 20 THEN max(high) OVER (PARTITION BY symbol ORDER BY rn {fr}) END"
+    lo = f"CASE WHEN count(low) OVER (PARTITION BY symbol ORDER BY rn {fr}) = 20 THEN min(low) OVER (PARTITION BY symbol ORDER BY rn {fr}) END"
+    return f"""{ind_sql(emas=[50], atr=[14])},
+b AS (SELECT *, {_gt('close', 'ema_50')} AND {_gt('close', hi)} AS le,
+         {_gt('ema_50', 'close')} AND {_gt(lo, 'close')} AS se,
+         {_gt('ema_50 - 2.0 * atr_14', 'close')} AS sl, {_gt('close', 'ema_50 + 2.0 * atr_14')} AS ss,
+         count(*) OVER (PARTITION BY symbol) AS n FROM ind),
+c AS (SELECT *, sum(le::INT) OVER (PARTITION BY symbol ORDER BY rn {RUN}) - sum(se::INT) OVER (PARTITION BY symbol ORDER BY rn {RUN})
+               - sum(sl::INT) OVER (PARTITION BY symbol ORDER BY rn {RUN}) AS inl,
+               sum(se::INT) OVER (PARTITION BY symbol ORDER BY rn {RUN}) - sum(le::INT) OVER (PARTITION BY symbol ORDER BY rn {RUN})
+               - sum(ss::INT) OVER (PARTITION BY symbol ORDER BY rn {RUN}) AS ins FROM b),
+d AS (SELECT *, CASE WHEN (sl AND coalesce(lag(inl) OVER {WO} > 0, false))
+                       OR (ss AND coalesce(lag(ins) OVER {WO} > 0, false))
+                       OR (n > 30 AND rn >= n - 30) THEN 0
+                     ELSE {_sig('le', 'se')} END AS raw FROM c)
+{_delay('d')}"""
+
+
+def sig_trend_catcher_q() -> str:
+    up, dn = _vcross("ema_9", "ema_21")
+    return f"""{ind_sql(emas=[9, 21], macd=(12, 26, 9))},
+b AS (SELECT *, {_sig(f"{up} AND {_gt('macd_hist', '0.0')}", f"{dn} AND {_gt('0.0', 'macd_hist')}")} AS raw FROM ind)
+{_delay('b')}"""
+
+
+def sig_trend_filtered_ema_q() -> str:
+    up, dn = _vcross("ema_9", "ema_18")
+    ok = (f"{_gt('adx_14', '22')} AND {_gt('rsis_14', '30.0')} AND {_gt('70.0', 'rsis_14')} "
+          f"AND atr_14 IS NOT NULL")
+    ref = f"lag(close) OVER {WO}"
+    dist = f"lag(atr_14) OVER {WO} * 2.0"
+    return f"""{ind_sql(emas=[9, 18], adx=[14], rsi=[14], atr=[14])},
+b AS (SELECT *, {_sig(f'{up} AND {ok}', f'{dn} AND {ok}')} AS s0 FROM ind),
+c AS (SELECT *, CASE WHEN ({_gt(f'{ref} - {dist}', f'lead(low) OVER {WO}')} AND s0 = 1)
+                       OR ({_gt(f'lead(high) OVER {WO}', f'{ref} + {dist}')} AND s0 = -1) THEN 0
+                     ELSE s0 END AS raw FROM b)
+{_delay('c')}"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import backtests, barplans, oracle
+from barlake.plans import backtests, barplans, indicatorplans, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,3 +37,13 @@ register("bar_gaps", barplans.bar_gaps, oracle.bar_gaps_q())
 register("bar_quality_report", barplans.bar_quality_report, oracle.bar_quality_report_q())
 register("symbol_summary", barplans.symbol_summary, oracle.symbol_summary_q())
 register("bars_between", barplans.bars_between, oracle.bars_between_q())
+
+register("ema_12", indicatorplans.ema_12, oracle.ema_12_q())
+register("macd", indicatorplans.macd, oracle.macd_q())
+register("rsi_wilder", indicatorplans.rsi, oracle.rsi_q())
+register("atr", indicatorplans.atr, oracle.atr_q())
+register("adx", indicatorplans.adx, oracle.adx_q())
+register("bollinger_extremes", indicatorplans.bollinger, oracle.bollinger_q())
+for _n, _fn in indicatorplans.SIGNAL_FNS.items():
+    register(f"signals_{_n}", indicatorplans.signals(_fn), getattr(oracle, f"sig_{_n}_q")())
+register("strategy_backtests", indicatorplans.strategy_backtests)

@@ -124,3 +124,85 @@ def screen(metrics: DataFrame, gate: dict | None = None) -> DataFrame:
                 F.format_string(f"Trades %d < {int(g['min_trades'])}", F.col("total_trades")))
     reasons = F.filter(F.array(r1, r2, r3, r4), lambda x: x.isNotNull())
     return metrics.withColumns({"reasons": reasons, "passed": F.size(reasons) == 0})
+
+
+# --------------------------------------------------------------------------
+# equity reports
+# --------------------------------------------------------------------------
+
+def monthly_pnl(led: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Last equity of each calendar month minus the previous month's.
+
+    Months are laid on a per-key month spine (calendar-bounded), so a month
+    without bars is null and nulls its own and the next month's change; those
+    and the first month are dropped.  ``month_end`` labels the row."""
+    from barlake.operators.sequence import Window
+    keys = list(keys)
+    m = led.groupBy(*keys, F.trunc(F.to_date(ts), "month").alias("month")).agg(
+        F.max_by("equity", ts).alias("eq"))
+    span = m.groupBy(*keys).agg(F.min("month").alias("m0"), F.max("month").alias("m1"))
+    spine = span.select(*keys, F.explode(F.sequence("m0", "m1", F.expr("INTERVAL 1 MONTH")))
+                        .alias("month"))
+    x = spine.join(m, [*keys, "month"], "left")
+    w = Window.partitionBy(*keys).orderBy("month")
+    x = x.withColumn("pnl", F.col("eq") - F.lag("eq", 1).over(w))
+    return x.where(F.col("pnl").isNotNull()).select(
+        *keys, F.last_day("month").alias("month_end"), F.year("month").alias("year"),
+        F.month("month").alias("month"), "pnl")
+
+
+def monthly_matrix(pnl: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Year × month pivot (m01..m12, missing months null) plus the yearly total."""
+    keys = list(keys)
+    cols = [F.sum(F.when(F.col("month") == i, F.col("pnl"))).alias(f"m{i:02d}") for i in range(1, 13)]
+    return pnl.groupBy(*keys, "year").agg(*cols, F.sum("pnl").alias("total"))
+
+
+def equity_daily(led: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Last equity per calendar date."""
+    return led.groupBy(*keys, F.to_date(ts).alias("date")).agg(F.max_by("equity", ts).alias("equity"))
+
+
+def signal_distribution(sig: DataFrame, keys: Sequence[str], signal: str = "signal") -> DataFrame:
+    """Bars per signal value (long / short / flat) per key."""
+    s = F.col(signal)
+    return sig.groupBy(*keys).agg(F.count_if(s == 1).alias("n_long"), F.count_if(s == -1).alias("n_short"),
+                                  F.count_if(s == 0).alias("n_flat"))
+
+
+def trade_durations(led: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Holding time of closed trades (entry bar → exit bar), mean minutes
+    per key and the data range."""
+    from barlake.operators.sequence import Last, scan
+    x = scan(led, keys, {"_ets": (Last(), F.when(F.col("entry_price").isNotNull() & (
+        F.col("position") != F.coalesce(F.col("position_prev"), F.lit(0))), F.col(ts)))},
+        exclusive=["_ets"])
+    closed = F.col("trade_pnl").isNotNull()
+    mins = F.timestamp_diff("MINUTE", F.col("_ets_prev"), F.col(ts))
+    return x.groupBy(*keys).agg(F.avg(F.when(closed, mins)).alias("avg_hold_minutes"),
+                                F.count_if(closed).alias("n_closed"),
+                                F.min(ts).alias("data_start"), F.max(ts).alias("data_end"))
+
+
+# Health alert levels (losing streak, drawdown share of the limit)
+HEALTH_LEVELS = [("red", 10, 0.80), ("orange", 8, 0.70), ("yellow", 5, 0.50)]
+
+
+def loss_streaks(trades: DataFrame, keys: Sequence[str], pnl: str = "pnl", block=None) -> DataFrame:
+    """Running count of consecutive losing trades (pnl < 0), reset by any
+    other trade; ``trades`` must carry ``_ord``."""
+    from barlake.operators.sequence import Last, Sum, scan
+    loss = (F.col(pnl) < 0).cast("long")
+    x = scan(trades, keys, {"_cl": (Sum(), loss)}, block=block)
+    x = scan(x, keys, {"_base": (Last(), F.when(F.col(pnl) >= 0, F.col("_cl")))}, block=block)
+    return x.withColumn("loss_streak", F.col("_cl") - F.coalesce(F.col("_base"), F.lit(0))) \
+            .drop("_cl", "_base")
+
+
+def health_level(streak: Column, dd_ratio: Column) -> Column:
+    """Worst level reached by the streak or drawdown/limit rule."""
+    e = None
+    for name, n, r in HEALTH_LEVELS:
+        cond = (streak >= n) | (dd_ratio >= r)
+        e = F.when(cond, F.lit(name)) if e is None else e.when(cond, F.lit(name))
+    return e.otherwise(F.lit("green"))

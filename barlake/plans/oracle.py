@@ -602,3 +602,93 @@ c AS (SELECT *, CASE WHEN ({_gt(f'{ref} - {dist}', f'lead(low) OVER {WO}')} AND
                        OR ({_gt(f'lead(high) OVER {WO}', f'{ref} + {dist}')} AND s0 = -1) THEN 0
                      ELSE s0 END AS raw FROM b)
 {_delay('c')}"""
+
+
+# --------------------------------------------------------------------------
+# reports on the SMA-cross ledger and on trades_fx
+# --------------------------------------------------------------------------
+
+def _ma_ledger() -> str:
+    return f"""WITH {DAY_BARS},
+{ma_cross_signals('day_bars', 'symbol', 'ts', 20, 60)},
+{ledger('sig', 'symbol', 'ts')}"""
+
+
+MONTHLY = """m AS (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS month, arg_max(equity, ts) AS eq
+  FROM led GROUP BY 1, 2),
+sp AS (SELECT symbol, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month
+  FROM m GROUP BY symbol),
+mx AS (SELECT sp.symbol, sp.month, m.eq FROM sp LEFT JOIN m ON m.symbol = sp.symbol AND m.month = sp.month),
+my AS (SELECT *, eq - lag(eq) OVER (PARTITION BY symbol ORDER BY month) AS pnl FROM mx),
+mp AS (SELECT symbol, last_day(month) AS month_end, CAST(year(month) AS INTEGER) AS year,
+  CAST(month(month) AS INTEGER) AS month, pnl FROM my WHERE pnl IS NOT NULL)"""
+
+
+def monthly_pnl_q() -> str:
+    return f"{_ma_ledger()},\n{MONTHLY}\nSELECT symbol, month_end, year, month, round(pnl, 2) AS pnl FROM mp"
+
+
+def monthly_matrix_q() -> str:
+    ms = ", ".join(f"round(sum(CASE WHEN month = {i} THEN pnl END), 2) AS m{i:02d}" for i in range(1, 13))
+    return f"{_ma_ledger()},\n{MONTHLY}\nSELECT symbol, year, {ms}, round(sum(pnl), 2) AS total FROM mp GROUP BY symbol, year"
+
+
+def drawdown_series_q() -> str:
+    return (f"{_ma_ledger()}\nSELECT symbol, ts, round(equity, 2) AS equity, round(peak, 2) AS peak, "
+            f"round(drawdown, 6) AS drawdown FROM led")
+
+
+def equity_daily_q() -> str:
+    return (f"{_ma_ledger()}\nSELECT symbol, CAST(ts AS DATE) AS date, round(arg_max(equity, ts), 2) AS equity "
+            f"FROM led GROUP BY 1, 2")
+
+
+def signal_distribution_q() -> str:
+    return f"""WITH {DAY_BARS},
+{ma_cross_signals('day_bars', 'symbol', 'ts', 20, 60)}
+SELECT symbol, count_if(signal = 1) AS n_long, count_if(signal = -1) AS n_short,
+       count_if(signal = 0) AS n_flat FROM sig GROUP BY symbol"""
+
+
+def trade_list_q() -> str:
+    return (f"{_ma_ledger()}\nSELECT symbol, ts AS exit_ts, position_prev AS side, round(trade_pnl, 2) AS pnl "
+            f"FROM led WHERE trade_pnl IS NOT NULL")
+
+
+def trade_durations_q() -> str:
+    return f"""{_ma_ledger()},
+e1 AS (SELECT *, last_value(CASE WHEN chg THEN ts END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts {RUN}) AS ets FROM led),
+e2 AS (SELECT *, lag(ets) OVER (PARTITION BY symbol ORDER BY ts) AS ets_prev FROM e1)
+SELECT symbol,
+  round(avg(CASE WHEN trade_pnl IS NOT NULL THEN floor((epoch_us(ts) - epoch_us(ets_prev)) / 60e6) END), 4) AS avg_hold_minutes,
+  count_if(trade_pnl IS NOT NULL) AS n_closed, min(ts) AS data_start, max(ts) AS data_end
+FROM e2 GROUP BY symbol"""
+
+
+TRADE_STREAKS = f"""{TRADES_FX},
+t1 AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY exit_ts, orderkey, linenumber) - 1 AS rn
+  FROM trades_fx),
+t2 AS (SELECT *, sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY strategy ORDER BY rn {RUN}) AS cl FROM t1),
+t3 AS (SELECT *, cl - coalesce(last_value(CASE WHEN pnl >= 0 THEN cl END IGNORE NULLS)
+  OVER (PARTITION BY strategy ORDER BY rn {RUN}), 0) AS loss_streak FROM t2)"""
+
+
+def loss_streaks_q() -> str:
+    return (f"WITH {TRADE_STREAKS}\nSELECT strategy, exit_ts, orderkey, linenumber, round(pnl, 4) AS pnl, "
+            f"loss_streak FROM t3")
+
+
+def health_alerts_q() -> str:
+    lvl = ("CASE WHEN loss_streak >= 10 OR dd_ratio >= 0.8 THEN 'red' WHEN loss_streak >= 8 OR dd_ratio >= 0.7 "
+           "THEN 'orange' WHEN loss_streak >= 5 OR dd_ratio >= 0.5 THEN 'yellow' ELSE 'green' END")
+    return f"""WITH {TRADE_STREAKS},
+h1 AS (SELECT *, 500000.0 + sum(pnl) OVER (PARTITION BY strategy ORDER BY rn {RUN}) AS equity FROM t3),
+h2 AS (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY rn {RUN}) AS peak FROM h1),
+h3 AS (SELECT *, (peak - equity) / peak / 0.2 AS dd_ratio FROM h2),
+h4 AS (SELECT *, {lvl} AS level FROM h3),
+h5 AS (SELECT *, CASE level WHEN 'red' THEN 3 WHEN 'orange' THEN 2 WHEN 'yellow' THEN 1 ELSE 0 END AS rk FROM h4)
+SELECT strategy, count(*) AS n_trades, arg_max(loss_streak, rn) AS loss_streak,
+  round(arg_max(dd_ratio, rn), 6) AS dd_ratio, arg_max(level, rn) AS level,
+  CASE max(rk) WHEN 3 THEN 'red' WHEN 2 THEN 'orange' WHEN 1 THEN 'yellow' ELSE 'green' END AS worst_level,
+  max(loss_streak) AS max_loss_streak
+FROM h5 GROUP BY strategy"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import backtests, barplans, indicatorplans, oracle
+from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,3 +47,7 @@ register("bollinger_extremes", indicatorplans.bollinger, oracle.bollinger_q())
 for _n, _fn in indicatorplans.SIGNAL_FNS.items():
     register(f"signals_{_n}", indicatorplans.signals(_fn), getattr(oracle, f"sig_{_n}_q")())
 register("strategy_backtests", indicatorplans.strategy_backtests)
+
+for _n in ["monthly_pnl", "monthly_matrix", "drawdown_series", "equity_daily", "signal_distribution",
+           "trade_list", "trade_durations", "loss_streaks", "health_alerts"]:
+    register(_n, getattr(reportplans, _n), getattr(oracle, f"{_n}_q")())

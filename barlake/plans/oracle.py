@@ -692,3 +692,87 @@ SELECT strategy, count(*) AS n_trades, arg_max(loss_streak, rn) AS loss_streak,
   CASE max(rk) WHEN 3 THEN 'red' WHEN 2 THEN 'orange' WHEN 1 THEN 'yellow' ELSE 'green' END AS worst_level,
   max(loss_streak) AS max_loss_streak
 FROM h5 GROUP BY strategy"""
+
+
+# --------------------------------------------------------------------------
+# walk-forward (SMA cross, grid fast {10,20,30} x slow {40,60,80}, 24/6 months)
+# --------------------------------------------------------------------------
+
+def _wfa_core() -> str:
+    combos = ", ".join(f"({i}, {f}, {s})" for i, (f, s) in enumerate(
+        [(f, s) for f in (10, 20, 30) for s in (40, 60, 80)]))
+    K = "symbol, k, segment, combo_idx"
+    smas = ",\n    ".join(f"{win_mean('close', n, 'symbol, k, segment', 'ts')} AS sma_{n}"
+                         for n in (10, 20, 30, 40, 60, 80))
+    fast = "CASE fast_period " + " ".join(f"WHEN {n} THEN sma_{n}" for n in (10, 20, 30)) + " END"
+    slow = "CASE slow_period " + " ".join(f"WHEN {n} THEN sma_{n}" for n in (40, 60, 80)) + " END"
+    secs = "((epoch_us(t1) - epoch_us(t0)) / 1e6)"
+    return f"""WITH {DAY_BARS},
+sp AS (SELECT symbol, min(ts) AS t0, max(ts) AS t1, CAST(date_trunc('month', min(ts)) AS DATE) AS m0
+  FROM day_bars GROUP BY symbol),
+k1 AS (SELECT sp.*, r.k, CAST(m0 + to_months(CAST(r.k * 6 AS INTEGER)) AS DATE) AS mk
+  FROM sp CROSS JOIN range(0, 400) r(k)),
+k2 AS (SELECT *, CASE WHEN k = 0 THEN day(t0) ELSE day(last_day(mk)) END AS dim FROM k1),
+k3 AS (SELECT *, least(day(t0), min(dim) OVER (PARTITION BY symbol ORDER BY k {RUN})) AS dd FROM k2),
+k4 AS (SELECT symbol, k, t0, t1, make_date(CAST(year(mk) AS INTEGER), CAST(month(mk) AS INTEGER), CAST(dd AS INTEGER)) AS cur FROM k3),
+wins AS (SELECT symbol, k, t1, CAST(cur AS TIMESTAMP) + (t0 - date_trunc('day', t0)) AS cursor,
+  CAST(cur + INTERVAL 24 MONTH AS TIMESTAMP) + (t0 - date_trunc('day', t0)) AS is_end,
+  CAST((cur + INTERVAL 24 MONTH) + INTERVAL 6 MONTH AS TIMESTAMP) + (t0 - date_trunc('day', t0)) AS oos_end FROM k4),
+wins2 AS (SELECT * FROM wins WHERE oos_end <= t1 + INTERVAL 1 DAY),
+mem AS (SELECT b.*, w.k, CASE WHEN b.ts < w.is_end THEN 'is' ELSE 'oos' END AS segment
+  FROM day_bars b JOIN wins2 w ON w.symbol = b.symbol AND b.ts >= w.cursor AND b.ts < w.oos_end),
+kept0 AS (SELECT symbol, k, count_if(segment = 'is') AS n_is, count_if(segment = 'oos') AS n_oos,
+    CAST(min(CASE WHEN segment = 'is' THEN ts END) AS DATE) AS is_start,
+    CAST(max(CASE WHEN segment = 'is' THEN ts END) AS DATE) AS is_end,
+    CAST(min(CASE WHEN segment = 'oos' THEN ts END) AS DATE) AS oos_start,
+    CAST(max(CASE WHEN segment = 'oos' THEN ts END) AS DATE) AS oos_end
+  FROM mem GROUP BY symbol, k HAVING count_if(segment = 'is') > 100 AND count_if(segment = 'oos') > 10),
+kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY k) AS INTEGER) AS window_idx FROM kept0),
+mem2 AS (SELECT m.* FROM mem m WHERE EXISTS (SELECT 1 FROM kept k WHERE k.symbol = m.symbol AND k.k = m.k)),
+sm AS (SELECT *,
+    {smas}
+  FROM mem2),
+grid AS (SELECT * FROM (VALUES {combos}) g(combo_idx, fast_period, slow_period)),
+gx AS (SELECT sm.*, grid.combo_idx, grid.fast_period, grid.slow_period,
+  coalesce(({fast}) > ({slow}), false) AS above FROM sm CROSS JOIN grid),
+g2 AS (SELECT *, lag(above) OVER {w(K, 'ts')} AS prev_above FROM gx),
+g3 AS (SELECT *, CASE WHEN above AND prev_above = false THEN 1
+                      WHEN NOT above AND prev_above = true THEN -1 ELSE 0 END AS raw FROM g2),
+sig AS (SELECT *, coalesce(lag(raw) OVER {w(K, 'ts')}, 0) AS signal FROM g3),
+{ledger('sig', K, 'ts')},
+seg0 AS (SELECT {K}, count(*) AS n_bars, min(ts) AS t0, max(ts) AS t1, avg(ret) AS mr, stddev_samp(ret) AS sr
+  FROM led GROUP BY {K}),
+seg1 AS (SELECT *, CASE WHEN n_bars < 2 THEN 245.0 ELSE 31557600.0 / ({secs} / (n_bars - 1)) END AS freq FROM seg0),
+segm AS (SELECT {K}, CASE WHEN sr IS NULL THEN NULL WHEN sr = 0 THEN 0.0
+  ELSE (mr - 0.015 / freq) / sr * sqrt(freq) END AS sharpe FROM seg1),
+best0 AS (SELECT *, row_number() OVER (PARTITION BY symbol, k ORDER BY sharpe DESC NULLS LAST, combo_idx) AS rk
+  FROM segm WHERE segment = 'is'),
+best AS (SELECT b.symbol, b.k, b.combo_idx, g.fast_period, g.slow_period,
+    greatest(coalesce(b.sharpe, 0.0), 0.0) AS is_sharpe, o.sharpe AS oos_sharpe
+  FROM best0 b JOIN grid g ON g.combo_idx = b.combo_idx
+  LEFT JOIN segm o ON o.symbol = b.symbol AND o.k = b.k AND o.combo_idx = b.combo_idx AND o.segment = 'oos'
+  WHERE b.rk = 1),
+bw AS (SELECT *, CASE WHEN is_sharpe > 0 THEN oos_sharpe / is_sharpe ELSE 0.0 END AS ratio FROM best)"""
+
+
+def wfa_windows_q() -> str:
+    return f"""{_wfa_core()}
+SELECT k.symbol, k.window_idx, k.n_is, k.n_oos, k.is_start, k.is_end, k.oos_start, k.oos_end,
+  b.combo_idx, b.fast_period, b.slow_period, round(b.is_sharpe, 6) AS is_sharpe,
+  round(b.oos_sharpe, 6) AS oos_sharpe, round(b.ratio, 6) AS ratio
+FROM kept k JOIN bw b ON b.symbol = k.symbol AND b.k = k.k"""
+
+
+def wfa_summary_q() -> str:
+    def sa(c):
+        return f"CASE WHEN count({c}) = count(*) THEN avg({c}) END"
+    return f"""{_wfa_core()},
+su AS (SELECT b.symbol, count(*) AS n_windows, {sa('is_sharpe')} AS avg_is_sharpe,
+  {sa('oos_sharpe')} AS avg_oos_sharpe, {sa('ratio')} AS avg_ratio,
+  count_if(ratio >= 0.6) AS windows_passed
+  FROM kept k JOIN bw b ON b.symbol = k.symbol AND b.k = k.k GROUP BY b.symbol),
+su2 AS (SELECT *, coalesce(avg_ratio < 0.6, false) AS overfitting,
+  CASE WHEN avg_is_sharpe > 0 THEN avg_oos_sharpe / avg_is_sharpe ELSE 0.0 END AS ratio_of_means FROM su)
+SELECT symbol, n_windows, round(avg_is_sharpe, 6) AS avg_is_sharpe, round(avg_oos_sharpe, 6) AS avg_oos_sharpe,
+  round(avg_ratio, 6) AS avg_ratio, windows_passed, overfitting, round(ratio_of_means, 6) AS ratio_of_means,
+  coalesce(ratio_of_means < 0.6, false) AS overfitting_rom FROM su2"""

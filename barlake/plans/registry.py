@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans
+from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,3 +51,7 @@ register("strategy_backtests", indicatorplans.strategy_backtests)
 for _n in ["monthly_pnl", "monthly_matrix", "drawdown_series", "equity_daily", "signal_distribution",
            "trade_list", "trade_durations", "loss_streaks", "health_alerts"]:
     register(_n, getattr(reportplans, _n), getattr(oracle, f"{_n}_q")())
+
+register("wfa_windows", wfaplans.wfa_windows, oracle.wfa_windows_q())
+register("wfa_summary", wfaplans.wfa_summary, oracle.wfa_summary_q())
+register("wfa_segment_metrics", wfaplans.wfa_segment_metrics)

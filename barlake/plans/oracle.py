@@ -776,3 +776,124 @@ su2 AS (SELECT *, coalesce(avg_ratio < 0.6, false) AS overfitting,
 SELECT symbol, n_windows, round(avg_is_sharpe, 6) AS avg_is_sharpe, round(avg_oos_sharpe, 6) AS avg_oos_sharpe,
   round(avg_ratio, 6) AS avg_ratio, windows_passed, overfitting, round(ratio_of_means, 6) AS ratio_of_means,
   coalesce(ratio_of_means < 0.6, false) AS overfitting_rom FROM su2"""
+
+
+# --------------------------------------------------------------------------
+# retrieval (embeddings as the developed collection)
+# --------------------------------------------------------------------------
+
+DEV = """dev AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS sem,
+  CAST(list_reverse(embedding) AS DOUBLE[]) AS meta, label AS logic_type,
+  CAST(vec_id % 4 AS INTEGER) AS trading_session, (vec_id % 37) / 10.0 AS sharpe,
+  (vec_id % 11) = 0 AS overfitting_flag FROM embeddings)"""
+
+
+def _topk_sql(k: int, coll: str = "dev", extra: str = "") -> str:
+    return f"""pairs AS (SELECT q.id AS qid, c.id AS id, list_cosine_similarity(q.sem, c.sem) AS similarity
+  FROM dev q JOIN {coll} c ON q.id <> c.id {extra}),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INTEGER) AS rank
+  FROM pairs)"""
+
+
+def vector_topk_q() -> str:
+    return f"""WITH {DEV}, {_topk_sql(5)}
+SELECT qid, rank, id, round(similarity, 6) AS similarity, round(1.0 - similarity, 6) AS distance
+FROM ranked WHERE rank <= 5"""
+
+
+def failed_topk_q() -> str:
+    return f"""WITH {DEV}, fail AS (SELECT * FROM dev WHERE logic_type = 9), {_topk_sql(2, 'fail')}
+SELECT qid, rank, id, round(similarity, 6) AS similarity, round(1.0 - similarity, 6) AS distance
+FROM ranked WHERE rank <= 2"""
+
+
+LAYERED = f"""{DEV},
+meta AS (SELECT q.id AS qid, c.id AS id, list_cosine_similarity(q.meta, c.meta) AS ms
+  FROM dev q JOIN dev c ON q.id <> c.id AND c.trading_session = q.trading_session AND NOT c.overfitting_flag),
+meta20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ms DESC, id) AS r FROM meta) WHERE r <= 20),
+sem AS (SELECT m.qid, m.id, list_cosine_similarity(q.sem, c.sem) AS similarity, c.sharpe, c.sem
+  FROM meta20 m JOIN dev c ON c.id = m.id JOIN dev q ON q.id = m.qid),
+lay AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INTEGER) AS rank
+  FROM sem) WHERE rank <= 5)"""
+
+
+def layered_search_q() -> str:
+    return f"WITH {LAYERED}\nSELECT qid, rank, id, round(similarity, 6) AS similarity FROM lay"
+
+
+def diversity_filter_q(threshold: float = 0.3) -> str:
+    return f"""WITH RECURSIVE {LAYERED},
+c AS (SELECT qid, id, sharpe, sem, CAST(row_number() OVER (PARTITION BY qid ORDER BY sharpe DESC, id) AS INTEGER) AS o FROM lay),
+g AS (
+  SELECT qid, o, CASE WHEN true THEN [struct_pack(id := id, s := sharpe, v := sem)] END AS kept FROM c WHERE o = 1
+  UNION ALL
+  SELECT c.qid, c.o,
+    CASE WHEN len(g.kept) < 3 AND NOT list_bool_or(list_transform(g.kept, lambda k: list_cosine_similarity(k.v, c.sem) > {threshold}))
+         THEN list_append(g.kept, struct_pack(id := c.id, s := c.sharpe, v := c.sem)) ELSE g.kept END
+  FROM g JOIN c ON c.qid = g.qid AND c.o = g.o + 1),
+fin AS (SELECT qid, arg_max(kept, o) AS kept FROM g GROUP BY qid),
+ex AS (SELECT qid, unnest(range(1, len(kept) + 1)) AS pick, unnest(kept) AS e FROM fin)
+SELECT qid, CAST(pick AS INTEGER) AS pick, e.id AS id, round(e.s, 6) AS sharpe FROM ex"""
+
+
+def batch_diversity_q() -> str:
+    ns = ", ".join(f"count_if(trading_session = {s}) AS n_session_{s}" for s in range(4))
+    return f"""WITH {DEV},
+pr AS (SELECT a.logic_type, avg(list_cosine_similarity(a.sem, b.sem)) AS mean_similarity
+  FROM dev a JOIN dev b ON a.logic_type = b.logic_type AND a.id < b.id GROUP BY a.logic_type),
+ct AS (SELECT logic_type, count(*) AS n_items, {ns} FROM dev GROUP BY logic_type)
+SELECT ct.logic_type, n_items, round(mean_similarity, 6) AS mean_similarity,
+  n_session_0, n_session_1, n_session_2, n_session_3,
+  round(1.0 - mean_similarity, 6) AS diversity_score, (1.0 - mean_similarity) < 0.3 AS low_diversity
+FROM ct JOIN pr ON pr.logic_type = ct.logic_type"""
+
+
+RANKED20 = f"""{DEV}, {_topk_sql(20)},
+r20 AS (SELECT r.*, c.logic_type AS c_logic, q.logic_type AS q_logic FROM ranked r
+  JOIN dev c ON c.id = r.id JOIN dev q ON q.id = r.qid WHERE r.rank <= 20),
+per AS (SELECT qid, max(CASE WHEN c_logic = q_logic AND rank <= 5 THEN 1 ELSE 0 END) AS hit_at_k,
+  coalesce(1.0 / min(CASE WHEN c_logic = q_logic AND rank <= 20 THEN rank END), 0.0) AS reciprocal_rank
+  FROM r20 GROUP BY qid)"""
+
+
+def retrieval_eval_q() -> str:
+    return f"""WITH {RANKED20}
+SELECT count(*) AS n_cases, round(avg(hit_at_k), 6) AS recall_at_5, round(avg(reciprocal_rank), 6) AS mrr,
+  CAST(0.6 AS DOUBLE) AS recall_target, CAST(0.4 AS DOUBLE) AS mrr_target, avg(hit_at_k) >= 0.6 AND avg(reciprocal_rank) >= 0.4 AS passed
+FROM per"""
+
+
+def retrieval_cases_q() -> str:
+    return f"WITH {RANKED20}\nSELECT qid, hit_at_k, round(reciprocal_rank, 6) AS reciprocal_rank FROM per"
+
+
+def diversify_by_type_q() -> str:
+    return f"""WITH {RANKED20}
+SELECT qid, c_logic, id, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid, c_logic ORDER BY similarity DESC, id) AS rr FROM r20) WHERE rr = 1"""
+
+
+def collection_search_q() -> str:
+    return f"""WITH {DEV}, fail AS (SELECT * FROM dev WHERE logic_type = 9),
+d AS (SELECT * FROM (SELECT q.id AS qid, c.id, list_cosine_similarity(q.sem, c.sem) AS similarity,
+    row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.sem, c.sem) DESC, c.id) AS r
+  FROM dev q JOIN dev c ON q.id <> c.id) WHERE r <= 5 AND similarity >= 0.0),
+f AS (SELECT * FROM (SELECT q.id AS qid, c.id, list_cosine_similarity(q.sem, c.sem) AS similarity,
+    row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.sem, c.sem) DESC, c.id) AS r
+  FROM dev q JOIN fail c ON q.id <> c.id) WHERE r <= 2 AND similarity >= 0.1),
+u AS (SELECT qid, 'developed' AS collection, id, similarity, 1.0 * similarity AS score FROM d
+  UNION ALL SELECT qid, 'failed', id, similarity, 0.5 * similarity FROM f)
+SELECT qid, collection, id, round(similarity, 6) AS similarity, round(score, 6) AS score,
+  CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, collection, id) AS INTEGER) AS rank FROM u"""
+
+
+def fill_short_results_q() -> str:
+    return f"""WITH {LAYERED},
+l2 AS (SELECT qid, id, similarity, 0 AS src FROM lay WHERE similarity > 0.2),
+fb AS (SELECT * FROM (SELECT q.id AS qid, c.id, list_cosine_similarity(q.sem, c.sem) AS similarity,
+    row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.sem, c.sem) DESC, c.id) AS r
+  FROM dev q JOIN dev c ON q.id <> c.id) WHERE r <= 5),
+fb2 AS (SELECT qid, id, similarity, 1 AS src FROM fb f WHERE NOT EXISTS (SELECT 1 FROM l2 WHERE l2.qid = f.qid AND l2.id = f.id)),
+u AS (SELECT * FROM l2 UNION ALL SELECT * FROM fb2),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY src, round(similarity, 12) DESC, id) AS INTEGER) AS slot FROM u)
+SELECT qid, slot, id, round(similarity, 6) AS similarity FROM s WHERE slot <= 3"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, wfaplans
+from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,3 +55,9 @@ for _n in ["monthly_pnl", "monthly_matrix", "drawdown_series", "equity_daily", "
 register("wfa_windows", wfaplans.wfa_windows, oracle.wfa_windows_q())
 register("wfa_summary", wfaplans.wfa_summary, oracle.wfa_summary_q())
 register("wfa_segment_metrics", wfaplans.wfa_segment_metrics)
+
+for _n in ["vector_topk", "failed_topk", "layered_search", "diversity_filter", "batch_diversity",
+           "retrieval_eval", "retrieval_cases", "diversify_by_type", "collection_search",
+           "fill_short_results"]:
+    register(_n, getattr(retrievalplans, _n), getattr(oracle, f"{_n}_q")())
+register("sample_examples", retrievalplans.sample_examples)

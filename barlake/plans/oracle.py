@@ -897,3 +897,198 @@ fb2 AS (SELECT qid, id, similarity, 1 AS src FROM fb f WHERE NOT EXISTS (SELECT
 u AS (SELECT * FROM l2 UNION ALL SELECT * FROM fb2),
 s AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY src, round(similarity, 12) DESC, id) AS INTEGER) AS slot FROM u)
 SELECT qid, slot, id, round(similarity, 6) AS similarity FROM s WHERE slot <= 3"""
+
+
+# --------------------------------------------------------------------------
+# text jobs (entity decoding limited to the entities present in the data)
+# --------------------------------------------------------------------------
+
+def unescape_sql(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), "
+            f"'&quot;', '\"'), '&amp;', '&'), '&amp', '&')")
+
+
+def _title(h: str = "html") -> str:
+    t = f"regexp_extract({h}, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    return f"substring(trim({unescape_sql(f'regexp_replace({t}, chr(92) || \'s+\', \' \', \'g\')')}), 1, 200)"
+
+
+def _text(h: str = "html") -> str:
+    t = f"regexp_replace({h}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    t = f"trim(regexp_replace({unescape_sql(t)}, '\\s+', ' ', 'g'))"
+    return f"substring({t}, 1, 6000)"
+
+
+PAGES = f"""pg AS (SELECT page_id, url, {_title()} AS title, {_text()} AS text FROM pages)"""
+
+
+def page_title_text_q() -> str:
+    return f"""WITH {PAGES}
+SELECT page_id, title, CASE WHEN title = '' THEN url ELSE title END AS title_or_url, text,
+  CAST(length(text) AS INTEGER) AS n_chars FROM pg"""
+
+
+def page_dedup_q() -> str:
+    return f"""WITH {PAGES},
+h AS (SELECT page_id, sha256(regexp_replace(lower(regexp_replace(url, '#.*$', '')), '/+$', '')) AS url_hash,
+  sha256(text) AS content_hash FROM pg)
+SELECT page_id, url_hash, content_hash,
+  row_number() OVER (PARTITION BY url_hash ORDER BY page_id) = 1
+  AND row_number() OVER (PARTITION BY content_hash ORDER BY page_id) = 1 AS keep FROM h"""
+
+
+def page_list_filter_q() -> str:
+    host = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1))"
+    return f"""WITH h AS (SELECT page_id, {host} AS host FROM pages),
+d AS (SELECT *, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain FROM h)
+SELECT page_id, host, domain FROM d
+WHERE domain IN ('example.com', 'example.org') AND NOT starts_with(host, 'm.')"""
+
+
+def knowledge_context_q() -> str:
+    return f"""WITH {PAGES},
+t AS (SELECT *, regexp_extract(url, '://[^/]+/([a-z]{{2}})/', 1) AS tag FROM pg WHERE length(text) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY page_id) AS rr FROM t)
+SELECT tag, count(*) AS n_pages,
+  string_agg('### [' || title || '](' || url || ')' || chr(10) || substring(text, 1, 3000) || chr(10), chr(10)
+             ORDER BY page_id) AS context
+FROM r WHERE rr <= 8 GROUP BY tag"""
+
+
+def document_dedup_q() -> str:
+    return """WITH d AS (SELECT doc_id, sha256(text) AS content_hash FROM documents)
+SELECT doc_id, content_hash, min(doc_id) OVER (PARTITION BY content_hash) AS first_doc_id,
+  doc_id <> min(doc_id) OVER (PARTITION BY content_hash) AS is_duplicate FROM d"""
+
+
+def script_lint_q() -> str:
+    B0, B1 = "(^|[^a-z0-9_])", "([^a-z0-9_]|$)"
+    nb = f"{B0}next bar{B1}"
+
+    def has(p):
+        return f"regexp_matches(t, '{p}')"
+
+    def cnt(wd):
+        return f"len(list_filter(regexp_split_to_array(t, '[^a-z0-9_]+'), lambda x: x = '{wd}'))"
+
+    rules = [
+        ("R01", "fatal", f"NOT {has(B0 + 'inputs?' + chr(92) + 's*:')}"),
+        ("R02", "fatal", f"NOT {has(B0 + '(vars?|variables?)' + chr(92) + 's*:')}"),
+        ("R03", "fatal", f"NOT {has(B0 + 'buy' + B1 + '.*' + nb)}"),
+        ("R04", "high", f"NOT {has(B0 + 'sell' + chr(92) + 's+short' + B1 + '.*' + nb)}"),
+        ("R05", "fatal", f"NOT {has(B0 + '(setstoploss|setpercenttrailing|setdollartrailing)' + B1)}"),
+        ("R06", "medium", f"NOT {has(B0 + 'entriestoday' + chr(92) + 's*' + chr(92) + '(.*' + chr(92) + ')' + chr(92) + 's*=' + chr(92) + 's*0')}"),
+        ("R07", "fatal", f"{cnt('begin')} <> {cnt('end')}"),
+        ("R08", "fatal", f"{cnt('if')} > {cnt('then')}"),
+    ]
+    for kw in ["volume", "ticks", "openint", "timetominutes", "intrabarordergeneration"]:
+        rules.append(("R09", "fatal", has(B0 + kw + B1)))
+    s = chr(92) + "s*"
+    rules.append(("R10", "fatal", f"NOT {has(B0 + 'time' + s + '=' + s + '1339' + B1)}"))
+    rules.append(("R11", "high", f"NOT {has(B0 + 'time' + s + '>=' + s + '0?845' + B1)}"))
+    bare = f"regexp_extract_all(t, '{B0}(buy{chr(92)}s+{chr(92)}d*{chr(92)}s*shares?{chr(92)}s+at{chr(92)}s+market){B1}', 2)"
+    rules.append(("R12", "high", f"len({bare}) > 0 AND NOT list_bool_and(list_transform({bare}, lambda b: contains(b, 'next bar')))"))
+    arr = ", ".join(f"CASE WHEN {cond} THEN '{r}|{sev}' END" for r, sev, cond in rules)
+    return f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
+i AS (SELECT doc_id, list_filter([{arr}], lambda x: x IS NOT NULL) AS iss FROM d)
+SELECT doc_id, array_to_string(list_transform(iss, lambda x: split_part(x, '|', 1)), ',') AS rules,
+  CAST(len(list_filter(iss, lambda x: split_part(x, '|', 2) = 'fatal')) AS INTEGER) AS n_fatal,
+  len(list_filter(iss, lambda x: split_part(x, '|', 2) = 'fatal')) = 0 AS passed FROM i"""
+
+
+def _dedent_strip_sql(x: str) -> str:
+    lines = f"string_split({x}, chr(10))"
+    ind = (f"list_transform(list_filter({lines}, lambda l: length(trim(l)) > 0), "
+           f"lambda l: length(regexp_extract(l, '^[ \\t]*', 0)))")
+    m = f"coalesce(list_min({ind}), 0)"
+    body = (f"array_to_string(list_transform({lines}, lambda l: CASE WHEN length(trim(l)) = 0 THEN '' "
+            f"ELSE substring(l, {m} + 1) END), chr(10))")
+    return f"regexp_replace({body}, '^\\s+|\\s+$', '', 'g')"
+
+
+def script_checks_q() -> str:
+    def attr(key, default):
+        v = f"regexp_extract(text, '{key}\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)"
+        return f"CASE WHEN {v} = '' THEN '{default}' ELSE {v} END"
+    from barlake.operators.textops import REQUIRED_TOKENS
+    msgs = ", ".join(f"CASE WHEN NOT contains(text, '{t}') THEN '{m.replace(chr(39), chr(39) * 2)}' END"
+                     for t, m in REQUIRED_TOKENS)
+    eff = ("len(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), "
+           "lambda l: l <> '' AND NOT starts_with(l, '//')))")
+    lines = "string_split_regex(regexp_replace(text, '\\{[^}]*\\}', '', 'g'), '\\r?\\n')"
+    kept = (f"list_filter({lines}, lambda l: NOT (starts_with(ltrim(l), '//') "
+            f"AND regexp_matches(l, '[^\\x00-\\x7F]')))")
+    fix = ("lambda l: CASE WHEN instr(l, '//') > 0 AND regexp_matches(substring(l, instr(l, '//')), '[^\\x00-\\x7F]') "
+           "THEN rtrim(substring(l, 1, instr(l, '//') - 1)) ELSE l END")
+    stripped = f"length(array_to_string(list_transform({kept}, {fix}), chr(13) || chr(10)))"
+    body = "regexp_extract(text, '(?s)(def generate_signals.*)', 1)"
+    src = f"CASE WHEN {body} = '' THEN text ELSE {body} END"
+    summ = (f"substring(array_to_string(list_slice(list_filter(list_transform(string_split({src}, chr(10)), "
+            f"lambda l: trim(l)), lambda l: l <> ''), 1, 8), ' | '), 1, 300)")
+    return f"""SELECT doc_id, {attr('NAME', 'Unknown')} AS name, {attr('CATEGORY', 'unknown')} AS category,
+  {attr('TIMEFRAME', '1min')} AS timeframe, {attr('HOLDING_TYPE', 'daytrade')} AS holding_type,
+  array_to_string(list_filter([{msgs}], lambda x: x IS NOT NULL), '; ') AS missing,
+  CAST({eff} AS INTEGER) AS effective_lines,
+  regexp_replace(source, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') AS safe_source,
+  CAST({stripped} AS INTEGER) AS stripped_chars, {summ} AS summary
+FROM documents"""
+
+
+OUTPUTS = """o0 AS (SELECT conv_id, turn, text AS source_text,
+  CAST(json_object('analysis', text, 'suggestions', json_array(json_object('title', 's' || CAST(turn AS VARCHAR),
+    'new_params', json_object('k', turn)))) AS VARCHAR) AS obj FROM conversations WHERE role = 'assistant'),
+o1 AS (SELECT conv_id, turn, source_text,
+  CASE conv_id % 4 WHEN 0 THEN 'Here is the plan:' || chr(10) || '```json' || chr(10) || obj || chr(10) || '```' || chr(10)
+       WHEN 1 THEN obj WHEN 2 THEN 'Result follows ' || obj || ' end.'
+       ELSE '```json' || chr(10) || substring(obj, 2) || chr(10) || '```' END AS output FROM o0)"""
+
+
+def json_payloads_q() -> str:
+    def ok(s):
+        return f"CASE WHEN json_valid({s}) AND starts_with(ltrim({s}), '{{') THEN {s} END"
+    fence = "regexp_extract(output, '(?s)```json\\s*\\n(.*?)```', 1)"
+    first = "instr(output, '{')"
+    rpos = "instr(reverse(output), '}')"
+    last = f"(length(output) - {rpos} + 1)"
+    span = f"CASE WHEN {first} > 0 AND {rpos} > 0 AND {last} > {first} THEN substring(output, {first}, {last} - {first} + 1) END"
+    bare = "regexp_extract(output, '(?s)```\\s*\\n(.*?)```', 1)"
+    fj = _dedent_strip_sql("regexp_extract(output, '(?is)```json\\s*\\n(.*?)```', 1)")
+    fb = _dedent_strip_sql(bare)
+    return f"""WITH {OUTPUTS},
+o2 AS (SELECT *, {ok('output')} AS w, {ok(fence)} AS f, {ok(span)} AS b FROM o1),
+o3 AS (SELECT *, coalesce(w, f, b) AS js,
+  CASE WHEN w IS NOT NULL THEN 'whole' WHEN f IS NOT NULL THEN 'fence' WHEN b IS NOT NULL THEN 'braces'
+       ELSE 'failed' END AS method,
+  coalesce(nullif({fj}, ''), nullif({fb}, ''), '') AS fenced FROM o2)
+SELECT conv_id, turn, method, js IS NOT NULL AS parsed, json_extract_string(js, '$.analysis') = source_text AS analysis_ok,
+  CAST(json_array_length(js, '$.suggestions') AS INTEGER) AS n_suggestions, CAST(length(fenced) AS INTEGER) AS fence_chars
+FROM o3"""
+
+
+VLOG = """vl AS (SELECT event_id AS log_id, user_id AS strategy_id, CAST(event_id % 3 + 1 AS INTEGER) AS layer,
+  NOT (event_type IN ('error', 'click', 'view')) AS passed,
+  CASE event_type
+    WHEN 'error' THEN printf('Unknown identifier ''V%d'' at line %d', CAST(json_extract_string(props, '$.k') AS BIGINT) % 7, event_id % 50)
+    WHEN 'click' THEN printf('Mismatched ''Begin'' at line %d', event_id % 50)
+    WHEN 'view' THEN printf('Expected '';'' at line %d', event_id % 50)
+    ELSE 'Compiler warning' END AS message, ts AS created_at FROM events),
+vp AS (SELECT *, CASE WHEN contains(message, 'Unknown identifier') AND regexp_extract(message, '''([A-Za-z0-9_]+)''', 1) <> ''
+    THEN 'UNKNOWN_IDENTIFIER:' || regexp_extract(message, '''([A-Za-z0-9_]+)''', 1)
+  WHEN contains(message, 'Mismatched') THEN 'MISMATCHED_BEGIN_END'
+  WHEN contains(message, 'Expected') THEN 'SYNTAX_EXPECTED' ELSE 'OTHER' END AS error_pattern FROM vl)"""
+
+
+def error_patterns_q() -> str:
+    return f"WITH {VLOG}\nSELECT log_id, layer, passed, error_pattern FROM vp"
+
+
+def top_failure_patterns_q() -> str:
+    return f"""WITH {VLOG}, g AS (SELECT error_pattern, count(*) AS cnt FROM vp WHERE NOT passed AND layer = 3 GROUP BY 1)
+SELECT error_pattern, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, error_pattern) AS INTEGER) AS rank
+FROM g QUALIFY rank <= 5"""
+
+
+def frequent_patterns_q() -> str:
+    return f"""WITH {VLOG}
+SELECT error_pattern, count(*) AS cnt FROM vp WHERE NOT passed GROUP BY 1 HAVING count(*) >= 50"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, wfaplans
+from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +61,8 @@ for _n in ["vector_topk", "failed_topk", "layered_search", "diversity_filter", "
            "fill_short_results"]:
     register(_n, getattr(retrievalplans, _n), getattr(oracle, f"{_n}_q")())
 register("sample_examples", retrievalplans.sample_examples)
+
+for _n in ["page_title_text", "page_dedup", "page_list_filter", "knowledge_context", "document_dedup",
+           "script_lint", "script_checks", "json_payloads", "error_patterns", "top_failure_patterns",
+           "frequent_patterns"]:
+    register(_n, getattr(textplans, _n), getattr(oracle, f"{_n}_q")())

@@ -77,3 +77,33 @@ def failed_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.where(F.col("label") == 9).select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("semantic_vector"), "label")
+
+
+def outputs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations' assistant turns wrapped as model outputs, by conv_id % 4:
+    fenced JSON, bare JSON, JSON inside prose, broken JSON."""
+    cv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    obj = F.to_json(F.struct(F.col("text").alias("analysis"), F.array(F.struct(
+        F.concat(F.lit("s"), F.col("turn").cast("string")).alias("title"),
+        F.struct(F.col("turn").alias("k")).alias("new_params"))).alias("suggestions")))
+    kind = F.col("conv_id") % 4
+    wrapped = (F.when(kind == 0, F.concat(F.lit("Here is the plan:\n```json\n"), obj, F.lit("\n```\n")))
+               .when(kind == 1, obj)
+               .when(kind == 2, F.concat(F.lit("Result follows "), obj, F.lit(" end.")))
+               .otherwise(F.concat(F.lit("```json\n"), F.substring(obj, 2, 1 << 30), F.lit("\n```"))))
+    return cv.select("conv_id", "turn", F.col("text").alias("source_text"), wrapped.alias("output"))
+
+
+def validation_log_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events → script validation log (strategy, layer, passed, message, created_at)."""
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    msg = (F.when(F.col("event_type") == "error",
+                  F.format_string("Unknown identifier 'V%d' at line %d", k % 7, F.col("event_id") % 50))
+           .when(F.col("event_type") == "click", F.format_string("Mismatched 'Begin' at line %d", F.col("event_id") % 50))
+           .when(F.col("event_type") == "view", F.format_string("Expected ';' at line %d", F.col("event_id") % 50))
+           .otherwise(F.lit("Compiler warning")))
+    return ev.select(F.col("event_id").alias("log_id"), F.col("user_id").alias("strategy_id"),
+                     ((F.col("event_id") % 3) + 1).cast("int").alias("layer"),
+                     (F.col("event_type").isin("error", "click", "view") == F.lit(False)).alias("passed"),
+                     msg.alias("message"), F.col("ts").alias("created_at"))

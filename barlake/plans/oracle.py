@@ -1092,3 +1092,136 @@ FROM g QUALIFY rank <= 5"""
 def frequent_patterns_q() -> str:
     return f"""WITH {VLOG}
 SELECT error_pattern, count(*) AS cnt FROM vp WHERE NOT passed GROUP BY 1 HAVING count(*) >= 50"""
+
+
+# --------------------------------------------------------------------------
+# operational analytics on the call log
+# --------------------------------------------------------------------------
+
+CALLS = CALLS_FX + """,
+calls AS (SELECT *, (['step1_intent', 'step2_retrieve', 'step3_skeleton', 'step4_el', 'step5_critique'])[call_id % 5 + 1]
+  AS prompt_step, CAST(tokens / 10 AS BIGINT) AS latency_ms FROM calls_fx)"""
+
+
+def _mode(x: str) -> str:
+    return (f"CASE WHEN {x} < 7.0 THEN 'normal' WHEN {x} < 9.5 THEN 'throttle' WHEN {x} < 10.0 THEN 'survival' "
+            f"ELSE 'hard_stop' END")
+
+
+def budget_status_q() -> str:
+    return f"""WITH {CALLS},
+d AS (SELECT CAST(created_at AS DATE) AS day, sum(cost_usd) AS today_used_usd, count(*) AS n_calls FROM calls GROUP BY 1),
+wk AS (SELECT CAST(date_trunc('week', day) AS DATE) AS week, sum(today_used_usd) AS tw FROM d GROUP BY 1)
+SELECT day, round(today_used_usd, 6) AS today_used_usd, n_calls, round(tw, 6) AS this_week_total_usd,
+  10.0::DOUBLE AS today_limit_usd, round(today_used_usd / 10.0, 6) AS today_used_percent, {_mode('today_used_usd')} AS current_mode
+FROM d JOIN wk ON wk.week = CAST(date_trunc('week', d.day) AS DATE)"""
+
+
+def budget_breakdown_q() -> str:
+    return f"""WITH {CALLS}, x AS (SELECT *, CAST(created_at AS DATE) AS day FROM calls)
+SELECT day, 'provider' AS dimension, provider AS key, round(sum(cost_usd), 6) AS cost_usd, count(*) AS n_calls FROM x GROUP BY 1, 3
+UNION ALL SELECT day, 'step', prompt_step, round(sum(cost_usd), 6), count(*) FROM x GROUP BY 1, 3
+UNION ALL SELECT day, 'total', 'all', round(sum(cost_usd), 6), count(*) FROM x GROUP BY 1"""
+
+
+def daily_rollup_q() -> str:
+    return f"""WITH {CALLS}
+SELECT CAST(created_at AS DATE) AS day, count(*) AS attempts, count_if(success) AS successes, sum(tokens) AS tokens_used,
+  (count(*) - count_if(success)) >= 10 OR sum(tokens) >= 1000000 AS stop FROM calls GROUP BY 1"""
+
+
+def running_spend_q() -> str:
+    before = "coalesce(sum(cost_usd) OVER (PARTITION BY day ORDER BY created_at, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)"
+    return f"""WITH {CALLS}, x AS (SELECT *, CAST(created_at AS DATE) AS day FROM calls),
+y AS (SELECT *, sum(cost_usd) OVER (PARTITION BY day ORDER BY created_at, call_id {RUN}) AS spent, {before} AS spent_before FROM x),
+z AS (SELECT *, {_mode('spent_before')} AS mode FROM y)
+SELECT call_id, day, provider, round(spent, 6) AS spent, round(spent_before, 6) AS spent_before, mode,
+  CASE mode WHEN 'normal' THEN true WHEN 'throttle' THEN provider NOT IN ('purchase')
+            WHEN 'survival' THEN provider IN ('view') ELSE false END AS allowed FROM z"""
+
+
+def fail_streaks_q() -> str:
+    w_ = f"(PARTITION BY request ORDER BY created_at, call_id {RUN})"
+    return f"""WITH {CALLS},
+x AS (SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER {w_} AS cf FROM calls),
+y AS (SELECT *, cf - coalesce(last_value(CASE WHEN success THEN cf END IGNORE NULLS) OVER {w_}, 0) AS fail_streak FROM x)
+SELECT call_id, request, fail_streak, fail_streak >= 3 AS alert FROM y"""
+
+
+def provider_rates_q() -> str:
+    return f"""WITH {CALLS}
+SELECT provider, count(*) AS n_calls, round(avg(CAST(success AS DOUBLE)), 6) AS success_rate,
+  round(avg(cost_usd), 6) AS avg_cost_usd, round(avg(latency_ms), 6) AS avg_latency_ms,
+  avg(CAST(success AS DOUBLE)) < 0.3 AS low_success FROM calls GROUP BY provider"""
+
+
+def layer_pass_rates_q() -> str:
+    return f"WITH {VLOG}\nSELECT layer, count(*) AS n, round(avg(CAST(passed AS DOUBLE)), 6) AS pass_rate FROM vl GROUP BY layer"
+
+
+def cost_quality_q() -> str:
+    return f"""WITH {CALLS},
+oc AS (SELECT user_id AS request, CAST(max(CAST(event_type = 'purchase' AS INTEGER)) AS BOOLEAN) AS p FROM events GROUP BY 1),
+j AS (SELECT c.*, coalesce(oc.p, false) AS ok FROM calls c LEFT JOIN oc ON oc.request = c.request),
+g AS (SELECT provider, sum(cost_usd) AS cost_usd, count(DISTINCT CASE WHEN ok THEN request END) AS passed_requests,
+  avg(CAST(NOT success AS DOUBLE)) AS failure_rate FROM j GROUP BY provider)
+SELECT provider, round(cost_usd, 6) AS cost_usd, passed_requests, round(failure_rate, 6) AS failure_rate,
+  round(passed_requests / nullif(cost_usd, 0), 6) AS passed_per_usd,
+  round(cost_usd / nullif(passed_requests, 0), 6) AS cost_per_pass FROM g"""
+
+
+def step_failure_rates_q() -> str:
+    return f"""WITH {CALLS}
+SELECT prompt_step, count(*) AS n_calls, round(avg(CAST(NOT success AS DOUBLE)), 6) AS failure_rate FROM calls GROUP BY 1"""
+
+
+def first_success_q() -> str:
+    return f"""WITH {CALLS},
+g AS (SELECT request, count(*) AS n_calls,
+  arg_min(CASE WHEN success THEN {{'at': created_at, 'call_id': call_id, 'provider': provider}} END,
+          CASE WHEN success THEN {{'a': created_at, 'b': call_id}} END) AS ok,
+  arg_max(CASE WHEN NOT success THEN {{'at': created_at, 'call_id': call_id, 'provider': provider}} END,
+          CASE WHEN NOT success THEN {{'a': created_at, 'b': call_id}} END) AS ko
+  FROM calls GROUP BY request)
+SELECT request, n_calls, ok IS NOT NULL AS succeeded, coalesce(ok, ko).provider AS provider,
+  coalesce(ok, ko).call_id AS call_id, coalesce(ok, ko).at AS at FROM g"""
+
+
+def weekly_quality_q() -> str:
+    return f"""WITH {CALLS},
+g AS (SELECT CAST(date_trunc('week', created_at) AS DATE) AS week, count(*) AS n_calls, sum(cost_usd) AS cost_usd,
+  avg(CAST(success AS DOUBLE)) * 100 AS success_pct FROM calls GROUP BY 1),
+h AS (SELECT *, success_pct - lag(success_pct) OVER (ORDER BY week) AS chg FROM g)
+SELECT week, n_calls, round(cost_usd, 6) AS cost_usd, round(success_pct, 6) AS success_pct,
+  round(chg, 6) AS success_pct_change, coalesce(chg < -5.0, false) AS alert FROM h"""
+
+
+def metric_regression_q() -> str:
+    return f"""WITH {CALLS},
+m AS (SELECT provider, CAST(created_at AS DATE) AS day, avg(CAST(success AS DOUBLE)) AS value FROM calls GROUP BY 1, 2),
+r AS (SELECT *, lag(value) OVER (PARTITION BY provider ORDER BY day) AS previous FROM m)
+SELECT provider, day, round(value, 6) AS value, round(previous, 6) AS previous, round(value - previous, 6) AS change,
+  coalesce(previous - value > 0.05, false) AS regressed FROM r"""
+
+
+def kpi_dashboard_q() -> str:
+    ss = ", ".join(f"count_if(trading_session = {s}) AS session_{s}" for s in range(4))
+    return f"""WITH {DEV}
+SELECT count(*) AS strategy_count, round(avg(sharpe), 6) AS avg_sharpe, count_if(overfitting_flag) AS overfitting_count,
+  count_if(overfitting_flag AND sharpe >= 1.2) AS pending_review_count, {ss},
+  count(DISTINCT logic_type) AS logic_types FROM dev"""
+
+
+def latest_trade_per_strategy_q() -> str:
+    return f"""WITH {TRADES_FX},
+n AS (SELECT strategy, count(*) AS n_children,
+  arg_max({{'exit_ts': exit_ts, 'orderkey': orderkey, 'pnl': pnl}}, {{'a': exit_ts, 'b': orderkey, 'c': linenumber}}) AS l
+  FROM trades_fx GROUP BY strategy)
+SELECT s.s_suppkey AS strategy, s.s_name, n.n_children, n.l.exit_ts AS latest_exit_ts, n.l.orderkey AS latest_orderkey,
+  round(n.l.pnl, 6) AS latest_pnl FROM supplier s LEFT JOIN n ON n.strategy = s.s_suppkey"""
+
+
+def list_strategies_page_q() -> str:
+    return f"""WITH {DEV}
+SELECT id, logic_type, trading_session, sharpe FROM dev WHERE logic_type = 3 AND sharpe >= 1.0
+ORDER BY sharpe DESC, id LIMIT 20 OFFSET 20"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barlake.plans import opsplans
 from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +67,10 @@ for _n in ["page_title_text", "page_dedup", "page_list_filter", "knowledge_conte
            "script_lint", "script_checks", "json_payloads", "error_patterns", "top_failure_patterns",
            "frequent_patterns"]:
     register(_n, getattr(textplans, _n), getattr(oracle, f"{_n}_q")())
+
+for _n in ["budget_status", "budget_breakdown", "daily_rollup", "running_spend", "fail_streaks",
+           "provider_rates", "layer_pass_rates", "cost_quality", "step_failure_rates", "first_success",
+           "weekly_quality", "metric_regression", "kpi_dashboard", "latest_trade_per_strategy",
+           "list_strategies_page"]:
+    register(_n, getattr(opsplans, _n), getattr(oracle, f"{_n}_q")())
+register("recent_failures", opsplans.recent_failures)

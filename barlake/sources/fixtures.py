@@ -107,3 +107,25 @@ def validation_log_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ((F.col("event_id") % 3) + 1).cast("int").alias("layer"),
                      (F.col("event_type").isin("error", "click", "view") == F.lit(False)).alias("passed"),
                      msg.alias("message"), F.col("ts").alias("created_at"))
+
+
+# Prompt steps of the five-step generation flow
+PROMPT_STEPS = ["step1_intent", "step2_retrieve", "step3_skeleton", "step4_el", "step5_critique"]
+
+
+def calls_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """calls_fx plus a prompt step and latency derived from the event."""
+    c = calls_fx(spark, sf_dir)
+    steps = F.array(*[F.lit(s) for s in PROMPT_STEPS])
+    return c.withColumns({
+        "prompt_step": F.element_at(steps, (F.col("call_id") % len(PROMPT_STEPS) + 1).cast("int")),
+        "latency_ms": (F.col("tokens") / F.lit(10)).cast("long")})
+
+
+def outcomes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-filled downstream outcome per request: a request 'passed' when its
+    user has a purchase event."""
+    ev = table(spark, sf_dir, "events")
+    return ev.groupBy(F.col("user_id").alias("request")).agg(
+        F.max((F.col("event_type") == "purchase").cast("int")).cast("boolean")
+        .alias("downstream_strategy_passed"))

@@ -1225,3 +1225,92 @@ def list_strategies_page_q() -> str:
     return f"""WITH {DEV}
 SELECT id, logic_type, trading_session, sharpe FROM dev WHERE logic_type = 3 AND sharpe >= 1.0
 ORDER BY sharpe DESC, id LIMIT 20 OFFSET 20"""
+
+
+# --------------------------------------------------------------------------
+# table maintenance, constraints, admission
+# --------------------------------------------------------------------------
+
+def _chk(table: str, pk=(), not_null=(), fks=()) -> list[str]:
+    out = []
+    if pk:
+        cols = ", ".join(pk)
+        key = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in pk)
+        out.append(f"SELECT '{table}' AS \"table\", '{','.join(pk)}' AS \"constraint\", 'primary_key' AS kind, "
+                   f"{key} AS key, count(*) AS n_rows FROM {table} GROUP BY {cols} HAVING count(*) > 1")
+    for c in list(not_null) + list(pk):
+        out.append(f"SELECT '{table}', '{c}', 'not_null', CAST(NULL AS VARCHAR), count(*) FROM {table} "
+                   f"WHERE {c} IS NULL HAVING count(*) > 0")
+    for col, parent, pcol in fks:
+        out.append(f"SELECT '{table}', '{col}', 'foreign_key', CAST({col} AS VARCHAR), count(*) FROM {table} t "
+                   f"WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pcol} = t.{col}) "
+                   f"GROUP BY {col}")
+    return out
+
+
+def constraint_check_q() -> str:
+    parts = (_chk("region", ["r_regionkey"]) + _chk("nation", ["n_nationkey"], fks=[("n_regionkey", "region", "r_regionkey")])
+             + _chk("customer", ["c_custkey"], ["c_name"], [("c_nationkey", "nation", "n_nationkey")])
+             + _chk("supplier", ["s_suppkey"], fks=[("s_nationkey", "nation", "n_nationkey")])
+             + _chk("orders", ["o_orderkey"], ["o_orderdate"], [("o_custkey", "customer", "c_custkey")])
+             + _chk("lineitem", ["l_orderkey", "l_linenumber"],
+                    fks=[("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"),
+                         ("l_suppkey", "supplier", "s_suppkey")])
+             + _chk("labels", ["doc_id"], fks=[("doc_id", "documents", "doc_id")]))
+    return "\nUNION ALL\n".join(parts)
+
+
+BARS_V2 = """v2 AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts,
+  arg_min(o_totalprice, {'a': o_custkey, 'b': o_orderkey}) AS open, max(o_totalprice) AS high,
+  min(o_totalprice) AS low, arg_max(o_totalprice, {'a': o_custkey, 'b': o_orderkey}) AS close
+  FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1, 2)"""
+
+
+def upsert_merge_q() -> str:
+    return rounded(f"""WITH {DAY_BARS}, {BARS_V2}
+SELECT * FROM v2 UNION ALL
+SELECT d.* FROM day_bars d WHERE NOT EXISTS (SELECT 1 FROM v2 WHERE v2.symbol = d.symbol AND v2.ts = d.ts)""", RES_COLS)
+
+
+def merge_bars_q() -> str:
+    return upsert_merge_q()
+
+
+def clean_minute_bars_q() -> str:
+    return rounded(f"""WITH {MINUTE_BARS}
+SELECT symbol, ts, open, high, low, close FROM minute_bars
+WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL
+  AND high >= low AND open > 0 AND n_ticks <> 0""", RES_COLS)
+
+
+def collection_listing_q() -> str:
+    return f"""WITH {DEV}
+SELECT trading_session, logic_type, id, round(sharpe, 6) AS sharpe, '' AS notes FROM dev WHERE NOT overfitting_flag"""
+
+
+def knowledge_upsert_q() -> str:
+    lang = "regexp_extract(url, '://[^/]+/([a-z]{2})/', 1)"
+    return f"""WITH p AS (SELECT page_id AS id, url, html AS content FROM pages),
+o AS (SELECT * FROM p WHERE {lang} IN ('en', 'fr'))
+SELECT coalesce(o.id, p.id) AS id, coalesce(o.url, p.url) AS url,
+  CASE WHEN o.url IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS added_at,
+  CASE WHEN o.url IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS last_fetched,
+  CASE WHEN p.url IS NOT NULL AND o.url IS NULL THEN 'added' WHEN p.url IS NOT NULL THEN 'already_exists' ELSE 'kept' END AS status,
+  CAST(length(coalesce(o.content, p.content)) AS INTEGER) AS content_length
+FROM o FULL OUTER JOIN p ON o.url = p.url"""
+
+
+def admission_q() -> str:
+    met = ma_cross_backtest_metrics()
+    summ = wfa_summary_q()
+    return f"""WITH m AS ({met}), s AS ({summ}),
+x AS (SELECT m.*, s.avg_is_sharpe, s.avg_oos_sharpe, s.n_windows FROM m LEFT JOIN s ON s.symbol = m.symbol),
+y AS (SELECT *, CASE WHEN avg_is_sharpe > 0 THEN avg_oos_sharpe / avg_is_sharpe END AS oi,
+  CASE WHEN avg_is_sharpe <= 0 THEN true ELSE coalesce(avg_oos_sharpe / avg_is_sharpe < 0.6, true) END AS over FROM x),
+z AS (SELECT *, coalesce(sharpe >= 1.5, false) AND max_drawdown <= 0.2 AND profit_factor >= 2.0
+  AND total_trades >= 100 AND coalesce(oi >= 0.6, false) AS strict FROM y)
+SELECT symbol, passed AS screen_passed, strict AS strict_passed, over AS overfit, over AND passed AS review_queue,
+  passed AND coalesce(n_windows, 0) > 0 AND strict AS admitted,
+  coalesce(CASE WHEN total_trades < 80 THEN 'insufficient_trades' WHEN coalesce(sharpe < 1.2, false) THEN 'low_sharpe'
+    WHEN max_drawdown > 0.35 THEN 'high_drawdown' WHEN profit_factor < 1.0 THEN 'low_profit_factor' END, 'passed')
+    AS failure_reason FROM z"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import opsplans
+from barlake.plans import opsplans, tableplans
 from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,7 @@ for _n in ["budget_status", "budget_breakdown", "daily_rollup", "running_spend",
            "list_strategies_page"]:
     register(_n, getattr(opsplans, _n), getattr(oracle, f"{_n}_q")())
 register("recent_failures", opsplans.recent_failures)
+
+for _n in ["constraint_check", "upsert_merge", "merge_bars", "clean_minute_bars", "collection_listing",
+           "knowledge_upsert", "admission"]:
+    register(_n, getattr(tableplans, _n), getattr(oracle, f"{_n}_q")())

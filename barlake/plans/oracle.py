@@ -1314,3 +1314,29 @@ SELECT symbol, passed AS screen_passed, strict AS strict_passed, over AS overfit
   coalesce(CASE WHEN total_trades < 80 THEN 'insufficient_trades' WHEN coalesce(sharpe < 1.2, false) THEN 'low_sharpe'
     WHEN max_drawdown > 0.35 THEN 'high_drawdown' WHEN profit_factor < 1.0 THEN 'low_profit_factor' END, 'passed')
     AS failure_reason FROM z"""
+
+
+# --------------------------------------------------------------------------
+# streaming (batch equivalents)
+# --------------------------------------------------------------------------
+
+def stream_resample_5m_q() -> str:
+    b = bin_expr("5min")
+    return rounded(f"""WITH {TICKS}
+SELECT symbol, {b} AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
+  arg_max(price, ts) AS close FROM ticks GROUP BY symbol, {b}""", RES_COLS)
+
+
+def stream_alerts_q() -> str:
+    lvl = ("CASE WHEN loss_streak >= 10 OR dd_ratio >= 0.8 THEN 'red' WHEN loss_streak >= 8 OR dd_ratio >= 0.7 "
+           "THEN 'orange' WHEN loss_streak >= 5 OR dd_ratio >= 0.5 THEN 'yellow' ELSE 'green' END")
+    return f"""WITH {TRADE_STREAKS},
+h1 AS (SELECT *, 500000.0 + sum(pnl) OVER (PARTITION BY strategy ORDER BY rn {RUN}) AS equity FROM t3),
+h2 AS (SELECT *, greatest(500000.0, max(equity) OVER (PARTITION BY strategy ORDER BY rn {RUN})) AS peak FROM h1),
+h3 AS (SELECT *, (peak - equity) / peak / 0.2 AS dd_ratio FROM h2)
+SELECT strategy, exit_ts, orderkey, linenumber, round(pnl, 6) AS pnl, loss_streak, round(dd_ratio, 6) AS dd_ratio,
+  {lvl} AS level FROM h3"""
+
+
+def stream_dedup_documents_q() -> str:
+    return "SELECT DISTINCT sha256(text) AS content_hash FROM documents"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import opsplans, tableplans
+from barlake.plans import opsplans, streamplans, tableplans
 from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,6 @@ register("recent_failures", opsplans.recent_failures)
 for _n in ["constraint_check", "upsert_merge", "merge_bars", "clean_minute_bars", "collection_listing",
            "knowledge_upsert", "admission"]:
     register(_n, getattr(tableplans, _n), getattr(oracle, f"{_n}_q")())
+
+for _n in ["stream_resample_5m", "stream_alerts", "stream_dedup_documents"]:
+    register(_n, getattr(streamplans, _n), getattr(oracle, f"{_n}_q")())

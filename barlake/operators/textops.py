@@ -249,7 +249,7 @@ def parse_report_number(s) -> Column:
     t = F.trim(c(s))
     neg = F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")"))
     core = F.regexp_replace(t, r"[,$%()\s]", "")
-    v = F.try_cast(core, "double")
+    v = core.try_cast("double")
     bad = t.isin("", "—", "-", "–", "N/A", "n/a", "NA") | F.startswith(t, F.lit("-$"))
     return F.when(bad, F.lit(None).cast("double")).otherwise(F.when(neg, -v).otherwise(v))
 

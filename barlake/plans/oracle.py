@@ -1340,3 +1340,103 @@ SELECT strategy, exit_ts, orderkey, linenumber, round(pnl, 6) AS pnl, loss_strea
 
 def stream_dedup_documents_q() -> str:
     return "SELECT DISTINCT sha256(text) AS content_hash FROM documents"
+
+
+# --------------------------------------------------------------------------
+# diagnostics, labels, reports, intents, prompt blocks, texts
+# --------------------------------------------------------------------------
+
+def rolling_sharpe_q() -> str:
+    fr = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+    return f"""{_ma_ledger()}
+SELECT symbol, ts, round(CASE WHEN count(ret) OVER {fr} = 60 THEN avg(ret) OVER {fr} / stddev_samp(ret) OVER {fr} * sqrt(245.0) END, 6)
+  AS rolling_sharpe FROM led"""
+
+
+def pnl_histogram_q() -> str:
+    return f"""{_ma_ledger()},
+t AS (SELECT symbol, trade_pnl AS pnl FROM led WHERE trade_pnl IS NOT NULL),
+r AS (SELECT symbol, min(pnl) AS lo, max(pnl) AS hi FROM t GROUP BY symbol)
+SELECT t.symbol, CAST(CASE WHEN hi = lo THEN 1 ELSE floor((pnl - lo) / (hi - lo) * 10) + 1 END AS INTEGER) AS bucket,
+  count(*) AS n_trades FROM t JOIN r ON r.symbol = t.symbol GROUP BY 1, 2"""
+
+
+def drawdown_episodes_q() -> str:
+    return f"""{_ma_ledger()},
+x AS (SELECT *, equity < peak AS uw FROM led),
+y AS (SELECT *, sum(CASE WHEN uw THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts {RUN}) AS isl FROM x)
+SELECT symbol, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_bars, round(min(drawdown), 6) AS depth
+FROM y WHERE uw GROUP BY symbol, isl"""
+
+
+def split_segments_q() -> str:
+    return f"""WITH {DAY_BARS}
+SELECT symbol, CASE WHEN ts >= TIMESTAMP '1995-01-01' AND ts <= TIMESTAMP '1999-12-31 23:59:59' THEN 'train'
+  WHEN ts >= TIMESTAMP '2000-01-01' AND ts <= TIMESTAMP '2001-12-31 23:59:59' THEN 'test' ELSE 'outside' END AS segment,
+  count(*) AS n_bars, min(ts) AS first_ts, max(ts) AS last_ts FROM day_bars GROUP BY 1, 2"""
+
+
+def unpaired_labels_q() -> str:
+    return """SELECT doc_id, 'label_without_document' AS side FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)
+UNION ALL SELECT doc_id, 'document_without_label' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+
+
+def report_table_q() -> str:
+    return f"""WITH m AS ({ma_cross_backtest_metrics()}),
+u AS (SELECT symbol, 'sharpe' AS metric, sharpe AS value FROM m
+  UNION ALL SELECT symbol, 'max_drawdown', max_drawdown FROM m
+  UNION ALL SELECT symbol, 'profit_factor', profit_factor FROM m
+  UNION ALL SELECT symbol, 'total_trades', CAST(total_trades AS DOUBLE) FROM m),
+t AS (SELECT * FROM (VALUES ('sharpe', 1.2, '>='), ('max_drawdown', 0.35, '<='), ('profit_factor', 1.0, '>='),
+  ('total_trades', 80.0, '>=')) v(metric, threshold, rule))
+SELECT u.metric, u.symbol, u.value, CAST(t.threshold AS DOUBLE) AS threshold, t.rule,
+  coalesce(CASE WHEN t.rule = '>=' THEN u.value >= t.threshold ELSE u.value <= t.threshold END, false) AS passed
+FROM u JOIN t ON t.metric = u.metric"""
+
+
+def strategy_report_q() -> str:
+    return f"""WITH m AS ({ma_cross_backtest_metrics()}), w AS ({wfa_windows_q()}),
+t AS (SELECT symbol, string_agg(printf('[%02d] IS %s..%s OOS %s..%s IS=%.2f OOS=%.2f', window_idx, CAST(is_start AS VARCHAR),
+  CAST(is_end AS VARCHAR), CAST(oos_start AS VARCHAR), CAST(oos_end AS VARCHAR), is_sharpe, oos_sharpe), chr(10) ORDER BY window_idx) AS windows
+  FROM w GROUP BY symbol)
+SELECT m.symbol, m.sharpe, m.max_drawdown, m.profit_factor, m.total_trades, m.passed, t.windows
+FROM m LEFT JOIN t ON t.symbol = m.symbol"""
+
+
+def validate_intents_q() -> str:
+    k = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+    sess = f"(['daytrade_day', 'daytrade_night', 'swing_day', 'swing_full', 'allday'])[{k} % 5 + 1]"
+    logic = "(['trend', 'mean_reversion', 'tunnel', 'pattern'])[user_id % 4 + 1]"
+    tf = "(['1min', '5min', '15min', '30min', '60min', '1d', '2min'])[event_id % 7 + 1]"
+    return f"""WITH i AS (SELECT event_id, {sess} AS s, {logic} AS lg, {tf} AS tf, round(value / 500.0, 4) AS conf FROM events),
+r AS (SELECT event_id, list_filter([
+  CASE WHEN s NOT IN ('daytrade_day', 'daytrade_night', 'swing_day', 'swing_full') THEN 'bad_session' END,
+  CASE WHEN lg NOT IN ('trend', 'mean_reversion', 'tunnel', 'pattern') THEN 'bad_logic' END,
+  CASE WHEN tf NOT IN ('1min', '5min', '15min', '30min', '60min', '1d') THEN 'bad_timeframe' END,
+  CASE WHEN lg IN ('pattern') THEN 'disabled_logic' END,
+  CASE WHEN conf < 0.7 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS rs FROM i)
+SELECT event_id, array_to_string(rs, ',') AS reasons, len(rs) = 0 AS accepted FROM r"""
+
+
+def prompt_blocks_q() -> str:
+    return f"""WITH {DEV},
+t AS (SELECT *, row_number() OVER (PARTITION BY logic_type ORDER BY sharpe DESC, id) AS r FROM dev)
+SELECT logic_type, string_agg(printf('### Strategy %d' || chr(10) || '- session: %d' || chr(10) || '- sharpe: %.1f' || chr(10),
+  id, trading_session, sharpe), chr(10) ORDER BY r) AS block FROM t WHERE r <= 3 GROUP BY logic_type"""
+
+
+def embedding_texts_q() -> str:
+    meta = ("substring(concat_ws(' | ', 'lang=' || lang, 'source=' || source, 'chars=' || CAST(n_chars AS VARCHAR)), 1, 200)")
+    sem = "concat_ws(chr(10), 'source: ' || source, text)"
+    return f"""SELECT doc_id, {meta} AS metadata_text, CAST(length({sem}) AS INTEGER) AS semantic_chars,
+  sha256({sem}) AS semantic_hash FROM documents"""
+
+
+def failure_convergence_q() -> str:
+    return f"""WITH {VLOG},
+f AS (SELECT *, row_number() OVER (ORDER BY created_at, log_id) - 1 AS o FROM vp WHERE NOT passed),
+p AS (SELECT *, row_number() OVER (PARTITION BY error_pattern ORDER BY o) AS n FROM f),
+o50 AS (SELECT error_pattern, o AS o50 FROM p WHERE n = 50)
+SELECT f.error_pattern AS pattern, count_if(f.o > o50.o50 AND f.o <= o50.o50 + 100) AS repeats_in_next,
+  count_if(f.o > o50.o50 AND f.o <= o50.o50 + 100) < 10 AS converged
+FROM f JOIN o50 ON o50.error_pattern = f.error_pattern GROUP BY f.error_pattern"""

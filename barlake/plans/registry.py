@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import opsplans, streamplans, tableplans
+from barlake.plans import extraplans, opsplans, streamplans, tableplans
 from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,9 @@ for _n in ["constraint_check", "upsert_merge", "merge_bars", "clean_minute_bars"
 
 for _n in ["stream_resample_5m", "stream_alerts", "stream_dedup_documents"]:
     register(_n, getattr(streamplans, _n), getattr(oracle, f"{_n}_q")())
+
+for _n in ["rolling_sharpe", "pnl_histogram", "drawdown_episodes", "split_segments", "unpaired_labels",
+           "report_table", "strategy_report", "validate_intents", "prompt_blocks", "embedding_texts",
+           "failure_convergence"]:
+    register(_n, getattr(extraplans, _n), getattr(oracle, f"{_n}_q")())
+register("embed_documents", extraplans.embed_documents)

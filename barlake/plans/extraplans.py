@@ -22,8 +22,8 @@ def rolling_sharpe(spark: SparkSession, sf_dir: str, n: int = 60) -> DataFrame:
     def st(w):
         fr = w.rowsBetween(-(n - 1), 0)
         ok = F.count("ret").over(fr) == n
-        return {"rolling_sharpe": F.when(ok, F.avg("ret").over(fr) / F.stddev_samp("ret").over(fr)
-                                         * F.sqrt(F.lit(245.0)))}
+        sd = F.stddev_samp("ret").over(fr)
+        return {"rolling_sharpe": F.when(ok & (sd > 0), F.avg("ret").over(fr) / sd * F.sqrt(F.lit(245.0)))}
     return round_doubles(rolling(led, KEYS, st, n - 1, block=bl).select("symbol", "ts", "rolling_sharpe"))
 
 

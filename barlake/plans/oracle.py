@@ -1349,7 +1349,8 @@ def stream_dedup_documents_q() -> str:
 def rolling_sharpe_q() -> str:
     fr = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
     return f"""{_ma_ledger()}
-SELECT symbol, ts, round(CASE WHEN count(ret) OVER {fr} = 60 THEN avg(ret) OVER {fr} / stddev_samp(ret) OVER {fr} * sqrt(245.0) END, 6)
+SELECT symbol, ts, round(CASE WHEN count(ret) OVER {fr} = 60 AND stddev_samp(ret) OVER {fr} > 0
+  THEN avg(ret) OVER {fr} / stddev_samp(ret) OVER {fr} * sqrt(245.0) END, 6)
   AS rolling_sharpe FROM led"""
 
 
@@ -1440,3 +1441,43 @@ o50 AS (SELECT error_pattern, o AS o50 FROM p WHERE n = 50)
 SELECT f.error_pattern AS pattern, count_if(f.o > o50.o50 AND f.o <= o50.o50 + 100) AS repeats_in_next,
   count_if(f.o > o50.o50 AND f.o <= o50.o50 + 100) < 10 AS converged
 FROM f JOIN o50 ON o50.error_pattern = f.error_pattern GROUP BY f.error_pattern"""
+
+
+# --------------------------------------------------------------------------
+# intraday (5-minute day-session bars)
+# --------------------------------------------------------------------------
+
+def _bars5() -> str:
+    b = bin_expr("5min")
+    return f"""{MINUTE_BARS},
+b5a AS (SELECT symbol, {b} AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low,
+  arg_max(close, ts) AS close FROM minute_bars GROUP BY symbol, {b}),
+b5 AS (SELECT *, CAST(ts AS DATE) AS trading_day FROM b5a WHERE {_is_day('ts')}),
+dt AS (SELECT symbol, trading_day, arg_min(open, ts) AS opend, max(high) AS highd, min(low) AS lowd,
+  arg_max(close, ts) AS closed FROM b5 GROUP BY 1, 2),
+dl AS (SELECT *, lag(closed, 1) OVER w AS closed1, lag(closed, 2) OVER w AS closed2, lag(closed, 3) OVER w AS closed3,
+  lag(highd, 1) OVER w AS highd1, lag(highd, 2) OVER w AS highd2, lag(lowd, 1) OVER w AS lowd1,
+  lag(lowd, 2) OVER w AS lowd2, lag(opend, 2) OVER w AS opend2 FROM dt WINDOW w AS (PARTITION BY symbol ORDER BY trading_day)),
+df AS (SELECT *, (closed1 + closed2 + closed3) / 3 AS dcavg3,
+  greatest(25.0, abs(greatest(closed1, closed2, closed3) - least(closed1, closed2, closed3))) AS distance,
+  greatest(50.0, greatest(highd1, highd2) - least(lowd1, lowd2)) AS hhll,
+  greatest(25.0, abs(opend2 - closed1)) AS dis FROM dl)"""
+
+
+def prior_day_features_q() -> str:
+    cols = ["closed1", "closed2", "closed3", "highd1", "highd2", "lowd1", "lowd2", "opend2", "opend0", "dcavg3",
+            "distance", "hhll", "dis"]
+    return rounded(f"""WITH {_bars5()}
+SELECT b.symbol, b.ts, d.closed1, d.closed2, d.closed3, d.highd1, d.highd2, d.lowd1, d.lowd2, d.opend2,
+  d.opend AS opend0, d.dcavg3, d.distance, d.hhll, d.dis, coalesce(d.dis / d.hhll > 0.333, false) AS condition30
+FROM b5 b LEFT JOIN df d ON d.symbol = b.symbol AND d.trading_day = b.trading_day""", cols)
+
+
+def intraday_counters_q() -> str:
+    wd = "(PARTITION BY symbol, trading_day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return rounded(f"""WITH {_bars5()},
+x AS (SELECT *, lag(high) OVER (PARTITION BY symbol ORDER BY ts) AS h1, lag(low) OVER (PARTITION BY symbol ORDER BY ts) AS l1 FROM b5)
+SELECT symbol, ts, CAST(row_number() OVER (PARTITION BY symbol, trading_day ORDER BY ts) AS INTEGER) AS k,
+  max(high) OVER {wd} AS highd0, min(low) OVER {wd} AS lowd0,
+  sum(coalesce(CAST(high > h1 AS INTEGER), 0)) OVER {wd} AS n_hh,
+  sum(coalesce(CAST(low < l1 AS INTEGER), 0)) OVER {wd} AS n_ll FROM x""", ["highd0", "lowd0"])

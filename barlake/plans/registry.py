@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import extraplans, opsplans, streamplans, tableplans
+from barlake.plans import extraplans, intradayplans, opsplans, streamplans, tableplans
 from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,7 @@ for _n in ["rolling_sharpe", "pnl_histogram", "drawdown_episodes", "split_segmen
            "failure_convergence"]:
     register(_n, getattr(extraplans, _n), getattr(oracle, f"{_n}_q")())
 register("embed_documents", extraplans.embed_documents)
+
+register("prior_day_features", intradayplans.prior_day_features, oracle.prior_day_features_q())
+register("intraday_counters", intradayplans.intraday_counters, oracle.intraday_counters_q())
+register("intraday_breakout_trades", intradayplans.intraday_breakout_trades)

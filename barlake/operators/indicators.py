@@ -236,3 +236,138 @@ def cross_flags(above: Column, prev_above: Column) -> tuple[Column, Column]:
 def hold_last(signal: str) -> tuple[Last, Column]:
     """E11 scan part: replace 0 by null and carry the last non-zero value."""
     return Last(), F.nullif(F.col(signal), F.lit(0))
+
+
+# --------------------------------------------------------------------------
+# fused computation: one rolling pass + one scan per dependency level
+# --------------------------------------------------------------------------
+
+def compute(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple], block=None) -> DataFrame:
+    """Compute several indicators with as few passes as their dependencies allow.
+
+    ``specs`` items: ``("ema", out, x, n)``, ``("sma", out, x, n)``,
+    ``("rsi", out, n, style)``, ``("atr", out, n)``, ``("adx", prefix, n)``
+    (→ ``adx``, ``dmp``, ``dmn``), ``("macd", prefix, fast, slow, signal)``
+    (→ ``macd``, ``macd_signal``, ``macd_hist``).  Definitions equal the
+    single-indicator functions above; all first-level recurrences share one
+    scan, the MACD signal line and ADX smoothing share a second one.
+    """
+    keys = list(keys)
+    specs = list(dict.fromkeys(specs))
+    emas: dict[str, tuple[str, int]] = {}
+    for s in specs:
+        if s[0] == "ema":
+            emas[s[1]] = (s[2], s[3])
+        elif s[0] == "macd":
+            _, p, f, sl, g = s
+            emas[f"_m{p}f"] = ("close", f)
+            emas[f"_m{p}s"] = ("close", sl)
+    smas = [(s[1], s[2], s[3]) for s in specs if s[0] == "sma"]
+    need_diff = any(s[0] in ("rsi", "atr", "adx") for s in specs)
+    look = max([n - 1 for _, n in emas.values()] + [n - 1 for _, _, n in smas] + [1 if need_diff else 0])
+
+    def st1(w):
+        cols = {f"_seed{o}": w_mean(x, n, w) for o, (x, n) in emas.items()}
+        cols.update({o: w_mean(x, n, w) for o, x, n in smas})
+        if need_diff:
+            cols.update({"_pc": F.lag("close", 1).over(w), "_ph": F.lag("high", 1).over(w),
+                         "_pl": F.lag("low", 1).over(w)})
+        return cols
+    x = rolling(df, keys, st1, look, block=block) if look > 0 or smas else df
+    o_ = F.col(ORD)
+    parts: dict = {}
+    for o, (src, n) in emas.items():
+        a = 2.0 / (n + 1)
+        parts[f"_e{o}"] = (Affine(), {"a": F.when(o_ < n, F.lit(0.0)).otherwise(F.lit(1.0 - a)),
+                                      "b": F.when(o_ < n - 1, F.lit(0.0)).when(o_ == n - 1, F.col(f"_seed{o}"))
+                                      .otherwise(F.lit(a) * c(src))})
+    ewm1: dict[str, tuple[str, float, int]] = {}
+    if need_diff:
+        dx_ = F.col("close") - F.col("_pc")
+        up, dn = F.col("high") - F.col("_ph"), F.col("_pl") - F.col("low")
+        x = x.withColumns({
+            "_gain": F.when(dx_.isNull(), None).otherwise(F.greatest(dx_, F.lit(0.0))),
+            "_loss": F.when(dx_.isNull(), None).otherwise(F.greatest(-dx_, F.lit(0.0))),
+            "_tr": F.when(F.col("_pc").isNull(), None).otherwise(F.greatest(
+                F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("_pc") - F.col("low")))),
+            "_pdm": F.when(up.isNull() | dn.isNull(), None).otherwise(F.when((up > dn) & (up > 0), up).otherwise(F.lit(0.0))),
+            "_ndm": F.when(up.isNull() | dn.isNull(), None).otherwise(F.when((dn > up) & (dn > 0), dn).otherwise(F.lit(0.0)))})
+    for s in specs:
+        if s[0] == "rsi":
+            n = s[2]
+            ewm1[f"_g{n}"] = ("_gain", 1.0 / n, n)
+            ewm1[f"_l{n}"] = ("_loss", 1.0 / n, n)
+        elif s[0] in ("atr", "adx"):
+            n = s[2]
+            ewm1[f"_t{n}"] = ("_tr", 1.0 / n, n)
+            if s[0] == "adx":
+                ewm1[f"_p{n}"] = ("_pdm", 1.0 / n, n)
+                ewm1[f"_n{n}"] = ("_ndm", 1.0 / n, n)
+
+    def add_ewm(parts, spec):
+        for o, (src, alpha, _) in spec.items():
+            valid = c(src).isNotNull()
+            parts[f"{o}N"] = (Affine(), {"a": F.lit(1.0 - alpha), "b": F.coalesce(c(src), F.lit(0.0))})
+            parts[f"{o}D"] = (Affine(), {"a": F.lit(1.0 - alpha), "b": F.when(valid, 1.0).otherwise(0.0)})
+            parts[f"{o}K"] = (Sum(), F.when(valid, 1).otherwise(0))
+
+    def ewm_val(o, mp):
+        return F.when(F.col(f"{o}K") >= mp, F.col(f"{o}N_b") / F.col(f"{o}D_b"))
+
+    add_ewm(parts, ewm1)
+    if parts:
+        x = scan(x, keys, parts, block=block)
+    drop = [f"_seed{o}" for o in emas] + [f"_e{o}_{f}" for o in emas for f in ("a", "b")]
+    drop += [f"{o}{p}" for o in ewm1 for p in ("N_a", "N_b", "D_a", "D_b", "K")]
+    drop += ["_pc", "_ph", "_pl", "_gain", "_loss", "_tr", "_pdm", "_ndm"]
+    cols = {}
+    for o, (_, n) in emas.items():
+        cols[o] = F.when(o_ >= n - 1, F.col(f"_e{o}_b"))
+    for s in specs:
+        if s[0] == "rsi":
+            _, out, n, style = s
+            g, l_ = ewm_val(f"_g{n}", n), ewm_val(f"_l{n}", n)
+            cols[out] = (F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.try_divide(g, F.nullif(l_, F.lit(0.0))))
+                         if style == "ratio" else F.lit(100.0) * F.try_divide(g, g + l_))
+        elif s[0] == "atr":
+            cols[s[1]] = ewm_val(f"_t{s[2]}", s[2])
+        elif s[0] == "adx":
+            p, n = s[1], s[2]
+            k = F.try_divide(F.lit(100.0), ewm_val(f"_t{n}", n))
+            cols[f"{p}dmp"] = k * ewm_val(f"_p{n}", n)
+            cols[f"{p}dmn"] = k * ewm_val(f"_n{n}", n)
+    x = x.withColumns(cols)
+    # second level: MACD signal line and ADX smoothing
+    parts2: dict = {}
+    macds = [s for s in specs if s[0] == "macd"]
+    adxs = [s for s in specs if s[0] == "adx"]
+    post = {}
+    for _, p, f, sl, g in macds:
+        x = x.withColumn(f"{p}macd", F.col(f"_m{p}f") - F.col(f"_m{p}s"))
+    if macds:
+        gmax = max(g for *_, g in macds)
+        x = rolling(x, keys, lambda w: {f"_ms{p}": w_mean(f"{p}macd", g, w) for _, p, f, sl, g in macds},
+                    gmax - 1, block=block)
+        for _, p, f, sl, g in macds:
+            first = max(f, sl) - 1 + g - 1
+            a = 2.0 / (g + 1)
+            parts2[f"_sig{p}"] = (Affine(), {
+                "a": F.when(o_ <= first, F.lit(0.0)).otherwise(F.lit(1.0 - a)),
+                "b": F.when(o_ < first, F.lit(0.0)).when(o_ == first, F.col(f"_ms{p}"))
+                .otherwise(F.lit(a) * F.col(f"{p}macd"))})
+            post[f"{p}macd_signal"] = F.when(o_ >= first, F.col(f"_sig{p}_b"))
+            drop += [f"_m{p}f", f"_m{p}s", f"_ms{p}", f"_sig{p}_a", f"_sig{p}_b"]
+    ewm2 = {}
+    for _, p, n in adxs:
+        x = x.withColumn(f"_dx{p}{n}", F.lit(100.0) * F.try_divide(
+            F.abs(F.col(f"{p}dmp") - F.col(f"{p}dmn")), F.col(f"{p}dmp") + F.col(f"{p}dmn")))
+        ewm2[f"_x{p}{n}"] = (f"_dx{p}{n}", 1.0 / n, n)
+        post[f"{p}adx"] = ewm_val(f"_x{p}{n}", n)
+        drop += [f"_dx{p}{n}"] + [f"_x{p}{n}{q}" for q in ("N_a", "N_b", "D_a", "D_b", "K")]
+    add_ewm(parts2, ewm2)
+    if parts2:
+        x = scan(x, keys, parts2, block=block)
+        x = x.withColumns(post)
+        for _, p, *_ in macds:
+            x = x.withColumn(f"{p}macd_hist", F.col(f"{p}macd") - F.col(f"{p}macd_signal"))
+    return x.drop(*[d for d in drop if d in x.columns])

@@ -24,10 +24,12 @@ returning a wrong answer.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +200,13 @@ class Sum(Monoid):
     def combine(self, a, b):
         return {"v": a["v"] + b["v"]}
 
+    @staticmethod
+    def run(cols):
+        v = pd.Series(cols[0])
+        if not v.isna().any():
+            return [v.cumsum().to_numpy()]
+        return [v.fillna(0).cumsum().where(v.notna().cummax()).to_numpy()]
+
 
 class Max(Monoid):
     native = "max"
@@ -205,6 +214,11 @@ class Max(Monoid):
     def combine(self, a, b):
         return {"v": F.greatest(a["v"], b["v"])}
 
+    @staticmethod
+    def run(cols):
+        v = pd.Series(cols[0], dtype="float64")
+        return [v.fillna(-np.inf).cummax().where(v.notna().cummax()).to_numpy()]
+
 
 class Min(Monoid):
     native = "min"
@@ -212,6 +226,11 @@ class Min(Monoid):
     def combine(self, a, b):
         return {"v": F.least(a["v"], b["v"])}
 
+    @staticmethod
+    def run(cols):
+        v = pd.Series(cols[0], dtype="float64")
+        return [v.fillna(np.inf).cummin().where(v.notna().cummax()).to_numpy()]
+
 
 class Last(Monoid):
     """Last non-null value (forward fill)."""
@@ -221,6 +240,10 @@ class Last(Monoid):
     def combine(self, a, b):
         return {"v": F.coalesce(b["v"], a["v"])}
 
+    @staticmethod
+    def run(cols):
+        return [pd.Series(cols[0]).ffill().to_numpy()]
+
 
 class Affine(Monoid):
     """Maps ``y -> a*y + b``; the scan of the maps gives ``y_t`` for any seed."""
@@ -230,6 +253,16 @@ class Affine(Monoid):
     def combine(self, x, y):
         return {"a": y["a"] * x["a"], "b": y["a"] * x["b"] + y["b"]}
 
+    @staticmethod
+    def run(cols: list[np.ndarray]) -> list[np.ndarray]:
+        a, b = cols
+        oa, ob = np.empty_like(a), np.empty_like(b)
+        ca, cb = 1.0, 0.0
+        for i in range(len(a)):
+            ca, cb = a[i] * ca, a[i] * cb + b[i]
+            oa[i], ob[i] = ca, cb
+        return [oa, ob]
+
 
 class Automaton3(Monoid):
     """Transition functions on the states {-1, 0, 1}, stored as their images."""
@@ -241,6 +274,16 @@ class Automaton3(Monoid):
             return (F.when(s == -1, y["m0"]).when(s == 0, y["m1"]).otherwise(y["m2"]))
         return {f: apply(x[f]) for f in self.fields}
 
+    @staticmethod
+    def run(cols: list[np.ndarray]) -> list[np.ndarray]:
+        m = np.stack(cols, axis=1).astype(np.int64)      # rows × 3 images of (-1, 0, 1)
+        out = np.empty_like(m)
+        cur = np.array([-1, 0, 1], dtype=np.int64)       # identity
+        for i in range(len(m)):
+            cur = m[i][cur + 1]
+            out[i] = cur
+        return [out[:, 0], out[:, 1], out[:, 2]]
+
 
 def _fname(name: str, m: Monoid, f: str) -> str:
     return name if len(m.fields) == 1 else f"{name}_{f}"
@@ -296,6 +339,8 @@ def _local_scan(x: DataFrame, keys, part_col, parts, cols, rows: int) -> DataFra
         fn = {"sum": F.sum, "max": F.max, "min": F.min,
               "last": lambda c: F.last(c, ignorenulls=True)}
         return x.withColumns({c: fn[m.native](F.col(c)).over(run) for c, m, _ in cols})
+    if LOCAL_SCAN == "pandas" and all(hasattr(m, "run") for _, (m, _) in parts.items()):
+        return _pandas_local_scan(x, keys, part_col, parts)
     d = 1
     while d < rows:
         has = F.lag(F.col(ORD), d).over(w).isNotNull()
@@ -310,6 +355,29 @@ def _local_scan(x: DataFrame, keys, part_col, parts, cols, rows: int) -> DataFra
     return x
 
 
+def _pandas_local_scan(x: DataFrame, keys, part_col, parts) -> DataFrame:
+    """Block-local scan as one grouped pandas step: each group is one block of
+    one key (at most ``block`` rows), folded in order with the monoid's
+    sequential ``run``.  One operator instead of log2(block) window passes."""
+    groups = [*keys, *([part_col] if part_col else [])]
+    spec = [(m, [_fname(name, m, f) for f in m.fields]) for name, (m, _) in parts.items()]
+    schema = x.schema
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ORD, kind="stable").reset_index(drop=True)
+        for m, names in spec:
+            res = m.run([pdf[c].to_numpy() for c in names])
+            for c_, v in zip(names, res):
+                pdf[c_] = v
+        return pdf
+    return x.groupBy(*groups).applyInPandas(fn, schema)
+
+
+# Block-local scans of non-native monoids: "pandas" (one grouped step per
+# level) or "windows" (log2(block) lag-doubling passes, JVM only).
+LOCAL_SCAN = "pandas"
+
+
 def _scan_level(x: DataFrame, keys, parts, cols, exclusive, bl: Blocking, level: int) -> DataFrame:
     names = [c for c, _, _ in cols]
     block = bl.block

@@ -1,12 +1,12 @@
 """Vector retrieval over strategy collections.
 
-Exact cosine top-k without emitting query × item pairs as rows: the query
-side is broadcast in batches whose byte size is checked (``max_bytes``), each
-collection partition computes a dense similarity block in numpy (Arrow
-batches through ``mapInPandas``) and emits only its own top k per query; a
-final ``row_number`` per query keeps the global top k (a query's group holds
-at most k × partitions rows).  Order: similarity desc, then id asc — the same
-total order in the partial and final steps, so the result is exact.
+Exact cosine top-k without emitting query × item pairs as rows: queries are
+hashed into blocks and the collection into chunks (each about
+``DEFAULT_BLOCK_ROWS`` rows); every (block, chunk) pair is one co-grouped
+pandas step computing a dense similarity block and emitting only its k best
+per query; a final ``row_number`` per query keeps the global top k (a query's
+group holds at most k × chunks rows).  Order: similarity desc, then id asc —
+the same total order in the partial and final steps, so the result is exact.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_MAX_BYTES = 64 << 20  # per broadcast query batch
+DEFAULT_BLOCK_ROWS = 2048  # queries per block and items per chunk of one co-grouped step
 
 
 def _unit(mat: np.ndarray) -> np.ndarray:
@@ -32,71 +32,66 @@ def _unit(mat: np.ndarray) -> np.ndarray:
 def vector_topk(queries: DataFrame, collection: DataFrame, k: int, *, q_id: str = "qid",
                 q_vec: str = "qvec", c_id: str = "id", c_vec: str = "vec",
                 match: Sequence[tuple[str, str]] = (), exclude_self: bool = False,
-                max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """For each query the ``k`` most cosine-similar collection rows.
 
     ``match`` lists ``(query column, collection column)`` pairs that must be
     equal (per-query pre-filters, e.g. same session).  Collection-wide filters
     are applied by the caller before (they reach the scan).  Returns
     ``q_id, rank, c_id, similarity, distance``.
+
+    Queries are hashed into blocks of about ``block_rows`` rows and the
+    collection into chunks of the same size; every (block, chunk) pair is one
+    co-grouped pandas step that multiplies the two unit-vector matrices and
+    keeps each query's k best (similarity desc, id asc).  Nothing passes
+    through the driver; a group holds at most one block and one chunk.
     """
-    spark = queries.sparkSession
     mcols = list(match)
-    qsel = queries.select(F.col(q_id).alias("_qid"), F.col(q_vec).alias("_qv"),
+    qsel = queries.select(F.col(q_id).cast("long").alias("_qid"), F.col(q_vec).alias("_qv"),
                           *[F.col(a).alias(f"_qm{i}") for i, (a, _) in enumerate(mcols)])
-    stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
-    nq, dim = int(stats["n"] or 0), int(stats["d"] or 0)
-    out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_id", T.LongType()),
-                               T.StructField("_sim", T.DoubleType())])
-    if nq == 0:
-        return spark.createDataFrame([], "qid long, rank int, id long, similarity double, distance double") \
-            .withColumnsRenamed({"qid": q_id, "id": c_id})
-    per_row = max(1, dim) * 8 + 64
-    n_batches = max(1, math.ceil(nq * per_row / max_bytes))
     coll = collection.select(F.col(c_id).cast("long").alias("_id"), F.col(c_vec).alias("_cv"),
                              *[F.col(b).alias(f"_cm{i}") for i, (_, b) in enumerate(mcols)])
-    parts = []
-    for bi in range(n_batches):
-        qb = qsel.where(F.pmod(F.xxhash64("_qid"), F.lit(n_batches)) == bi) if n_batches > 1 else qsel
-        # bounded by the byte check above: at most max_bytes of query vectors
-        pdf = qb.toPandas()
-        if pdf.empty:
-            continue
-        qids = pdf["_qid"].astype("int64").to_numpy()
-        qmat = _unit(np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_qv"]]))
-        qm = [pdf[f"_qm{i}"].to_numpy() for i in range(len(mcols))]
-        bc = spark.sparkContext.broadcast((qids, qmat, qm))
-
-        def part_topk(it, bc=bc):
-            qids_, qmat_, qm_ = bc.value
-            for cdf in it:
-                if cdf.empty:
-                    continue
-                ids = cdf["_id"].astype("int64").to_numpy()
-                cmat = _unit(np.vstack([np.asarray(v, dtype=np.float64) for v in cdf["_cv"]]))
-                sims = cmat @ qmat_.T                       # items × queries
-                mask = np.isfinite(sims)
-                for i, arr in enumerate(qm_):
-                    mask &= cdf[f"_cm{i}"].to_numpy()[:, None] == arr[None, :]
-                if exclude_self:
-                    mask &= ids[:, None] != qids_[None, :]
-                rows_q, rows_i, rows_s = [], [], []
-                for j in range(len(qids_)):
-                    ok = np.nonzero(mask[:, j])[0]
-                    if ok.size == 0:
-                        continue
-                    s = sims[ok, j]
-                    order = np.lexsort((ids[ok], -s))[:k]
-                    rows_q.append(np.full(order.size, qids_[j]))
-                    rows_i.append(ids[ok][order])
-                    rows_s.append(s[order])
-                if rows_q:
-                    yield pd.DataFrame({"_qid": np.concatenate(rows_q), "_id": np.concatenate(rows_i),
-                                        "_sim": np.concatenate(rows_s)})
-        parts.append(coll.mapInPandas(part_topk, out_schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    nq = qsel.count()
+    nc = coll.count()
+    nqb = max(1, math.ceil(nq / block_rows))
+    ncc = max(1, math.ceil(nc / block_rows))
+    qk = qsel.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(nqb)).cast("int")) \
+        .withColumn("_cc", F.explode(F.sequence(F.lit(0), F.lit(ncc - 1))))
+    ck = coll.withColumn("_cc", F.pmod(F.xxhash64("_id"), F.lit(ncc)).cast("int")) \
+        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
+    out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_id", T.LongType()),
+                               T.StructField("_sim", T.DoubleType())])
+    nm = len(mcols)
+
+    def block_topk(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        if qdf.empty or cdf.empty:
+            return pd.DataFrame({"_qid": [], "_id": [], "_sim": []})
+        qids = qdf["_qid"].to_numpy(dtype="int64")
+        ids = cdf["_id"].to_numpy(dtype="int64")
+        qmat = _unit(np.vstack([np.asarray(v, dtype=np.float64) for v in qdf["_qv"]]))
+        cmat = _unit(np.vstack([np.asarray(v, dtype=np.float64) for v in cdf["_cv"]]))
+        sims = cmat @ qmat.T                                   # items × queries
+        mask = np.isfinite(sims)
+        for i in range(nm):
+            mask &= cdf[f"_cm{i}"].to_numpy()[:, None] == qdf[f"_qm{i}"].to_numpy()[None, :]
+        if exclude_self:
+            mask &= ids[:, None] != qids[None, :]
+        rows_q, rows_i, rows_s = [], [], []
+        for j in range(len(qids)):
+            ok = np.nonzero(mask[:, j])[0]
+            if ok.size == 0:
+                continue
+            sj = sims[ok, j]
+            order = np.lexsort((ids[ok], -sj))[:k]
+            rows_q.append(np.full(order.size, qids[j]))
+            rows_i.append(ids[ok][order])
+            rows_s.append(sj[order])
+        if not rows_q:
+            return pd.DataFrame({"_qid": [], "_id": [], "_sim": []})
+        return pd.DataFrame({"_qid": np.concatenate(rows_q), "_id": np.concatenate(rows_i),
+                             "_sim": np.concatenate(rows_s)})
+
+    cand = qk.groupBy("_qb", "_cc").cogroup(ck.groupBy("_qb", "_cc")).applyInPandas(block_topk, out_schema)
     w = Window.partitionBy("_qid").orderBy(F.col("_sim").desc(), F.col("_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("_qid").alias(q_id), "rank", F.col("_id").alias(c_id),
@@ -230,3 +225,35 @@ def diversify_by_type(ranked: DataFrame, qid: str, type_col: str, score: str = "
     """The best match of each logic type per query."""
     w = Window.partitionBy(qid, type_col).orderBy(F.col(score).desc(), F.col("id"))
     return ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+
+
+# Keyword vocabularies mapped to filters
+SESSION_KEYWORDS = ["daytrade_day", "daytrade_night", "swing_day", "swing_full"]
+LOGIC_KEYWORDS = ["trend", "mean_reversion", "breakout", "opening", "scalp", "pattern"]
+
+
+def category_filters(expected: Column) -> dict[str, Column]:
+    """Session and logic filters from a case's expected keywords (the
+    last matching keyword wins)."""
+    s = F.filter(expected, lambda k: k.isin(*SESSION_KEYWORDS))
+    lg = F.filter(expected, lambda k: k.isin(*LOGIC_KEYWORDS))
+    return {"session_filter": F.element_at(s, -1), "logic_filter": F.element_at(lg, -1)}
+
+
+def find_similar(queries: DataFrame, collection: DataFrame, k: int, **kw) -> DataFrame:
+    """Top k for queries whose filtered collection is non-empty (an empty
+    collection yields no rows instead of an error)."""
+    if collection.limit(1).count() == 0:
+        return vector_topk(queries.limit(0), collection, k, **kw)
+    return vector_topk(queries, collection, k, **kw)
+
+
+# Largest stop distance (points) by holding type
+STOP_LIMITS = {"daytrade": 150.0, "swing": 250.0}
+
+
+def stop_limit_ok(stop_points: Column, holding_type: Column) -> Column:
+    """Stop distance within the limit of the holding type."""
+    lim = F.when(holding_type == "daytrade", F.lit(STOP_LIMITS["daytrade"])).when(
+        holding_type == "swing", F.lit(STOP_LIMITS["swing"]))
+    return F.coalesce(stop_points <= lim, F.lit(False))

@@ -76,7 +76,7 @@ def rsi_reversal(df: DataFrame, keys: Sequence[str], rsi_period: int = 14, overs
     emits +1 and closing a long -1.  Rows with a null RSI keep the state but
     record state 0 (as the reference loop does)."""
     from barlake.operators.sequence import Automaton3, scan
-    d = ind.rsi_ewm(df, keys, rsi_period, "rsi", style="ratio", block=block)
+    d = ind.compute(df, keys, [("rsi", "rsi", rsi_period, "ratio")], block=block)
     r = F.col("rsi")
     nul = r.isNull()
     from0 = F.when(r < oversold, 1).when(r > overbought, -1).otherwise(0)
@@ -95,9 +95,8 @@ def rsi_reversal(df: DataFrame, keys: Sequence[str], rsi_period: int = 14, overs
 def dual_ema_cross(df, keys, fast_length: int = 12, slow_length: int = 26, atr_length: int = 14,
                    atr_threshold: float = 1.2, block=None) -> DataFrame:
     """Value-lag EMA cross confirmed by ATR > threshold × SMA(ATR, fast_length)."""
-    d = ind.ema_many(df, keys, {"ema_fast": ("close", fast_length), "ema_slow": ("close", slow_length)},
-                     block=block)
-    d = ind.atr(d, keys, atr_length, "atr", block=block)
+    d = ind.compute(df, keys, [("ema", "ema_fast", "close", fast_length), ("ema", "ema_slow", "close", slow_length),
+                               ("atr", "atr", atr_length)], block=block)
 
     def raw(w):
         up, down = _value_cross("ema_fast", "ema_slow", w)
@@ -111,9 +110,8 @@ def dual_ema_atr_trend(df, keys, ema_fast_len: int = 18, ema_slow_len: int = 55,
                        block=None) -> DataFrame:
     """Level signal — long while fast>slow and ADX>thr, short while not
     fast>slow (warm-up included) and ADX>thr.  Uses the ADX column."""
-    d = ind.ema_many(df, keys, {"ema_fast": ("close", ema_fast_len),
-                                "ema_slow": ("close", ema_slow_len)}, block=block)
-    d = ind.adx(d, keys, adx_len, block=block)
+    d = ind.compute(df, keys, [("ema", "ema_fast", "close", ema_fast_len), ("ema", "ema_slow", "close", ema_slow_len),
+                               ("adx", "", adx_len)], block=block)
     trend_up = _gt(F.col("ema_fast"), F.col("ema_slow"))
     ok = _gt(F.col("adx"), F.lit(adx_thresh))
     return _finish(d, keys, lambda w: {"raw_signal": _raw_to_signal(trend_up & ok, ~trend_up & ok)},
@@ -123,9 +121,8 @@ def dual_ema_atr_trend(df, keys, ema_fast_len: int = 18, ema_slow_len: int = 55,
 def ema_adx(df, keys, fast_len: int = 9, slow_len: int = 21, adx_len: int = 14,
             adx_thresh: float = 25, block=None) -> DataFrame:
     """Value-lag EMA cross with ADX above the threshold."""
-    d = ind.ema_many(df, keys, {"ema_fast": ("close", fast_len), "ema_slow": ("close", slow_len)},
-                     block=block)
-    d = ind.adx(d, keys, adx_len, block=block)
+    d = ind.compute(df, keys, [("ema", "ema_fast", "close", fast_len), ("ema", "ema_slow", "close", slow_len),
+                               ("adx", "", adx_len)], block=block)
 
     def raw(w):
         up, down = _value_cross("ema_fast", "ema_slow", w)
@@ -138,7 +135,7 @@ def macd_ma_trend(df, keys, macd_fast: int = 12, macd_slow: int = 26, macd_signa
                   ma_short: int = 20, ma_long: int = 60, block=None) -> DataFrame:
     """MACD value-lag cross agreeing with the SMA order, then held."""
     from barlake.operators.sequence import scan
-    d = ind.macd(df, keys, macd_fast, macd_slow, macd_signal, block=block)
+    d = ind.compute(df, keys, [("macd", "", macd_fast, macd_slow, macd_signal)], block=block)
 
     def s1(w):
         up, down = _value_cross("macd", "macd_signal", w)
@@ -157,9 +154,8 @@ def macd_rsi_trend(df, keys, ema_len: int = 20, macd_fast: int = 12, macd_slow:
     """Close vs EMA, MACD value-lag cross, RSI (share form) vs 50.
     ``signal_line='positional'`` compares with the histogram, as the
     reference's by-position column pick does."""
-    d = ind.ema(df, keys, "close", ema_len, "ema_trend", block=block)
-    d = ind.macd(d, keys, macd_fast, macd_slow, macd_sig, block=block)
-    d = ind.rsi_ewm(d, keys, rsi_len, "rsi", style="share", block=block)
+    d = ind.compute(df, keys, [("ema", "ema_trend", "close", ema_len), ("macd", "", macd_fast, macd_slow, macd_sig),
+                               ("rsi", "rsi", rsi_len, "share")], block=block)
     other = "macd_signal" if signal_line == "named" else "macd_hist"
 
     def raw(w):
@@ -174,8 +170,8 @@ def macd_rsi_trend(df, keys, ema_len: int = 20, macd_fast: int = 12, macd_slow:
 def macd_trend_confirm(df, keys, fast: int = 12, slow: int = 26, signal: int = 9,
                        ema_period: int = 50, block=None) -> DataFrame:
     """Boolean-lag MACD cross confirmed by close vs EMA."""
-    d = ind.macd(df, keys, fast, slow, signal, block=block)
-    d = ind.ema(d, keys, "close", ema_period, "ema_trend", block=block)
+    d = ind.compute(df, keys, [("macd", "", fast, slow, signal), ("ema", "ema_trend", "close", ema_period)],
+                    block=block)
 
     def raw(w):
         above = _gt(F.col("macd"), F.col("macd_signal"))
@@ -196,8 +192,7 @@ def trend_breakout(df, keys, ema_period: int = 50, breakout_window: int = 20,
     With ``prior=False`` (parity) the extreme includes the current bar, so no
     entry can fire; ``prior=True`` uses the bars before it."""
     from barlake.operators.sequence import Sum, scan
-    d = ind.ema(df, keys, "close", ema_period, "ema_trend", block=block)
-    d = ind.atr(d, keys, 14, "atr", block=block)
+    d = ind.compute(df, keys, [("ema", "ema_trend", "close", ema_period), ("atr", "atr", 14)], block=block)
 
     def s1(w):
         hi = ind.w_max("high", breakout_window, w, prior)
@@ -229,9 +224,8 @@ def trend_breakout(df, keys, ema_period: int = 50, breakout_window: int = 20,
 def trend_catcher(df, keys, fast_ema: int = 9, slow_ema: int = 21, macd_fast: int = 12,
                   macd_slow: int = 26, macd_signal: int = 9, block=None) -> DataFrame:
     """Value-lag EMA cross with the MACD histogram sign."""
-    d = ind.ema_many(df, keys, {"ema_fast": ("close", fast_ema), "ema_slow": ("close", slow_ema)},
-                     block=block)
-    d = ind.macd(d, keys, macd_fast, macd_slow, macd_signal, block=block)
+    d = ind.compute(df, keys, [("ema", "ema_fast", "close", fast_ema), ("ema", "ema_slow", "close", slow_ema),
+                               ("macd", "", macd_fast, macd_slow, macd_signal)], block=block)
 
     def raw(w):
         up, down = _value_cross("ema_fast", "ema_slow", w)
@@ -246,11 +240,9 @@ def trend_filtered_ema(df, keys, ema_fast: int = 9, ema_slow: int = 18, adx_thre
     """Value-lag EMA cross, ADX(14) > thr, 30 < RSI(14) < 70, ATR present.
     The stop check looks at the *next* bar's low/high (``lead``), as the
     reference does; ``lookahead_stop=False`` turns that off."""
-    d = ind.ema_many(df, keys, {"ema_fast": ("close", ema_fast), "ema_slow": ("close", ema_slow)},
-                     block=block)
-    d = ind.adx(d, keys, 14, block=block)
-    d = ind.rsi_ewm(d, keys, 14, "rsi", style="share", block=block)
-    d = ind.atr(d, keys, atr_period, "atr", block=block)
+    d = ind.compute(df, keys, [("ema", "ema_fast", "close", ema_fast), ("ema", "ema_slow", "close", ema_slow),
+                               ("adx", "", 14), ("rsi", "rsi", 14, "share"), ("atr", "atr", atr_period)],
+                    block=block)
 
     def s1(w):
         up, down = _value_cross("ema_fast", "ema_slow", w)
@@ -356,3 +348,30 @@ register_strategy("TrendFilteredEMA", trend_filtered_ema, {"ema_fast": 9, "ema_s
                   and p["atr_period"] > 0 and p["stop_atr_mult"] > 0, category="trend")
 register_strategy("MA_Cross", ma_cross, {"fast_period": 20, "slow_period": 60, "use_close": True},
                   _ma_valid, category="trend", description="simple-mean cross, long above / short below")
+
+
+# --------------------------------------------------------------------------
+# Pandas strategies over bounded periods
+# --------------------------------------------------------------------------
+
+def register_pandas_strategy(name: str, fn, defaults: dict, period: str = "day", **meta) -> StrategySpec:
+    """Escape hatch for arbitrary per-series pandas code.  ``fn(pdf, **params)``
+    gets one key's bars of one ``period`` ('day' or 'month', a bounded group)
+    sorted by time and returns the raw signal Series; indicators restart in
+    every period.  The runner delays the signal one bar inside the period."""
+
+    def run(df: DataFrame, keys, block=None, **params):
+        import pandas as pd
+        trunc = F.to_date("ts") if period == "day" else F.trunc(F.to_date("ts"), "month")
+        x = df.withColumn("_period", trunc)
+        from pyspark.sql import types as T
+        schema = T.StructType(x.schema.fields + [T.StructField("signal", T.IntegerType())])
+
+        def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("ts").reset_index(drop=True)
+            raw = pd.Series(fn(pdf, **params), index=pdf.index).fillna(0).astype(int)
+            pdf["signal"] = raw.shift(1).fillna(0).astype("int32")
+            return pdf
+        return x.groupBy(*keys, "_period").applyInPandas(per_group, schema).drop("_period")
+
+    return register_strategy(name, run, defaults, kind="pandas", **meta)

@@ -69,17 +69,16 @@ SIGNAL_FNS = {
 
 
 def strategy_backtests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H6 screening run: every registered strategy × symbol in one job (rows-only:
-    the union of eleven ledgers has no compact SQL twin)."""
+    """H6 screening run: every registered strategy × symbol in one job.  The
+    strategies' signals are stacked as rows keyed by (strategy, symbol), so
+    one ledger and one metrics pass serve all of them (rows-only check)."""
     from barlake.plans.backtests import backtest_report
     b, bl = day_bar_seq(spark, sf_dir)
-    outs = []
+    base = b.select("symbol", "ts", "_ord", "open", "high", "low", "close")
+    sigs = None
     for name, spec in sg.REGISTRY.items():
-        s = spec.fn(b, KEYS, block=bl, **spec.defaults)
-        outs.append(backtest_report(s.select("symbol", "ts", "_ord", "close", "signal"),
-                                    block=bl).withColumn("strategy", F.lit(name)))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return round_doubles(res.withColumn("status", F.when(F.col("passed"), "reviewing")
-                                        .otherwise("draft")))
+        s = spec.fn(base, KEYS, block=bl, **spec.defaults).select(
+            F.lit(name).alias("strategy"), "symbol", "ts", "_ord", "close", "signal")
+        sigs = s if sigs is None else sigs.unionByName(s)
+    res = backtest_report(sigs, keys=["strategy", "symbol"], block=bl)
+    return round_doubles(res.withColumn("status", F.when(F.col("passed"), "reviewing").otherwise("draft")))

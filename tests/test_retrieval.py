@@ -12,8 +12,8 @@ def test_topk_matches_brute_force(spark):
     q = df.selectExpr("id as qid", "vec as qvec", "g as qg")
     u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     sims = u.astype("float64") @ u.T.astype("float64")
-    for max_bytes in (1 << 20, 200):   # 200 bytes forces many query batches
-        got = rv.vector_topk(q, df, 4, match=[("qg", "g")], exclude_self=True, max_bytes=max_bytes).collect()
+    for rows in (2048, 7):   # 7 rows per block/chunk forces many co-grouped steps
+        got = rv.vector_topk(q, df, 4, match=[("qg", "g")], exclude_self=True, block_rows=rows).collect()
         by_q = {}
         for r in got:
             by_q.setdefault(r.qid, []).append((r.rank, r.id))

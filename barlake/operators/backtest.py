@@ -93,3 +93,17 @@ def trades(bt: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
 def flat_slippage_pnl(entry, exit_, direction, points: float = 4.0, point_value: float = 200.0):
     """H4: (exit - entry)·direction - slippage points, in currency."""
     return ((exit_ - entry) * direction - F.lit(points)) * F.lit(point_value)
+
+
+def align_signals(bars: DataFrame, signals: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+    """Signals joined to their bars on the (unique) key."""
+    return bars.join(signals, list(keys), "inner")
+
+
+def apply_rules_and_force_close(df: DataFrame, session_class: str, signal: str = "signal",
+                                ts: str = "ts") -> DataFrame:
+    """H8: entries only inside the class's opening window; the force-close bar
+    carries a separate ``exit_marker`` (the exit fills at the next bar's open),
+    so −1 keeps meaning 'short'."""
+    from barlake.operators.sessions import apply_session_rules
+    return apply_session_rules(df, session_class, signal, ts)

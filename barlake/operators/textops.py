@@ -293,21 +293,25 @@ def normalise_url(url) -> Column:
 
 def dedup_pages(pages: DataFrame, order: str = "page_id", content: str = "text") -> DataFrame:
     """Keep a page unless an earlier page (by ``order``) has the same
-    normalised URL or the same content hash."""
+    normalised URL or the same content hash.  First ids per hash come from
+    partial aggregates (a hash shared by a huge number of copies still costs
+    one row per task) joined back on the hash."""
     x = pages.withColumns({"url_hash": F.sha2(normalise_url("url"), 256),
                            "content_hash": F.sha2(F.col(content), 256)})
-    w1 = Window.partitionBy("url_hash").orderBy(order)
-    w2 = Window.partitionBy("content_hash").orderBy(order)
-    return x.withColumn("keep", (F.row_number().over(w1) == 1) & (F.row_number().over(w2) == 1))
+    fu = x.groupBy("url_hash").agg(F.min(order).alias("_fu"))
+    fc = x.groupBy("content_hash").agg(F.min(order).alias("_fc"))
+    y = x.join(fu, "url_hash").join(fc, "content_hash")
+    return y.withColumn("keep", (F.col(order) == F.col("_fu")) & (F.col(order) == F.col("_fc"))).drop("_fu", "_fc")
 
 
 def list_filter(pages: DataFrame, allow: DataFrame | None, deny: DataFrame | None) -> DataFrame:
-    """Semi join on allowed domains, anti join on denied hosts (lists are
-    small literal frames, broadcast)."""
+    """Semi join on allowed domains, anti join on denied hosts (the join
+    strategy is left to adaptive execution, which broadcasts a list only
+    when its measured size is small)."""
     x = pages.withColumn("host", url_host("url"))
     x = x.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
     if allow is not None:
-        x = x.join(F.broadcast(allow), "domain", "left_semi")
+        x = x.join(allow, "domain", "left_semi")
     if deny is not None:
-        x = x.join(F.broadcast(deny), "host", "left_anti")
+        x = x.join(deny, "host", "left_anti")
     return x

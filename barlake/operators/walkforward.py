@@ -45,6 +45,20 @@ def param_grid(spark: SparkSession, grid: dict[str, list],
     return spark.createDataFrame(rows, schema)
 
 
+def with_combos(df: DataFrame, grid: dict[str, list],
+                validator: Callable[[dict], bool] | None = None) -> DataFrame:
+    """C10 as a generator: every row fans out to the valid combos of the
+    literal grid (``combo_idx`` + one column per parameter)."""
+    keys = list(grid)
+    combos = []
+    for i, combo in enumerate(itertools.product(*[grid[k] for k in keys])):
+        p = dict(zip(keys, combo))
+        if validator is None or validator(p):
+            combos.append(F.struct(F.lit(i).alias("combo_idx"), *[F.lit(v).alias(k) for k, v in p.items()]))
+    x = df.withColumn("_combo", F.explode(F.array(*combos)))
+    return x.select("*", "_combo.*").drop("_combo")
+
+
 def _micros_of_day(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", day_start(ts), ts)
 

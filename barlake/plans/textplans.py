@@ -54,9 +54,8 @@ def knowledge_context(spark: SparkSession, sf_dir: str, max_urls: int = 8,
 def document_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-duplicate documents by content hash (first doc id kept)."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    w = Window.partitionBy("content_hash")
-    return d.withColumn("first_doc_id", F.min("doc_id").over(w)).withColumn(
-        "is_duplicate", F.col("doc_id") != F.col("first_doc_id"))
+    first = d.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc_id"))   # partial aggregate
+    return d.join(first, "content_hash").withColumn("is_duplicate", F.col("doc_id") != F.col("first_doc_id"))
 
 
 def script_lint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def _segment_metrics(spark: SparkSession, sf_dir: str):
     x = rolling(x, seg, lambda w: {f"sma_{n}": ind.w_mean("close", n, w) for n in lengths},
                 max(lengths) - 1, block=bl)
     grid = wf.param_grid(spark, GRID, _ma_valid)
-    x = x.crossJoin(F.broadcast(grid))
+    x = wf.with_combos(x, GRID, _ma_valid)
 
     def pick(col: str):
         e = None

@@ -147,7 +147,7 @@ def prompt_blocks(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata (≤ 200 chars) and semantic texts built from document
     records; the whole text is kept (no clipping of the body)."""
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.spread(fx.table(spark, sf_dir, "documents"))
     meta = F.substring(F.concat_ws(" | ", F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"),
                                    F.concat(F.lit("chars="), F.col("n_chars").cast("string"))), 1, 200)
     sem = F.concat_ws("\n", F.concat(F.lit("source: "), "source"), F.col("text"))
@@ -159,7 +159,7 @@ def embed_documents(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFra
     """The built-in encoder — tokens → hashed term frequencies → L2
     normalised float vectors (JVM-side pyspark.ml stages)."""
     from barlake.operators.embedding import hashing_encoder
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = fx.spread(fx.table(spark, sf_dir, "documents")).select("doc_id", "text")
     return hashing_encoder(d, "text", "embedding", dim).select("doc_id", "embedding")
 
 

@@ -11,7 +11,7 @@ from barlake.sources import fixtures as fx
 
 
 def _pages(spark, sf_dir):
-    p = fx.table(spark, sf_dir, "pages")
+    p = fx.spread(fx.table(spark, sf_dir, "pages"))
     return p.select("page_id", "url", tx.extract_title("html").alias("title"),
                     tx.extract_text("html").alias("text"))
 
@@ -53,14 +53,14 @@ def knowledge_context(spark: SparkSession, sf_dir: str, max_urls: int = 8,
 
 def document_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-duplicate documents by content hash (first doc id kept)."""
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    d = fx.spread(fx.table(spark, sf_dir, "documents")).select("doc_id", F.sha2("text", 256).alias("content_hash"))
     first = d.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc_id"))   # partial aggregate
     return d.join(first, "content_hash").withColumn("is_duplicate", F.col("doc_id") != F.col("first_doc_id"))
 
 
 def script_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8 over every document as a script (day-trading class)."""
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.spread(fx.table(spark, sf_dir, "documents"))
     iss = tx.lint_issues("text", "daytrade_day")
     x = d.select("doc_id", iss.alias("issues"))
     return x.select("doc_id", F.array_join(F.transform("issues", lambda i: i["rule"]), ",").alias("rules"),
@@ -70,7 +70,7 @@ def script_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def script_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5, K6, K7, K14, K16, K20 over every document."""
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.spread(fx.table(spark, sf_dir, "documents"))
     return d.select(
         "doc_id",
         tx.extract_attr("text", "NAME", "Unknown").alias("name"),
@@ -86,7 +86,7 @@ def script_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3/K4 on wrapped model outputs."""
-    o = fx.outputs_fx(spark, sf_dir)
+    o = fx.spread(fx.outputs_fx(spark, sf_dir))
     j = tx.json_payload(F.col("output"))
     x = o.select("conv_id", "turn", "source_text", "output", j["json"].alias("_js"),
                  j["method"].alias("method"), j["parsed"].alias("parsed"))

@@ -129,3 +129,12 @@ def outcomes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.groupBy(F.col("user_id").alias("request")).agg(
         F.max((F.col("event_type") == "purchase").cast("int")).cast("boolean")
         .alias("downstream_strategy_passed"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work (regexes, parsing, encoders) over at
+    least every core: when the scan yields fewer splits than the default
+    parallelism (e.g. a file with a single row group), round-robin
+    repartition; otherwise leave the scan's splits alone."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

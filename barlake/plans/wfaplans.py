@@ -21,7 +21,11 @@ TRAIN, TEST = 24, 6
 
 
 def _segments(spark: SparkSession, sf_dir: str):
-    bars = fx.day_bars(spark, sf_dir)
+    from barlake.session import materialize
+    # the daily bar table is the stored input of every window, segment and
+    # combo: aggregated once from the orders scan and written to the shared
+    # checkpoint folder, then read by the window and membership steps
+    bars = materialize(fx.day_bars(spark, sf_dir))
     wins = wf.wfa_windows(bars, KEYS, TRAIN, TEST)
     mem = wf.window_members(bars, wins, KEYS, TRAIN, TEST)
     kept = wf.keep_windows(mem, KEYS)
@@ -61,7 +65,10 @@ def _segment_metrics(spark: SparkSession, sf_dir: str):
     sig = rolling(x, keys2, [s2, s3], 2, block=bl)
     led = bt.backtest(sig, keys2, block=bl)
     m = mt.metrics_all(led, keys2).join(F.broadcast(grid), "combo_idx")
-    return m, kept
+    # one row per (symbol, window, segment, combo), read twice by the best-combo
+    # step: written once to the shared checkpoint folder instead of recomputed
+    from barlake.session import materialize
+    return materialize(m), kept
 
 
 def wfa_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

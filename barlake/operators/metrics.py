@@ -42,7 +42,7 @@ def _trade_aggs(pnl: str) -> list:
 
 def _equity_cols(risk_free: float) -> list:
     freq = F.when(F.col("n_bars") < 2, F.lit(245.0)).otherwise(
-        F.lit(SECONDS_PER_YEAR) / (seconds_between("_t0", "_t1") / (F.col("n_bars") - 1)))
+        F.try_divide(F.lit(SECONDS_PER_YEAR), seconds_between("_t0", "_t1") / (F.col("n_bars") - 1)))
     sharpe = (F.when(F.col("_sr").isNull(), F.lit(None).cast("double"))
               .when(F.col("_sr") == 0, F.lit(0.0))
               .otherwise((F.col("_mr") - F.lit(risk_free) / freq) / F.col("_sr") * F.sqrt(freq)))

@@ -109,7 +109,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two array columns (JVM-side higher-order functions)."""
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def check_dim(df: DataFrame, vec: str, dim: int) -> tuple[DataFrame, DataFrame]:

@@ -1481,3 +1481,27 @@ SELECT symbol, ts, CAST(row_number() OVER (PARTITION BY symbol, trading_day ORDE
   max(high) OVER {wd} AS highd0, min(low) OVER {wd} AS lowd0,
   sum(coalesce(CAST(high > h1 AS INTEGER), 0)) OVER {wd} AS n_hh,
   sum(coalesce(CAST(low < l1 AS INTEGER), 0)) OVER {wd} AS n_ll FROM x""", ["highd0", "lowd0"])
+
+
+def recent_failures_q() -> str:
+    return f"""WITH {CALLS}
+SELECT call_id, request, provider, created_at FROM calls WHERE NOT success
+ORDER BY created_at DESC, call_id DESC LIMIT 20"""
+
+
+def wfa_segment_metrics_q() -> str:
+    K = "symbol, k, segment, combo_idx"
+    secs = "((epoch_us(t1) - epoch_us(t0)) / 1e6)"
+    return f"""{_wfa_core()},
+sm0 AS (SELECT {K}, count(*) AS n_bars, min(ts) AS t0, max(ts) AS t1, arg_max(equity, ts) AS final_equity,
+  avg(ret) AS mr, stddev_samp(ret) AS sr, min(drawdown) AS mdd, count(trade_pnl) AS total_trades,
+  sum(CASE WHEN trade_pnl > 0 THEN trade_pnl END) AS gp, sum(CASE WHEN trade_pnl < 0 THEN trade_pnl END) AS gl
+  FROM led GROUP BY {K}),
+sm1 AS (SELECT *, CASE WHEN n_bars < 2 THEN 245.0 ELSE 31557600.0 / ({secs} / (n_bars - 1)) END AS freq FROM sm0)
+SELECT s.symbol, kp.window_idx, s.segment, s.combo_idx, g.fast_period, g.slow_period,
+  round(CASE WHEN sr IS NULL THEN NULL WHEN sr = 0 THEN 0.0 ELSE (mr - 0.015 / freq) / sr * sqrt(freq) END, 6) AS sharpe,
+  round(abs(coalesce(mdd, 0.0)), 6) AS max_drawdown,
+  round(CASE WHEN abs(coalesce(gl, 0)) = 0 THEN (CASE WHEN coalesce(gp, 0) > 0 THEN 'inf'::DOUBLE ELSE 0.0 END)
+       ELSE coalesce(gp, 0) / abs(gl) END, 6) AS profit_factor,
+  total_trades, round(final_equity, 6) AS final_equity, n_bars
+FROM sm1 s JOIN kept kp ON kp.symbol = s.symbol AND kp.k = s.k JOIN grid g ON g.combo_idx = s.combo_idx"""

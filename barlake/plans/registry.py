@@ -55,7 +55,7 @@ for _n in ["monthly_pnl", "monthly_matrix", "drawdown_series", "equity_daily", "
 
 register("wfa_windows", wfaplans.wfa_windows, oracle.wfa_windows_q())
 register("wfa_summary", wfaplans.wfa_summary, oracle.wfa_summary_q())
-register("wfa_segment_metrics", wfaplans.wfa_segment_metrics)
+register("wfa_segment_metrics", wfaplans.wfa_segment_metrics, oracle.wfa_segment_metrics_q())
 
 for _n in ["vector_topk", "failed_topk", "layered_search", "diversity_filter", "batch_diversity",
            "retrieval_eval", "retrieval_cases", "diversify_by_type", "collection_search",
@@ -73,7 +73,7 @@ for _n in ["budget_status", "budget_breakdown", "daily_rollup", "running_spend",
            "weekly_quality", "metric_regression", "kpi_dashboard", "latest_trade_per_strategy",
            "list_strategies_page"]:
     register(_n, getattr(opsplans, _n), getattr(oracle, f"{_n}_q")())
-register("recent_failures", opsplans.recent_failures)
+register("recent_failures", opsplans.recent_failures, oracle.recent_failures_q())
 
 for _n in ["constraint_check", "upsert_merge", "merge_bars", "clean_minute_bars", "collection_listing",
            "knowledge_upsert", "admission"]:

@@ -216,9 +216,10 @@ def keyword_hit(expected: Column, text: Column, query: Column, min_len: int = 3,
 def sample_examples(df: DataFrame, category_col: str, category: str, n: int, seed: int = 42,
                     name_col: str = "name") -> DataFrame:
     """Same category first, then the others, in a seeded pseudo-random
-    order; the first ``n`` (the limit is the feature)."""
+    order (md5 of seed and name); the first ``n`` (the limit is the feature)."""
     same = (F.col(category_col) == category).cast("int")
-    return df.orderBy(same.desc(), F.xxhash64(F.lit(seed), F.col(name_col))).limit(n)
+    key = F.md5(F.concat(F.lit(str(seed)), F.col(name_col).cast("string")))
+    return df.orderBy(same.desc(), key).limit(n)
 
 
 def diversify_by_type(ranked: DataFrame, qid: str, type_col: str, score: str = "similarity") -> DataFrame:

@@ -1505,3 +1505,57 @@ SELECT s.symbol, kp.window_idx, s.segment, s.combo_idx, g.fast_period, g.slow_pe
        ELSE coalesce(gp, 0) / abs(gl) END, 6) AS profit_factor,
   total_trades, round(final_equity, 6) AS final_equity, n_bars
 FROM sm1 s JOIN kept kp ON kp.symbol = s.symbol AND kp.k = s.k JOIN grid g ON g.combo_idx = s.combo_idx"""
+
+
+def sample_examples_q() -> str:
+    return f"""WITH {DEV}
+SELECT id, logic_type, sharpe FROM dev ORDER BY (logic_type = 3) DESC, md5('42' || CAST(id AS VARCHAR)) LIMIT 5"""
+
+
+STRATEGY_SIGNALS = [("RSI_Reversal", "rsi_reversal"), ("DualEMACrossover", "dual_ema_cross"),
+                    ("DualEMA_ATR_Trend", "dual_ema_atr_trend"), ("EMA_ADX_Trend", "ema_adx"),
+                    ("MACD_MA_Trend", "macd_ma_trend"), ("MACD_RSI_Trend", "macd_rsi_trend"),
+                    ("MACD_TrendConfirm", "macd_trend_confirm"), ("TrendBreakout", "trend_breakout"),
+                    ("TrendCatcher", "trend_catcher"), ("TrendFilteredEMA", "trend_filtered_ema"),
+                    ("MA_Cross", "ma_cross")]
+
+
+def strategy_backtests_q() -> str:
+    import sys
+    mod = sys.modules[__name__]
+    sigs = "\n  UNION ALL ".join(f"SELECT '{n}' AS strategy, symbol, ts, signal FROM ({getattr(mod, f'sig_{f}_q')()})"
+                               for n, f in STRATEGY_SIGNALS)
+    K = "strategy, symbol"
+    secs = "((epoch_us(t1) - epoch_us(t0)) / 1e6)"
+    reasons = """list_filter([
+      CASE WHEN sharpe < 1.2 THEN printf('Sharpe %.2f < 1.2', sharpe) END,
+      CASE WHEN max_drawdown > 0.35 THEN printf('MaxDD %.1f%% > 35%%', max_drawdown * 100) END,
+      CASE WHEN profit_factor < 1.0 THEN printf('PF %.2f < 1.0', profit_factor) END,
+      CASE WHEN total_trades < 80 THEN printf('Trades %d < 80', total_trades) END], lambda x: x IS NOT NULL)"""
+    return f"""WITH {DAY_BARS},
+allsig AS ({sigs}),
+sig AS (SELECT a.strategy, a.symbol, a.ts, a.signal, d.close FROM allsig a JOIN day_bars d ON d.symbol = a.symbol AND d.ts = a.ts),
+{ledger('sig', K, 'ts')},
+m0 AS (SELECT {K}, count(*) AS n_bars, min(ts) AS t0, max(ts) AS t1, arg_min(equity, ts) AS e0,
+  arg_max(equity, ts) AS final_equity, avg(ret) AS mr, stddev_samp(ret) AS sr, min(drawdown) AS mdd,
+  count(trade_pnl) AS total_trades, sum(CASE WHEN trade_pnl > 0 THEN trade_pnl END) AS gp,
+  sum(CASE WHEN trade_pnl < 0 THEN trade_pnl END) AS gl, count(CASE WHEN trade_pnl > 0 THEN 1 END) AS nw,
+  avg(CASE WHEN trade_pnl > 0 THEN trade_pnl END) AS aw, avg(CASE WHEN trade_pnl < 0 THEN trade_pnl END) AS al
+  FROM led GROUP BY {K}),
+m1 AS (SELECT *, CASE WHEN n_bars < 2 THEN 245.0 ELSE 31557600.0 / ({secs} / (n_bars - 1)) END AS freq,
+  floor({secs} / 86400) / 365.25 AS years FROM m0),
+met AS (SELECT {K},
+  CASE WHEN sr IS NULL THEN NULL WHEN sr = 0 THEN 0.0 ELSE (mr - 0.015 / freq) / sr * sqrt(freq) END AS sharpe,
+  abs(coalesce(mdd, 0.0)) AS max_drawdown,
+  CASE WHEN abs(coalesce(gl, 0)) = 0 THEN (CASE WHEN coalesce(gp, 0) > 0 THEN 'inf'::DOUBLE ELSE 0.0 END)
+       ELSE coalesce(gp, 0) / abs(gl) END AS profit_factor,
+  coalesce(nw / nullif(total_trades, 0), 0.0) AS win_rate, total_trades,
+  CASE WHEN n_bars < 2 OR e0 = 0 THEN 0.0 WHEN years <= 0 THEN 0.0 WHEN final_equity / e0 < 0 THEN NULL
+       ELSE pow(final_equity / e0, 1.0 / years) - 1 END AS annual_return,
+  coalesce(aw, 0.0) AS avg_win, coalesce(al, 0.0) AS avg_loss, final_equity, n_bars FROM m1),
+scr AS (SELECT *, array_to_string({reasons}, '; ') AS reasons, len({reasons}) = 0 AS passed FROM met)
+SELECT strategy, symbol, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown,
+  round(profit_factor, 6) AS profit_factor, round(win_rate, 6) AS win_rate, total_trades,
+  round(annual_return, 6) AS annual_return, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss,
+  round(final_equity, 6) AS final_equity, n_bars, reasons, passed,
+  CASE WHEN passed THEN 'reviewing' ELSE 'draft' END AS status FROM scr"""

@@ -47,7 +47,7 @@ register("adx", indicatorplans.adx, oracle.adx_q())
 register("bollinger_extremes", indicatorplans.bollinger, oracle.bollinger_q())
 for _n, _fn in indicatorplans.SIGNAL_FNS.items():
     register(f"signals_{_n}", indicatorplans.signals(_fn), getattr(oracle, f"sig_{_n}_q")())
-register("strategy_backtests", indicatorplans.strategy_backtests)
+register("strategy_backtests", indicatorplans.strategy_backtests, oracle.strategy_backtests_q())
 
 for _n in ["monthly_pnl", "monthly_matrix", "drawdown_series", "equity_daily", "signal_distribution",
            "trade_list", "trade_durations", "loss_streaks", "health_alerts"]:
@@ -61,7 +61,7 @@ for _n in ["vector_topk", "failed_topk", "layered_search", "diversity_filter", "
            "retrieval_eval", "retrieval_cases", "diversify_by_type", "collection_search",
            "fill_short_results"]:
     register(_n, getattr(retrievalplans, _n), getattr(oracle, f"{_n}_q")())
-register("sample_examples", retrievalplans.sample_examples)
+register("sample_examples", retrievalplans.sample_examples, oracle.sample_examples_q())
 
 for _n in ["page_title_text", "page_dedup", "page_list_filter", "knowledge_context", "document_dedup",
            "script_lint", "script_checks", "json_payloads", "error_patterns", "top_failure_patterns",

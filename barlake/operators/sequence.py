@@ -78,6 +78,12 @@ def as_blocking(block: int | Blocking | None) -> Blocking:
 # ordinals
 # --------------------------------------------------------------------------
 
+# Longest key per (application, input plan, keys).  A stale entry can only make
+# the blocking shallower than needed: deep keys then raise at the top level or
+# run in larger groups; results stay correct.
+_MAX_LEN_MEMO: dict[tuple, int] = {}
+
+
 def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
              bucket: Column | None = None, block: int = DEFAULT_BLOCK,
              max_len: int | None = None) -> tuple[DataFrame, Blocking]:
@@ -90,7 +96,10 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     """
     keys = list(keys)
     if max_len is None:
-        max_len = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys))
+        if memo not in _MAX_LEN_MEMO:
+            _MAX_LEN_MEMO[memo] = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        max_len = _MAX_LEN_MEMO[memo]
     bl = plan_blocking(max(int(max_len), 1), block)
     if bl.depth == 0:
         order_cols = [F.col(c) if isinstance(c, str) else c for c in order]

@@ -178,3 +178,41 @@ def failure_convergence(spark: SparkSession, sf_dir: str, nth: int = 50, horizon
     win = (F.col("_ord") > F.col("_o50")) & (F.col("_ord") <= F.col("_o50") + horizon)
     g = j.groupBy("pattern").agg(F.count_if(win).alias("repeats_in_next"))
     return g.withColumn("converged", F.col("repeats_in_next") < 10)
+
+
+# --------------------------------------------------------------------------
+# single-measure views under the key names of SURVEY §7.5
+# --------------------------------------------------------------------------
+
+def price_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose open jumps more than 5 % from the previous close."""
+    from barlake.plans.barplans import bar_flags
+    return bar_flags(spark, sf_dir).where("is_jump").select("symbol", "ts", "prev_close")
+
+
+def recall_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.plans.retrievalplans import retrieval_eval
+    return retrieval_eval(spark, sf_dir).select("n_cases", "recall_at_5")
+
+
+def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.plans.retrievalplans import retrieval_eval
+    return retrieval_eval(spark, sf_dir).select("n_cases", "mrr")
+
+
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.plans.textplans import page_title_text
+    return page_title_text(spark, sf_dir).select("page_id", "title", "title_or_url")
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.plans.textplans import page_title_text
+    return page_title_text(spark, sf_dir).select("page_id", "text", "n_chars")
+
+
+def fenced_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 on the wrapped model outputs: the json fence, else a bare fence, else ''."""
+    o = fx.spread(fx.outputs_fx(spark, sf_dir))
+    b = tx.fenced_block(F.col("output"), ("json", ""), False)
+    return o.select("conv_id", "turn", b.alias("block")).select(
+        "conv_id", "turn", F.length("block").alias("block_chars"), F.sha2("block", 256).alias("block_hash"))

@@ -1559,3 +1559,31 @@ SELECT strategy, symbol, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS m
   round(annual_return, 6) AS annual_return, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss,
   round(final_equity, 6) AS final_equity, n_bars, reasons, passed,
   CASE WHEN passed THEN 'reviewing' ELSE 'draft' END AS status FROM scr"""
+
+
+def price_jumps_q() -> str:
+    return f"""SELECT symbol, ts, prev_close FROM ({bar_flags_q()}) WHERE is_jump"""
+
+
+def recall_at_5_q() -> str:
+    return f"SELECT n_cases, recall_at_5 FROM ({retrieval_eval_q()})"
+
+
+def mrr_q() -> str:
+    return f"SELECT n_cases, mrr FROM ({retrieval_eval_q()})"
+
+
+def page_title_q() -> str:
+    return f"SELECT page_id, title, title_or_url FROM ({page_title_text_q()})"
+
+
+def page_text_q() -> str:
+    return f"SELECT page_id, text, n_chars FROM ({page_title_text_q()})"
+
+
+def fenced_block_q() -> str:
+    fj = _dedent_strip_sql("regexp_extract(output, '(?is)```json\\s*\\n(.*?)```', 1)")
+    fb = _dedent_strip_sql("regexp_extract(output, '(?s)```\\s*\\n(.*?)```', 1)")
+    return f"""WITH {OUTPUTS},
+b AS (SELECT conv_id, turn, coalesce(nullif({fj}, ''), nullif({fb}, ''), '') AS block FROM o1)
+SELECT conv_id, turn, CAST(length(block) AS INTEGER) AS block_chars, sha256(block) AS block_hash FROM b"""

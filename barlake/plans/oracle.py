@@ -133,9 +133,12 @@ def screen_select(src: str = "met") -> str:
 FROM {src}"""
 
 
+MONEY = ("final_equity", "avg_win", "avg_loss")
+
+
 def rounded(sql: str, cols: list[str], digits: int = 6) -> str:
-    """Wrap a query, rounding the named double columns."""
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    """Wrap a query, rounding the named double columns (money to cents)."""
+    rep = ", ".join(f"round({c}, {min(digits, 2) if c in MONEY else digits}) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) q"
 
 
@@ -1503,7 +1506,7 @@ SELECT s.symbol, kp.window_idx, s.segment, s.combo_idx, g.fast_period, g.slow_pe
   round(abs(coalesce(mdd, 0.0)), 6) AS max_drawdown,
   round(CASE WHEN abs(coalesce(gl, 0)) = 0 THEN (CASE WHEN coalesce(gp, 0) > 0 THEN 'inf'::DOUBLE ELSE 0.0 END)
        ELSE coalesce(gp, 0) / abs(gl) END, 6) AS profit_factor,
-  total_trades, round(final_equity, 6) AS final_equity, n_bars
+  total_trades, round(final_equity, 2) AS final_equity, n_bars
 FROM sm1 s JOIN kept kp ON kp.symbol = s.symbol AND kp.k = s.k JOIN grid g ON g.combo_idx = s.combo_idx"""
 
 
@@ -1556,8 +1559,8 @@ met AS (SELECT {K},
 scr AS (SELECT *, array_to_string({reasons}, '; ') AS reasons, len({reasons}) = 0 AS passed FROM met)
 SELECT strategy, symbol, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown,
   round(profit_factor, 6) AS profit_factor, round(win_rate, 6) AS win_rate, total_trades,
-  round(annual_return, 6) AS annual_return, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss,
-  round(final_equity, 6) AS final_equity, n_bars, reasons, passed,
+  round(annual_return, 6) AS annual_return, round(avg_win, 2) AS avg_win, round(avg_loss, 2) AS avg_loss,
+  round(final_equity, 2) AS final_equity, n_bars, reasons, passed,
   CASE WHEN passed THEN 'reviewing' ELSE 'draft' END AS status FROM scr"""
 
 

@@ -15,10 +15,47 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _describe_con():
+    """DuckDB views over the smallest driver tables, used only to read result
+    column types of the oracle SQL (no data work)."""
+    import os
+    try:
+        import duckdb
+    except ImportError:  # pragma: no cover
+        return None
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        return None
+    con = duckdb.connect()
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages "
+              "benchmark labels conversations").split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
+    return con
+
+
+_CON = _describe_con()
+
+
+def _bigint_counts(sql: str) -> str:
+    """Counts and integer sums are BIGINT in Spark but HUGEINT in DuckDB: cast
+    them so both results carry the same column types."""
+    if _CON is None:
+        return sql
+    try:
+        cols = _CON.execute(f"DESCRIBE ({sql})").fetchall()
+    except Exception:  # noqa: BLE001
+        return sql
+    huge = [c[0] for c in cols if c[1] == "HUGEINT"]
+    if not huge:
+        return sql
+    rep = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in huge)
+    return f"SELECT * REPLACE ({rep}) FROM ({sql}) hq"
+
+
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = fn
     if sql is not None:
-        ORACLES[name] = sql
+        ORACLES[name] = _bigint_counts(sql)
 
 
 register("ma_cross_backtest_metrics", backtests.ma_cross_backtest_metrics,

@@ -48,3 +48,18 @@ def week_start_sunday(ts: str | Column) -> Column:
 
 def month_start(ts: str | Column) -> Column:
     return F.trunc(F.to_date(col(ts)), "month").cast("timestamp_ntz")
+
+
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def wall_to_instant(ts: str | Column) -> Column:
+    """timestamp_ntz wall clock → timestamp read as if the wall clock were UTC
+    (no session time zone involved); for event-time watermarks."""
+    us = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), col(ts))
+    return F.timestamp_micros(us)
+
+
+def instant_to_wall(ts: str | Column) -> Column:
+    """Inverse of :func:`wall_to_instant`."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col(ts)), F.lit(_EPOCH).cast("timestamp_ntz"))

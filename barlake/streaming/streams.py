@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barlake.functions.timecols import minute_start
+from barlake.functions.timecols import instant_to_wall, wall_to_instant
 from barlake.session import ensure_checkpoint_dir
 
 
@@ -57,14 +57,14 @@ def _run(df: DataFrame, name: str, mode: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def stream_resample(ticks: DataFrame, minutes: int, lateness: str = "10 minutes") -> DataFrame:
-    """M1: watermarked tumbling-window OHLC (bins aligned to midnight for
-    widths dividing a day)."""
-    t = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+    """M1: watermarked tumbling-window OHLC on wall-clock (timestamp_ntz) time:
+    bins align to midnight for widths dividing a day, in any session zone."""
+    t = ticks.withColumn("ts", wall_to_instant("ts"))        # event time, zone-free
     g = (t.withWatermark("ts", lateness)
          .groupBy("symbol", F.window("ts", f"{minutes} minutes").alias("w"))
          .agg(F.min_by("price", F.struct("ts", "event_id")).alias("open"), F.max("price").alias("high"),
               F.min("price").alias("low"), F.max_by("price", F.struct("ts", "event_id")).alias("close")))
-    return g.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close")
+    return g.select("symbol", instant_to_wall(F.col("w.start")).alias("ts"), "open", "high", "low", "close")
 
 
 def run_stream_resample(spark: SparkSession, sf_dir: str, minutes: int = 5) -> DataFrame:

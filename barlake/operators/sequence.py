@@ -160,9 +160,7 @@ def rolling(df: DataFrame, keys: Sequence[str], stages: Stage | Sequence[Stage],
         for st in stages:
             x = x.withColumns(st(w))
         return x
-    block = bl.block
-    if lookback > block or lookahead > block:
-        raise ValueError("window reach larger than a block")
+    block = bl.block   # a reach longer than a block copies a row into several blocks
     o = F.col(ORD)
     lo = F.greatest(F.floor((o - F.lit(lookahead)) / F.lit(block)), F.lit(0)).cast("long")
     hi = F.floor((o + F.lit(lookback)) / F.lit(block)).cast("long")

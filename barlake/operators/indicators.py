@@ -254,6 +254,19 @@ def compute(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple], block=No
     """
     keys = list(keys)
     specs = list(dict.fromkeys(specs))
+    # indicators already present under their canonical names (see precompute)
+    # are aliased instead of recomputed
+    aliases: dict[str, Column] = {}
+    todo = []
+    for sp in specs:
+        have = _canonical(sp)
+        if have and all(c_ in df.columns for c_ in have.values()):
+            aliases.update({o: F.col(c_) for o, c_ in have.items()})
+        else:
+            todo.append(sp)
+    if not todo:
+        return df.withColumns(aliases)
+    specs = todo
     emas: dict[str, tuple[str, int]] = {}
     for s in specs:
         if s[0] == "ema":
@@ -370,4 +383,40 @@ def compute(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple], block=No
         x = x.withColumns(post)
         for _, p, *_ in macds:
             x = x.withColumn(f"{p}macd_hist", F.col(f"{p}macd") - F.col(f"{p}macd_signal"))
-    return x.drop(*[d for d in drop if d in x.columns])
+    x = x.drop(*[d for d in drop if d in x.columns])
+    return x.withColumns(aliases) if aliases else x
+
+
+def _canonical(spec: tuple) -> dict[str, str]:
+    """Output column → canonical column name of an indicator spec."""
+    kind = spec[0]
+    if kind == "ema":
+        return {spec[1]: f"__ema_{spec[2]}_{spec[3]}"}
+    if kind == "sma":
+        return {spec[1]: f"__sma_{spec[2]}_{spec[3]}"}
+    if kind == "rsi":
+        return {spec[1]: f"__rsi_{spec[2]}_{spec[3]}"}
+    if kind == "atr":
+        return {spec[1]: f"__atr_{spec[2]}"}
+    if kind == "adx":
+        p, n = spec[1], spec[2]
+        return {f"{p}{c}": f"__a{n}_{c}" for c in ("adx", "dmp", "dmn")}
+    if kind == "macd":
+        p, f, sl, g = spec[1:]
+        return {f"{p}{c}": f"__m{f}_{sl}_{g}_{c}" for c in ("macd", "macd_signal", "macd_hist")}
+    return {}
+
+
+def precompute(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple], block=None) -> DataFrame:
+    """Compute indicators under canonical names so that later :func:`compute`
+    calls (e.g. inside several signal generators) reuse them."""
+    canon = []
+    for sp in specs:
+        kind = sp[0]
+        if kind == "adx":
+            canon.append(("adx", f"__a{sp[2]}_", sp[2]))
+        elif kind == "macd":
+            canon.append(("macd", f"__m{sp[2]}_{sp[3]}_{sp[4]}_", *sp[2:]))
+        else:
+            canon.append((kind, _canonical(sp)[sp[1]], *sp[2:]))
+    return compute(df, keys, canon, block=block)

@@ -68,13 +68,23 @@ SIGNAL_FNS = {
 }
 
 
+# indicator needs of the registered strategies at their default parameters
+ALL_SPECS = [("ema", "x", "close", n) for n in (9, 12, 18, 20, 21, 26, 50, 55)] + [
+    ("rsi", "x", 14, "ratio"), ("rsi", "x", 14, "share"), ("atr", "x", 14), ("adx", "", 14),
+    ("macd", "", 12, 26, 9)]
+
+
 def strategy_backtests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6 screening run: every registered strategy × symbol in one job.  The
     strategies' signals are stacked as rows keyed by (strategy, symbol), so
     one ledger and one metrics pass serve all of them (rows-only check)."""
     from barlake.plans.backtests import backtest_report
+    from barlake.session import materialize
     b, bl = day_bar_seq(spark, sf_dir)
     base = b.select("symbol", "ts", "_ord", "open", "high", "low", "close")
+    # every indicator any registered strategy needs, in one fused pass, written
+    # once; the generators then alias these columns instead of recomputing
+    base = materialize(ind.precompute(base, KEYS, ALL_SPECS, block=bl))
     sigs = None
     for name, spec in sg.REGISTRY.items():
         s = spec.fn(base, KEYS, block=bl, **spec.defaults).select(

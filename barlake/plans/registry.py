@@ -52,8 +52,19 @@ def _bigint_counts(sql: str) -> str:
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) hq"
 
 
+def _shipped(fn: Query) -> Query:
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from barlake.session import ship_package
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def register(name: str, fn: Query, sql: str | None = None) -> None:
-    QUERIES[name] = fn
+    QUERIES[name] = _shipped(fn)
     if sql is not None:
         ORACLES[name] = _bigint_counts(sql)
 

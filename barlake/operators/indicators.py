@@ -144,13 +144,6 @@ def ewm_mean(df: DataFrame, keys: Sequence[str], spec: dict[str, tuple], block=N
     return out.withColumns(res).drop(*drop)
 
 
-def with_diffs(df, keys, block=None, drift: int = 1) -> DataFrame:
-    """Previous close/high/low (``drift`` bars back)."""
-    return rolling(df, keys, lambda w: {
-        "_pc": F.lag("close", drift).over(w), "_ph": F.lag("high", drift).over(w),
-        "_pl": F.lag("low", drift).over(w)}, drift, block=block)
-
-
 def rsi_ewm(df: DataFrame, keys, n: int = 14, out: str = "rsi", x: str = "close",
             style: str = "ratio", block=None) -> DataFrame:
     """RSI from ``ewm(com=n-1, min_periods=n, adjust=True)`` means of
@@ -172,58 +165,23 @@ def rsi_ewm(df: DataFrame, keys, n: int = 14, out: str = "rsi", x: str = "close"
     return d.withColumn(out, r).drop("_dx", "_gain", "_loss", "_ag", "_al")
 
 
-def true_range(df, keys, block=None) -> DataFrame:
-    """TR = max(high-low, |high-prev close|, |prev close-low|); null on the first bar."""
-    d = with_diffs(df, keys, block)
-    tr = F.when(F.col("_pc").isNull(), None).otherwise(F.greatest(
-        F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")),
-        F.abs(F.col("_pc") - F.col("low"))))
-    return d.withColumn("_tr", tr)
-
-
 def atr(df, keys, n: int = 14, out: str = "atr", block=None) -> DataFrame:
     """Wilder mean (adjusted EWM, α=1/n, min_periods=n) of the true range."""
-    d = true_range(df, keys, block)
-    d = ewm_mean(d, keys, {out: ("_tr", 1.0 / n, n)}, block=block)
-    return d.drop("_pc", "_ph", "_pl", "_tr")
+    return compute(df, keys, [("atr", out, n)], block=block)
 
 
 def adx(df, keys, n: int = 14, prefix: str = "", block=None) -> DataFrame:
     """F8: ADX, DMP, DMN with Wilder means; ATR from :func:`atr`'s definition."""
-    d = true_range(df, keys, block)
-    up = F.col("high") - F.col("_ph")
-    dn = F.col("_pl") - F.col("low")
-    pos = F.when(up.isNull() | dn.isNull(), None).otherwise(
-        F.when((up > dn) & (up > 0), up).otherwise(F.lit(0.0)))
-    neg = F.when(up.isNull() | dn.isNull(), None).otherwise(
-        F.when((dn > up) & (dn > 0), dn).otherwise(F.lit(0.0)))
-    d = d.withColumns({"_pos": pos, "_neg": neg})
-    a = 1.0 / n
-    d = ewm_mean(d, keys, {"_atr": ("_tr", a, n), "_mp": ("_pos", a, n), "_mn": ("_neg", a, n)},
-                 block=block)
-    k = F.try_divide(F.lit(100.0), F.col("_atr"))
-    d = d.withColumns({f"{prefix}dmp": k * F.col("_mp"), f"{prefix}dmn": k * F.col("_mn")})
-    d = d.withColumn("_dx", F.lit(100.0) * F.try_divide(
-        F.abs(F.col(f"{prefix}dmp") - F.col(f"{prefix}dmn")),
-        F.col(f"{prefix}dmp") + F.col(f"{prefix}dmn")))
-    d = ewm_mean(d, keys, {f"{prefix}adx": ("_dx", a, n)}, block=block)
-    return d.drop("_pc", "_ph", "_pl", "_tr", "_pos", "_neg", "_atr", "_mp", "_mn", "_dx")
+    return compute(df, keys, [("adx", prefix, n)], block=block)
 
 
 def macd(df, keys, fast: int = 12, slow: int = 26, signal: int = 9, x: str = "close",
          prefix: str = "", block=None) -> DataFrame:
     """line = EMA(fast) - EMA(slow); signal = seeded EMA of the line from its
-    first defined bar; histogram = line - signal."""
-    d = ema_many(df, keys, {"_ef": (x, fast), "_es": (x, slow)}, block=block)
-    d = d.withColumn(f"{prefix}macd", F.col("_ef") - F.col("_es")).drop("_ef", "_es")
-    # the signal EMA starts where the line starts (ordinal slow-1): shift ordinals
-    first = max(fast, slow) - 1
-    sh = d.withColumn(ORD, F.col(ORD) - F.lit(first))
-    valid = sh.where(F.col(ORD) >= 0)
-    sig = ema_many(valid, keys, {f"{prefix}macd_signal": (f"{prefix}macd", signal)}, block=block)
-    sig = sig.select(*keys, F.col(ORD), f"{prefix}macd_signal")
-    out = sh.join(sig, [*keys, ORD], "left").withColumn(ORD, F.col(ORD) + F.lit(first))
-    return out.withColumn(f"{prefix}macd_hist", F.col(f"{prefix}macd") - F.col(f"{prefix}macd_signal"))
+    first defined bar; histogram = line - signal (on ``close``)."""
+    if x != "close":
+        raise ValueError("macd is defined on the close column")
+    return compute(df, keys, [("macd", prefix, fast, slow, signal)], block=block)
 
 
 def cross_flags(above: Column, prev_above: Column) -> tuple[Column, Column]:

@@ -18,29 +18,28 @@ def _r(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
 
 def ema_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, bl = day_bar_seq(spark, sf_dir)
-    return _r(ind.ema(b, KEYS, "close", 12, "ema_12", block=bl), ["ema_12"], 4)
+    return _r(ind.compute(b, KEYS, [("ema", "ema_12", "close", 12)], block=bl), ["ema_12"], 4)
 
 
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, bl = day_bar_seq(spark, sf_dir)
-    return _r(ind.macd(b, KEYS, 12, 26, 9, block=bl), ["macd", "macd_signal", "macd_hist"], 4)
+    return _r(ind.compute(b, KEYS, [("macd", "", 12, 26, 9)], block=bl), ["macd", "macd_signal", "macd_hist"], 4)
 
 
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, bl = day_bar_seq(spark, sf_dir)
-    d = ind.rsi_ewm(b, KEYS, 14, "rsi", style="ratio", block=bl)
-    d = ind.rsi_ewm(d, KEYS, 14, "rsi_wilder", style="share", block=bl)
+    d = ind.compute(b, KEYS, [("rsi", "rsi", 14, "ratio"), ("rsi", "rsi_wilder", 14, "share")], block=bl)
     return _r(d, ["rsi", "rsi_wilder"], 6)
 
 
 def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, bl = day_bar_seq(spark, sf_dir)
-    return _r(ind.atr(b, KEYS, 14, "atr", block=bl), ["atr"], 4)
+    return _r(ind.compute(b, KEYS, [("atr", "atr", 14)], block=bl), ["atr"], 4)
 
 
 def adx(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, bl = day_bar_seq(spark, sf_dir)
-    return _r(ind.adx(b, KEYS, 14, block=bl), ["adx", "dmp", "dmn"], 6)
+    return _r(ind.compute(b, KEYS, [("adx", "", 14)], block=bl), ["adx", "dmp", "dmn"], 6)
 
 
 def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,21 +5,24 @@ peaks, forward fills, EMA-type recurrences, the RSI state machine, the
 back-tester's cash ledger) is one of three shapes:
 
 * **bounded look-back / look-ahead** (``lag``, ``lead``, rolling n):
-  :func:`rolling`.  Rows are numbered per key (:func:`with_ordinal`), cut
+  :func:`rolling`.  Rows are numbered per key (:func:`sequence`), cut
   into blocks of ``block`` rows, and each row is copied into the neighbouring
   block(s) that need it as a halo.  A window then runs per ``(key, block)``.
 * **prefix scans over an associative operator** (sum, max, last non-null,
   affine maps ``y = a*y_prev + b``, finite-state transitions): :func:`scan`.
   Inside a block the scan is a native running window (sum/max/min/last) or a
-  Hillis-Steele doubling over ``lag`` (affine/automaton).  Block totals form a
+  sequential fold of the block (affine/automaton).  Block totals form a
   much smaller sequence that is scanned the same way (recursively) and joined
   back as a carry.
 * **per-key aggregates**: ordinary ``groupBy`` (partial aggregation).
 
 No step puts a whole key into one task: a task holds at most one block (plus
-halo) of one key.  With the defaults (4096-row blocks, three levels) one key
-may hold 4096**4 ≈ 2.8e14 rows; beyond that the top level raises rather than
-returning a wrong answer.
+halo) of one key.  :func:`sequence` measures the longest key once and picks
+the number of carry levels (65 536-row blocks: one level up to 4.3e9 rows per
+key, two up to 2.8e14); a key longer than the chosen blocking makes the top
+level raise rather than return a wrong answer.  Block-local folds of the
+scans run as one grouped pandas step per block (or, with ``LOCAL_SCAN =
+"windows"``, as log2(block) lag-doubling window passes on the JVM).
 """
 
 from __future__ import annotations

@@ -298,8 +298,11 @@ def dedup_pages(pages: DataFrame, order: str = "page_id", content: str = "text")
     normalised URL or the same content hash.  First ids per hash come from
     partial aggregates (a hash shared by a huge number of copies still costs
     one row per task) joined back on the hash."""
-    x = pages.withColumns({"url_hash": F.sha2(normalise_url("url"), 256),
-                           "content_hash": F.sha2(F.col(content), 256)})
+    from barlake.session import materialize
+    # the narrow (id, hashes) table is written once, so the text work feeding
+    # it runs once for the two first-id aggregates and the join back
+    x = materialize(pages.select(order, F.sha2(normalise_url("url"), 256).alias("url_hash"),
+                                 F.sha2(F.col(content), 256).alias("content_hash")))
     fu = x.groupBy("url_hash").agg(F.min(order).alias("_fu"))
     fc = x.groupBy("content_hash").agg(F.min(order).alias("_fc"))
     y = x.join(fu, "url_hash").join(fc, "content_hash")

@@ -39,3 +39,14 @@ def intraday_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intraday_breakout_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, bl = _day_bars5(spark, sf_dir)
     return round_doubles(it.breakout_trades(b, KEYS, block=bl))
+
+
+def session_rules_daytrade_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMA-cross signals on 5-minute day bars under the day-trading class:
+    entries only inside 08:45–13:25, the 13:39 bar marked for the forced exit."""
+    from barlake.operators import backtest as bt
+    from barlake.operators import signals as sg
+    b, bl = _day_bars5(spark, sf_dir)
+    s = sg.ma_cross(b, KEYS, 5, 20, block=bl)
+    r = bt.apply_rules_and_force_close(s, "daytrade_day")
+    return r.select("symbol", "ts", "signal", "entry_signal", "exit_marker")

@@ -1590,3 +1590,12 @@ def fenced_block_q() -> str:
     return f"""WITH {OUTPUTS},
 b AS (SELECT conv_id, turn, coalesce(nullif({fj}, ''), nullif({fb}, ''), '') AS block FROM o1)
 SELECT conv_id, turn, CAST(length(block) AS INTEGER) AS block_chars, sha256(block) AS block_hash FROM b"""
+
+
+def session_rules_daytrade_day_q() -> str:
+    s = sod("ts")
+    return f"""WITH {_bars5()},
+{ma_cross_signals('b5', 'symbol', 'ts', 5, 20)}
+SELECT symbol, ts, CAST(signal AS INTEGER) AS signal,
+  CAST(CASE WHEN {s} >= 31500 AND {s} < 48300 THEN signal ELSE 0 END AS INTEGER) AS entry_signal,
+  {s} = 49140 AS exit_marker FROM sig"""

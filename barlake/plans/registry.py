@@ -142,3 +142,5 @@ register("intraday_breakout_trades", intradayplans.intraday_breakout_trades)
 
 for _n in ["price_jumps", "recall_at_5", "mrr", "page_title", "page_text", "fenced_block"]:
     register(_n, getattr(extraplans, _n), getattr(oracle, f"{_n}_q")())
+register("session_rules_daytrade_day", intradayplans.session_rules_daytrade_day,
+         oracle.session_rules_daytrade_day_q())

@@ -80,13 +80,14 @@ def backtest(df: DataFrame, keys: Sequence[str], contract: Contract = Contract()
     x = scan(x, keys, {"peak": (Max(), F.col("equity"))}, block=block)
     x = x.withColumn("drawdown", F.try_divide(F.col("equity") - F.col("peak"), F.col("peak")))
     return x.drop("_px", "_px_prev", "_chg", "_cls", "_ne", "_nc", "_mtm", "_ne_prev",
-                  "_nc_prev", "_mtm_prev", "_eq_prev", "entry_price_prev")
+                  "_nc_prev", "_mtm_prev", "_eq_prev")
 
 
 def trades(bt: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Closed trades: one row per closing bar (H2)."""
     return bt.where(F.col("trade_pnl").isNotNull()).select(
         *keys, F.col(ts).alias("exit_ts"), F.col("position_prev").alias("side"),
+        F.col("entry_price_prev").alias("entry_price"), F.col("close").alias("exit_price"),
         F.col("trade_pnl").alias("pnl"), "_ord")
 
 

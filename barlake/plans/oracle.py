@@ -80,7 +80,7 @@ b4 AS (SELECT *, chg AND position_prev IS NOT NULL AS cls,
   sum(coalesce(position_prev * (close - px_prev), 0)) OVER {w(keys, order, RUN)} AS mtm FROM b3),
 b5 AS (SELECT *, {cash} + {pv} * mtm - {fee} * ne - {2 * fee} * nc AS equity,
   CASE WHEN cls THEN (close - lag(entry_price) OVER {w(keys, order)}) * position_prev * {pv} - {2 * fee}
-  END AS trade_pnl FROM b4),
+  END AS trade_pnl, lag(entry_price) OVER {w(keys, order)} AS entry_prev FROM b4),
 b6 AS (SELECT *, equity / lag(equity) OVER {w(keys, order)} - 1 AS ret,
   max(equity) OVER {w(keys, order, RUN)} AS peak FROM b5),
 led AS (SELECT *, (equity - peak) / peak AS drawdown FROM b6)"""
@@ -654,7 +654,9 @@ SELECT symbol, count_if(signal = 1) AS n_long, count_if(signal = -1) AS n_short,
 
 
 def trade_list_q() -> str:
-    return (f"{_ma_ledger()}\nSELECT symbol, ts AS exit_ts, position_prev AS side, round(trade_pnl, 2) AS pnl "
+    return (f"{_ma_ledger()}\nSELECT symbol, ts AS exit_ts, position_prev AS side, round(entry_prev, 2) AS entry_price, "
+            f"round(close, 2) AS exit_price, round(trade_pnl, 2) AS pnl, "
+            f"round(((close - entry_prev) * position_prev - 4.0) * 200.0, 2) AS pnl_flat "
             f"FROM led WHERE trade_pnl IS NOT NULL")
 
 

@@ -47,9 +47,12 @@ def signal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H2: closed trades of the SMA-cross ledger."""
+    """H2 + H4: closed trades of the SMA-cross ledger, with the flat-slippage PnL
+    of the current rules beside the ledger PnL."""
     led, _ = _ledger(spark, sf_dir)
-    return round_doubles(bt.trades(led, KEYS).drop("_ord"), 2)
+    t = bt.trades(led, KEYS).drop("_ord")
+    t = t.withColumn("pnl_flat", bt.flat_slippage_pnl(F.col("entry_price"), F.col("exit_price"), F.col("side")))
+    return round_doubles(t, 2)
 
 
 def trade_durations(spark: SparkSession, sf_dir: str) -> DataFrame:

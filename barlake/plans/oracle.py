@@ -1601,3 +1601,26 @@ def session_rules_daytrade_day_q() -> str:
 SELECT symbol, ts, CAST(signal AS INTEGER) AS signal,
   CAST(CASE WHEN {s} >= 31500 AND {s} < 48300 THEN signal ELSE 0 END AS INTEGER) AS entry_signal,
   {s} = 49140 AS exit_marker FROM sig"""
+
+
+def find_similar_trend_q() -> str:
+    return f"""WITH {DEV},
+c AS (SELECT * FROM dev WHERE logic_type = 3 AND NOT overfitting_flag),
+p AS (SELECT q.id AS qid, c.id AS id, list_cosine_similarity(q.sem, c.sem) AS similarity
+  FROM dev q JOIN c ON q.id <> c.id WHERE q.logic_type = 3),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM p)
+SELECT qid, rank, id, round(similarity, 6) AS similarity, round(1.0 - similarity, 6) AS distance FROM r WHERE rank <= 3"""
+
+
+def stop_limits_q() -> str:
+    return f"""WITH {DEV},
+x AS (SELECT id, CASE WHEN trading_session < 2 THEN 'daytrade' ELSE 'swing' END AS holding_type,
+  CAST((id * 7) % 300 AS DOUBLE) AS stop_points FROM dev)
+SELECT *, coalesce(stop_points <= CASE holding_type WHEN 'daytrade' THEN 150.0 WHEN 'swing' THEN 250.0 END, false)
+  AS within_limit FROM x"""
+
+
+def fail_records_q() -> str:
+    return f"""WITH {VLOG}
+SELECT log_id, printf('- %s: %s (%s)', CAST(strategy_id AS VARCHAR), error_pattern, coalesce(message, '{{}}')) AS record
+FROM vp WHERE NOT passed"""

@@ -144,3 +144,6 @@ for _n in ["price_jumps", "recall_at_5", "mrr", "page_title", "page_text", "fenc
     register(_n, getattr(extraplans, _n), getattr(oracle, f"{_n}_q")())
 register("session_rules_daytrade_day", intradayplans.session_rules_daytrade_day,
          oracle.session_rules_daytrade_day_q())
+register("find_similar_trend", retrievalplans.find_similar_trend, oracle.find_similar_trend_q())
+register("stop_limits", retrievalplans.stop_limits, oracle.stop_limits_q())
+register("fail_records", textplans.fail_records, oracle.fail_records_q())

@@ -134,3 +134,22 @@ def sample_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five examples, logic type 3 first, seeded order (rows-only check)."""
     d = fx.developed_fx(spark, sf_dir).withColumn("name", F.col("id").cast("string"))
     return rv.sample_examples(d, "logic_type", 3, 5).select("id", "logic_type", "sharpe")
+
+
+def find_similar_trend(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """Strategies of logic type 3 against the not-over-fitted type-3
+    collection (an empty filtered collection yields no rows)."""
+    d = fx.developed_fx(spark, sf_dir)
+    coll = d.where((F.col("logic_type") == 3) & ~F.col("overfitting_flag"))
+    q = _queries(spark, sf_dir).where(F.col("q_logic") == 3)
+    return round_doubles(rv.find_similar(q, coll, k, c_vec="semantic_vector", exclude_self=True))
+
+
+def stop_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop distance against the holding type's limit (day-trading
+    sessions 0/1, swing 2/3; stop points derived from the id)."""
+    d = fx.developed_fx(spark, sf_dir)
+    ht = F.when(F.col("trading_session") < 2, F.lit("daytrade")).otherwise(F.lit("swing"))
+    pts = ((F.col("id") * 7) % 300).cast("double")
+    x = d.select("id", ht.alias("holding_type"), pts.alias("stop_points"))
+    return x.withColumn("within_limit", rv.stop_limit_ok(F.col("stop_points"), F.col("holding_type")))

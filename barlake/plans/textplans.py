@@ -116,3 +116,11 @@ def frequent_patterns(spark: SparkSession, sf_dir: str, trigger: int = 50) -> Da
     v = fx.validation_log_fx(spark, sf_dir).where(~F.col("passed"))
     g = v.groupBy(tx.normalise_error("message").alias("error_pattern")).agg(F.count(F.lit(1)).alias("cnt"))
     return g.where(F.col("cnt") >= trigger)
+
+
+def fail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One formatted failure entry per failed validation."""
+    v = fx.validation_log_fx(spark, sf_dir).where(~F.col("passed"))
+    return v.select("log_id", tx.fail_record_text(F.col("strategy_id").cast("string"),
+                                                  tx.normalise_error("message"), F.col("message"))
+                    .alias("record"))

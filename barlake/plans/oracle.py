@@ -1624,3 +1624,19 @@ def fail_records_q() -> str:
     return f"""WITH {VLOG}
 SELECT log_id, printf('- %s: %s (%s)', CAST(strategy_id AS VARCHAR), error_pattern, coalesce(message, '{{}}')) AS record
 FROM vp WHERE NOT passed"""
+
+
+def critique_checks_q() -> str:
+    return """SELECT conv_id, turn,
+  coalesce(turn / 10.0 >= 0.7 AND conv_id % 2 = 0 AND contains(text, 'a')
+    AND NOT contains(lower(text), 'volume')
+    AND (['good', 'acceptable', 'poor'])[conv_id % 3 + 1] IN ('good', 'acceptable')
+    AND length(text) > 100, false) AS passed
+FROM conversations WHERE role = 'assistant'"""
+
+
+def knowledge_listing_q() -> str:
+    host = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1))"
+    return f"""SELECT page_id AS id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
+  CAST(length(html) AS INTEGER) AS content_length, TIMESTAMP '2024-01-01 00:00:00' AS added_at
+FROM pages WHERE NOT starts_with({host}, 'm.')"""

@@ -147,3 +147,5 @@ register("session_rules_daytrade_day", intradayplans.session_rules_daytrade_day,
 register("find_similar_trend", retrievalplans.find_similar_trend, oracle.find_similar_trend_q())
 register("stop_limits", retrievalplans.stop_limits, oracle.stop_limits_q())
 register("fail_records", textplans.fail_records, oracle.fail_records_q())
+register("critique_checks", textplans.critique_checks, oracle.critique_checks_q())
+register("knowledge_listing", textplans.knowledge_listing, oracle.knowledge_listing_q())

@@ -124,3 +124,30 @@ def fail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("log_id", tx.fail_record_text(F.col("strategy_id").cast("string"),
                                                   tx.normalise_error("message"), F.col("message"))
                     .alias("record"))
+
+
+def critique_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9 on critique records derived from the assistant turns."""
+    cv = fx.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    forb = F.when(F.contains(F.lower("text"), F.lit("volume")), F.array(F.lit("Volume"))).otherwise(
+        F.array().cast("array<string>"))
+    quality = F.element_at(F.array(F.lit("good"), F.lit("acceptable"), F.lit("poor")),
+                           (F.col("conv_id") % 3 + 1).cast("int"))
+    js = F.to_json(F.struct((F.col("turn") / F.lit(10.0)).alias("syntax_confidence"),
+                            (F.col("conv_id") % 2 == 0).alias("logic_match"),
+                            F.contains("text", F.lit("a")).alias("has_stop_loss"),
+                            (F.length("text") > 100).alias("has_force_close"),
+                            forb.alias("uses_forbidden_keywords"), quality.alias("overall_quality")))
+    x = cv.select("conv_id", "turn", js.alias("critique"))
+    return x.select("conv_id", "turn", tx.critique_passed(F.col("critique"), daytrade=True).alias("passed"))
+
+
+def knowledge_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page knowledge base without mobile hosts (removed by key),
+    listed with content length."""
+    from barlake.sources import tables as tb
+    p = fx.table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"),
+        F.col("html").alias("content"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("added_at"))
+    drop = p.where(F.startswith(tx.url_host("url"), F.lit("m."))).select("url")
+    return tb.list_knowledge(tb.remove_by_key(p, drop, ["url"]))

@@ -1640,3 +1640,11 @@ def knowledge_listing_q() -> str:
     return f"""SELECT page_id AS id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
   CAST(length(html) AS INTEGER) AS content_length, TIMESTAMP '2024-01-01 00:00:00' AS added_at
 FROM pages WHERE NOT starts_with({host}, 'm.')"""
+
+
+def collection_upsert_q() -> str:
+    return """WITH d AS (SELECT vec_id AS id, label AS logic_type, embedding AS vec FROM embeddings),
+n AS (SELECT vec_id AS id, label AS logic_type, list_reverse(embedding) AS vec FROM embeddings
+  WHERE label = 9 AND len(embedding) = 64),
+u AS (SELECT * FROM n UNION ALL SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id = d.id))
+SELECT id, logic_type, CAST(len(vec) AS INTEGER) AS dim, round(CAST(vec[1] AS DOUBLE), 6) AS first_component FROM u"""

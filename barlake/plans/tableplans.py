@@ -111,3 +111,16 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("passed") & (F.coalesce(F.col("n_windows"), F.lit(0)) > 0) & strict).alias("admitted"),
         F.coalesce(oa.classify_failure(x, mt.SCREEN_GATE), F.lit("passed")).alias("failure_reason"))
     return out
+
+
+def collection_upsert(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
+    """A re-embedding batch (logic type 9, new vectors) replaces rows by id
+    after the dimension check; summary per id of the resulting collection."""
+    from barlake.operators import retrieval as rv
+    d = fx.developed_fx(spark, sf_dir).select("id", "logic_type", F.col("semantic_vector").alias("vec"))
+    new = fx.developed_fx(spark, sf_dir).where(F.col("logic_type") == 9).select(
+        "id", "logic_type", F.col("metadata_vector").alias("vec"))
+    ok, _ = rv.check_dim(new, "vec", dim)
+    up = tb.upsert(d, ok, ["id"])
+    return round_doubles(up.select("id", "logic_type", F.size("vec").alias("dim"),
+                                   F.col("vec")[0].cast("double").alias("first_component")))

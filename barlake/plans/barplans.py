@@ -85,3 +85,11 @@ def bars_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1 on stored-style day bars: one symbol, an inclusive date range."""
     return round_doubles(br.bars_between(fx.day_bars(spark, sf_dir), "1-URGENT",
                                          "1996-01-01", "1996-12-31"))
+
+
+def minute_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars with trading day, session type and the month partition
+    column the table is written by."""
+    from barlake.sources.bars_csv import build_minute_table
+    return round_doubles(build_minute_table(fx.minute_bars(spark, sf_dir)).select(
+        "symbol", "ts", "open", "high", "low", "close", "trading_day", "session_type", "trading_day_month"))

@@ -1648,3 +1648,18 @@ n AS (SELECT vec_id AS id, label AS logic_type, list_reverse(embedding) AS vec F
   WHERE label = 9 AND len(embedding) = 64),
 u AS (SELECT * FROM n UNION ALL SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id = d.id))
 SELECT id, logic_type, CAST(len(vec) AS INTEGER) AS dim, round(CAST(vec[1] AS DOUBLE), 6) AS first_component FROM u"""
+
+
+def minute_table_q() -> str:
+    s = sod("b.ts")
+    return rounded(f"""WITH {MINUTE_BARS},
+dd0 AS (SELECT symbol, CAST(ts AS DATE) AS date, bool_or({_is_day()}) AS has_day FROM minute_bars GROUP BY 1, 2),
+dd AS (SELECT *, min(CASE WHEN has_day THEN date END) OVER (PARTITION BY symbol ORDER BY date
+       ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_day FROM dd0),
+t AS (SELECT b.symbol, b.ts, b.open, b.high, b.low, b.close,
+  CASE WHEN {_is_day('b.ts')} THEN CAST(b.ts AS DATE)
+       WHEN {s} >= 54000 AND {s} <= 86399 THEN d.next_day
+       WHEN {s} <= 18000 THEN CASE WHEN d.has_day THEN CAST(b.ts AS DATE) ELSE coalesce(d.next_day, CAST(b.ts AS DATE)) END
+  END AS trading_day, {_classify('b.ts')} AS session_type
+  FROM minute_bars b LEFT JOIN dd d ON d.symbol = b.symbol AND d.date = CAST(b.ts AS DATE))
+SELECT *, strftime(trading_day, '%Y-%m') AS trading_day_month FROM t""", RES_COLS)

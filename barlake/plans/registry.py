@@ -150,3 +150,4 @@ register("fail_records", textplans.fail_records, oracle.fail_records_q())
 register("critique_checks", textplans.critique_checks, oracle.critique_checks_q())
 register("knowledge_listing", textplans.knowledge_listing, oracle.knowledge_listing_q())
 register("collection_upsert", tableplans.collection_upsert, oracle.collection_upsert_q())
+register("minute_table", barplans.minute_table, oracle.minute_table_q())

@@ -127,8 +127,7 @@ def mean_pairwise_similarity(df: DataFrame, group: Sequence[str], vec: str) -> D
     """Mean cosine over unordered pairs of each group, exactly, in
     linear time: with unit vectors u, Σ_{i<j} u_i·u_j = (‖Σu‖² − Σ‖u‖²) / 2."""
     group = list(group)
-    u = df.select(*group, F.monotonically_increasing_id().alias("_r"),
-                  F.transform(vec, lambda x: x.cast("double")).alias("_v"))
+    u = df.select(*group, F.transform(vec, lambda x: x.cast("double")).alias("_v"))
     u = u.withColumn("_n", F.sqrt(dot(F.col("_v"), F.col("_v"))))
     u = u.where(F.col("_n") > 0).withColumn("_u", F.transform("_v", lambda x: x / F.col("_n")))
     e = u.select(*group, F.posexplode("_u").alias("_p", "_x"))

@@ -17,11 +17,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.token_counts import token_counts
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.quality_cascade import quality_rows
     return quality_rows(_table(spark, sf_dir, "documents"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.mixing import mix_documents
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op8_mix_sources": op8_mix_sources,
 }

@@ -64,3 +64,26 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Bind ``value`` once as a lambda variable and use it many times in ``body``."""
     return F.transform(F.array(value), body)[0]
+
+
+def slices(batches, column: str, budget: int = 4 << 20):
+    """Cut Arrow batches into slices of about ``budget`` bytes of ``column`` (one
+    row at least), so that what a task holds does not depend on the row count."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size.astype(np.int64)) // budget
+        starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(starts, starts[1:]):
+            yield batch.slice(lo, hi - lo)
+
+
+def byte_texts(batch, column: str) -> list[bytes]:
+    """The texts of a batch as UTF-8 (null: empty)."""
+    import pyarrow as pa
+
+    return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]

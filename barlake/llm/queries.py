@@ -32,8 +32,14 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.langid import identify
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op8_mix_sources": op8_mix_sources,
+    "op10_language_id": op10_language_id,
 }

@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from barlake.llm.common import byte_texts, slices
+
 WORD_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Pre-tokens that a task keeps counts of.
@@ -91,10 +93,6 @@ class PrefixCounter:
         return out
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return [b"" if t is None else t for t in batch.column(name).cast(pa.binary()).to_pylist()]
-
-
 def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Per document: id, n_bytes, n_pretokens, n_tokens of the whole text."""
     spark: SparkSession = df.sparkSession
@@ -103,8 +101,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", voca
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(pieces.value)
         known: dict[bytes, int] = {}
-        for batch in batches:
-            texts = _texts(batch, "_text")
+        for batch in slices(batches, "_text"):
+            texts = byte_texts(batch, "_text")
             docs = [t.split() for t in texts]
             new = sorted({(WORD_MARK + w.decode("utf-8", "replace"), w) for d in docs for w in set(d) if w not in known})
             if len(known) + len(new) > TABLE_WORDS:

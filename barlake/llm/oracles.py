@@ -2,4 +2,19 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_OP2 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages),
+r AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+         CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS top
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN top IS NOT NULL AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS NOT NULL AND top <> page_id THEN top END AS refers_to
+FROM r
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_warc_round_trip": _OP2,
+}

@@ -22,6 +22,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.warc import round_trip
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.quality_cascade import quality_rows
     return quality_rows(_table(spark, sf_dir, "documents"))
@@ -39,6 +44,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op4_quality_rules": op4_quality_rules,
     "op8_mix_sources": op8_mix_sources,
     "op10_language_id": op10_language_id,

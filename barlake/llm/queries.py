@@ -37,6 +37,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.html_text import extract
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.langid import identify
     return identify(_table(spark, sf_dir, "documents"))
@@ -47,5 +52,6 @@ QUERIES: dict[str, Query] = {
     "op2_warc_round_trip": op2_warc_round_trip,
     "op4_quality_rules": op4_quality_rules,
     "op8_mix_sources": op8_mix_sources,
+    "op9_html_main_text": op9_html_main_text,
     "op10_language_id": op10_language_id,
 }

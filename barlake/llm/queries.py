@@ -32,6 +32,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rows(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.toxicity import score_documents
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.mixing import mix_documents
     return mix_documents(_table(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op8_mix_sources": op8_mix_sources,
     "op9_html_main_text": op9_html_main_text,
     "op10_language_id": op10_language_id,

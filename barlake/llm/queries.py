@@ -27,6 +27,11 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.simhash import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.quality_cascade import quality_rows
     return quality_rows(_table(spark, sf_dir, "documents"))
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_round_trip": op2_warc_round_trip,
+    "op3_simhash": op3_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op8_mix_sources": op8_mix_sources,

@@ -42,6 +42,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.decontaminate import leaked_pairs
+    return leaked_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).selectExpr(
+        "*", "true AS contaminated")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.mixing import mix_documents
     return mix_documents(_table(spark, sf_dir, "documents"))
@@ -63,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op8_mix_sources": op8_mix_sources,
     "op9_html_main_text": op9_html_main_text,
     "op10_language_id": op10_language_id,

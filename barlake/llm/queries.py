@@ -42,6 +42,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.suffix_dedup import dedup_digests
+    return dedup_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.decontaminate import leaked_pairs
     return leaked_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).selectExpr(
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_mix_sources": op8_mix_sources,
     "op9_html_main_text": op9_html_main_text,

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barlake.llm.common import scratch
 from barlake.session import ship_package
@@ -21,8 +22,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_filter(docs).select(*COLUMNS)
 
 
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays."""
+    from barlake.llm.simhash import keep_first
+    return keep_first(docs).select(*COLUMNS)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes under a 200-byte string that occurs elsewhere go; the documents stay."""
+    from barlake.llm.suffix_dedup import dedup_texts
+    return dedup_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    from barlake.llm.decontaminate import drop_leaked
+    return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    from barlake.llm.mixing import mix_documents
+    return mix_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("simhash_dedup", simhash_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
 ]
 
 #: SQL has no counterpart of the later stages; tests hold run() against brute force.

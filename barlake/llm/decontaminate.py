@@ -220,8 +220,8 @@ def leaked_pairs(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def drop_leaked(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a leaked item, with their columns unchanged; rows are
     told apart by id and text."""
-    keyed = documents.withColumn("_hash", F.xxhash64(text))
-    bad = written(leaked_pairs(keyed, benchmark, id_col, text, carry=("_hash",)).select(
-        F.col(id_col).alias("_bad"), F.col("_hash").alias("_key")).distinct(), "leaked")
-    return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & F.col("_hash").eqNullSafe(F.col("_key")), "left_anti") \
-        .drop("_hash")
+    keyed = documents.withColumn("__tiling_text", F.xxhash64(text))
+    bad = written(leaked_pairs(keyed, benchmark, id_col, text, carry=("__tiling_text",)).select(
+        F.col(id_col).alias("__tiling_id"), F.col("__tiling_text").alias("__tiling_key")).distinct(), "leaked")
+    return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("__tiling_id")) & F.col("__tiling_text").eqNullSafe(F.col("__tiling_key")), "left_anti") \
+        .drop("__tiling_text")

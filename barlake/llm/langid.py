@@ -9,8 +9,8 @@ languages' posterior, with the sum of log odds tempered by the word count.
 
 Learning counts the words of every labelled training row: tasks count their own
 rows first, Spark sums the counts per (language, word), and the n-gram counts come
-from the summed words.  The model keeps the ``TOP_WORDS`` and ``TOP_GRAMS`` most
-frequent of each language, so its size is bounded by the number of languages.
+from the summed words.  The model keeps the most frequent of each language, up to
+``TOP_WORDS`` and ``TOP_GRAMS``, so its size is bounded by the number of languages.
 
 Null texts and texts without a letter are ``und`` with score 0.  Ties go to the
 language that sorts first.  Without a training row every text is ``und``.
@@ -98,12 +98,16 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def _top(counts: DataFrame, unit: str, limit: int) -> list[tuple[str, str, int, int]]:
-    """(lang, unit, n, n of the whole language) of the most frequent units.  Each
-    task cuts its own rows first (the window's group limit), so the languages'
-    final sort sees a bounded number of rows."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), unit))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = counts.withColumn("rank", rank).filter(F.col("rank") <= limit).join(totals, "lang")
+    """(lang, unit, n, n of the whole language) of the most frequent units: all that
+    reach the smallest count that at most ``limit`` units of the language reach.
+    The cut comes from the number of units per count, so no task ranks a language's
+    units; units that tie at the cut go together."""
+    same = counts.groupBy("lang", "n").agg(F.count("*").alias("units"))
+    falling = Window.partitionBy("lang").orderBy(F.desc("n"))
+    cut = same.withColumn("reach", F.sum("units").over(falling)) \
+        .withColumn("total", F.sum(F.col("n") * F.col("units")).over(Window.partitionBy("lang"))) \
+        .filter(F.col("reach") <= limit).groupBy("lang").agg(F.min("n").alias("cut"), F.max("total").alias("total"))
+    top = counts.join(F.broadcast(cut), "lang").filter("n >= cut")  # one row per language: MAX_LANGUAGES at most
     return [tuple(r) for r in top.select("lang", unit, "n", "total").collect()]
 
 
@@ -111,7 +115,7 @@ class Model:
     """Bounded tables of log frequencies: unit -> one score per language."""
 
     def __init__(self, words: list[tuple], grams: list[tuple]):
-        self.languages = sorted({r[0] for r in words})
+        self.languages = sorted({r[0] for r in [*words, *grams]})
         at = {k: i for i, k in enumerate(self.languages)}
         self.words = self._table(words, at)
         self.grams = self._table(grams, at)

@@ -114,7 +114,7 @@ def drawn_counts(sources: DataFrame, seed: int, shard_slots: int, cells: int) ->
     total = sources.agg(F.sum("quota")).first()[0] or 0
     order = Window.orderBy("sid")
     upto = F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    bounds = sources.withColumn("hi", F.round(upto * cells / F.sum("quota").over(Window.partitionBy())).cast("long")) \
+    bounds = sources.filter("quota > 0").withColumn("hi", F.round(upto * cells / F.sum("quota").over(Window.partitionBy())).cast("long")) \
         .withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0))).filter("hi > lo")
     table = bounds.select("sid", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("cell"))
     slots = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total // (1 << 22) + 1)) if total \

@@ -317,7 +317,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     among equal rows any."""
     order = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col("key"))
     leads = written(grouped(df, id_col, text, shingle, radius, blocks).groupBy("group").agg(F.min(order).alias("lead"))
-                    .select(F.col("lead.id").alias("_lead"), F.col("lead.key").alias("_key")).distinct(), "leads")
-    keyed = df.withColumn("_hash", F.xxhash64(text))
-    kept = keyed.join(leads, F.col(id_col).eqNullSafe(F.col("_lead")) & (F.col("_hash") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash")
+                    .select(F.col("lead.id").alias("__simhash_id"), F.col("lead.key").alias("__simhash_key")).distinct(), "leads")
+    keyed = df.withColumn("__simhash_text", F.xxhash64(text))
+    kept = keyed.join(leads, F.col(id_col).eqNullSafe(F.col("__simhash_id")) & (F.col("__simhash_text") == F.col("__simhash_key")), "left_semi")
+    return kept.dropDuplicates([id_col, "__simhash_text"]).drop("__simhash_text")

@@ -300,5 +300,5 @@ def dedup_texts(df: DataFrame, text: str = "text", length: int = LENGTH, **bound
     """All rows and columns, with the repeated bytes gone from the text; a null text
     becomes empty."""
     others = [c for c in df.columns if c != text]
-    return with_removal(df, text, others, _rest, "kept_text string", length, **bounds).withColumnRenamed("kept_text", text) \
+    return with_removal(df, text, others, _rest, "__kept_text string", length, **bounds).withColumnRenamed("__kept_text", text) \
         .select(*df.columns)

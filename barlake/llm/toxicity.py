@@ -404,6 +404,6 @@ def score_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     held = held_out(F.col(id_col), 5, 0)
     rows = written(labelled(documents, labels, ~held, id_col, text), "labelled")
     f = learn(rows)
-    out = tagged(documents.withColumn("_held", held), f, id_col, text, ("_held",))
-    return out.select(id_col, F.col("_held").alias("held_out"), "score",
+    out = tagged(documents.withColumn("__toxicity_held", held), f, id_col, text, ("__toxicity_held",))
+    return out.select(id_col, F.col("__toxicity_held").alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

@@ -172,12 +172,17 @@ def _read_plain(view: View, offset: int) -> Record:
             need = head + size + 8 if head >= 0 else need * 2
 
 
-def _read_at(view: View, offset: int) -> Record:
+def _read_at(view: View, offset: int, packed: bool = False) -> Record:
+    """The record at ``offset``.  In a file of gzip members a bare record can only be
+    seen through a damaged member (a stored block), so its digest must vouch for it."""
     lead = view.at(offset, len(VERSION) + 2)
     if lead.startswith(_MEMBER):
         return _read_member(view, offset)
     if lead.startswith(VERSION):
-        return _read_plain(view, offset)
+        record = _read_plain(view, offset)
+        if packed and "warc-block-digest" not in record.headers:
+            raise Broken("bare record without digest")
+        return record
     raise Broken("no record starts here")
 
 
@@ -201,10 +206,11 @@ def salvage(file, size: int, start: int = 0, stop: int | None = None) -> Iterato
     view = View(file, size)
     stop = size if stop is None else min(stop, size)
     at, bad, reason = start, None, ""
+    packed = view.at(0, 3) == _MEMBER
     owns = start == 0
     while at < stop:
         try:
-            record = _read_at(view, at)
+            record = _read_at(view, at, packed)
         except Broken as e:
             if bad is None:
                 bad, reason = at, str(e)
@@ -219,7 +225,7 @@ def salvage(file, size: int, start: int = 0, stop: int | None = None) -> Iterato
         return
     while at < size:
         try:
-            _read_at(view, at)
+            _read_at(view, at, packed)
             break
         except Broken as e:
             if bad is None:

@@ -1,26 +1,21 @@
 """Structured Streaming forms of resampling, alerting and de-duplication
 (M1–M3; these are extensions — the reference has no stream operators).
 
-Each ``run_*`` helper starts a query with ``trigger(availableNow=True)``,
-writes to a parquet sink under the session's checkpoint folder and returns a
-batch read of the sink, so the same code runs unattended on a cluster and in
-tests.  Sources should be rate-limited (``maxFilesPerTrigger`` /
-``maxBytesPerTrigger``) so a micro-batch — and with it a key's group in the
-stateful operator — stays bounded; state per key is O(1).
+Each ``run_*`` helper starts a query with ``trigger(availableNow=True)`` whose
+micro-batches write to one folder per epoch below the session's checkpoint folder;
+an epoch that is run again overwrites its own folder, so the sink is exact after a
+restart.  Results do not depend on how rows are dealt to files or on the order of
+the files; what arrives later than the stated lateness is counted, never lost.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barlake.functions.timecols import instant_to_wall, wall_to_instant
 from barlake.session import ensure_checkpoint_dir
 
 
@@ -36,89 +31,157 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1
             .parquet(f"{sf_dir}/{table}[.]parquet"))
 
 
-def _run(df: DataFrame, name: str, mode: str) -> DataFrame:
-    spark = df.sparkSession
-    out, chk = _paths(spark, name)
-    if mode == "append":
-        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
-             .outputMode("append").trigger(availableNow=True).start())
-    else:
-        # update mode: each micro-batch's changed rows are appended to the sink
-        def sink(batch: DataFrame, epoch: int) -> None:
-            batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
-        q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", chk)
-             .outputMode("update").trigger(availableNow=True).start())
+def _run(df: DataFrame, chk: str, step: Callable[[DataFrame, int], None]) -> None:
+    q = (df.writeStream.foreachBatch(step).option("checkpointLocation", chk)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+
+
+def _epoch_path(folder: str, epoch: int) -> str:
+    return f"{folder}/epoch={epoch}"
+
+
+def _before(spark: SparkSession, folder: str, epoch: int, schema) -> DataFrame:
+    """What earlier epochs wrote (empty before the first)."""
+    paths = [_epoch_path(folder, e) for e in range(epoch)]
+    there = [p for p in paths if _exists(spark, p)]
+    return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 # --------------------------------------------------------------------------
 # M1: streaming resample
 # --------------------------------------------------------------------------
 
+def partial_bars(ticks: DataFrame, minutes: int) -> DataFrame:
+    """Mergeable bars: the first and last tick with their place, the range, the count."""
+    width = minutes * 60
+    sod = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    start = F.date_trunc("day", "ts") + F.make_dt_interval(secs=(F.floor(sod / width) * width).cast("decimal(18,6)"))
+    place = F.struct("ts", "event_id")
+    return ticks.groupBy("symbol", start.cast("timestamp_ntz").alias("ts_bar")).agg(
+        F.min(F.struct(place.alias("at"), F.col("price"))).alias("first"), F.max("price").alias("high"),
+        F.min("price").alias("low"), F.max(F.struct(place.alias("at"), F.col("price"))).alias("last"),
+        F.sum("late").alias("n_late"))
+
+
+def merged_bars(parts: DataFrame) -> DataFrame:
+    """One bar per symbol and bin from the parts of all epochs."""
+    g = parts.groupBy("symbol", F.col("ts_bar").alias("ts")).agg(
+        F.min("first")["price"].alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max("last")["price"].alias("close"), F.sum("n_late").alias("n_late"))
+    return g.select("symbol", "ts", "open", "high", "low", "close", "n_late")
+
+
 def stream_resample(ticks: DataFrame, minutes: int, lateness: str = "10 minutes") -> DataFrame:
-    """M1: watermarked tumbling-window OHLC on wall-clock (timestamp_ntz) time:
-    bins align to midnight for widths dividing a day, in any session zone."""
-    t = ticks.withColumn("ts", wall_to_instant("ts"))        # event time, zone-free
-    g = (t.withWatermark("ts", lateness)
-         .groupBy("symbol", F.window("ts", f"{minutes} minutes").alias("w"))
-         .agg(F.min_by("price", F.struct("ts", "event_id")).alias("open"), F.max("price").alias("high"),
-              F.min("price").alias("low"), F.max_by("price", F.struct("ts", "event_id")).alias("close")))
-    return g.select("symbol", instant_to_wall(F.col("w.start")).alias("ts"), "open", "high", "low", "close")
+    """M1: tumbling OHLC bars on wall-clock time.  Every micro-batch adds its partial
+    bars to the sink; a reader merges them, so a tick that comes after its bar was
+    first written still counts.  ``n_late`` is the number of ticks of a bar that came
+    more than ``lateness`` behind the newest tick of the epochs before."""
+    spark = ticks.sparkSession
+    out, chk = _paths(spark, f"resample{minutes}")
+    schema = partial_bars(spark.createDataFrame([], ticks.schema).withColumn("late", F.lit(0).cast("long")), minutes).schema
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        newest = _before(spark, out, epoch, schema).agg(F.max("last.at.ts")).first()[0]
+        late = F.lit(0) if newest is None else (
+            F.col("ts") < F.lit(newest).cast("timestamp_ntz") - F.expr(f"interval {lateness}")).cast("int")
+        partial_bars(batch.withColumn("late", late.cast("long")), minutes).write.mode("overwrite").parquet(_epoch_path(out, epoch))
+
+    _run(ticks, chk, step)
+    return merged_bars(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out))
 
 
 def run_stream_resample(spark: SparkSession, sf_dir: str, minutes: int = 5) -> DataFrame:
     ev = read_stream(spark, sf_dir, "events")
     ticks = ev.select(F.col("event_type").alias("symbol"), "ts",
                       (F.lit(10000.0) + F.col("value")).alias("price"), "event_id")
-    res = _run(stream_resample(ticks, minutes), f"resample{minutes}", "update")
-    # the sink holds every update of a window; the latest micro-batch's row is final
-    last = F.max_by(F.struct("open", "high", "low", "close"), "_epoch")
-    return res.groupBy("symbol", "ts").agg(last.alias("r")).select(
-        "symbol", "ts", "r.open", "r.high", "r.low", "r.close")
+    return stream_resample(ticks, minutes).drop("n_late")
 
 
 # --------------------------------------------------------------------------
 # M2: streaming health alerts (stateful)
 # --------------------------------------------------------------------------
 
-ALERT_OUT = T.StructType([
-    T.StructField("strategy", T.LongType()), T.StructField("exit_ts", T.TimestampNTZType()),
-    T.StructField("orderkey", T.LongType()), T.StructField("linenumber", T.IntegerType()),
-    T.StructField("pnl", T.DoubleType()), T.StructField("loss_streak", T.LongType()),
-    T.StructField("dd_ratio", T.DoubleType()), T.StructField("level", T.StringType())])
-ALERT_STATE = T.StructType([T.StructField("streak", T.LongType()), T.StructField("equity", T.DoubleType()),
-                            T.StructField("peak", T.DoubleType())])
+_ORDER = ["exit_ts", "orderkey", "linenumber"]
+_STATE = "strategy long, streak long, equity double, peak double"
 
 
-def _alert_fn(capital: float, dd_limit: float):
+def _level(streak: Column, dd: Column) -> Column:
     from barlake.operators.metrics import HEALTH_LEVELS
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        streak, equity, peak = state.get if state.exists else (0, capital, capital)
-        pdf = pd.concat(list(pdfs)).sort_values(["exit_ts", "orderkey", "linenumber"])
-        out = []
-        for r in pdf.itertuples(index=False):
-            streak = streak + 1 if r.pnl < 0 else 0
-            equity += r.pnl
-            peak = max(peak, equity)
-            dd = (peak - equity) / peak / dd_limit if peak else None
-            level = "green"
-            for name, n, ratio in HEALTH_LEVELS:
-                if streak >= n or (dd is not None and dd >= ratio):
-                    level = name
-                    break
-            out.append((key[0], r.exit_ts, r.orderkey, r.linenumber, r.pnl, streak, dd, level))
-        state.update((streak, equity, peak))
-        yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields])
-    return fn
-
-
-def stream_alerts(trades: DataFrame, capital: float = 500_000.0, dd_limit: float = 0.20) -> DataFrame:
-    """M2: per strategy a running losing streak and drawdown, carried in state
-    across micro-batches; each trade gets its alert level."""
-    return trades.groupBy("strategy").applyInPandasWithState(
-        _alert_fn(capital, dd_limit), ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+    out = F.lit("green")
+    for name, n, ratio in reversed(HEALTH_LEVELS):
+        out = F.when((streak >= n) | (dd >= ratio), name).otherwise(out)
+    return out
+
+
+def alert_rows(trades: DataFrame, state: DataFrame, capital: float, dd_limit: float) -> DataFrame:
+    """Alerts of final trades, each strategy going on from its state (losing streak,
+    equity, peak); ``state`` may lack strategies."""
+    w = Window.partitionBy("strategy").orderBy(*_ORDER)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = trades.join(state, "strategy", "left").fillna(capital, ["equity", "peak"]).fillna(0, ["streak"])
+    x = x.withColumn("_n", F.row_number().over(w)).withColumn("_win", F.max(F.when(~(F.col("pnl") < 0), F.col("_n"))).over(run))
+    x = x.withColumn("loss_streak", F.when(F.col("_win").isNull(), F.col("streak") + F.col("_n")).otherwise(F.col("_n") - F.col("_win")))
+    x = x.withColumn("equity", F.col("equity") + F.sum("pnl").over(run))
+    x = x.withColumn("peak", F.greatest("peak", F.max("equity").over(run)))
+    x = x.withColumn("dd_ratio", F.when(F.col("peak") != 0, (F.col("peak") - F.col("equity")) / F.col("peak") / dd_limit))
+    return x.select("strategy", *_ORDER, "pnl", F.col("loss_streak").cast("long").alias("loss_streak"), "dd_ratio",
+                    _level(F.col("loss_streak"), F.col("dd_ratio")).alias("level"), "equity", "peak")
+
+
+def stream_alerts(trades: DataFrame, capital: float = 500_000.0, dd_limit: float = 0.20,
+                  lateness: str = "36500 days") -> tuple[DataFrame, DataFrame]:
+    """M2: (alerts, late trades).  Trades wait until the newest trade is ``lateness``
+    ahead of them; then they are final, in time order, and move their strategy's state,
+    which holds three numbers.  At the end of the input the waiting trades are final
+    too.  A trade that comes after a later one of any strategy became final is not
+    applied; it is returned among the late ones."""
+    spark = trades.sparkSession
+    base, chk = _paths(spark, "alerts")
+    wait, state, out, late = (f"{base}/{x}" for x in ("wait", "state", "alerts", "late"))
+    seen: dict[str, object] = {"epoch": -1}
+
+    def latest(folder: str, epoch: int, schema) -> DataFrame:
+        path = _epoch_path(folder, epoch - 1)
+        return spark.read.schema(schema).parquet(path) if epoch and _exists(spark, path) else spark.createDataFrame([], schema)
+
+    def settle(pool: DataFrame, cut, epoch: int) -> None:
+        """Trades up to ``cut`` (None: all) become final; the rest waits on."""
+        final = pool if cut is None else pool.where(F.col("exit_ts") <= F.lit(cut).cast("timestamp_ntz"))
+        before = latest(state, epoch, _STATE)
+        done = alert_rows(final, before, capital, dd_limit)
+        done.write.mode("overwrite").parquet(_epoch_path(out, epoch))
+        moved = spark.read.schema(done.schema).parquet(_epoch_path(out, epoch)).groupBy("strategy").agg(
+            F.max_by(F.struct(F.col("loss_streak").alias("streak"), "equity", "peak"), F.struct(*_ORDER)).alias("s")) \
+            .select("strategy", "s.*")
+        before.join(moved.select("strategy"), "strategy", "left_anti").unionByName(moved) \
+            .write.mode("overwrite").parquet(_epoch_path(state, epoch))
+        rest = pool.limit(0) if cut is None else pool.where(F.col("exit_ts") > F.lit(cut).cast("timestamp_ntz"))
+        rest.write.mode("overwrite").parquet(_epoch_path(wait, epoch))
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        held = latest(wait, epoch, trades.schema)
+        settled = _before(spark, out, epoch, alert_rows(batch.limit(0), spark.createDataFrame([], _STATE), capital, dd_limit).schema)
+        done = settled.agg(F.max("exit_ts")).first()[0]
+        tardy = F.lit(False) if done is None else F.col("exit_ts") <= F.lit(done).cast("timestamp_ntz")
+        batch.where(tardy).write.mode("overwrite").parquet(_epoch_path(late, epoch))
+        pool = held.unionByName(batch.where(~tardy))
+        cut = pool.agg((F.max("exit_ts") - F.expr(f"interval {lateness}")).alias("cut")).first()[0]
+        settle(pool, cut, epoch) if cut is not None else settle(pool.limit(0), None, epoch)
+        seen["epoch"] = epoch
+
+    _run(trades, chk, step)
+    last = int(seen["epoch"]) + 1
+    settle(latest(wait, last, trades.schema), None, last)
+    read = lambda folder, like: spark.read.schema(like).option("recursiveFileLookup", True).parquet(folder)
+    alerts = read(out, alert_rows(spark.createDataFrame([], trades.schema), spark.createDataFrame([], _STATE), capital, dd_limit).schema)
+    missed = read(late, trades.schema) if _exists(spark, late) else spark.createDataFrame([], trades.schema)
+    return alerts.drop("equity", "peak"), missed
 
 
 def run_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,22 +189,30 @@ def run_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = li.select(F.col("l_suppkey").alias("strategy"), F.col("l_shipdate").alias("exit_ts"),
                        F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"),
                        (F.col("l_extendedprice") * (F.col("l_discount") - F.lit(0.05))).alias("pnl"))
-    return _run(stream_alerts(trades), "alerts", "append")
+    return stream_alerts(trades)[0]
 
 
 # --------------------------------------------------------------------------
 # M3: streaming de-duplication
 # --------------------------------------------------------------------------
 
-def stream_dedup(docs: DataFrame, horizon: str = "1 hour") -> DataFrame:
-    """M3: drop a document whose content hash was seen within the horizon."""
-    # documents carry no time: the id serves as event time, offset by a day
-    # because an event time equal to the initial watermark (epoch 0) counts as late
-    d = docs.select("doc_id", F.sha2("text", 256).alias("content_hash"),
-                    F.timestamp_seconds(F.col("doc_id") + F.lit(86400)).alias("event_time"))
-    return d.withWatermark("event_time", horizon).dropDuplicatesWithinWatermark(["content_hash"])
+def stream_dedup(docs: DataFrame) -> DataFrame:
+    """M3: (content_hash, doc_id), one row per content hash over the whole stream.
+    A micro-batch adds the hashes that no earlier epoch wrote; the sink is the state,
+    so the guarantee holds without a time horizon and for any arrival order."""
+    spark = docs.sparkSession
+    out, chk = _paths(spark, "dedup")
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    schema = "content_hash string, doc_id long"
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        new = batch.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+        new.join(_before(spark, out, epoch, schema).select("content_hash"), "content_hash", "left_anti") \
+            .select("content_hash", "doc_id").write.mode("overwrite").parquet(_epoch_path(out, epoch))
+
+    _run(hashed, chk, step)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def run_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res = _run(stream_dedup(read_stream(spark, sf_dir, "documents")), "dedup", "append")
-    return res.select("content_hash")
+    return stream_dedup(read_stream(spark, sf_dir, "documents")).select("content_hash")

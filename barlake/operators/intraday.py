@@ -1,24 +1,20 @@
-"""Intraday features and the prior-range breakout strategy (C7, E6, E7, E18,
-F12, G12, H7).
+"""Intraday features and the entries of the prior-range breakout strategy (C7,
+E6, E7, E18, F12, G12).
 
 Daily aggregates per (symbol, trading day) are lagged over the day table and
-joined back to the bars; per-day counters are windows inside one trading day
-(a day holds a bounded number of bars).  Fills and exits (H7) are a small
-event loop per (symbol, trading day) in ``applyInPandas`` — each group is one
-day's bars, so no group grows with the data.
+joined back to the bars; per-day counters and the one entry a day are windows
+inside one trading day (a day holds a bounded number of bars).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from barlake.functions.timecols import hm, seconds_of_day
-from barlake.operators.sequence import rolling, sequence
+from barlake.functions.timecols import seconds_of_day
+from barlake.operators.sequence import rolling
 
 
 def daily_table(bars: DataFrame, keys: Sequence[str], day: str = "trading_day") -> DataFrame:
@@ -32,14 +28,10 @@ def prior_day_features(bars: DataFrame, keys: Sequence[str], day: str = "trading
     range features (distance, HHLL, dis, condition30) joined to every bar."""
     keys = list(keys)
     d = daily_table(bars, keys, day)
-    d, bl = sequence(d, keys, [day], bucket=F.trunc(F.col(day), "year"))
-
-    def st(w):
-        lg = lambda c, n: F.lag(c, n).over(w)
-        return {"closed1": lg("closed", 1), "closed2": lg("closed", 2), "closed3": lg("closed", 3),
-                "highd1": lg("highd", 1), "highd2": lg("highd", 2), "lowd1": lg("lowd", 1),
-                "lowd2": lg("lowd", 2), "opend2": lg("opend", 2)}
-    d = rolling(d, keys, st, 3, block=bl)
+    w = Window.partitionBy(*keys).orderBy(day)      # one row per key and calendar day
+    lags = {"closed1": ("closed", 1), "closed2": ("closed", 2), "closed3": ("closed", 3), "highd1": ("highd", 1),
+            "highd2": ("highd", 2), "lowd1": ("lowd", 1), "lowd2": ("lowd", 2), "opend2": ("opend", 2)}
+    d = d.withColumns({out: F.lag(c, n).over(w) for out, (c, n) in lags.items()})
     c1, c2, c3 = F.col("closed1"), F.col("closed2"), F.col("closed3")
     hd, ld = F.greatest(c1, c2, c3), F.least(c1, c2, c3)
     d = d.withColumns({
@@ -71,8 +63,8 @@ def intraday_counters(bars: DataFrame, keys: Sequence[str], day: str = "trading_
 
 def breakout_orders(x: DataFrame, l_ratio: float = 0.8, s_ratio: float = 0.6) -> DataFrame:
     """Entry orders per bar — direction, contracts and stop price — under
-    the bar-number window 1 < k < 58.  Whether an order is still allowed
-    (one entry a day, E18) depends on fills and is decided in :func:`simulate_day`."""
+    the bar-number window 1 < k < 58.  Whether an order is still allowed (one
+    entry a day, E18) depends on fills and is decided in :func:`breakout_entries`."""
     h, l_, c, o0 = F.col("high"), F.col("low"), F.col("close"), F.col("opend0")
     c1, dist, dc = F.col("closed1"), F.col("distance"), F.col("dcavg3")
     cond30 = F.col("condition30")
@@ -94,101 +86,19 @@ def breakout_orders(x: DataFrame, l_ratio: float = 0.8, s_ratio: float = 0.6) ->
                           "sod": seconds_of_day("ts")})
 
 
-TRADE_SCHEMA = T.StructType([
-    T.StructField("symbol", T.StringType()), T.StructField("trading_day", T.DateType()),
-    T.StructField("side", T.IntegerType()), T.StructField("qty", T.IntegerType()),
-    T.StructField("entry_ts", T.TimestampNTZType()), T.StructField("entry_price", T.DoubleType()),
-    T.StructField("exit_ts", T.TimestampNTZType()), T.StructField("exit_price", T.DoubleType()),
-    T.StructField("reason", T.StringType()), T.StructField("points", T.DoubleType())])
-
-
-def simulate_day(stl: float = 50.0, exit_sod: float = hm(13, 35)):
-    """H7: one trading day's fills and exits (orders act on the next bar)."""
-
-    def highest_bar(vals, n):
-        seg = vals[-n:]
-        best = max(seg)
-        return len(seg) - 1 - max(i for i, v in enumerate(seg) if v == best)
-
-    def lowest_bar(vals, n):
-        seg = vals[-n:]
-        best = min(seg)
-        return len(seg) - 1 - max(i for i, v in enumerate(seg) if v == best)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts").reset_index(drop=True)
-        out = []
-        pos, qty, entry, entry_ts, entry_i, entries = 0, 0, 0.0, None, -1, 0
-        lows, highs = [], []
-        pending_entry = None       # (side, qty, stop) from the previous bar
-        pending_exit = []          # [(kind, qty, price or None)] from the previous bar
-        sym, day = pdf["symbol"].iat[0], pdf["trading_day"].iat[0]
-        for i, r in pdf.iterrows():
-            o, h, l_, c = r["open"], r["high"], r["low"], r["close"]
-            # 1. exits ordered on the previous bar
-            for kind, q, price in pending_exit:
-                if pos == 0:
-                    break
-                fill = None
-                if kind == "stop":
-                    if pos > 0 and l_ <= price:
-                        fill = min(price, o)
-                    elif pos < 0 and h >= price:
-                        fill = max(price, o)
-                else:
-                    fill = o
-                if fill is not None:
-                    n = min(q, qty)
-                    out.append((sym, day, pos, n, entry_ts, entry, r["ts"], fill, kind,
-                                (fill - entry) * (1 if pos > 0 else -1) * n))
-                    qty -= n
-                    if qty == 0:
-                        pos = 0
-            # 2. entry ordered on the previous bar
-            if pending_entry and pos == 0 and entries == 0:
-                side, q, stop = pending_entry
-                fill = (max(stop, o) if h >= stop else None) if side > 0 else (min(stop, o) if l_ <= stop else None)
-                if fill is not None:
-                    pos, qty, entry, entry_ts, entry_i, entries = side, q, fill, r["ts"], i, 1
-                    lows, highs = [], []
-            lows.append(l_)
-            highs.append(h)
-            # 3. orders for the next bar
-            pending_entry, pending_exit = None, []
-            if pos == 0 and entries == 0 and r["order_side"] != 0 and pd.notna(r["order_stop"]):
-                pending_entry = (int(r["order_side"]), int(r["order_qty"]), float(r["order_stop"]))
-            if pos != 0:
-                bse = i - entry_i + 1
-                k = int(r["k"])
-                if pos > 0:
-                    old = highest_bar(lows, bse) > bse * 0.6
-                    sp = entry - stl * (0.5 if (k > 30 and old) else 1.0)
-                    pending_exit.append(("stop", 2, sp))
-                    if l_ > entry and old and len(lows) > 1 and l_ < lows[-2]:
-                        pending_exit.append(("trail", 1, None))
-                else:
-                    old = lowest_bar(highs, bse) > bse * 0.6
-                    sp = entry + stl * (0.5 if (k > 30 and old) else 1.0)
-                    pending_exit.append(("stop", 2, sp))
-                    if h < entry and old and len(highs) > 1 and h > highs[-2]:
-                        pending_exit.append(("trail", 1, None))
-                if r["sod"] >= exit_sod:
-                    pending_exit.append(("time", qty, None))
-        if pos != 0:   # exit on close of the day's last bar
-            last = pdf.iloc[-1]
-            out.append((sym, day, pos, qty, entry_ts, entry, last["ts"], last["close"], "close",
-                        (last["close"] - entry) * (1 if pos > 0 else -1) * qty))
-        return pd.DataFrame(out, columns=[f.name for f in TRADE_SCHEMA.fields])
-    return fn
-
-
-def breakout_trades(bars: DataFrame, keys: Sequence[str] = ("symbol",), l_ratio: float = 0.8,
-                    s_ratio: float = 0.6, stl: float = 50.0, block=None) -> DataFrame:
-    """G12 + H7 on day-session bars carrying ``trading_day``."""
+def breakout_entries(bars: DataFrame, keys: Sequence[str] = ("symbol",), l_ratio: float = 0.8,
+                     s_ratio: float = 0.6, day: str = "trading_day", block=None) -> DataFrame:
+    """G12 + E18 on day-session bars carrying ``day``: the first entry of each key
+    and day.  A bar's order is a stop for the next bar of the day; it fills where
+    that bar reaches the stop, at the stop or at a worse open."""
     keys = list(keys)
-    x = prior_day_features(bars, keys)
-    x = intraday_counters(x, keys, block=block)
-    x = breakout_orders(x, l_ratio, s_ratio)
-    cols = ["symbol", "trading_day", "ts", "open", "high", "low", "close", "k", "order_side", "order_qty",
-            "order_stop", "sod"]
-    return x.select(*cols).groupBy("symbol", "trading_day").applyInPandas(simulate_day(stl), TRADE_SCHEMA)
+    x = breakout_orders(intraday_counters(prior_day_features(bars, keys, day), keys, day, block=block), l_ratio, s_ratio)
+    w = Window.partitionBy(*keys, day).orderBy("ts")
+    x = x.withColumns({f"next_{c}": F.lead(c, 1).over(w) for c in ("ts", "open", "high", "low")})
+    side, stop = F.col("order_side"), F.col("order_stop")
+    price = F.when((side == 1) & (F.col("next_high") >= stop), F.greatest(stop, F.col("next_open"))) \
+        .when((side == -1) & (F.col("next_low") <= stop), F.least(stop, F.col("next_open")))
+    filled = x.withColumn("entry_price", price).where(F.col("entry_price").isNotNull())
+    first = filled.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return first.select(*keys, day, F.col("ts").alias("order_ts"), F.col("next_ts").alias("entry_ts"),
+                        F.col("order_side").alias("side"), F.col("order_qty").alias("qty"), "entry_price", "k")

@@ -100,6 +100,8 @@ def metrics_all(bt: DataFrame, keys: Sequence[str], ts: str = "ts", pnl: str = "
 # Screening gates of the reference configuration (fixed values)
 SCREEN_GATE = {"sharpe_min": 1.2, "max_drawdown_max": 0.35, "profit_factor_min": 1.0,
                "min_trades": 80}
+# the gate of the admission rules
+ADMISSION_GATE = {**SCREEN_GATE, "profit_factor_min": 1.3}
 STRICT_GATE = {"sharpe_min": 1.5, "max_drawdown_max": 0.20, "profit_factor_min": 2.0,
                "min_trades": 100, "oos_is_ratio_min": 0.60}
 

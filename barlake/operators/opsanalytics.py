@@ -154,12 +154,24 @@ def metric_regression(metrics: DataFrame, keys: Sequence[str], order: str, value
                                 "regressed": F.coalesce(prev - F.col(value) > max_fall, F.lit(False))})
 
 
-def classify_failure(m: DataFrame, gate: dict) -> Column:
-    """One reason per failed result (first failing rule in a fixed order)."""
-    return (F.when(F.col("total_trades") < gate["min_trades"], F.lit("insufficient_trades"))
-            .when(F.coalesce(F.col("sharpe") < gate["sharpe_min"], F.lit(False)), F.lit("low_sharpe"))
-            .when(F.col("max_drawdown") > gate["max_drawdown_max"], F.lit("high_drawdown"))
-            .when(F.col("profit_factor") < gate["profit_factor_min"], F.lit("low_profit_factor")))
+# Failure reasons of the steps before the metrics
+STEP_REASONS = {"validation": "el_syntax_error", "compile": "mc_compile_error", "budget": "budget_exhausted",
+                "timeout": "llm_timeout"}
+
+
+def classify_failure(m: DataFrame, gate: dict, failed_step: Column | None = None) -> Column:
+    """One reason per failed result.  A step that failed comes first (a step
+    without a reason of its own is ``unknown``), then the metrics in fixed order."""
+    by_metric = (F.when(F.col("total_trades") < gate["min_trades"], F.lit("insufficient_trades"))
+                 .when(F.coalesce(F.col("sharpe") < gate["sharpe_min"], F.lit(False)), F.lit("low_sharpe"))
+                 .when(F.col("max_drawdown") > gate["max_drawdown_max"], F.lit("high_drawdown"))
+                 .when(F.col("profit_factor") < gate["profit_factor_min"], F.lit("low_profit_factor")))
+    if failed_step is None:
+        return by_metric
+    by_step = F.lit("unknown")
+    for step, reason in STEP_REASONS.items():
+        by_step = F.when(failed_step == step, reason).otherwise(by_step)
+    return F.when(failed_step.isNotNull(), by_step).otherwise(by_metric)
 
 
 def latest_per_key(parent: DataFrame, child: DataFrame, key: str, order: Sequence[str],

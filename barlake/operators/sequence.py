@@ -82,12 +82,6 @@ def as_blocking(block: int | Blocking | None) -> Blocking:
 # ordinals
 # --------------------------------------------------------------------------
 
-# Longest key per (application, input plan, keys).  A stale entry can only make
-# the blocking shallower than needed: deep keys then raise at the top level or
-# run in larger groups; results stay correct.
-_MAX_LEN_MEMO: dict[tuple, int] = {}
-
-
 def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
              bucket: Column | None = None, block: int = DEFAULT_BLOCK,
              max_len: int | None = None) -> tuple[DataFrame, Blocking]:
@@ -100,10 +94,7 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     """
     keys = list(keys)
     if max_len is None:
-        memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys))
-        if memo not in _MAX_LEN_MEMO:
-            _MAX_LEN_MEMO[memo] = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        max_len = _MAX_LEN_MEMO[memo]
+        max_len = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     bl = plan_blocking(max(int(max_len), 1), block)
     if bl.depth == 0:
         order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
@@ -112,6 +103,14 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return with_ordinal(df, keys, order, bucket), bl
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which null keys match each other, as they do in a window's
+    partitions; the right side's keys are dropped."""
+    named = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(named, cond, how).drop(*[f"_on_{c}" for c in on])
+
+
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                  bucket: Column | None = None) -> DataFrame:
     """Add ``_ord`` for keys of any length.
@@ -132,7 +131,7 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     wc = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"))
-    out = b.join(offs, [*keys, "_bkt"], "inner")
+    out = null_safe_join(b, offs, [*keys, "_bkt"], "inner")
     return out.withColumn(ORD, (F.col("_off") + F.col("_rn")).cast("long")).drop("_bkt", "_rn", "_off")
 
 
@@ -413,7 +412,7 @@ def _scan_level(x: DataFrame, keys, parts, cols, exclusive, bl: Blocking, level:
     summ = _scan_level(summ, keys, parts, cols, set(), bl, level + 1)
     carry = summ.select(*keys, (F.col(ORD) + F.lit(1)).alias("_blk"),
                         *[F.col(c).alias(f"_c_{c}") for c in names], F.lit(True).alias("_hasc"))
-    x = x.join(carry, [*keys, "_blk"], "left")
+    x = null_safe_join(x, carry, [*keys, "_blk"], "left")
     applied = {}
     for name, (m, cur) in _group_maps(parts).items():
         car = {f: F.col(f"_c_{_fname(name, m, f)}") for f in m.fields}

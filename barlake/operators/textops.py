@@ -54,18 +54,22 @@ def strip_ws(x) -> Column:
     return F.regexp_replace(c(x), r"^(?U)\s+|(?U)\s+$", "")
 
 
-def extract_title(html_col, clip: int = 200) -> Column:
-    """K1: first <title>, whitespace collapsed, entities decoded, stripped, 200 chars."""
+def clipped(x: Column, clip: int | None) -> Column:
+    """The first ``clip`` characters (None: the whole text)."""
+    return x if clip is None else F.substring(x, 1, clip)
+
+
+def extract_title(html_col, clip: int | None = None) -> Column:
+    """K1: first <title>, whitespace collapsed, entities decoded, stripped."""
     t = F.regexp_extract(c(html_col), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.substring(strip_ws(html_unescape(collapse_ws(t))), 1, clip)
+    return clipped(strip_ws(html_unescape(collapse_ws(t))), clip)
 
 
-def extract_text(html_col, clip: int = 6000) -> Column:
-    """K2: drop script/style blocks and tags, decode, collapse, strip, clip."""
+def extract_text(html_col, clip: int | None = None) -> Column:
+    """K2: drop script/style blocks and tags, decode, collapse, strip."""
     t = F.regexp_replace(c(html_col), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    t = strip_ws(collapse_ws(html_unescape(t)))
-    return F.substring(t, 1, clip)
+    return clipped(strip_ws(collapse_ws(html_unescape(t))), clip)
 
 
 def dedent_strip(x) -> Column:
@@ -81,13 +85,13 @@ def dedent_strip(x) -> Column:
 
 def fenced_block(text, langs=("easylanguage", "powerlanguage", "el", ""), fallback_whole=True) -> Column:
     """K3: the first fence by language priority (``''`` = bare fence), dedented;
-    empty → the whole text (``fallback_whole``) or ''."""
+    empty → the whole text, stripped (``fallback_whole``) or ''."""
     cands = []
     for lang in langs:
         pat = rf"(?is)```{lang}\s*\n(.*?)```" if lang else r"(?s)```\s*\n(.*?)```"
         cands.append(F.nullif(dedent_strip(F.regexp_extract(c(text), pat, 1)), F.lit("")))
     out = F.coalesce(*cands)
-    return F.coalesce(out, c(text) if fallback_whole else F.lit(""))
+    return F.coalesce(out, strip_ws(c(text)) if fallback_whole else F.lit(""))
 
 
 def json_payload(text) -> dict[str, Column]:
@@ -139,20 +143,27 @@ def required_tokens(code) -> Column:
 
 
 def strip_non_ascii_comments(code) -> Column:
-    """K7: per line drop ``//`` comment lines holding non-ASCII text, cut other
-    ``//`` comments holding non-ASCII, remove ``{…}`` comments; join with CRLF."""
-    lines = F.split(F.regexp_replace(c(code), r"\{[^}]*\}", ""), r"\r?\n")
-    non_ascii = r"[^\x00-\x7F]"
-
-    def fix(l):
-        cpos = F.locate("//", l)
-        comment = F.when(cpos > 0, F.substring(l, cpos, 1 << 30))
-        cut = F.when((cpos > 0) & F.regexp_like(comment, F.lit(non_ascii)),
-                     F.rtrim(F.substring(l, 1, cpos - 1))).otherwise(l)
-        return cut
-    kept = F.filter(lines, lambda l: ~(F.startswith(F.ltrim(l), F.lit("//"))
-                                       & F.regexp_like(l, F.lit(non_ascii))))
-    return F.array_join(F.transform(kept, fix), "\r\n")
+    """K7, line by line, for lines that hold a non-ASCII character: a ``//`` comment
+    line goes, another line is cut at its first ``//``, and if it still holds one,
+    its ``{…}`` comments go.  Lines without such a character stay as they are; the
+    result is joined with CRLF."""
+    lines = F.split(F.regexp_replace(c(code), r"(\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")
+
+    def foreign(l):
+        return F.regexp_like(l, F.lit(r"[^\x00-\x7F]"))
+
+    def rstrip(l):
+        return F.regexp_replace(l, r"\s+\z", "")
+
+    def cut(l):
+        at = F.locate("//", l)
+        return F.when((at > 0) & foreign(l), rstrip(F.substring(l, F.lit(1), at - 1))).otherwise(l)
+
+    def uncomment(l):
+        return F.when(F.contains(l, F.lit("{")) & F.contains(l, F.lit("}")) & foreign(l),
+                      rstrip(F.regexp_replace(l, r"\{[^}]*\}", ""))).otherwise(l)
+    kept = F.filter(lines, lambda l: ~(F.regexp_like(l, F.lit(r"^\s*//")) & foreign(l)))
+    return F.array_join(F.transform(F.transform(kept, cut), uncomment), "\r\n")
 
 
 # --------------------------------------------------------------------------
@@ -245,15 +256,20 @@ def normalise_error(msg) -> Column:
             .otherwise(F.lit("OTHER")))
 
 
+# Spellings of an absent number
+NO_NUMBER = ["", "—", "-", "N/A", "n/a"]
+
+
 def parse_report_number(s) -> Column:
-    """K11: '$1,234', '(234)', '-26.52%', '—', 'N/A' → double; a leading minus
-    followed by '$' is not a number (null)."""
-    t = F.trim(c(s))
-    neg = F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")"))
-    core = F.regexp_replace(t, r"[,$%()\s]", "")
-    v = core.try_cast("double")
-    bad = t.isin("", "—", "-", "–", "N/A", "n/a", "NA") | F.startswith(t, F.lit("-$"))
-    return F.when(bad, F.lit(None).cast("double")).otherwise(F.when(neg, -v).otherwise(v))
+    """K11: '$1,234', '(234)', '-26.52%' → double.  Quotes and commas go, round
+    brackets mean a negative number, one end's dollar signs and the other's percent
+    signs go; anything else is null."""
+    t = F.replace(F.regexp_replace(F.trim(c(s)), r'^"+|"+$', ""), F.lit(","), F.lit(""))
+    negative = F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")"))
+    core = F.regexp_replace(t, r"^[()]+|[()]+$", "")
+    core = F.trim(F.regexp_replace(F.regexp_replace(core, r"^\$+", ""), "%+$", ""))
+    number = F.when(F.regexp_like(core, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), core).try_cast("double")
+    return F.when(t.isin(*NO_NUMBER), F.lit(None).cast("double")).otherwise(F.when(negative, -number).otherwise(number))
 
 
 def safe_name(s) -> Column:
@@ -261,12 +277,20 @@ def safe_name(s) -> Column:
     return F.regexp_replace(c(s), r"[^\p{L}\p{N}_-]", "_")
 
 
-def summarise_code(code, lines: int = 8, clip: int = 300) -> Column:
-    """From ``def generate_signals`` on, the first non-blank lines joined by ' | '."""
-    body = F.regexp_extract(c(code), r"(?s)(def generate_signals.*)", 1)
-    src = F.when(body == "", c(code)).otherwise(body)
-    ls = F.filter(F.transform(F.split(src, "\n"), lambda l: F.trim(l)), lambda l: l != "")
-    return F.substring(F.array_join(F.slice(ls, 1, lines), " | "), 1, clip)
+# The text for a script without the function, and the reference's bounds
+NO_SUMMARY = "(無法擷取摘要)"
+SUMMARY_LINES, SUMMARY_CHARS = 8, 300
+
+
+def summarise_code(code, lines: int | None = None, clip: int | None = None) -> Column:
+    """The non-blank lines of ``generate_signals`` up to the next method or
+    class, joined by ' | '; a text above ``clip`` characters is cut there and marked."""
+    body = F.regexp_extract(c(code), r"(?s)(def generate_signals.*?)(\n    def |\nclass |\z)", 1)
+    ls = F.filter(F.transform(F.split(body, r"\r\n|\n|\r"), lambda l: F.regexp_replace(l, r"\s+\z", "")), lambda l: l != "")
+    text = F.array_join(ls if lines is None else F.slice(ls, 1, lines), " | ")
+    if clip is not None:
+        text = F.concat(F.substring(text, 1, clip), F.when(F.length(text) > clip, "...").otherwise(""))
+    return F.when(body == "", NO_SUMMARY).otherwise(text)
 
 
 def effective_lines(code) -> Column:
@@ -275,9 +299,18 @@ def effective_lines(code) -> Column:
     return F.size(F.filter(ls, lambda l: (l != "") & ~F.startswith(l, F.lit("//"))))
 
 
-def fail_record_text(name, reason, metrics_json) -> Column:
-    """One formatted failure entry."""
-    return F.format_string("- %s: %s (%s)", c(name), c(reason), F.coalesce(c(metrics_json), F.lit("{}")))
+# Labels of a failure record
+RECORD_STRATEGY, RECORD_SUMMARY, RECORD_FAILED, RECORD_JOIN = "策略", "設計摘要", "失敗", "、"
+
+
+def fail_record_text(date, kind, direction, timeframe, name, summary, reasons) -> Column:
+    """One failure record: a heading with date, type, direction and timeframe,
+    then strategy, summary and the reasons (an array)."""
+    head = F.concat(F.lit("\n## "), F.date_format(c(date), "yyyy-MM-dd HH:mm"), F.lit(" "),
+                    F.concat_ws(" / ", c(kind), c(direction), c(timeframe)), F.lit("\n"))
+    line = lambda label, v: F.concat(F.lit(f"- {label}："), v, F.lit("\n"))
+    return F.concat(head, line(RECORD_STRATEGY, c(name)), line(RECORD_SUMMARY, c(summary)),
+                    line(RECORD_FAILED, F.array_join(c(reasons), RECORD_JOIN)))
 
 
 # --------------------------------------------------------------------------

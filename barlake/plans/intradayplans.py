@@ -15,16 +15,18 @@ from barlake.sources import fixtures as fx
 KEYS = ["symbol"]
 
 
-def _day_bars5(spark, sf_dir):
+def _plain_bars5(spark, sf_dir):
     b = br.resample_ohlc(fx.minute_bars(spark, sf_dir), "5m", KEYS)
     b = b.where(ss.is_day("ts"))                           # B5 data view: day session
-    b = b.withColumn("trading_day", F.to_date("ts"))       # C2 for day-session bars
-    return sequence(b, KEYS, ["ts"])
+    return b.withColumn("trading_day", F.to_date("ts"))    # C2 for day-session bars
+
+
+def _day_bars5(spark, sf_dir):
+    return sequence(_plain_bars5(spark, sf_dir), KEYS, ["ts"])
 
 
 def prior_day_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, _ = _day_bars5(spark, sf_dir)
-    x = it.prior_day_features(b, KEYS)
+    x = it.prior_day_features(_plain_bars5(spark, sf_dir), KEYS)
     return round_doubles(x.select("symbol", "ts", "closed1", "closed2", "closed3", "highd1", "highd2", "lowd1",
                                   "lowd2", "opend2", "opend0", "dcavg3", "distance", "hhll", "dis",
                                   "condition30"))
@@ -36,9 +38,10 @@ def intraday_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(x.select("symbol", "ts", "k", "highd0", "lowd0", "n_hh", "n_ll"))
 
 
-def intraday_breakout_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def breakout_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12 + E18: the first filled breakout entry of each symbol and day."""
     b, bl = _day_bars5(spark, sf_dir)
-    return round_doubles(it.breakout_trades(b, KEYS, block=bl))
+    return round_doubles(it.breakout_entries(b, KEYS, block=bl))
 
 
 def session_rules_daytrade_day(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -814,7 +814,8 @@ FROM ranked WHERE rank <= 2"""
 
 LAYERED = f"""{DEV},
 meta AS (SELECT q.id AS qid, c.id AS id, list_cosine_similarity(q.meta, c.meta) AS ms
-  FROM dev q JOIN dev c ON q.id <> c.id AND c.trading_session = q.trading_session AND NOT c.overfitting_flag),
+  FROM dev q JOIN dev c ON q.id <> c.id AND c.trading_session = q.trading_session
+  AND c.logic_type = q.logic_type AND NOT c.overfitting_flag),
 meta20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ms DESC, id) AS r FROM meta) WHERE r <= 20),
 sem AS (SELECT m.qid, m.id, list_cosine_similarity(q.sem, c.sem) AS similarity, c.sharpe, c.sem
   FROM meta20 m JOIN dev c ON c.id = m.id JOIN dev q ON q.id = m.qid),
@@ -922,7 +923,7 @@ def _text(h: str = "html") -> str:
     t = f"regexp_replace({h}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
     t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
     t = f"trim(regexp_replace({unescape_sql(t)}, '\\s+', ' ', 'g'))"
-    return f"substring({t}, 1, 6000)"
+    return t
 
 
 PAGES = f"""pg AS (SELECT page_id, url, {_title()} AS title, {_text()} AS text FROM pages)"""
@@ -1012,32 +1013,53 @@ def _dedent_strip_sql(x: str) -> str:
     return f"regexp_replace({body}, '^\\s+|\\s+$', '', 'g')"
 
 
+# Required interface tokens and the messages of the check (K6)
+_REQUIRED = [
+    ("BaseStrategy", "missing BaseStrategy base class"), ("NAME", "missing NAME class attribute"),
+    ("PARAMS", "missing PARAMS class attribute"), ("CATEGORY", "missing CATEGORY class attribute"),
+    ("HOLDING_TYPE", "missing HOLDING_TYPE class attribute (daytrade / swing)"),
+    ("TIMEFRAME", 'missing TIMEFRAME class attribute (e.g. TIMEFRAME = "15min")'),
+    ("generate_signals", "missing generate_signals() method"), ("metadata", "missing metadata() method"),
+    ("validate_params", "missing validate_params() method"),
+    ("shift(1)", "generate_signals() must call shift(1) to avoid look-ahead")]
+
+# documents as scripts: comments of every kind, and for even ids the method that is summarised
+SCRIPTS = """sc AS (SELECT doc_id, source, text || chr(10) || '// note é' || chr(10) || 'x = 1 // tail ü' || chr(13) || chr(10)
+  || 'buy {' || lang || ' ñ} now // ok ö' || chr(10) || 'sell {ß} next' || chr(10) || 'keep {this} // ascii' || chr(10) || '{open é'
+  || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'class A:' || chr(10) || '    NAME = "' || source || '"' || chr(10)
+     || '    def generate_signals(self):' || chr(10) || '        ' || text || '  ' || chr(10) || chr(10) || '        return 1' || chr(10)
+     || '    def other(self):' || chr(10) || '        pass' ELSE '' END AS code FROM documents)"""
+
+
 def script_checks_q() -> str:
     def attr(key, default):
-        v = f"regexp_extract(text, '{key}\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)"
+        v = f"regexp_extract(code, '{key}\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)"
         return f"CASE WHEN {v} = '' THEN '{default}' ELSE {v} END"
-    from barlake.operators.textops import REQUIRED_TOKENS
-    msgs = ", ".join(f"CASE WHEN NOT contains(text, '{t}') THEN '{m.replace(chr(39), chr(39) * 2)}' END"
-                     for t, m in REQUIRED_TOKENS)
-    eff = ("len(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), "
+    msgs = ", ".join(f"CASE WHEN NOT contains(code, '{t}') THEN '{m.replace(chr(39), chr(39) * 2)}' END"
+                     for t, m in _REQUIRED)
+    eff = ("len(list_filter(list_transform(string_split(code, chr(10)), lambda l: trim(l)), "
            "lambda l: l <> '' AND NOT starts_with(l, '//')))")
-    lines = "string_split_regex(regexp_replace(text, '\\{[^}]*\\}', '', 'g'), '\\r?\\n')"
-    kept = (f"list_filter({lines}, lambda l: NOT (starts_with(ltrim(l), '//') "
-            f"AND regexp_matches(l, '[^\\x00-\\x7F]')))")
-    fix = ("lambda l: CASE WHEN instr(l, '//') > 0 AND regexp_matches(substring(l, instr(l, '//')), '[^\\x00-\\x7F]') "
-           "THEN rtrim(substring(l, 1, instr(l, '//') - 1)) ELSE l END")
-    stripped = f"length(array_to_string(list_transform({kept}, {fix}), chr(13) || chr(10)))"
-    body = "regexp_extract(text, '(?s)(def generate_signals.*)', 1)"
-    src = f"CASE WHEN {body} = '' THEN text ELSE {body} END"
-    summ = (f"substring(array_to_string(list_slice(list_filter(list_transform(string_split({src}, chr(10)), "
-            f"lambda l: trim(l)), lambda l: l <> ''), 1, 8), ' | '), 1, 300)")
-    return f"""SELECT doc_id, {attr('NAME', 'Unknown')} AS name, {attr('CATEGORY', 'unknown')} AS category,
+    foreign = "regexp_matches(l, '[^\\x00-\\x7F]')"
+    lines = "string_split_regex(regexp_replace(code, '(\\r\\n|\\n|\\r)$', ''), '\\r\\n|\\n|\\r')"
+    kept = f"list_filter({lines}, lambda l: NOT (regexp_matches(l, '^\\s*//') AND {foreign}))"
+    cut = (f"lambda l: CASE WHEN contains(l, '//') AND {foreign} "
+           "THEN regexp_replace(substring(l, 1, instr(l, '//') - 1), '\\s+$', '') ELSE l END")
+    bare = (f"lambda l: CASE WHEN contains(l, '{{') AND contains(l, '}}') AND {foreign} "
+            "THEN regexp_replace(regexp_replace(l, '\\{[^}]*\\}', '', 'g'), '\\s+$', '') ELSE l END")
+    stripped = f"array_to_string(list_transform(list_transform({kept}, {cut}), {bare}), chr(13) || chr(10))"
+    body = "regexp_extract(code, '(?s)(def generate_signals.*?)(\\n    def |\\nclass |\\z)', 1)"
+    full = (f"array_to_string(list_slice(list_filter(list_transform(string_split_regex({body}, '\\r\\n|\\n|\\r'), "
+            f"lambda l: regexp_replace(l, '\\s+$', '')), lambda l: l <> ''), 1, 8), ' | ')")
+    summ = (f"CASE WHEN {body} = '' THEN '(無法擷取摘要)' ELSE substring({full}, 1, 300) || "
+            f"CASE WHEN length({full}) > 300 THEN '...' ELSE '' END END")
+    return f"""WITH {SCRIPTS}
+SELECT doc_id, {attr('NAME', 'Unknown')} AS name, {attr('CATEGORY', 'unknown')} AS category,
   {attr('TIMEFRAME', '1min')} AS timeframe, {attr('HOLDING_TYPE', 'daytrade')} AS holding_type,
   array_to_string(list_filter([{msgs}], lambda x: x IS NOT NULL), '; ') AS missing,
   CAST({eff} AS INTEGER) AS effective_lines,
   regexp_replace(source, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') AS safe_source,
-  CAST({stripped} AS INTEGER) AS stripped_chars, {summ} AS summary
-FROM documents"""
+  sha256({stripped}) AS stripped_hash, {summ} AS summary
+FROM sc"""
 
 
 OUTPUTS = """o0 AS (SELECT conv_id, turn, text AS source_text,
@@ -1306,19 +1328,18 @@ FROM o FULL OUTER JOIN p ON o.url = p.url"""
 
 
 def admission_q() -> str:
-    met = ma_cross_backtest_metrics()
-    summ = wfa_summary_q()
-    return f"""WITH m AS ({met}), s AS ({summ}),
-x AS (SELECT m.*, s.avg_is_sharpe, s.avg_oos_sharpe, s.n_windows FROM m LEFT JOIN s ON s.symbol = m.symbol),
-y AS (SELECT *, CASE WHEN avg_is_sharpe > 0 THEN avg_oos_sharpe / avg_is_sharpe END AS oi,
-  CASE WHEN avg_is_sharpe <= 0 THEN true ELSE coalesce(avg_oos_sharpe / avg_is_sharpe < 0.6, true) END AS over FROM x),
-z AS (SELECT *, coalesce(sharpe >= 1.5, false) AND max_drawdown <= 0.2 AND profit_factor >= 2.0
-  AND total_trades >= 100 AND coalesce(oi >= 0.6, false) AS strict FROM y)
-SELECT symbol, passed AS screen_passed, strict AS strict_passed, over AS overfit, over AND passed AS review_queue,
-  passed AND coalesce(n_windows, 0) > 0 AND strict AS admitted,
-  coalesce(CASE WHEN total_trades < 80 THEN 'insufficient_trades' WHEN coalesce(sharpe < 1.2, false) THEN 'low_sharpe'
-    WHEN max_drawdown > 0.35 THEN 'high_drawdown' WHEN profit_factor < 1.0 THEN 'low_profit_factor' END, 'passed')
-    AS failure_reason FROM z"""
+    return """WITH x AS (SELECT vec_id AS strategy_id, (vec_id % 37) / 10.0 AS sharpe, (vec_id % 51) / 100.0 AS max_drawdown,
+  (vec_id % 23) / 10.0 + 0.8 AS profit_factor, vec_id % 91 + 60 AS total_trades, (vec_id % 37) / 10.0 AS is_sharpe,
+  (vec_id % 37) * (vec_id % 11) / 100.0 AS oos_sharpe, vec_id % 8 AS n_windows,
+  CASE vec_id % 29 WHEN 0 THEN 'el_syntax_error' WHEN 1 THEN 'mc_compile_error' WHEN 2 THEN 'budget_exhausted'
+    WHEN 3 THEN 'llm_timeout' WHEN 4 THEN 'unknown' END AS step_reason FROM embeddings),
+y AS (SELECT *, sharpe >= 1.2 AND max_drawdown <= 0.35 AND profit_factor >= 1.3 AND total_trades >= 80 AS screen,
+  CASE WHEN is_sharpe <= 0 THEN true ELSE oos_sharpe / is_sharpe < 0.6 END AS over FROM x)
+SELECT strategy_id, screen AS screen_passed, over AS overfit, screen AND n_windows > 0 AND step_reason IS NULL AS admitted,
+  screen AND n_windows > 0 AND step_reason IS NULL AND over AS review_queue,
+  coalesce(step_reason, CASE WHEN total_trades < 80 THEN 'insufficient_trades' WHEN sharpe < 1.2 THEN 'low_sharpe'
+    WHEN max_drawdown > 0.35 THEN 'high_drawdown' WHEN profit_factor < 1.3 THEN 'low_profit_factor' END, 'passed')
+    AS failure_reason FROM y"""
 
 
 # --------------------------------------------------------------------------
@@ -1488,6 +1509,37 @@ SELECT symbol, ts, CAST(row_number() OVER (PARTITION BY symbol, trading_day ORDE
   sum(coalesce(CAST(low < l1 AS INTEGER), 0)) OVER {wd} AS n_ll FROM x""", ["highd0", "lowd0"])
 
 
+def breakout_entries_q() -> str:
+    wd = "(PARTITION BY symbol, trading_day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return rounded(f"""WITH {_bars5()},
+x0 AS (SELECT *, lag(high) OVER ws AS h1, lag(low) OVER ws AS l1, lag(close) OVER ws AS c1
+  FROM b5 WINDOW ws AS (PARTITION BY symbol ORDER BY ts)),
+x AS (SELECT *, row_number() OVER (PARTITION BY symbol, trading_day ORDER BY ts) AS k,
+  max(high) OVER {wd} AS highd0, min(low) OVER {wd} AS lowd0,
+  sum(coalesce(CAST(high > h1 AS INTEGER), 0)) OVER {wd} AS n_hh,
+  sum(coalesce(CAST(low < l1 AS INTEGER), 0)) OVER {wd} AS n_ll,
+  lead(ts) OVER wn AS nts, lead(open) OVER wn AS nopen, lead(high) OVER wn AS nhigh, lead(low) OVER wn AS nlow
+  FROM x0 WINDOW wn AS (PARTITION BY symbol, trading_day ORDER BY ts)),
+y AS (SELECT x.*, d.*EXCLUDE (symbol, trading_day), coalesce(d.dis / d.hhll > 0.333, false) AS c30 FROM x
+  LEFT JOIN df d ON d.symbol = x.symbol AND d.trading_day = x.trading_day),
+z AS (SELECT *, CASE
+  WHEN coalesce(k > 1 AND k < 58 AND high > closed1 + distance * 0.8 AND (low + close) / 2 > greatest(opend, dcavg3)
+    AND opend > closed1 - distance * 0.6 AND close > c1
+    AND low > CASE WHEN c30 THEN 0.0 ELSE greatest(highd1, highd2) END, false) THEN 1
+  WHEN coalesce(k > 1 AND k < 58 AND low < closed1 - distance * 0.6 AND (high + close) / 2 < least(opend, dcavg3)
+    AND opend < closed1 + distance * 0.8 AND close < c1
+    AND high < CASE WHEN c30 THEN 9999999.0 ELSE least(lowd1, lowd2) END, false) THEN -1 ELSE 0 END AS side FROM y),
+o AS (SELECT *, CASE side WHEN 1 THEN CASE WHEN n_hh >= k * 0.5 THEN 2 ELSE 1 END
+    WHEN -1 THEN CASE WHEN n_ll >= k * 0.5 THEN 2 ELSE 1 END END AS qty,
+  CASE side WHEN 1 THEN CASE WHEN k > 30 OR c30 THEN highd0 ELSE high END
+    WHEN -1 THEN CASE WHEN k > 30 OR c30 THEN lowd0 ELSE low END END AS stop FROM z WHERE side <> 0),
+f AS (SELECT *, CASE WHEN side = 1 THEN greatest(stop, nopen) ELSE least(stop, nopen) END AS entry_price FROM o
+  WHERE (side = 1 AND nhigh >= stop) OR (side = -1 AND nlow <= stop))
+SELECT symbol, trading_day, ts AS order_ts, nts AS entry_ts, CAST(side AS INTEGER) AS side, CAST(qty AS INTEGER) AS qty,
+  entry_price, CAST(k AS INTEGER) AS k FROM f
+QUALIFY row_number() OVER (PARTITION BY symbol, trading_day ORDER BY ts) = 1""", ["entry_price"])
+
+
 def recent_failures_q() -> str:
     return f"""WITH {CALLS}
 SELECT call_id, request, provider, created_at FROM calls WHERE NOT success
@@ -1622,8 +1674,10 @@ SELECT *, coalesce(stop_points <= CASE holding_type WHEN 'daytrade' THEN 150.0 W
 
 def fail_records_q() -> str:
     return f"""WITH {VLOG}
-SELECT log_id, printf('- %s: %s (%s)', CAST(strategy_id AS VARCHAR), error_pattern, coalesce(message, '{{}}')) AS record
-FROM vp WHERE NOT passed"""
+SELECT v.log_id, chr(10) || '## ' || strftime(e.ts, '%Y-%m-%d %H:%M') || ' ' || e.event_type || ' / '
+  || CASE WHEN v.layer = 1 THEN 'long' ELSE 'both' END || ' / 1min' || chr(10) || '- 策略：' || CAST(v.strategy_id AS VARCHAR) || chr(10)
+  || '- 設計摘要：' || v.message || chr(10) || '- 失敗：' || v.error_pattern || '、layer ' || CAST(v.layer AS VARCHAR) || chr(10) AS record
+FROM vp v JOIN events e ON e.event_id = v.log_id WHERE NOT v.passed"""
 
 
 def critique_checks_q() -> str:

@@ -138,7 +138,7 @@ register("embed_documents", extraplans.embed_documents)
 
 register("prior_day_features", intradayplans.prior_day_features, oracle.prior_day_features_q())
 register("intraday_counters", intradayplans.intraday_counters, oracle.intraday_counters_q())
-register("intraday_breakout_trades", intradayplans.intraday_breakout_trades)
+register("breakout_entries", intradayplans.breakout_entries, oracle.breakout_entries_q())
 
 for _n in ["price_jumps", "recall_at_5", "mrr", "page_title", "page_text", "fenced_block"]:
     register(_n, getattr(extraplans, _n), getattr(oracle, f"{_n}_q")())

@@ -35,7 +35,7 @@ def _layered(spark, sf_dir):
     pool = d.where(~F.col("overfitting_flag"))                      # collection-wide filter
     q = _queries(spark, sf_dir, "metadata_vector")
     meta = rv.vector_topk(q, pool, 20, c_vec="metadata_vector",
-                          match=[("q_session", "trading_session")], exclude_self=True)
+                          match=[("q_session", "trading_session"), ("q_logic", "logic_type")], exclude_self=True)
     # Candidates joined back for the semantic stage (≤ 20 per query)
     c = (meta.select("qid", "id")
          .join(d.select("id", "semantic_vector", "sharpe", "logic_type"), "id")
@@ -47,7 +47,7 @@ def _layered(spark, sf_dir):
 
 
 def layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4: not over-fitted, same session → metadata top 20 → semantic top 5."""
+    """I4: not over-fitted, same session and logic type → metadata top 20 → semantic top 5."""
     return round_doubles(_layered(spark, sf_dir).select("qid", "rank", "id", "similarity"))
 
 

@@ -50,7 +50,7 @@ def _bars_v2(spark, sf_dir):
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: the second delivery replaces the first on (symbol, ts)."""
-    return round_doubles(tb.upsert(fx.day_bars(spark, sf_dir), _bars_v2(spark, sf_dir), ["symbol", "ts"]))
+    return round_doubles(tb.upsert(fx.day_bars(spark, sf_dir), _bars_v2(spark, sf_dir), ["symbol", "ts"], ["close"]))
 
 
 def merge_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,28 +89,32 @@ def knowledge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.length("content").alias("content_length"))
 
 
+def _candidates(spark, sf_dir):
+    """Strategies up for admission, one per embedding: screening metrics, in- and
+    out-of-sample Sharpe, walk-forward windows and the step that failed, if any."""
+    i = F.col("vec_id")
+    step = F.element_at(F.array(*[F.lit(x) for x in ("validation", "compile", "budget", "timeout", "download")]),
+                        (i % 29 + 1).cast("int"))
+    return fx.table(spark, sf_dir, "embeddings").select(
+        i.alias("strategy_id"), ((i % 37) / 10.0).alias("sharpe"), ((i % 51) / 100.0).alias("max_drawdown"),
+        ((i % 23) / 10.0 + 0.8).alias("profit_factor"), (i % 91 + 60).alias("total_trades"),
+        ((i % 37) / 10.0).alias("avg_is_sharpe"), ((i % 37) * (i % 11) / 100.0).alias("avg_oos_sharpe"),
+        (i % 8).alias("n_windows"), F.when(i % 29 < 5, step).alias("failed_step"))
+
+
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Screening gate, strict gate with OOS/IS, over-fit review
-    queue and admission per symbol; first failed rule as the reason."""
-    from barlake.plans import backtests, wfaplans
-    m = backtests.ma_cross_backtest_metrics(spark, sf_dir)
-    s = wfaplans.wfa_summary(spark, sf_dir).select("symbol", "avg_is_sharpe", "avg_oos_sharpe",
-                                                     "n_windows", "overfitting")
-    x = m.join(s, "symbol", "left")
-    g = mt.STRICT_GATE
-    oos_is = F.when(F.col("avg_is_sharpe") > 0, F.col("avg_oos_sharpe") / F.col("avg_is_sharpe"))
-    strict = ((F.coalesce(F.col("sharpe") >= g["sharpe_min"], F.lit(False)))
-              & (F.col("max_drawdown") <= g["max_drawdown_max"])
-              & (F.col("profit_factor") >= g["profit_factor_min"])
-              & (F.col("total_trades") >= g["min_trades"])
-              & F.coalesce(oos_is >= g["oos_is_ratio_min"], F.lit(False)))
+    """A strategy is admitted if it passes the screening gate, its
+    walk-forward test has run and no step failed; over-fitted ones are admitted too,
+    flagged and queued for review."""
+    x = _candidates(spark, sf_dir)
+    g = mt.ADMISSION_GATE
+    screen = ((F.col("sharpe") >= g["sharpe_min"]) & (F.col("max_drawdown") <= g["max_drawdown_max"])
+              & (F.col("profit_factor") >= g["profit_factor_min"]) & (F.col("total_trades") >= g["min_trades"]))
     over = wf.overfit_flag(F.col("avg_is_sharpe"), F.col("avg_oos_sharpe"))
-    out = x.select(
-        "symbol", F.col("passed").alias("screen_passed"), strict.alias("strict_passed"),
-        over.alias("overfit"), (over & F.col("passed")).alias("review_queue"),
-        (F.col("passed") & (F.coalesce(F.col("n_windows"), F.lit(0)) > 0) & strict).alias("admitted"),
-        F.coalesce(oa.classify_failure(x, mt.SCREEN_GATE), F.lit("passed")).alias("failure_reason"))
-    return out
+    admitted = screen & (F.col("n_windows") > 0) & F.col("failed_step").isNull()
+    return x.select("strategy_id", screen.alias("screen_passed"), over.alias("overfit"), admitted.alias("admitted"),
+                    (admitted & over).alias("review_queue"),
+                    F.coalesce(oa.classify_failure(x, g, F.col("failed_step")), F.lit("passed")).alias("failure_reason"))
 
 
 def collection_upsert(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:

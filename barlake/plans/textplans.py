@@ -12,7 +12,7 @@ from barlake.sources import fixtures as fx
 
 def _pages(spark, sf_dir):
     p = fx.spread(fx.table(spark, sf_dir, "pages"))
-    return p.select("page_id", "url", tx.extract_title("html").alias("title"),
+    return p.select("page_id", "url", tx.extract_title("html", clip=200).alias("title"),   # the reference's title length
                     tx.extract_text("html").alias("text"))
 
 
@@ -68,9 +68,21 @@ def script_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
                     tx.lint_passed(F.col("issues")).alias("passed"))
 
 
-def script_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5, K6, K7, K14, K16, K20 over every document."""
+def _scripts(spark, sf_dir):
+    """Documents as scripts: comments of every kind behind the text and, for even
+    ids, a class with the method that K14 summarises."""
     d = fx.spread(fx.table(spark, sf_dir, "documents"))
+    tail = F.concat(F.lit("\n// note é\nx = 1 // tail ü\r\nbuy {"), F.col("lang"),
+                    F.lit(" ñ} now // ok ö\nsell {ß} next\nkeep {this} // ascii\n{open é"))
+    method = F.concat(F.lit('\nclass A:\n    NAME = "'), F.col("source"),
+                      F.lit('"\n    def generate_signals(self):\n        '), F.col("text"),
+                      F.lit("  \n\n        return 1\n    def other(self):\n        pass"))
+    return d.select("doc_id", "source", F.concat("text", tail, F.when(F.col("doc_id") % 2 == 0, method).otherwise("")).alias("text"))
+
+
+def script_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5, K6, K7, K14, K16, K20 over every document as a script."""
+    d = _scripts(spark, sf_dir)
     return d.select(
         "doc_id",
         tx.extract_attr("text", "NAME", "Unknown").alias("name"),
@@ -80,8 +92,8 @@ def script_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.required_tokens("text").alias("missing"),
         tx.effective_lines("text").alias("effective_lines"),
         tx.safe_name(F.col("source")).alias("safe_source"),
-        F.length(tx.strip_non_ascii_comments("text")).alias("stripped_chars"),
-        tx.summarise_code("text").alias("summary"))
+        F.sha2(tx.strip_non_ascii_comments("text"), 256).alias("stripped_hash"),
+        tx.summarise_code("text", tx.SUMMARY_LINES, tx.SUMMARY_CHARS).alias("summary"))
 
 
 def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +133,11 @@ def frequent_patterns(spark: SparkSession, sf_dir: str, trigger: int = 50) -> Da
 def fail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One formatted failure entry per failed validation."""
     v = fx.validation_log_fx(spark, sf_dir).where(~F.col("passed"))
-    return v.select("log_id", tx.fail_record_text(F.col("strategy_id").cast("string"),
-                                                  tx.normalise_error("message"), F.col("message"))
-                    .alias("record"))
+    kind = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("log_id"), F.col("event_type").alias("kind"))
+    direction = F.when(F.col("layer") == 1, "long").otherwise("both")
+    reasons = F.array(tx.normalise_error("message"), F.concat(F.lit("layer "), F.col("layer").cast("string")))
+    return v.join(kind, "log_id").select("log_id", tx.fail_record_text(
+        "created_at", "kind", direction, F.lit("1min"), F.col("strategy_id").cast("string"), "message", reasons).alias("record"))
 
 
 def critique_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ resulting DataFrame so it can be checked before it is written.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,16 +42,23 @@ def merge_bars(frames: Sequence[DataFrame], keys: Sequence[str] = ("symbol", "ts
     return u.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_src")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """Insert-or-replace on ``keys``: new rows plus old rows whose key
-    is not among the new ones."""
+    is not among the new ones.  Of new rows with one key the last by ``order``
+    stays (without an order, any one of them)."""
     keys = list(keys)
+    if order is not None:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc_nulls_last() for o in order])
+        new = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    else:
+        new = new.dropDuplicates(keys)
     return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"),
                            allowMissingColumns=True)
 
 
 def write_upsert(result: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Write an upsert result, replacing only the partitions it touches."""
+    """Write an upsert result over the partitions that occur in it.  ``path`` must
+    not be a path that ``result`` reads."""
     (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
 
@@ -88,15 +97,18 @@ def check_constraints(df: DataFrame, name: str, pk: Sequence[str] = (), not_null
         parts.append(dup(pk, "primary_key"))
     for u in unique:
         parts.append(dup(u, "unique"))
-    for c in list(not_null) + list(pk):
-        g = df.where(F.col(c).isNull()).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 0)
-        parts.append(g.select(F.lit(name).alias("table"), F.lit(c).alias("constraint"),
-                              F.lit("not_null").alias("kind"), F.lit(None).cast("string").alias("key"),
-                              "n_rows"))
+    checked = list(dict.fromkeys([*not_null, *pk]))
+    if checked:     # all null counts in one pass
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in checked])
+        each = nulls.select(F.explode(F.array(*[F.struct(F.lit(c).alias("constraint"), F.col(c).alias("n_rows"))
+                                                for c in checked])).alias("e")).where("e.n_rows > 0")
+        parts.append(each.select(F.lit(name).alias("table"), "e.constraint", F.lit("not_null").alias("kind"),
+                                 F.lit(None).cast("string").alias("key"), "e.n_rows"))
     for cols, parent, pcols in fks:
         cols, pcols = list(cols), list(pcols)
         p = parent.select(*[F.col(pc).alias(c) for pc, c in zip(pcols, cols)]).distinct()
-        orphans = df.where(F.coalesce(*[F.col(c).isNotNull() for c in cols])).join(p, cols, "left_anti")
+        whole = reduce(and_, [F.col(c).isNotNull() for c in cols])   # a null column: no reference is made
+        orphans = df.where(whole).join(p, cols, "left_anti")
         g = orphans.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_rows"))
         parts.append(g.select(F.lit(name).alias("table"), F.lit(",".join(cols)).alias("constraint"),
                               F.lit("foreign_key").alias("kind"),

@@ -1,41 +1,22 @@
-"""Hand-worked day for the breakout fill simulator (H7)."""
+"""Breakout entries (G12, E18) on hand-made orders: the next bar fills or not, one entry a day."""
 import datetime as dt
 
-import pandas as pd
-
 from barlake.operators import intraday as it
 
 
-def _day(rows):
+def test_first_filled_order_of_the_day(spark, monkeypatch):
     base = dt.datetime(2020, 1, 2, 9, 0)
-    recs = []
-    for i, (o, h, l, c, side, qty, stop) in enumerate(rows):
-        ts = base + dt.timedelta(minutes=5 * i)
-        recs.append({"symbol": "S", "trading_day": base.date(), "ts": ts, "open": o, "high": h, "low": l,
-                     "close": c, "k": i + 1, "order_side": side, "order_qty": qty, "order_stop": stop,
-                     "sod": ts.hour * 3600 + ts.minute * 60})
-    return pd.DataFrame(recs)
-
-
-def test_stop_entry_then_stop_exit():
-    fn = it.simulate_day(stl=50.0)
-    pdf = _day([(100, 101, 99, 100, 1, 1, 105.0),     # order: buy stop 105 for the next bar
-                (104, 106, 103, 105, 0, 0, None),    # fills at max(105, open 104) = 105
-                (105, 106, 40, 50, 0, 0, None),      # stop 105-50 = 55 ordered on bar 2, fills at min(55, 105)
-                (50, 51, 49, 50, 1, 1, 60.0)])       # no second entry the same day
-    out = fn(pdf)
-    assert len(out) == 1
-    t = out.iloc[0]
-    assert t.side == 1 and t.entry_price == 105 and t.exit_price == 55 and t.reason == "stop"
-    assert t.points == -50
-
-
-def test_gap_open_and_close_exit():
-    fn = it.simulate_day(stl=50.0)
-    pdf = _day([(100, 101, 99, 100, -1, 2, 95.0),     # sell stop 95
-                (90, 92, 88, 91, 0, 0, None),        # gaps through: fills at min(95, 90) = 90
-                (91, 92, 89, 90, 0, 0, None)])       # last bar: exit on close
-    out = fn(pdf)
-    t = out.iloc[0]
-    assert t.side == -1 and t.qty == 2 and t.entry_price == 90 and t.reason == "close"
-    assert t.exit_price == 90 and t.points == 0
+    rows = []
+    # (open, high, low, close, side, stop): the stop acts on the next bar
+    bars = [(100, 101, 99, 100, 1, 120.0), (104, 106, 103, 105, 1, 107.0), (110, 111, 104, 105, -1, 50.0),
+            (50, 51, 40, 50, 1, 60.0)]
+    for i, (o, h, l, c, side, stop) in enumerate(bars):
+        rows.append(("S", base + dt.timedelta(minutes=5 * i), float(o), float(h), float(l), float(c), base.date(), side, 1, stop, i + 1))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, "
+                               "trading_day date, order_side int, order_qty int, order_stop double, k int")
+    monkeypatch.setattr(it, "prior_day_features", lambda b, keys, day: b)
+    monkeypatch.setattr(it, "intraday_counters", lambda b, keys, day, block=None: b)
+    monkeypatch.setattr(it, "breakout_orders", lambda b, l, s: b)
+    got = it.breakout_entries(df).collect()
+    # bar 1's stop of 120 is not reached; bar 2's of 107 fills at the worse open 110
+    assert [(r.side, r.entry_price, r.entry_ts) for r in got] == [(1, 110.0, base + dt.timedelta(minutes=10))]

@@ -237,7 +237,7 @@ def category_filters(expected: Column) -> dict[str, Column]:
     last matching keyword wins)."""
     s = F.filter(expected, lambda k: k.isin(*SESSION_KEYWORDS))
     lg = F.filter(expected, lambda k: k.isin(*LOGIC_KEYWORDS))
-    return {"session_filter": F.element_at(s, -1), "logic_filter": F.element_at(lg, -1)}
+    return {"session_filter": F.try_element_at(s, F.lit(-1)), "logic_filter": F.try_element_at(lg, F.lit(-1))}
 
 
 def find_similar(queries: DataFrame, collection: DataFrame, k: int, **kw) -> DataFrame:

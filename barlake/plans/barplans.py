@@ -10,6 +10,7 @@ from barlake.operators import quality as qa
 from barlake.operators import sessions as ss
 from barlake.operators.sequence import sequence
 from barlake.plans.common import round_doubles
+from barlake.sources import bars_csv as bc
 from barlake.sources import fixtures as fx
 
 KEYS = ["symbol"]
@@ -93,3 +94,37 @@ def minute_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.sources.bars_csv import build_minute_table
     return round_doubles(build_minute_table(fx.minute_bars(spark, sf_dir)).select(
         "symbol", "ts", "open", "high", "low", "close", "trading_day", "session_type", "trading_day_month"))
+
+
+def _bar_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Minute bars as CSV files in the shared folder, one folder per symbol: compact
+    lines for some symbols, a header with date and time for others."""
+    import uuid
+
+    from barlake.session import ensure_checkpoint_dir
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex[:12]}"
+    b = fx.minute_bars(spark, sf_dir)
+    text = [F.format_string("%.6f", F.col(c)).alias(c) for c in ("open", "high", "low", "close")]
+    compact = F.length("symbol") % 2 == 0
+    clock = (F.hour("ts") * 100 + F.minute("ts")).cast("string")        # 901 for 09:01
+    b.where(compact).select("symbol", F.date_format("ts", "yyyyMMdd").alias("d"), clock.alias("t"), *text) \
+        .write.partitionBy("symbol").csv(f"{folder}/compact")
+    b.where(~compact).select("symbol", F.date_format("ts", "yyyy/MM/dd").alias("Date"),
+                             F.date_format("ts", "HH:mm:ss").alias("Time"), *text) \
+        .write.partitionBy("symbol").option("header", True).csv(f"{folder}/headed")
+    return folder
+
+
+def bar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1–A4: the minute bars read back from files of both formats."""
+    folder = _bar_folder(spark, sf_dir)
+    parts = [bc.read_bars_dir(spark, f"{folder}/{kind}", nested=True)[0] for kind in ("compact", "headed")]
+    return round_doubles(parts[0].unionByName(parts[1]))
+
+
+def bar_file_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last date of the headed files as text, and the rows of January."""
+    folder = _bar_folder(spark, sf_dir)
+    span = bc.csv_date_range(spark, f"{folder}/headed/*/*.csv")
+    rows = bc.scan_csv(spark, f"{folder}/headed/*/*.csv", "2024-01-01", "2024-01-10", columns=["Date", "Time", "close"])
+    return span.crossJoin(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.col("Date").cast("string")).alias("first")))

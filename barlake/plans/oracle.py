@@ -1717,3 +1717,57 @@ t AS (SELECT b.symbol, b.ts, b.open, b.high, b.low, b.close,
   END AS trading_day, {_classify('b.ts')} AS session_type
   FROM minute_bars b LEFT JOIN dd d ON d.symbol = b.symbol AND d.date = CAST(b.ts AS DATE))
 SELECT *, strftime(trading_day, '%Y-%m') AS trading_day_month FROM t""", RES_COLS)
+
+
+def bar_files_q() -> str:
+    return rounded(f"""WITH {MINUTE_BARS}
+SELECT symbol, ts, open, high, low, close FROM minute_bars""", RES_COLS)
+
+
+def bar_file_range_q() -> str:
+    return f"""WITH {MINUTE_BARS},
+h AS (SELECT strftime(ts, '%Y/%m/%d') AS d, ts FROM minute_bars WHERE length(symbol) % 2 = 1)
+SELECT min(d) AS start, max(d) AS end,
+  count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-11') AS n_rows,
+  min(d) FILTER (WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-11') AS first FROM h"""
+
+
+def retrieve_bundle_q() -> str:
+    picks = diversity_filter_q(0.85)
+    return f"""WITH {DEV}, fail AS (SELECT * FROM dev WHERE logic_type = 9),
+good AS (SELECT qid, id, pick FROM ({picks})),
+few AS (SELECT * FROM (SELECT id, trading_session, md5('42' || CAST(id AS VARCHAR)) AS draw,
+  row_number() OVER (PARTITION BY trading_session ORDER BY md5('42' || CAST(id AS VARCHAR)), id) AS r FROM dev) WHERE r <= 7),
+spare AS (SELECT q.id AS qid, f.id, f.draw FROM dev q JOIN few f ON f.trading_session = q.trading_session AND f.id <> q.id
+  WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.qid = q.id AND g.id = f.id)),
+u AS (SELECT qid, id, 0 AS src, pick, '' AS draw FROM good UNION ALL SELECT qid, id, 1, NULL, draw FROM spare),
+p AS (SELECT qid, 'positive' AS part, CAST(row_number() OVER (PARTITION BY qid ORDER BY src, pick, draw, id) AS INTEGER) AS slot, id FROM u),
+n AS (SELECT q.id AS qid, 'negative' AS part, CAST(row_number() OVER (PARTITION BY q.id
+  ORDER BY list_cosine_similarity(q.sem, c.sem) DESC, c.id) AS INTEGER) AS slot, c.id FROM dev q JOIN fail c ON q.id <> c.id)
+SELECT * FROM p WHERE slot <= 3 UNION ALL SELECT * FROM n WHERE slot <= 2"""
+
+
+_KEYWORD_CASES = f"""{DEV},
+named AS (SELECT *, ['daytrade_day', 'daytrade_night', 'swing_day', 'swing_full'][trading_session + 1] AS sess,
+  ['trend', 'mean_reversion', 'breakout', 'opening', 'scalp', 'pattern'][logic_type % 6 + 1] AS logic FROM dev),
+cases AS (SELECT *, CASE WHEN id % 5 IN (0, 2) THEN sess END AS qs,
+  CASE WHEN id % 5 IN (1, 2) THEN logic WHEN id % 5 = 4 THEN 'opening' END AS ql,
+  CASE id % 5 WHEN 0 THEN [sess] WHEN 1 THEN [logic] WHEN 2 THEN [sess, logic] WHEN 3 THEN ['momentum'] ELSE ['gap', 'opening'] END AS expected
+  FROM named),
+hits AS (SELECT q.id AS qid, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.sem, c.sem) DESC, c.id) AS rank,
+  len(list_filter(q.expected, lambda k: length(k) > 3 AND contains(c.sess || ' ' || c.logic, k))) > 0 AS hit
+  FROM cases q JOIN named c ON c.id <> q.id AND (q.qs IS NULL OR c.sess = q.qs) AND (q.ql IS NULL OR c.logic = q.ql))"""
+
+
+def recall_keyword_q() -> str:
+    return f"""WITH {_KEYWORD_CASES},
+per AS (SELECT q.id, coalesce(max(CASE WHEN h.hit AND h.rank <= 5 THEN 1 ELSE 0 END), 0) AS hit FROM cases q
+  LEFT JOIN hits h ON h.qid = q.id GROUP BY q.id)
+SELECT count(*) AS n_cases, round(avg(hit), 6) AS recall_at_5 FROM per"""
+
+
+def mrr_keyword_q() -> str:
+    return f"""WITH {_KEYWORD_CASES},
+per AS (SELECT q.id, coalesce(1.0 / min(CASE WHEN h.hit AND h.rank <= 20 THEN h.rank END), 0) AS rr FROM cases q
+  LEFT JOIN hits h ON h.qid = q.id GROUP BY q.id)
+SELECT count(*) AS n_cases, round(avg(rr), 6) AS mrr FROM per"""

@@ -15,40 +15,31 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _describe_con():
-    """DuckDB views over the smallest driver tables, used only to read result
-    column types of the oracle SQL (no data work)."""
-    import os
-    try:
-        import duckdb
-    except ImportError:  # pragma: no cover
-        return None
-    d = "/root/testdata/sf0.001"
-    if not os.path.isdir(d):
-        return None
-    con = duckdb.connect()
-    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages "
-              "benchmark labels conversations").split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
-    return con
-
-
-_CON = _describe_con()
-
-
-def _bigint_counts(sql: str) -> str:
-    """Counts and integer sums are BIGINT in Spark but HUGEINT in DuckDB: cast
-    them so both results carry the same column types."""
-    if _CON is None:
+# Sums and counts that DuckDB widens beyond BIGINT, per query: the oracle casts
+# them back so both results carry the same column types.
+WIDE_COLUMNS = {
+    "bar_quality_report": "null_count ohlc_error_count price_jump_count anomaly_count gap_count valid_bars",
+    "signal_distribution": "n_long n_short n_flat",
+    "trade_durations": "n_closed",
+    "loss_streaks": "loss_streak",
+    "health_alerts": "loss_streak max_loss_streak",
+    "wfa_windows": "n_is n_oos",
+    "wfa_summary": "windows_passed",
+    "batch_diversity": "n_session_0 n_session_1 n_session_2 n_session_3",
+    "daily_rollup": "successes tokens_used",
+    "fail_streaks": "fail_streak",
+    "kpi_dashboard": "overfitting_count pending_review_count session_0 session_1 session_2 session_3",
+    "stream_alerts": "loss_streak",
+    "failure_convergence": "repeats_in_next",
+    "intraday_counters": "n_hh n_ll",
+}
+
+
+def _bigint_counts(name: str, sql: str) -> str:
+    wide = WIDE_COLUMNS.get(name)
+    if wide is None:
         return sql
-    try:
-        cols = _CON.execute(f"DESCRIBE ({sql})").fetchall()
-    except Exception:  # noqa: BLE001
-        return sql
-    huge = [c[0] for c in cols if c[1] == "HUGEINT"]
-    if not huge:
-        return sql
-    rep = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in huge)
+    rep = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in wide.split())
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) hq"
 
 
@@ -66,7 +57,7 @@ def _shipped(fn: Query) -> Query:
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = _shipped(fn)
     if sql is not None:
-        ORACLES[name] = _bigint_counts(sql)
+        ORACLES[name] = _bigint_counts(name, sql)
 
 
 register("ma_cross_backtest_metrics", backtests.ma_cross_backtest_metrics,
@@ -151,3 +142,7 @@ register("critique_checks", textplans.critique_checks, oracle.critique_checks_q(
 register("knowledge_listing", textplans.knowledge_listing, oracle.knowledge_listing_q())
 register("collection_upsert", tableplans.collection_upsert, oracle.collection_upsert_q())
 register("minute_table", barplans.minute_table, oracle.minute_table_q())
+for _n in ["bar_files", "bar_file_range"]:
+    register(_n, getattr(barplans, _n), getattr(oracle, f"{_n}_q")())
+for _n in ["retrieve_bundle", "recall_keyword", "mrr_keyword"]:
+    register(_n, getattr(retrievalplans, _n), getattr(oracle, f"{_n}_q")())

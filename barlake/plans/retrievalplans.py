@@ -153,3 +153,58 @@ def stop_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = ((F.col("id") * 7) % 300).cast("double")
     x = d.select("id", ht.alias("holding_type"), pts.alias("stop_points"))
     return x.withColumn("within_limit", rv.stop_limit_ok(F.col("stop_points"), F.col("holding_type")))
+
+
+def retrieve_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per strategy as query three positive examples, the diverse ones of the
+    layered search topped up with examples of its session in a seeded order, and two
+    failed strategies as negative examples."""
+    d = fx.developed_fx(spark, sf_dir)
+    good = rv.diversity_filter(_layered(spark, sf_dir), ["qid"], "semantic_vector", "id", "sharpe", 0.85, 3) \
+        .select("qid", "id", "pick", F.lit("").alias("draw"))
+    draw = F.md5(F.concat(F.lit("42"), F.col("id").cast("string")))
+    w = Window.partitionBy("trading_session").orderBy("draw", "id")
+    few = d.select("id", "trading_session", draw.alias("draw")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 7)
+    spare = d.select(F.col("id").alias("qid"), "trading_session").join(few, "trading_session").where("qid <> id") \
+        .select("qid", "id", F.lit(None).cast("int").alias("pick"), "draw")
+    pos = rv.fill_short(good, spare, ["qid"], "id", F.struct("pick", "draw"), 3)
+    neg = failed_topk(spark, sf_dir).select("qid", F.col("rank").alias("slot"), "id")
+    return pos.select("qid", F.lit("positive").alias("part"), "slot", "id").unionByName(
+        neg.select("qid", F.lit("negative").alias("part"), "slot", "id"))
+
+
+def _keyword_ranked(spark, sf_dir, k: int):
+    """Every strategy as a case with expected keywords; sessions and logic types
+    among them filter the collection before the search."""
+    sess = F.element_at(F.array(*map(F.lit, rv.SESSION_KEYWORDS)), (F.col("trading_session") + 1).cast("int"))
+    logic = F.element_at(F.array(*map(F.lit, rv.LOGIC_KEYWORDS)), (F.col("logic_type") % 6 + 1).cast("int"))
+    d = fx.developed_fx(spark, sf_dir).withColumns({"sess": sess, "logic": logic})
+    i = F.col("id") % 5
+    expected = F.when(i == 0, F.array(sess)).when(i == 1, F.array(logic)).when(i == 2, F.array(sess, logic)) \
+        .when(i == 3, F.array(F.lit("momentum"))).otherwise(F.array(F.lit("gap"), F.lit("opening")))
+    f = rv.category_filters(expected)
+    q = d.select(F.col("id").alias("qid"), F.col("semantic_vector").alias("qvec"), expected.alias("expected"),
+                 f["session_filter"].alias("qs"), f["logic_filter"].alias("ql"))
+    out = None
+    for s_on in (False, True):
+        for l_on in (False, True):
+            part = q.where((F.col("qs").isNotNull() == s_on) & (F.col("ql").isNotNull() == l_on))
+            match = [("qs", "sess")] * s_on + [("ql", "logic")] * l_on
+            top = rv.vector_topk(part, d, k, c_vec="semantic_vector", match=match, exclude_self=True)
+            out = top if out is None else out.unionByName(top)
+    text = d.select("id", F.concat_ws(" ", "sess", "logic").alias("text"))
+    return q.select("qid", "expected").join(out.select("qid", "id", "rank").join(text, "id"), "qid", "left")
+
+
+def recall_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I9 keyword mode: share of cases with an expected keyword in one of the top 5."""
+    r = _keyword_ranked(spark, sf_dir, 5)
+    per = rv.recall_mrr(r, "qid", F.coalesce(rv.keyword_hit(F.col("expected"), F.col("text"), F.lit("")), F.lit(False)))
+    return round_doubles(per.agg(F.count(F.lit(1)).alias("n_cases"), F.avg("hit_at_k").alias("recall_at_5")))
+
+
+def mrr_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I10 keyword mode: mean reciprocal rank of the first hit among the top 20."""
+    r = _keyword_ranked(spark, sf_dir, 20)
+    per = rv.recall_mrr(r, "qid", F.coalesce(rv.keyword_hit(F.col("expected"), F.col("text"), F.lit("")), F.lit(False)))
+    return round_doubles(per.agg(F.count(F.lit(1)).alias("n_cases"), F.avg("reciprocal_rank").alias("mrr")))

@@ -69,11 +69,13 @@ def read_headed_bars(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
                     *[F.trim(n).try_cast("double").alias(n) for n in OHLC], *extra)
 
 
-def read_bars_dir(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+def read_bars_dir(spark: SparkSession, directory: str, nested: bool = False) -> tuple[DataFrame, DataFrame]:
     """A4: every ``*.csv`` and ``*.txt`` under a folder; each file read in its
-    detected format, symbol = file stem.  Returns (bars, per-file report);
+    detected format, symbol = file stem.  With ``nested`` the files lie in folders
+    named ``symbol=<name>``, any number to a symbol.  Returns (bars, per-file report);
     a file whose rows all fail to parse is reported and contributes nothing."""
-    paths = [f"{directory}/*.csv", f"{directory}/*.txt"]
+    paths = [f"{directory}/*/*.csv"] if nested else [f"{directory}/*.csv", f"{directory}/*.txt"]
+    symbol = F.regexp_extract("file", r"/symbol=([^/]+)/", 1) if nested else _file_stem(F.col("file"))
     fm = detect_bar_format(spark, paths)
     # the file listing (not the data) comes to the driver: headed files are read
     # in groups of identical header lines, so every group has one layout
@@ -98,7 +100,7 @@ def read_bars_dir(spark: SparkSession, directory: str) -> tuple[DataFrame, DataF
     rep = u.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("bad_rows"))
     rep = rep.withColumn("rejected", F.col("rows") == F.col("bad_rows"))
     ok = u.join(rep.where(~F.col("rejected")).select("file"), "file", "left_semi")
-    bars = ok.where(F.col("ts").isNotNull()).select(_file_stem(F.col("file")).alias("symbol"), "ts", *OHLC)
+    bars = ok.where(F.col("ts").isNotNull()).select(symbol.alias("symbol"), "ts", *OHLC)
     return bars, rep
 
 
@@ -218,33 +220,73 @@ def load_strategy_library(spark: SparkSession, root: str) -> tuple[DataFrame, Da
 # performance report files
 # --------------------------------------------------------------------------
 
-# Report label patterns (case-insensitive substrings, in order) per field
+# Report fields and the label patterns that name them, in order; the
+# first field with a pattern inside a label takes the row
 REPORT_PATTERNS = [
-    ("net_profit", ["total net profit", "淨利"]),
-    ("profit_factor", ["profit factor", "獲利因子"]),
-    ("max_drawdown", ["max strategy drawdown", "max drawdown", "最大回撤"]),
-    ("total_trades", ["total number of trades", "交易次數"]),
-    ("win_rate", ["percent profitable", "勝率"]),
-    ("sharpe", ["sharpe ratio", "夏普"]),
+    ("sharpe_ratio", ["Sharpe Ratio", "夏普指標", "夏普比率"]),
+    ("max_drawdown_pct", ["Max. Drawdown %", "最大回撤%", "MaxDD%", "Max Drawdown %"]),
+    ("max_drawdown_abs", ["Max. Drawdown", "Max Intraday Drawdown", "最大回撤"]),
+    ("profit_factor", ["Profit Factor", "獲利因子", "盈利因子"]),
+    ("total_trades", ["Total Number of Trades", "Total Trades", "總交易次數", "交易次數"]),
+    ("winning_trades", ["Winning Trades", "獲利交易", "盈利交易"]),
+    ("percent_profitable", ["Percent Profitable", "勝率", "盈利百分比"]),
+    ("total_net_profit", ["Total Net Profit", "總淨利", "净利润"]),
+    ("gross_profit", ["Gross Profit", "毛利", "总盈利"]),
+    ("gross_loss", ["Gross Loss", "毛損", "总亏损"]),
+    ("avg_win", ["Winning Trades Avg.", "Avg. Winning Trade", "平均獲利"]),
+    ("avg_loss", ["Losing Trades Avg.", "Avg. Losing Trade", "平均虧損"]),
 ]
+# Fields that a report must have, and the encodings that are tried
+REPORT_REQUIRED = ["sharpe_ratio", "profit_factor", "total_trades"]
+REPORT_ENCODINGS = ["utf-8-sig", "utf-8", "cp950", "gbk"]
+
+
+def _report_lines(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Label and value cells of report files (small files, one row each)."""
+    import csv
+    import io
+    for pdf in it:
+        out = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            text = None
+            for enc in REPORT_ENCODINGS:
+                try:
+                    text = bytes(content).decode(enc)
+                    break
+                except UnicodeDecodeError:
+                    continue
+            text = bytes(content).decode("utf-8", "replace") if text is None else text
+            for n, row in enumerate(csv.reader(io.StringIO(text))):
+                if row:
+                    out.append((path, n, row[0].strip().strip('"'), row[1].strip().strip('"') if len(row) > 1 else ""))
+        yield pd.DataFrame(out, columns=["file", "row", "label", "raw"])
 
 
 def parse_report_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Ragged ``label, value, …`` rows → one row per file with the first
-    parsable value of each field (ordered pattern match on the label)."""
+    """Ragged ``label, value`` rows → one row per file.  Each row goes to one
+    field, each field takes its first value that parses; a drawdown without a
+    percentage is 0, losses are positive, the win rate comes from the percentage or
+    from the trades, and ``missing`` names the required fields without a value."""
     from barlake.operators.textops import parse_report_number
-    t = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value",  # noqa: E501
-                                      F.monotonically_increasing_id().alias("_row"))
-    cells = F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    x = t.select("file", "_row", F.lower(F.trim(cells[0])).alias("label"),
-                 F.trim(F.regexp_replace(F.array_join(F.slice(cells, 2, 1), ""), '"', "")).alias("raw"))
-    pats = spark.createDataFrame([(f, i, p) for f, ps in REPORT_PATTERNS for i, p in enumerate(ps)],
-                                 "field string, prio int, pattern string")
-    j = x.join(F.broadcast(pats), F.contains(F.col("label"), F.col("pattern")))
-    j = j.withColumn("num", parse_report_number(F.col("raw"))).where(F.col("num").isNotNull())
-    best = j.groupBy("file", "field").agg(F.min_by("num", F.struct("prio", "_row")).alias("num"))
-    wide = best.groupBy("file").pivot("field", [f for f, _ in REPORT_PATTERNS]).agg(F.first("num"))
-    return wide.withColumns({"win_rate": F.when(F.col("win_rate") > 1, F.col("win_rate") / 100).otherwise(F.col("win_rate")),
-                             "max_drawdown": F.abs("max_drawdown"),
-                             "missing": F.concat_ws(",", *[F.when(F.col(f).isNull(), F.lit(f))
-                                                           for f, _ in REPORT_PATTERNS])})
+    cells = spark.read.format("binaryFile").load(paths).select("path", "content") \
+        .mapInPandas(_report_lines, "file string, row long, label string, raw string")
+    field = F.lit(None).cast("string")
+    for name, patterns in reversed(REPORT_PATTERNS):
+        hit = F.lit(False)
+        for p in patterns:
+            hit = hit | F.contains(F.lower("label"), F.lit(p.lower()))
+        field = F.when(hit, name).otherwise(field)
+    x = cells.withColumn("field", field).withColumn("num", parse_report_number(F.col("raw"))).where("field is not null")
+    names = [n for n, _ in REPORT_PATTERNS]
+    wide = x.groupBy("file").agg(*[F.min_by(F.when(F.col("field") == n, F.col("num")), F.when(
+        (F.col("field") == n) & F.col("num").isNotNull(), F.col("row"))).alias(n) for n in names])
+    every = cells.select("file").distinct().join(wide, "file", "left")
+    pct = F.abs("max_drawdown_pct") / 100
+    rate = F.when(F.col("percent_profitable").isNotNull(), F.col("percent_profitable") / 100).when(
+        F.col("winning_trades").isNotNull() & F.col("total_trades").isNotNull(),
+        F.when(F.col("total_trades").cast("long") == 0, 0.0).otherwise(F.col("winning_trades") / F.col("total_trades").cast("long")))
+    return every.withColumns({
+        "win_rate": rate,
+        "max_drawdown_pct": F.when(F.col("max_drawdown_pct").isNotNull(), pct).when(F.col("max_drawdown_abs").isNotNull(), 0.0),
+        "total_trades": F.col("total_trades").cast("long"), "gross_loss": F.abs("gross_loss"), "avg_loss": F.abs("avg_loss"),
+        "missing": F.concat_ws(",", *[F.when(F.col(f).isNull(), F.lit(f)) for f in REPORT_REQUIRED])})

@@ -58,14 +58,20 @@ def test_library_loader(spark):
 
 def test_report_files(spark):
     d = tempfile.mkdtemp(prefix="rep-")
-    _write(d, "r1.csv", 'Total Net Profit,"$1,234,567"\nProfit Factor,1.85\nMax Strategy Drawdown,"($234,567)"\n'
-                        "Total Number of Trades,120\nPercent Profitable,-26.52%\nSharpe Ratio,—\n")
-    r = bc.parse_report_files(spark, f"{d}/*.csv").first()
-    assert r.net_profit == 1234567.0 and r.profit_factor == 1.85 and r.max_drawdown == 234567.0
-    assert r.total_trades == 120.0 and r.sharpe is None and "sharpe" in r.missing
+    _write(d, "r1.csv", 'Total Net Profit,"$1,234,567"\nProfit Factor,1.85\nMax. Drawdown %,-26.52%\nMax. Drawdown,"($234,567)"\n'
+                        'Total Number of Trades,120\nPercent Profitable,48.5%\nSharpe Ratio,—\nGross Loss,"($9,000)"\n')
+    with open(os.path.join(d, "r2.csv"), "wb") as f:
+        f.write("夏普指標,1.5\n最大回撤,100\n交易次數,50\n獲利交易,20\n獲利因子,1.2\n".encode("cp950"))
+    got = {os.path.basename(r.file): r for r in bc.parse_report_files(spark, f"{d}/*.csv").collect()}
+    r = got["r1.csv"]
+    assert r.total_net_profit == 1234567.0 and r.profit_factor == 1.85 and abs(r.max_drawdown_pct - 0.2652) < 1e-12
+    assert r.max_drawdown_abs == -234567.0 and r.total_trades == 120 and r.win_rate == 0.485 and r.gross_loss == 9000.0
+    assert r.sharpe_ratio is None and r.missing == "sharpe_ratio"
+    r = got["r2.csv"]
+    assert r.sharpe_ratio == 1.5 and r.max_drawdown_pct == 0.0 and r.win_rate == 0.4 and r.missing == ""
 
 
 def test_report_numbers(spark):
-    df = spark.createDataFrame([("$1,234,567",), ("($234,567)",), ("-26.52%",), ("—",), ("N/A",), ("-$5",)], "s string")
+    df = spark.createDataFrame([("$1,234,567",), ("($234,567)",), ("-26.52%",), ("—",), ("N/A",), ("-$5",), ("5$",), ("1 234",), ("(12%)",)], "s string")
     out = [r[0] for r in df.select(tx.parse_report_number(F.col("s"))).collect()]
-    assert out == [1234567.0, -234567.0, -26.52, None, None, None]
+    assert out == [1234567.0, -234567.0, -26.52, None, None, None, None, None, -12.0]

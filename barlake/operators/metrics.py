@@ -172,13 +172,13 @@ def signal_distribution(sig: DataFrame, keys: Sequence[str], signal: str = "sign
                                   F.count_if(s == 0).alias("n_flat"))
 
 
-def trade_durations(led: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+def trade_durations(led: DataFrame, keys: Sequence[str], ts: str = "ts", block=None) -> DataFrame:
     """Holding time of closed trades (entry bar → exit bar), mean minutes
     per key and the data range."""
     from barlake.operators.sequence import Last, scan
     x = scan(led, keys, {"_ets": (Last(), F.when(F.col("entry_price").isNotNull() & (
         F.col("position") != F.coalesce(F.col("position_prev"), F.lit(0))), F.col(ts)))},
-        exclusive=["_ets"])
+        exclusive=["_ets"], block=block)
     closed = F.col("trade_pnl").isNotNull()
     mins = F.timestamp_diff("MINUTE", F.col("_ets_prev"), F.col(ts))
     return x.groupBy(*keys).agg(F.avg(F.when(closed, mins)).alias("avg_hold_minutes"),

@@ -57,7 +57,7 @@ def trade_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     led, bl = _ledger(spark, sf_dir)
-    return round_doubles(mt.trade_durations(led, KEYS), 4)
+    return round_doubles(mt.trade_durations(led, KEYS, block=bl), 4)
 
 
 TKEYS = ["strategy"]

@@ -6,8 +6,10 @@ pass one in.  ``get_spark`` is for tests, the bench and command-line use.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,10 +57,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_STORED: list[tuple[SparkSession, str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a Parquet table in the shared checkpoint folder: it outlives
+    lost executors and later reads take only their columns.  The table goes when the
+    application ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex[:12]}"
+    if not _STORED:
+        atexit.register(_drop_stored)
+    _STORED.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_stored() -> None:
+    for spark, path in _STORED:
+        try:
+            if spark._jsc.sc().isStopped():
+                return
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session is gone at interpreter exit
+            return
 
 
 _SHIPPED: set[str] = set()

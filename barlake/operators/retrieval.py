@@ -11,7 +11,6 @@ the same total order in the partial and final steps, so the result is exact.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -40,28 +39,39 @@ def vector_topk(queries: DataFrame, collection: DataFrame, k: int, *, q_id: str
     are applied by the caller before (they reach the scan).  Returns
     ``q_id, rank, c_id, similarity, distance``.
 
-    Queries are hashed into blocks of about ``block_rows`` rows and the
-    collection into chunks of the same size; every (block, chunk) pair is one
+    Within each group of equal match columns, queries are hashed into blocks of
+    about ``block_rows`` rows and the collection into chunks of the same size; every (block, chunk) pair is one
     co-grouped pandas step that multiplies the two unit-vector matrices and
     keeps each query's k best (similarity desc, id asc).  Nothing passes
     through the driver; a group holds at most one block and one chunk.
     """
-    mcols = list(match)
+    keys = [f"_m{i}" for i in range(len(match))]
     qsel = queries.select(F.col(q_id).cast("long").alias("_qid"), F.col(q_vec).alias("_qv"),
-                          *[F.col(a).alias(f"_qm{i}") for i, (a, _) in enumerate(mcols)])
+                          *[F.col(a).alias(m) for m, (a, _) in zip(keys, match)])
     coll = collection.select(F.col(c_id).cast("long").alias("_id"), F.col(c_vec).alias("_cv"),
-                             *[F.col(b).alias(f"_cm{i}") for i, (_, b) in enumerate(mcols)])
-    nq = qsel.count()
-    nc = coll.count()
-    nqb = max(1, math.ceil(nq / block_rows))
-    ncc = max(1, math.ceil(nc / block_rows))
-    qk = qsel.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(nqb)).cast("int")) \
-        .withColumn("_cc", F.explode(F.sequence(F.lit(0), F.lit(ncc - 1))))
-    ck = coll.withColumn("_cc", F.pmod(F.xxhash64("_id"), F.lit(ncc)).cast("int")) \
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
+                             *[F.col(b).alias(m) for m, (_, b) in zip(keys, match)])
+    # blocks and chunks are counted per group of equal match columns, so a filter
+    # that keeps a quarter of the pairs also copies and multiplies only a quarter
+    n_q, n_c = qsel.groupBy(*keys).agg(F.count("*").alias("_nq")), coll.groupBy(*keys).agg(F.count("*").alias("_nc"))
+    if keys:
+        sizes = n_q.join(n_c, keys)
+    else:
+        sizes = queries.sparkSession.createDataFrame([(n_q.first()[0], n_c.first()[0])], "_nq long, _nc long")
+    sizes = sizes.select(*keys, F.greatest(F.ceil(F.col("_nq") / block_rows), F.lit(1)).alias("_nqb"),
+                         F.greatest(F.ceil(F.col("_nc") / block_rows), F.lit(1)).alias("_ncc"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        if keys:
+            return df.join(sizes, keys)
+        one = sizes.first()
+        return df.withColumns({"_nqb": F.lit(one["_nqb"]), "_ncc": F.lit(one["_ncc"])})
+
+    qk = sized(qsel).withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_nqb"))) \
+        .withColumn("_cc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ncc") - 1))).drop("_nqb", "_ncc")
+    ck = sized(coll).withColumn("_cc", F.pmod(F.xxhash64("_id"), F.col("_ncc"))) \
+        .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nqb") - 1))).drop("_nqb", "_ncc")
     out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_id", T.LongType()),
                                T.StructField("_sim", T.DoubleType())])
-    nm = len(mcols)
 
     def block_topk(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or cdf.empty:
@@ -72,8 +82,6 @@ def vector_topk(queries: DataFrame, collection: DataFrame, k: int, *, q_id: str
         cmat = _unit(np.vstack([np.asarray(v, dtype=np.float64) for v in cdf["_cv"]]))
         sims = cmat @ qmat.T                                   # items × queries
         mask = np.isfinite(sims)
-        for i in range(nm):
-            mask &= cdf[f"_cm{i}"].to_numpy()[:, None] == qdf[f"_qm{i}"].to_numpy()[None, :]
         if exclude_self:
             mask &= ids[:, None] != qids[None, :]
         rows_q, rows_i, rows_s = [], [], []
@@ -91,7 +99,7 @@ def vector_topk(queries: DataFrame, collection: DataFrame, k: int, *, q_id: str
         return pd.DataFrame({"_qid": np.concatenate(rows_q), "_id": np.concatenate(rows_i),
                              "_sim": np.concatenate(rows_s)})
 
-    cand = qk.groupBy("_qb", "_cc").cogroup(ck.groupBy("_qb", "_cc")).applyInPandas(block_topk, out_schema)
+    cand = qk.groupBy(*keys, "_qb", "_cc").cogroup(ck.groupBy(*keys, "_qb", "_cc")).applyInPandas(block_topk, out_schema)
     w = Window.partitionBy("_qid").orderBy(F.col("_sim").desc(), F.col("_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("_qid").alias(q_id), "rank", F.col("_id").alias(c_id),

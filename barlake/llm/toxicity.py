@@ -27,6 +27,7 @@ several labels count as toxic if one label is 1.  Other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,16 +35,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.common import slices, written
 from barlake.llm.langid import held_out
 
-#: Bounds of the learning sample (sequences of each label; documents) and of a sequence.
+#: The learning sample: labelled documents of each label, and sequences of each label
+#: cut from them, both as the expected number of a choice by hash.
+SAMPLE_DOCUMENTS = 15_000
 SAMPLE_SEQUENCES = 6_000
-SAMPLE_DOCUMENTS = 20_000
+#: Documents of each label that the final score is fitted on.
+FIT_DOCUMENTS = 3_000
 SEQUENCE_WORDS = 128
 #: Contrast: share of toxic documents, G statistic, different words before.
 MIN_SHARE = 0.9
@@ -59,7 +62,7 @@ PENALTY = 1e-3
 #: Entries of the tables that a task keeps.
 TABLE_WORDS = 400_000
 
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5, 6)
 
 
@@ -132,29 +135,57 @@ def unit_contrast(rows: DataFrame) -> DataFrame:
                                        F.bit_count(F.bit_or("seen")).alias("contexts"))
 
 
-def toxic_units(rows: DataFrame) -> tuple[list[str], float]:
-    """The toxic units, at most ``MAX_UNITS`` by count, and the share of toxic rows."""
-    total, bad = rows.agg(F.count("*"), F.sum("toxic")).first()
-    if not total or not bad:
-        return [], 0.0
-    base = bad / total
-    if base == 1.0:
-        return [], 1.0
+@dataclass
+class Sample:
+    """A written table of (text, toxic), the chosen share of each label's rows, and
+    the share of toxic rows among all."""
+    rows: DataFrame
+    chosen: tuple[float, float]
+    base: float
+    counts: tuple[int, int]
+
+
+def _chosen(key: Column, share: float) -> Column:
+    """True for about ``share`` of the keys, by hash."""
+    return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20) + 0.5)
+
+
+def draw_sample(rows: DataFrame) -> Sample:
+    """At most about ``SAMPLE_DOCUMENTS`` rows of each label, chosen by their text."""
+    n = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    shares = tuple(min(1.0, SAMPLE_DOCUMENTS / max(1, n.get(label, 0))) for label in (0, 1))
+    picked = rows.filter(F.when(F.col("toxic") > 0, _chosen(F.col("text"), shares[1])).otherwise(_chosen(F.col("text"), shares[0])))
+    total = n.get(0, 0) + n.get(1, 0)
+    return Sample(written(picked, "sample"), shares, n.get(1, 0) / total if total else 0.0, (n.get(0, 0), n.get(1, 0)))
+
+
+def toxic_units(sample: Sample) -> list[str]:
+    """The toxic units, at most ``MAX_UNITS`` by count."""
+    bad, good = F.col("bad") / sample.chosen[1], F.col("good") / sample.chosen[0]
     n = F.col("bad") + F.col("good")
+    held = [c * s for c, s in zip(sample.counts, sample.chosen)]
+    base = held[1] / (held[0] + held[1])
     g = 2 * (F.col("bad") * F.log(F.col("bad") / (n * base))
              + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - base)))).otherwise(0.0))
-    top = unit_contrast(rows).filter((F.col("bad") > 0) & (F.col("bad") >= n * MIN_SHARE) & (F.col("contexts") >= MIN_CONTEXTS)) \
-        .filter(g >= MIN_G).orderBy(F.desc("bad"), "unit").limit(MAX_UNITS)
-    return [r["unit"] for r in top.select("unit").collect()], base
+    top = unit_contrast(sample.rows).filter((F.col("bad") > 0) & (F.col("contexts") >= MIN_CONTEXTS)) \
+        .filter((bad >= (bad + good) * MIN_SHARE) & (g >= MIN_G)).orderBy(F.desc("bad"), "unit").limit(MAX_UNITS)
+    return [r["unit"] for r in top.select("unit").collect()]
 
 
 # --- the field ------------------------------------------------------------------
 
-def feature_ids(word: str) -> list[int]:
+def feature_names(word: str) -> list[str]:
     w = word.lower()
     shape = "X" if word.isupper() else "Xx" if word[:1].isupper() else "9" if word[:1].isdigit() else "x"
-    names = ["w" + w, "s" + w[-3:], "c" + shape, *(f"p{w[:n]}" for n in _PREFIXES if n <= len(w))]
-    return [zlib.crc32(x.encode()) % FEATURES for x in names]
+    return ["w" + w, "s" + w[-3:], "c" + shape, *("p" + w[:n] for n in _PREFIXES if n <= len(w))]
+
+
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+
+
+def feature_ids(word: str) -> list[int]:
+    return [_bucket(x) for x in feature_names(word)]
 
 
 @dataclass
@@ -166,9 +197,21 @@ class Field:
     #: Logistic over (log odds of the top marginal, log(1 + expected toxic words)); or a constant.
     score: tuple[float, float, float] = (0.0, 0.0, 0.0)
     constant: float | None = None
+    #: Weights by name of the features that many words share.
+    seen: dict[str, float] = field(default_factory=dict)
 
     def emission(self, word: str) -> float:
-        return self.bias + float(self.weights[feature_ids(word)].sum())
+        names = feature_names(word)
+        seen = self.seen
+        if len(seen) > TABLE_WORDS:
+            seen.clear()
+        total = self.bias + float(self.weights[_bucket(names[0])])
+        for name in names[1:]:
+            weight = seen.get(name)
+            if weight is None:
+                weight = seen[name] = float(self.weights[_bucket(name)])
+            total += weight
+        return total
 
 
 _LIMIT = 1e30
@@ -246,8 +289,8 @@ def train(examples: list[tuple[list[str], list[int]]]) -> Field:
 # --- learning: sample and fit ----------------------------------------------------
 
 def sample_sequences(rows: DataFrame, units: list[str]) -> list[tuple[list[str], list[int]]]:
-    """At most ``SAMPLE_SEQUENCES`` sequences with a toxic word and as many without,
-    chosen by the hash of their words."""
+    """About ``SAMPLE_SEQUENCES`` sequences at most with a toxic word and as many
+    without, chosen by the hash of their words."""
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(units))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,36 +311,44 @@ def sample_sequences(rows: DataFrame, units: list[str]) -> list[tuple[list[str],
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["words", "labels", "hit"])
 
     cuts = written(rows.select("text", "toxic").mapInArrow(cut, "words string, labels string, hit long")
-                   .filter((F.col("hit") == 1) | (F.pmod(F.xxhash64("words"), F.lit(8)) == 0)), "sequences")
+                   .filter((F.col("hit") == 1) | _chosen(F.col("words"), 0.125)), "sequences")
+    found = {r["hit"]: r["n"] for r in cuts.groupBy("hit").agg(F.count("*").alias("n")).collect()}
     out = []
     for hit in (1, 0):
-        picked = cuts.filter(F.col("hit") == hit).orderBy(F.xxhash64("words"), "words", "labels").limit(SAMPLE_SEQUENCES)
+        share = min(1.0, SAMPLE_SEQUENCES / max(1, found.get(hit, 0)))
+        picked = cuts.filter((F.col("hit") == hit) & _chosen(F.reverse("words"), share))
         out += [(r["words"].split(" "), [int(c) for c in r["labels"]]) for r in picked.select("words", "labels").collect()]
-    return out
+    return sorted(out)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Newton steps for a penalised logistic regression of two inputs."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Newton steps for a weighted, penalised logistic regression of two inputs."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(3)
-        w = w + np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(3)
+        w = w + np.linalg.solve(h, a.T @ (weight * (y - p)) - 1e-2 * w)
     return float(w[0]), float(w[1]), float(w[2])
 
 
 def learn(rows: DataFrame) -> Field:
     """The field from labelled rows of (text, toxic)."""
-    units, base = toxic_units(rows)
+    sample = draw_sample(rows)
+    if sample.base in (0.0, 1.0):
+        return Field(constant=sample.base)
+    units = toxic_units(sample)
     if not units:
-        return Field(constant=base)
-    f = train(sample_sequences(rows, units))
-    sample = rows.orderBy(F.xxhash64("text"), "toxic").limit(SAMPLE_DOCUMENTS).repartition(
-        rows.sparkSession.sparkContext.defaultParallelism)
-    seen = tagged(sample.withColumn("_id", F.col("toxic").cast("long")), f, "_id", "text") \
-        .select("_id", "top_odds", "expected").toPandas()
-    f.score = _logistic(seen[["top_odds", "expected"]].to_numpy(), seen["_id"].to_numpy(float))
+        return Field(constant=sample.base)
+    f = train(sample_sequences(sample.rows, units))
+    shares = [min(1.0, FIT_DOCUMENTS / max(1.0, c * s)) for c, s in zip(sample.counts, sample.chosen)]
+    few = sample.rows.filter(F.when(F.col("toxic") > 0, _chosen(F.reverse("text"), shares[1])).otherwise(_chosen(F.reverse("text"), shares[0])))
+    seen = tagged(few.withColumn("_id", F.col("toxic").cast("long")), f, "_id", "text") \
+        .select("_id", "top_odds", "expected").toPandas().sort_values(["_id", "top_odds", "expected"])
+    y = seen["_id"].to_numpy(float)
+    # rows stand for all labelled rows of their label
+    weight = np.where(y > 0, 1 / (shares[1] * sample.chosen[1]), 1 / (shares[0] * sample.chosen[0]))
+    f.score = _logistic(seen[["top_odds", "expected"]].to_numpy(), y, weight / weight.mean())
     return f
 
 

@@ -3,6 +3,7 @@ written as Parquet and read again as the next stage's ``docs``."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,30 +17,46 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _shipped(stage: Stage) -> Stage:
+    """The stage, with the package at hand in the Python workers wherever it is called."""
+
+    @functools.wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
+@_shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base or a quality rule rejects go."""
     from barlake.llm.quality_cascade import quality_filter
     return quality_filter(docs).select(*COLUMNS)
 
 
+@_shipped
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     from barlake.llm.simhash import keep_first
     return keep_first(docs).select(*COLUMNS)
 
 
+@_shipped
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes under a 200-byte string that occurs elsewhere go; the documents stay."""
     from barlake.llm.suffix_dedup import dedup_texts
     return dedup_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_shipped
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     from barlake.llm.decontaminate import drop_leaked
     return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
+@_shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     from barlake.llm.mixing import mix_documents
@@ -60,7 +77,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")

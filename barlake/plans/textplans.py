@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlake.operators import textops as tx
-from barlake.plans.common import round_doubles
 from barlake.sources import fixtures as fx
 
 

@@ -1,5 +1,4 @@
 """Batch = stream on any file layout: one file or four, in order or reversed."""
-import os
 import time
 
 import pytest

@@ -12,6 +12,8 @@ rows first, Spark sums the counts per (language, word), and the n-gram counts co
 from the summed words.  The model keeps the most frequent of each language, up to
 ``TOP_WORDS`` and ``TOP_GRAMS``, so its size is bounded by the number of languages.
 
+With many languages the model's units are shared evenly (``MAX_UNITS``).
+
 Null texts and texts without a letter are ``und`` with score 0.  Ties go to the
 language that sorts first.  Without a training row every text is ``und``.
 Repeated rows count as often as they occur.  Other columns are not read.
@@ -33,11 +35,14 @@ from barlake.llm.common import slices, written
 TOP_WORDS = 20_000
 TOP_GRAMS = 20_000
 MAX_GRAM = 5
-#: Languages that a model may hold.
+#: Languages that a model may hold, and its words (and n-grams) over all languages:
+#: many languages share them evenly.
 MAX_LANGUAGES = 1_000
+MAX_UNITS = 1_000_000
 UNKNOWN = "und"
-#: Words that a task keeps the scores of.
+#: Words that a task counts before it hands them on, and scores that it keeps.
 TABLE_WORDS = 400_000
+TABLE_SCORES = 2_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
@@ -125,24 +130,36 @@ class Model:
     def _floor(rows: list[tuple]) -> float:
         return -math.log(2 * max((r[3] for r in rows), default=1))
 
-    def _table(self, rows: list[tuple], at: dict[str, int]) -> dict[str, list[float]]:
+    def _table(self, rows: list[tuple], at: dict[str, int]) -> tuple[list[float], dict[str, list[tuple[int, float]]]]:
+        """What a language scores that lacks a unit, and the others' scores by unit."""
         total = {r[0]: r[3] for r in rows}
         low = [-math.log(2 * total.get(k, 1)) for k in self.languages]
-        out: dict[str, list[float]] = {}
+        out: dict[str, list[tuple[int, float]]] = {}
         for key, unit, n, whole in rows:
-            out.setdefault(unit, list(low))[at[key]] = math.log(n / whole)
+            out.setdefault(unit, []).append((at[key], math.log(n / whole)))
+        return low, out
+
+    @staticmethod
+    def _scores(table: tuple[list[float], dict[str, list[tuple[int, float]]]], unit: str) -> list[float] | None:
+        low, units = table
+        own = units.get(unit)
+        if own is None:
+            return None
+        out = list(low)
+        for i, score in own:
+            out[i] = score
         return out
 
     def score(self, word: str) -> list[float]:
         """Scores of a word in every language: the word itself, or n-grams."""
-        known = self.words.get(word)
+        known = self._scores(self.words, word)
         if known is not None:
             return known
         sums = [0.0] * len(self.languages)
         at = 0
         while at < len(word):
             for size in range(min(MAX_GRAM, len(word) - at), 0, -1):
-                gram = self.grams.get(word[at:at + size])
+                gram = self._scores(self.grams, word[at:at + size])
                 if gram is not None:
                     sums = [a + b for a, b in zip(sums, gram)]
                     break
@@ -160,7 +177,8 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     known = words.select("lang").distinct().count()
     if known > MAX_LANGUAGES:
         raise ValueError(f"{known} languages are more than the model may hold ({MAX_LANGUAGES})")
-    return Model(_top(words, "word", TOP_WORDS), _top(gram_counts(words), "gram", TOP_GRAMS))
+    share = MAX_UNITS // max(1, known)
+    return Model(_top(words, "word", min(TOP_WORDS, share)), _top(gram_counts(words), "gram", min(TOP_GRAMS, share)))
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text",
@@ -174,6 +192,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
         m = shared.value
         known: dict[str, int] = {}
         table = np.zeros((1024, max(1, len(m.languages))))
+        most = TABLE_SCORES // max(1, len(m.languages))
         for batch in slices(batches, "_text"):
             found, scores = [], []
             for value in batch.column("_text").to_pylist():
@@ -182,7 +201,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                     found.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                if len(known) > TABLE_WORDS:
+                if len(known) > most:
                     known = {}
                 for w in set(words):
                     if w not in known:

@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Labels mark documents, so the token labels come from a contrast: over all labelled
-training rows Spark counts, per word and word prefix, the toxic and the other
-documents that hold it and the variety of words before it.  A unit is toxic if
+Labels mark documents, so the token labels come from a contrast: over a bounded
+sample of the labelled training rows (``SAMPLE_DOCUMENTS`` of each label) Spark
+counts, per word and word prefix, the toxic and the other documents that hold it and
+the variety of words before it.  A unit is toxic if
 nearly all its documents are, the contrast is significant, and it follows many
 different words (text copied from one toxic document fails that).  Words with a
 toxic unit, in toxic documents, are labelled 1, all other words 0.
@@ -29,7 +30,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -150,13 +150,19 @@ def _chosen(key: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20) + 0.5)
 
 
-def draw_sample(rows: DataFrame) -> Sample:
-    """At most about ``SAMPLE_DOCUMENTS`` rows of each label, chosen by their text."""
-    n = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+def draw_sample(documents: DataFrame, labels: DataFrame, id_col: str, text: str) -> Sample:
+    """The documents of about ``SAMPLE_DOCUMENTS`` labels at most of each kind outside
+    the held-out part, chosen by their id.  The chosen ids have that bound, so they
+    are broadcast and no text is shuffled."""
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), 5, 0)) \
+        .groupBy(id_col).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     shares = tuple(min(1.0, SAMPLE_DOCUMENTS / max(1, n.get(label, 0))) for label in (0, 1))
-    picked = rows.filter(F.when(F.col("toxic") > 0, _chosen(F.col("text"), shares[1])).otherwise(_chosen(F.col("text"), shares[0])))
+    picked = marks.filter(F.when(F.col("toxic") > 0, _chosen(F.col(id_col), shares[1])).otherwise(_chosen(F.col(id_col), shares[0])))
+    rows = documents.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
     total = n.get(0, 0) + n.get(1, 0)
-    return Sample(written(picked, "sample"), shares, n.get(1, 0) / total if total else 0.0, (n.get(0, 0), n.get(1, 0)))
+    return Sample(written(rows.select("text", "toxic"), "sample"), shares, n.get(1, 0) / total if total else 0.0,
+                  (n.get(0, 0), n.get(1, 0)))
 
 
 def toxic_units(sample: Sample) -> list[str]:
@@ -332,9 +338,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def learn(rows: DataFrame) -> Field:
-    """The field from labelled rows of (text, toxic)."""
-    sample = draw_sample(rows)
+def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> Field:
+    """The field from the labelled documents outside the held-out part."""
+    sample = draw_sample(documents, labels, id_col, text)
     if sample.base in (0.0, 1.0):
         return Field(constant=sample.base)
     units = toxic_units(sample)
@@ -442,19 +448,10 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-def labelled(documents: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, toxic) of the labelled documents that ``where`` admits."""
-    marks = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(
-        F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return documents.filter(where).select(id_col, F.col(text).alias("text")).join(marks, id_col) \
-        .select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-
-
 def score_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, held_out, score, predicted, spans."""
     held = held_out(F.col(id_col), 5, 0)
-    rows = written(labelled(documents, labels, ~held, id_col, text), "labelled")
-    f = learn(rows)
+    f = learn(documents, labels, id_col, text)
     out = tagged(documents.withColumn("__toxicity_held", held), f, id_col, text, ("__toxicity_held",))
     return out.select(id_col, F.col("__toxicity_held").alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

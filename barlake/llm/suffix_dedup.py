@@ -53,13 +53,14 @@ def _keys(text: Column) -> list[Column]:
 
 # --- pieces -------------------------------------------------------------------------
 
-# A place packs a piece's first start, its anchor's offset and its number of starts.
-_OFFSET_BITS, _STARTS_BITS = 9, 9
+# A shape packs the anchor's offset in a piece and the piece's number of starts.
+_STARTS_BITS = 9
 
 
 def pieces(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, body, shape, k1, k2, first): all pieces of all texts; ``body`` hashes
-    the bytes, ``shape`` packs anchor offset and number of starts."""
+    """(anchor, body, shape, k1, k2, firsts): all pieces of all texts; ``body`` hashes
+    the bytes, ``shape`` packs anchor offset and number of starts, ``firsts`` lists
+    where the piece occurs in the text (a text of one word over and over is one row)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
@@ -72,16 +73,22 @@ def pieces(docs: DataFrame, length: int) -> DataFrame:
                 body = np.fromiter((xxhash.xxh64_intdigest(text[a:b]) for a, b in zip(first.tolist(), stop.tolist())),
                                    np.uint64, len(h))
                 shape = (position - first) << _STARTS_BITS | (last - first + 1)
-                columns.append((h.view(np.int64), body.view(np.int64), shape, np.full(len(h), row), first))
+                order = np.lexsort((first, shape, body, h))
+                h, body, shape, first = h[order], body[order], shape[order], first[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (body[1:] != body[:-1]) | (shape[1:] != shape[:-1])])
+                size = np.diff(np.append(np.flatnonzero(new), len(h)))
+                columns.append((h[new].view(np.int64), body[new].view(np.int64), shape[new], np.full(len(size), row), size, first))
             if columns:
-                h, body, shape, row, first = (np.concatenate(c) for c in zip(*columns))
+                h, body, shape, row, size = (np.concatenate(c) for c in zip(*(c[:5] for c in columns)))
+                firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                                                  pa.array(np.concatenate([c[5] for c in columns])))
                 own = batch.select(["k1", "k2"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(body), pa.array(shape.astype(np.int32)), *own.columns, pa.array(first)],
-                    names=["anchor", "body", "shape", "k1", "k2", "first"])
+                    [pa.array(h), pa.array(body), pa.array(shape.astype(np.int32)), *own.columns, firsts],
+                    names=["anchor", "body", "shape", "k1", "k2", "firsts"])
 
     return docs.select("_text", "k1", "k2").mapInArrow(
-        cut, "anchor long, body long, shape int, k1 long, k2 long, first long")
+        cut, "anchor long, body long, shape int, k1 long, k2 long, firsts array<long>")
 
 
 def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
@@ -221,10 +228,11 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int, collection_bytes: int, max_pieces: int) -> DataFrame:
     """(k1, k2, parts): per text the masks of its pieces that hold a repeated start."""
     rare_free = written(anchor_counts(docs, length), "anchors")
-    found = written(pieces(docs, length).join(rare_free, "anchor", "left_semi").groupBy(
-        "anchor", "body", "shape", "k1", "k2", "first").agg(F.count("*").alias("n")), "pieces")
+    # no aggregate in the stage of this join: Spark can then split a hot anchor
+    found = written(pieces(docs, length).join(rare_free, "anchor", "left_semi"), "pieces")
     distinct = written(found.groupBy("anchor", "body", "shape").agg(
-        F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("lend")), "distinct")
+        F.sum(F.size("firsts").cast("long")).alias("n"),
+        F.min(F.struct("k1", "k2", F.col("firsts")[0].alias("first"))).alias("lend")), "distinct")
     large = written(distinct.groupBy("anchor").agg(F.count("*").alias("d")).filter(F.col("d") > max_pieces).select("anchor"), "large")
     held = written(piece_bytes(docs, distinct, length), "bytes")
     judged = held.join(large, "anchor", "left_anti").select("anchor", "body", "shape", "n", "bytes") \
@@ -232,7 +240,7 @@ def repeated_ranges(docs: DataFrame, length: int, collection_bytes: int, max_pie
     crowded = _counted(held.join(large, "anchor", "left_semi").select("anchor", "body", "shape", "n", "bytes"), length)
     verdicts = written(judged.unionByName(crowded).filter(F.regexp_replace(F.hex("mask"), "0", "") != ""), "verdicts")
     return found.join(verdicts, ["anchor", "body", "shape"]).groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("first", "shape", "mask")).alias("parts"))
+        F.collect_set(F.struct("firsts", "shape", "mask")).alias("parts"))
 
 
 def removed_runs(n_bytes: int, parts: list[dict], length: int) -> np.ndarray:
@@ -240,8 +248,9 @@ def removed_runs(n_bytes: int, parts: list[dict], length: int) -> np.ndarray:
     edge = np.zeros(n_bytes + 1, np.int32)
     for p in parts:
         starts = np.flatnonzero(np.unpackbits(np.frombuffer(p["mask"], np.uint8))[:p["shape"] & ((1 << _STARTS_BITS) - 1)])
-        edge[starts + p["first"]] += 1
-        edge[starts + p["first"] + length] -= 1
+        for first in p["firsts"]:
+            edge[starts + first] += 1
+            edge[starts + first + length] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 

@@ -3,8 +3,10 @@
 A known word scores by its log frequency in each language.  An unknown word is
 covered from the left by its longest known n-gram (``MAX_GRAM`` characters down to
 one), each scored the same way; a character that no n-gram covers scores the floor
-in every language.  Words are the runs of letters and marks of the lower-cased
-text.  The text's language has the highest sum; ``score`` is its share of the
+in every language.  A language that lacks a unit scores the table's floor, which is
+one for all languages and below every score of a known unit, so a language gains
+nothing from a small training set.  Words are the runs of letters and marks of the
+lower-cased text.  The text's language has the highest sum; ``score`` is its share of the
 languages' posterior, with the sum of log odds tempered by the word count.
 
 Learning counts the words of every labelled training row: tasks count their own
@@ -106,18 +108,31 @@ def _top(counts: DataFrame, unit: str, limit: int) -> list[tuple[str, str, int,
     """(lang, unit, n, n of the whole language) of the most frequent units: all that
     reach the smallest count that at most ``limit`` units of the language reach.
     The cut comes from the number of units per count, so no task ranks a language's
-    units; units that tie at the cut go together."""
+    units; units that tie at the cut go together.  Where the highest count alone is
+    shared by more than ``limit`` units, ``limit`` of those stay, in hash order."""
     same = counts.groupBy("lang", "n").agg(F.count("*").alias("units"))
     falling = Window.partitionBy("lang").orderBy(F.desc("n"))
     cut = same.withColumn("reach", F.sum("units").over(falling)) \
         .withColumn("total", F.sum(F.col("n") * F.col("units")).over(Window.partitionBy("lang"))) \
-        .filter(F.col("reach") <= limit).groupBy("lang").agg(F.min("n").alias("cut"), F.max("total").alias("total"))
-    top = counts.join(F.broadcast(cut), "lang").filter("n >= cut")  # one row per language: MAX_LANGUAGES at most
-    return [tuple(r) for r in top.select("lang", unit, "n", "total").collect()]
+        .groupBy("lang").agg(F.min(F.when(F.col("reach") <= limit, F.col("n"))).alias("cut"), F.max("total").alias("total"),
+                             F.max("n").alias("most"), F.max_by("units", "n").alias("ties"))
+    cuts = cut.collect()  # one row per language: MAX_LANGUAGES at most
+    if not cuts:
+        return []
+    rows = counts.join(F.broadcast(counts.sparkSession.createDataFrame(cuts, cut.schema)), "lang")
+    top = rows.filter("n >= cut").select("lang", unit, "n", "total")
+    if any(r["cut"] is None for r in cuts):
+        # a slot has about one unit, so the slots that are ranked hold about twice the limit
+        slot = F.pmod(F.xxhash64(unit), F.col("ties"))
+        tied = rows.filter("cut is null and n = most").withColumn("slot", slot).filter(F.col("slot") < 2 * limit + 16)
+        ranked = tied.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("slot", unit)))
+        top = top.unionByName(ranked.filter(F.col("rank") <= limit).select("lang", unit, "n", "total"))
+    return [tuple(r) for r in top.collect()]
 
 
 class Model:
-    """Bounded tables of log frequencies: unit -> one score per language."""
+    """Bounded tables of log frequencies: unit -> one score per language.  A table's
+    floor halves the frequency of a unit seen once in its largest language."""
 
     def __init__(self, words: list[tuple], grams: list[tuple]):
         self.languages = sorted({r[0] for r in [*words, *grams]})
@@ -131,9 +146,8 @@ class Model:
         return -math.log(2 * max((r[3] for r in rows), default=1))
 
     def _table(self, rows: list[tuple], at: dict[str, int]) -> tuple[list[float], dict[str, list[tuple[int, float]]]]:
-        """What a language scores that lacks a unit, and the others' scores by unit."""
-        total = {r[0]: r[3] for r in rows}
-        low = [-math.log(2 * total.get(k, 1)) for k in self.languages]
+        """What every language scores that lacks a unit, and the others' scores by unit."""
+        low = [self._floor(rows)] * len(self.languages)
         out: dict[str, list[tuple[int, float]]] = {}
         for key, unit, n, whole in rows:
             out.setdefault(unit, []).append((at[key], math.log(n / whole)))

@@ -67,3 +67,32 @@ def test_odd_and_empty_tables(odd, none):
     assert g.identify(none).count() == 0
     unlabelled = odd.filter("lang is null")
     assert {r["lang_pred"] for r in g.identify(unlabelled).collect()} == {"und"}
+
+
+def test_a_rare_language_takes_no_texts_of_a_large_one(spark):
+    rows = [tuple(r) for r in corpus(spark, 800).collect()]
+    many = [(1000 + i, " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in EN), "en", "s", 1) for i in range(200)]
+    rare = next(i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    tiny = [(rare, "zoq zaq zuq ziq zeq xoq xaq xuq xiq xeq", "xx", "s", 1)]
+    df = spark.createDataFrame(rows + many + tiny, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang_pred"] for r in g.identify(df).collect()}
+    assert got.pop(rare) == "xx"
+    assert set(got.values()) == {"de", "en"}
+    assert all(got[i] == ("en" if i % 3 else "de") for i in range(800))
+
+
+def test_lacking_a_unit_costs_every_language_the_same():
+    words = [("en", "the", 50_000, 1_000_000), ("xx", "zoq", 5, 10)]
+    grams = [("en", "e", 9, 2_000_000), ("xx", "q", 9, 40)]
+    m = g.Model(words, grams)
+    assert m.score("the")[1] == m.score("zoq")[0] < m.score("the")[0]
+    assert m.score("e")[1] == m.score("q")[0] < m.score("e")[0]
+
+
+def test_a_language_whose_units_all_tie_keeps_some(spark):
+    rows = [("aa", f"w{i}", 1) for i in range(500)] + [("bb", f"v{i}", 2 if i < 4 else 1) for i in range(500)]
+    counts = spark.createDataFrame(rows, "lang string, word string, n long")
+    top = g._top(counts, "word", 10)
+    assert sorted(r[0] for r in top) == ["aa"] * 10 + ["bb"] * 4
+    assert all(r in rows for r in [t[:3] for t in top]) and {r[3] for r in top} == {500, 504}
+    assert sorted(top) == sorted(g._top(counts.repartition(7), "word", 10))

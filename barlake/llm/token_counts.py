@@ -8,6 +8,12 @@ with the one before starts from the shared node, and the last node of a word (it
 terminal) gives the word's count.  A text's count is the sum over its words, so a
 word costs one dictionary lookup after its first sight.
 
+Scores are unigram log probabilities.  A vocabulary file of the Unigram kind holds
+them.  A BPE file holds merge ranks, which are no probabilities, so only its pieces
+count: tasks count the pieces of their own rows as the file's own encoder cuts them,
+Spark sums the counts over the whole table, and a piece scores
+``log((count + 1) / (all counts + pieces))``.  The counts then depend on the table.
+
 The best segmentation has the highest sum of piece scores, and among equal sums the
 fewest tokens.  A character that no piece covers counts as one token per UTF-8
 byte, at ``UNKNOWN_PENALTY`` below the lowest score.
@@ -20,10 +26,13 @@ by one, an empty table gives an empty result, other columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barlake.llm.common import byte_texts, slices
 
@@ -35,15 +44,19 @@ TABLE_WORDS = 1_000_000
 MAX_PIECES = 2_000_000
 
 
-def load_pieces(path: str | None = None) -> dict[str, float]:
-    """Scores of the ordinary pieces of a sentencepiece model file (default: the
-    installed public 32k model)."""
+def _model(path: str | None = None):
     import sentencepiece
 
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path("piece_bpe_32k.model")
-    model = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    return sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
+def load_pieces(path: str | None = None) -> dict[str, float]:
+    """Scores in the file of the ordinary pieces of a sentencepiece model (default:
+    the installed public 32k model)."""
+    model = _model(path)
     size = model.get_piece_size()
     if size > MAX_PIECES:
         raise ValueError(f"{size} pieces are more than a task should hold ({MAX_PIECES})")
@@ -51,6 +64,52 @@ def load_pieces(path: str | None = None) -> dict[str, float]:
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
 
 
+def holds_ranks(pieces: dict[str, float]) -> bool:
+    """True for the scores of a BPE file: whole numbers only."""
+    return len(pieces) > 1 and all(s == int(s) for s in pieces.values())
+
+
+def piece_counts(df: DataFrame, text: str, proto: bytes) -> DataFrame:
+    """(piece, n): pieces of all pre-tokens as the model cuts them, repeats counted."""
+    shared = df.sparkSession.sparkContext.broadcast(proto)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        ids: Counter = Counter()
+        words: Counter = Counter()
+
+        def encode() -> None:
+            for (_, n), cut in zip(words.items(), model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)):
+                for i in cut:
+                    ids[i] += n
+            words.clear()
+
+        for batch in slices(batches, "_text"):
+            for t in byte_texts(batch, "_text"):
+                words.update(t.split())
+            if len(words) > TABLE_WORDS:
+                encode()
+        encode()
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([model.id_to_piece(i) for i in ids], pa.string()),
+                                              pa.array(list(ids.values()), pa.int64())], names=["piece", "n"])
+
+    return df.select(df[text].alias("_text")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def unigram_scores(df: DataFrame, text: str = "text", vocabulary: str | None = None) -> dict[str, float]:
+    """Log probability of each piece: the file's, or from counts over the whole table."""
+    pieces = load_pieces(vocabulary)
+    if not holds_ranks(pieces):
+        return pieces
+    counts = {r["piece"]: r["n"] for r in piece_counts(df, text, _model(vocabulary).serialized_model_proto()).collect()
+              if r["piece"] in pieces}  # MAX_PIECES rows at most
+    whole = sum(counts.values()) + len(pieces)
+    return {p: math.log((counts.get(p, 0) + 1) / whole) for p in pieces}
+
+
 class PrefixCounter:
     """Counts of words, by forward scores along a depth-first walk of their trie."""
 
@@ -96,7 +155,7 @@ class PrefixCounter:
 def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Per document: id, n_bytes, n_pretokens, n_tokens of the whole text."""
     spark: SparkSession = df.sparkSession
-    pieces = spark.sparkContext.broadcast(load_pieces(vocabulary))
+    pieces = spark.sparkContext.broadcast(unigram_scores(df, text, vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(pieces.value)

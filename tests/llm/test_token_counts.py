@@ -64,3 +64,19 @@ def test_small_table_gives_the_same_counts(spark, monkeypatch):
     full = sorted(map(tuple, t.token_counts(df).collect()))
     monkeypatch.setattr(t, "TABLE_WORDS", 5)
     assert sorted(map(tuple, t.token_counts(df.repartition(7)).collect())) == full
+
+
+def test_ordinary_words_are_one_token(spark):
+    words = "the language of international trade is an extraordinary subject".split()
+    df = spark.createDataFrame([(i, " ".join(words[i % 4:])) for i in range(40)], "doc_id long, text string")
+    assert all(r["n_tokens"] == r["n_pretokens"] for r in t.token_counts(df).collect())
+
+
+def test_scores_are_log_probabilities_of_counts_over_all_rows(spark):
+    import math
+    df = spark.createDataFrame([(i, "the the language") for i in range(30)] + [(99, None)], "doc_id long, text string").repartition(5)
+    scores = t.unigram_scores(df)
+    assert t.holds_ranks(t.load_pieces()) and not t.holds_ranks(scores)
+    assert abs(sum(map(math.exp, scores.values())) - 1) < 1e-9
+    assert abs(scores["▁the"] - math.log(61 / (90 + len(scores)))) < 1e-12
+    assert scores["▁the"] > scores["▁language"] > scores["▁zero"]

@@ -1,11 +1,15 @@
 """Main text of HTML pages by text-to-tag ratio.
 
 A streaming parser turns a page into lines, one per block, and counts the tags of
-each.  A line's value is its text length per tag.  Marks in the page steer it:
+each.  A line's value is its text length per tag.  Marks in the page overrule it:
 lines inside menus, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments count as tags only (value 0); where the page marks its article,
-lines outside it have value 0 and lines inside it the page's highest value, so a
-short paragraph is not lost.  The values are smoothed with a Gaussian along runs of
+reader comments count as tags only (value 0).  Where the page marks its article, the
+marks alone decide and ratio, smoothing and threshold do not: lines outside it have
+value 0 and lines inside it the page's highest value, so a short paragraph is not
+lost.  Inside a marked article a class or role takes a container out only as a whole
+token (``cookie-notice``, ``ad-slot``, not ``related-work``), an id only where it
+names the reader comments, and headings and paragraphs stay.  Silent elements inside
+a line (script, svg, button, …) leave a gap, not a line end.  The values are smoothed with a Gaussian along runs of
 equally marked lines, two-means clustering finds the threshold, and the lines at or
 above it are the content.
 
@@ -50,6 +54,11 @@ _BOILERPLATE = frozenset("nav navbar navigation menu breadcrumb breadcrumbs foot
                          "modal comment comments disqus reply replies respond related recommended share sharing social "
                          "pagination pager search form masthead topbar toolbar widget".split())
 _ARTICLE = frozenset("article".split())
+#: Inside a marked article: elements that marks can take out, words that add nothing
+#: to a mark, and whole ids that are marks.
+_CONTAINERS = frozenset("div section ul ol dl table header figure fieldset details center".split())
+_PLAIN = frozenset("list box bar block wrapper container slot unit buttons links area panel".split())
+_COMMENT_IDS = frozenset("comments disqus disqus_thread respond".split())
 _TOKEN = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -65,6 +74,24 @@ def _marks(attrs: list[tuple[str, str | None]]) -> set[str]:
     return out
 
 
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true"
+               or name == "style" and value and "display:none" in value.replace(" ", "").lower() for name, value in attrs)
+
+
+def _furniture(attrs: list[tuple[str, str | None]]) -> bool:
+    """True if a whole class or role token consists of boilerplate words."""
+    for name, value in attrs:
+        if value and name in ("class", "role"):
+            for token in value.split():
+                words = {t.lower() for t in _TOKEN.findall(token)}
+                if words & _BOILERPLATE and words <= _BOILERPLATE | _PLAIN:
+                    return True
+        elif value and name == "id" and value.strip().lower() in _COMMENT_IDS:
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Collects (text, tags, mark) per block; mark is -1 in boilerplate, 1 in a
     marked article, else 0."""
@@ -72,27 +99,37 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, int]] = []
+        self.open: list[tuple[str, int, int | None]] = []
         self.mark = 0
+        #: Inside a silent element of a line: that line's mark.
+        self.around: int | None = None
+        self.gap = False
         self.parts: list[str] = []
         self.tags = 0
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.mark))
+            self.lines.append((text, self.tags, self._line_mark()))
             self.tags = 0
         self.parts.clear()
+        self.gap = False
+
+    def _line_mark(self) -> int:
+        return self.mark if self.around is None else self.around
 
     def _enter(self, tag: str, mark: int) -> None:
-        self.open.append((tag, self.mark))
+        self.open.append((tag, self.mark, self.around))
+        if mark != self.mark and tag not in BLOCKS and self.around is None:
+            self.around = self.mark
+            self.gap = True
         self.mark = mark
 
     def _leave(self, tag: str) -> None:
         """Close the innermost open ``tag`` and all inside it, if there is one."""
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                self.mark = self.open[at][1]
+                _, self.mark, self.around = self.open[at]
                 del self.open[at:]
                 return
 
@@ -103,6 +140,8 @@ class Lines(HTMLParser):
             return 1
         if tag == "header" and self.mark == 0:
             return -1
+        if self.mark > 0:
+            return -1 if attrs and (_hidden(attrs) or tag in _CONTAINERS and _furniture(attrs)) else 1
         if attrs and tag not in ("html", "body"):
             words = _marks(attrs)
             if words & _BOILERPLATE and not words & _ARTICLE:
@@ -115,7 +154,7 @@ class Lines(HTMLParser):
         block = tag in BLOCKS
         if block:
             self._cut()
-            if tag in _ENDS_P and any(t == "p" for t, _ in self.open):
+            if tag in _ENDS_P and any(t == "p" for t, *_ in self.open):
                 self._leave("p")
         mark = self._child_mark(tag, attrs)
         self.tags += 1
@@ -125,12 +164,10 @@ class Lines(HTMLParser):
             return
         if tag == "li":
             self._close_sibling("li", ("ul", "ol", "menu"))
-        if not block and mark != self.mark:
-            self._cut()
         self._enter(tag, mark)
 
     def _close_sibling(self, tag: str, holders: tuple[str, ...]) -> None:
-        for name, _ in reversed(self.open):
+        for name, *_ in reversed(self.open):
             if name in holders:
                 return
             if name == tag:
@@ -143,18 +180,23 @@ class Lines(HTMLParser):
             self._leave(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        before = self.mark
-        inside = any(t == tag for t, _ in self.open)
+        inside = any(t == tag for t, *_ in self.open)
         if tag in BLOCKS:
             self._cut()
         self.tags += 1
         if inside:
-            mark = next(m for t, m in reversed(self.open) if t == tag)
-            if mark != before:
+            mark, around = next((m, a) for t, m, a in reversed(self.open) if t == tag)
+            if (mark if around is None else around) != self._line_mark():
                 self._cut()
             self._leave(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.around is not None:
+            return
+        if self.gap and data:
+            if self.parts and data[0].isalnum():
+                self.parts.append(" ")
+            self.gap = False
         self.parts.append(data)
 
     def finish(self) -> list[tuple[str, int, int]]:

@@ -45,3 +45,19 @@ def test_frame(spark):
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert sum(r["text"] == "" for r in got) == 2
     assert h.extract(df.limit(0)).count() == 0
+
+
+def test_article_text_under_common_words_stays():
+    page = ('<article><h2 id="social-impact">Impact</h2><p class="alert">Mind this.</p><section id="related-work"><p>Others did it.</p></section>'
+            '<div class="form-factor">Small.</div><div class="alert">Sign up</div><div class="ad-slot">Buy</div><p hidden>no</p>'
+            '<div id="comments">me too</div><section id="search"><p>How to search.</p></section></article>')
+    assert h.main_text(page) == "Impact\nMind this.\nOthers did it.\nSmall.\nHow to search."
+
+
+def test_silent_elements_inside_a_line_do_not_cut_it():
+    for x in ("<script>var a;</script>", "<svg><path/></svg>", "<svg/>", "<button>go</button>", '<span hidden>ad</span>'):
+        assert h.main_text(f"<article><p>A {x} B</p><p>C{x}D{x}, e</p></article>") == "A B\nC D, e"
+        assert h.main_text(f"<p>A {x} B</p>") == "A B"
+    assert h.main_text('<p>A <span class="ad">x</span> B</p>') == "A B"
+    assert h.main_text("<article><div>A <button><div>x</div></button> B</div></article>") == "A\nB"
+    assert h.main_text("<article><p>A <button>x<p>B<p>C</article>") == "A\nB\nC"

@@ -5,7 +5,9 @@ Every source's documents are laid end to end and cut into blocks of
 multinomial over the targets; a source's slots are numbered through the shards,
 and slot ``k`` takes block ``perm(k mod blocks)``, where ``perm`` is a
 pseudorandom permutation of the source's block indices, one per epoch.  Slots and
-blocks meet in an equi-join on (source, block).
+blocks meet in an equi-join on (source, block).  That join is the mix: each slot has
+its block's words, cut from the documents' word arrays; ``mix_blocks`` returns it,
+and ``mix_documents`` counts in it what it takes of each document.
 
 The draws of all shards rarely hit a source's quota exactly; slots beyond a quota
 pass, in order, to the sources that fell short, so each source gets its target
@@ -24,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.llm.common import words_of, written
+from barlake.llm.common import let, words_of, written
 
 #: Words of a block and slots of an output shard.
 BLOCK_WORDS = 128
@@ -149,34 +151,70 @@ def mix_slots(sources: DataFrame, seed: int = 8, shard_slots: int = SHARD_SLOTS,
         F.pmod(F.col("k"), F.col("blocks")), F.col("blocks"), F.col("sid"), F.col("epoch"), F.lit(seed)).alias("block"))
 
 
-def pieces(sized: DataFrame, sources: DataFrame, id_col: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(sid, block, doc columns, words): the words of each document in each block."""
+def numbered(sized: DataFrame, sources: DataFrame, *carried: str) -> DataFrame:
+    """(sid, _id, size, first, carried columns): documents with the number of their
+    first word in their source, in the order of bucket, id, size and ``carried``."""
     small = sources.select("sid", "source", "docs")
     small = F.broadcast(small) if sources.count() <= BROADCAST_SOURCES else small
     rows = sized.join(small, sized["source"].eqNullSafe(small["source"])).select(
-        "sid", sized[id_col], "size",
-        F.pmod(F.xxhash64(sized[id_col], "size"), F.ceil(F.col("docs") / BUCKET_ROWS)).alias("bucket"))
-    rows = running_total(rows, "sid", "bucket", [id_col, "size"], "size", "first")
-    cut = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(
-        F.expr(f"first div {block_words}"), F.expr(f"(first + size - 1) div {block_words}"))))
-    lo, hi = F.greatest(F.col("first"), F.col("block") * block_words), F.least(
-        F.col("first") + F.col("size"), (F.col("block") + 1) * block_words)
-    return cut.select("sid", "block", id_col, "size", "first", (hi - lo).alias("words"))
+        "sid", "_id", "size", *carried,
+        F.pmod(F.xxhash64("_id", "size"), F.ceil(F.col("docs") / BUCKET_ROWS)).alias("bucket"))
+    return running_total(rows, "sid", "bucket", ["_id", "size", *carried], "size", "first") \
+        .filter("size > 0").select("sid", "_id", "size", "first", *carried)
+
+
+def blocks_of(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(sid, block, parts): each block's documents in order, with their words in it."""
+
+    def cut(words: Column) -> Column:
+        def part(block: Column) -> Column:
+            lo = F.greatest(F.col("first"), block * block_words) - F.col("first")
+            hi = F.least(F.col("size"), (block + 1) * block_words - F.col("first"))
+            return F.struct(block.alias("block"), F.transform(
+                F.sequence(lo, hi - 1), lambda k: F.get(words, k.cast("int"))).alias("tokens"))
+
+        return F.transform(F.sequence(F.expr(f"first div {block_words}"), F.expr(f"(first + size - 1) div {block_words}")), part)
+
+    pieces = documents.withColumn("piece", F.explode(let(words_of(F.col("_text")), cut)))
+    part = F.struct("first", "_id", "size", F.col("piece.tokens").alias("tokens"))
+    return pieces.groupBy("sid", F.col("piece.block").alias("block")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+
+
+def _mix(df: DataFrame, id_col: str, text: str, source: str, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Document sizes, sources and the mix: (shard, slot, sid, epoch, block, parts)."""
+    rows = df.select(F.col(id_col).alias("_id"), F.col(source).alias("source"), F.col(text).alias("_text")) \
+        .withColumn("size", F.size(words_of(F.col("_text"))).cast("long"))
+    sized = written(rows.drop("_text"), "sizes")
+    sources = written(source_targets(sized, block_words=block_words), "sources")
+    # a shard has a bounded number of slots
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("sid", "epoch", "block", F.lit(seed)), "sid", "epoch", "block")
+    slots = mix_slots(sources, seed).withColumn("slot", F.row_number().over(order) - 1)
+    blocks = blocks_of(numbered(rows, sources, "_text"), block_words)
+    mix = slots.join(blocks, ["sid", "block"]).select("shard", "slot", "sid", "epoch", "block", "parts")
+    return sized, sources, written(mix, "mix")
+
+
+def mix_blocks(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
+               block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
+    """The mix itself, a row per output slot: shard, slot, source, epoch, block, tokens."""
+    _, sources, mix = _mix(df, id_col, text, source, block_words, seed)
+    small = sources.select("sid", "source")
+    small = F.broadcast(small) if sources.count() <= BROADCAST_SOURCES else small
+    return mix.join(small, "sid").select("shard", "slot", "source", "epoch", "block", F.flatten("parts.tokens").alias("tokens"))
 
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
                   block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
-    """Per document: id, size, source_size, target, taken (words, repeats counted)."""
-    sized = written(df.select(F.col(id_col), F.col(source).alias("source"),
-                              F.size(words_of(F.col(text))).cast("long").alias("size")), "sizes")
-    sources = written(source_targets(sized, block_words=block_words), "sources")
-    times = mix_slots(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = pieces(sized, sources, id_col, block_words).join(times, ["sid", "block"], "left") \
-        .groupBy("sid", "first", id_col, "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    wordless = sized.filter("size = 0").select("source", id_col, "size", F.lit(0).cast("long").alias("taken"))
+    """Per document: id, size, source_size, target, taken (words in the mix, repeats counted)."""
+    sized, sources, mix = _mix(df, id_col, text, source, block_words, seed)
+    used = mix.select("sid", F.explode("parts").alias("part")).groupBy("sid", F.col("part.first").alias("first")) \
+        .agg(F.sum(F.size("part.tokens")).alias("used"))
+    taken = numbered(sized, sources).join(used, ["sid", "first"], "left") \
+        .select("sid", "_id", "size", F.coalesce("used", F.lit(0)).cast("long").alias("taken"))
+    wordless = sized.filter("size = 0").select("source", "_id", "size", F.lit(0).cast("long").alias("taken"))
     small = sources.select("sid", "source", "source_size", "target")
     small = F.broadcast(small) if sources.count() <= BROADCAST_SOURCES else small
-    out = [id_col, "size", "source_size", "target", "taken"]
+    out = [F.col("_id").alias(id_col), "size", "source_size", "target", "taken"]
     full = taken.join(small, "sid").select(*out)
     empty = wordless.join(small, wordless["source"].eqNullSafe(small["source"])).select(*out)
     return full.unionByName(empty)

@@ -79,3 +79,23 @@ def test_odd_and_empty_tables(odd, none):
     assert m.mix_documents(none).count() == 0
     wordless = odd.filter("doc_id in (1, 2, 3)")
     assert [r["taken"] for r in m.mix_documents(wordless).collect()] == [0, 0, 0]
+
+
+def test_the_mix_holds_the_words_that_are_counted(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(i * 37 % 411)), [None, "a", "b"][i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = m.mix_blocks(df).collect()
+    assert len({(r["shard"], r["slot"]) for r in mix}) == len(mix)
+    words, where = Counter(), {}
+    for r in mix:
+        assert 0 < len(r["tokens"]) <= m.BLOCK_WORDS
+        assert where.setdefault((r["source"], r["block"]), r["tokens"]) == r["tokens"]
+        words.update(r["tokens"])
+        for a, b in zip(r["tokens"], r["tokens"][1:]):
+            (d, k), (e, n) = a[1:].split("w"), b[1:].split("w")
+            assert int(n) == (int(k) + 1 if d == e else 0)
+        assert all(rows[int(t[1:].split("w")[0])][2] == r["source"] for t in r["tokens"])
+    taken = Counter()
+    for word, n in words.items():
+        taken[int(word[1:].split("w")[0])] += n
+    assert {r["doc_id"]: r["taken"] for r in m.mix_documents(df).collect() if r["taken"]} == taken

@@ -68,6 +68,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.conversation_repair import damaged_audits
+    return damaged_audits(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -79,4 +84,5 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_html_main_text": op9_html_main_text,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
 }

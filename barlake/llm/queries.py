@@ -73,6 +73,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_audits(_table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.spelling import spelling_variants
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -85,4 +90,5 @@ QUERIES: dict[str, Query] = {
     "op9_html_main_text": op9_html_main_text,
     "op10_language_id": op10_language_id,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }

@@ -73,6 +73,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_audits(_table(spark, sf_dir, "conversations"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barlake.llm.pii import digests
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barlake.llm.spelling import spelling_variants
     return spelling_variants(_table(spark, sf_dir, "documents"))
@@ -90,5 +95,6 @@ QUERIES: dict[str, Query] = {
     "op9_html_main_text": op9_html_main_text,
     "op10_language_id": op10_language_id,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_pii": op12_pii,
     "op13_spelling_variants": op13_spelling_variants,
 }

@@ -5,9 +5,9 @@ Every source's documents are laid end to end and cut into blocks of
 multinomial over the targets; a source's slots are numbered through the shards,
 and slot ``k`` takes block ``perm(k mod blocks)``, where ``perm`` is a
 pseudorandom permutation of the source's block indices, one per epoch.  Slots and
-blocks meet in an equi-join on (source, block).  That join is the mix: each slot has
-its block's words, cut from the documents' word arrays; ``mix_blocks`` returns it,
-and ``mix_documents`` counts in it what it takes of each document.
+blocks meet on (source, block).  That is the mix: each slot has its block's words, cut
+from the documents; it is written, ``mix_blocks`` returns it, and ``mix_documents``
+counts in it what it takes of each document.
 
 The draws of all shards rarely hit a source's quota exactly; slots beyond a quota
 pass, in order, to the sources that fell short, so each source gets its target
@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.llm.common import let, words_of, written
+from barlake.llm.common import let, scratch, words_of, written
 
 #: Words of a block and slots of an output shard.
 BLOCK_WORDS = 128
@@ -46,20 +46,25 @@ BUCKET_ROWS = 512
 BROADCAST_SOURCES = 10_000
 
 
+def bucket_totals(df: DataFrame, key: str, bucket: str, value: str, total: str, out: str, levels: int = 2) -> DataFrame:
+    """(key, bucket, total, out): the sum of ``value`` in each bucket and in the earlier
+    buckets of its key, totalled ``levels`` deep so that no window holds a key."""
+    sums = df.groupBy(key, bucket).agg(F.sum(value).alias(total))
+    if levels:
+        up = f"_up{levels}"
+        return running_total(sums.withColumn(up, F.expr(f"{bucket} div 1024")), key, up, [bucket], total, out, levels - 1).drop(up)
+    whole = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn(out, F.coalesce(F.sum(total).over(whole), F.lit(0)))
+
+
 def running_total(df: DataFrame, key: str, bucket: str, order: Sequence[str], value: str, out: str,
                   levels: int = 2) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the earlier rows of ``key``, in the
     order (``bucket``, ``order``).  No window is wider than a bucket: bucket sums
-    are totalled the same way, ``levels`` deep, and joined back."""
-    total, up, before, own = (f"_{name}{levels}" for name in ("total", "up", "before", "own"))
+    are totalled the same way and joined back."""
+    total, before, own = (f"_{name}{levels}" for name in ("total", "before", "own"))
     inner = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(key, bucket).agg(F.sum(value).alias(total))
-    if levels:
-        sums = running_total(sums.withColumn(up, F.expr(f"{bucket} div 1024")), key, up, [bucket], total,
-                             before, levels - 1)
-    else:
-        whole = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.withColumn(before, F.coalesce(F.sum(total).over(whole), F.lit(0)))
+    sums = bucket_totals(df, key, bucket, value, total, before, levels)
     rows = df.withColumn(own, F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return rows.join(sums.select(key, bucket, before), [key, bucket]).withColumn(
         out, F.col(own) + F.col(before)).drop(own, before)
@@ -151,37 +156,81 @@ def mix_slots(sources: DataFrame, seed: int = 8, shard_slots: int = SHARD_SLOTS,
         F.pmod(F.col("k"), F.col("blocks")), F.col("blocks"), F.col("sid"), F.col("epoch"), F.lit(seed)).alias("block"))
 
 
-def numbered(sized: DataFrame, sources: DataFrame, *carried: str) -> DataFrame:
-    """(sid, _id, size, first, carried columns): documents with the number of their
-    first word in their source, in the order of bucket, id, size and ``carried``."""
+def bucketed(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents with the sid of their source and their bucket in it."""
     small = sources.select("sid", "source", "docs")
     small = F.broadcast(small) if sources.count() <= BROADCAST_SOURCES else small
-    rows = sized.join(small, sized["source"].eqNullSafe(small["source"])).select(
-        "sid", "_id", "size", *carried,
-        F.pmod(F.xxhash64("_id", "size"), F.ceil(F.col("docs") / BUCKET_ROWS)).alias("bucket"))
-    return running_total(rows, "sid", "bucket", ["_id", "size", *carried], "size", "first") \
-        .filter("size > 0").select("sid", "_id", "size", "first", *carried)
+    return sized.join(small, sized["source"].eqNullSafe(small["source"])).drop("source").withColumn(
+        "bucket", F.pmod(F.xxhash64("_id", "size"), F.ceil(F.col("docs") / BUCKET_ROWS))).drop("docs")
+
+
+def numbered(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """(sid, _id, size, first): documents with the number of their first word in their
+    source, in the order of bucket, id and size."""
+    return running_total(bucketed(sized, sources), "sid", "bucket", ["_id", "size"], "size", "first") \
+        .filter("size > 0").select("sid", "_id", "size", "first")
 
 
-def blocks_of(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(sid, block, parts): each block's documents in order, with their words in it."""
+def _pieces(block_words: int) -> Column:
+    """array<struct<block, n, words>>: the pieces of a document's words by block."""
 
     def cut(words: Column) -> Column:
-        def part(block: Column) -> Column:
+        def piece(block: Column) -> Column:
             lo = F.greatest(F.col("first"), block * block_words) - F.col("first")
             hi = F.least(F.col("size"), (block + 1) * block_words - F.col("first"))
-            return F.struct(block.alias("block"), F.transform(
-                F.sequence(lo, hi - 1), lambda k: F.get(words, k.cast("int"))).alias("tokens"))
-
-        return F.transform(F.sequence(F.expr(f"first div {block_words}"), F.expr(f"(first + size - 1) div {block_words}")), part)
-
-    pieces = documents.withColumn("piece", F.explode(let(words_of(F.col("_text")), cut)))
-    part = F.struct("first", "_id", "size", F.col("piece.tokens").alias("tokens"))
-    return pieces.groupBy("sid", F.col("piece.block").alias("block")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+            return F.struct(block.alias("block"), (hi - lo).cast("int").alias("n"),
+                            F.array_join(F.slice(words, (lo + 1).cast("int"), (hi - lo).cast("int")), " ").alias("words"))
+
+        return F.transform(F.sequence(F.expr(f"first div {block_words}"), F.expr(f"(first + size - 1) div {block_words}")), piece)
+
+    return let(words_of(F.col("_text")), cut)
+
+
+def _joined(rows: DataFrame, sized: DataFrame, sources: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """The mix: slots with the pieces of their blocks.
+
+    Slots travel to the bucket of documents where their block begins, so that texts are
+    shuffled once, by (source, bucket), and numbered, cut and joined there.  Only blocks
+    at the edge of a bucket, whose words may lie in two, are brought together by a
+    second, small shuffle of their pieces."""
+    starts = written(bucket_totals(bucketed(sized, sources), "sid", "bucket", "size", "words", "before"), "starts")
+    begin, end = F.ceil(F.col("before") / block_words), F.ceil((F.col("before") + F.col("words")) / block_words)
+    homes = starts.filter(begin < end).select("sid", "bucket", F.explode(F.sequence(begin, end - 1)).alias("block"))
+    placed = slots.join(homes, ["sid", "block"]).select(
+        "sid", "bucket", F.lit(2).alias("kind"), "block", F.struct("shard", "slot", "epoch").alias("slot"))
+    heads = starts.select("sid", "bucket", F.lit(0).alias("kind"), F.col("before").alias("size"), "before",
+                          (F.col("before") + F.col("words")).alias("stop"))
+    texts = bucketed(rows, sources).filter("size > 0").withColumn("kind", F.lit(1))
+    every = texts.unionByName(heads, allowMissingColumns=True).unionByName(placed, allowMissingColumns=True)
+    # a bucket's head comes first and adds the words before it
+    earlier = Window.partitionBy("sid", "bucket").orderBy("kind", "_id", "size", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("sid", "bucket", "kind", "_id", "size", "_text", "block", "slot", F.sum("size").over(earlier).alias("first"),
+                         F.first("before").over(earlier).alias("before"), F.first("stop").over(earlier).alias("stop")).filter("kind > 0")
+    at_edge = (F.col("block") * block_words < F.col("before")) | ((F.col("block") + 1) * block_words > F.col("stop"))
+    near_edge = (F.col("kind") == 2) | (F.col("first") < F.ceil(F.col("before") / block_words) * block_words) \
+        | (F.col("first") + F.col("size") > F.floor(F.col("stop") / block_words) * block_words)
+
+    def flat(rows: DataFrame) -> DataFrame:
+        none = F.array(F.struct(F.col("block"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("words")))
+        cut = rows.withColumn("piece", F.explode(F.when(F.col("kind") == 1, _pieces(block_words)).otherwise(none)))
+        part = F.when(F.col("kind") == 1, F.struct("first", F.col("piece.n").alias("n"), F.col("piece.words").alias("words")))
+        return cut.select("sid", "bucket", F.col("piece.block").alias("block"), part.alias("part"), "slot", "before", "stop")
+
+    def blocks(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"), F.collect_list("slot").alias("slots")) \
+            .select("sid", "block", "parts", "slots")
+
+    whole = blocks(flat(every).filter(~at_edge), "sid", "bucket", "block")
+    edges = blocks(flat(every.filter(near_edge)).filter(at_edge), "sid", "block")
+    return whole.unionByName(edges).select("sid", "block", "parts", F.explode("slots").alias("slot")).select(
+        "slot.shard", "slot.slot", "sid", "slot.epoch", "block", F.col("parts.first").alias("firsts"),
+        F.col("parts.n").alias("counts"), F.array_join("parts.words", " ").alias("words"))
 
 
 def _mix(df: DataFrame, id_col: str, text: str, source: str, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Document sizes, sources and the mix: (shard, slot, sid, epoch, block, parts)."""
+    """Document sizes, sources and the written mix: (shard, slot, sid, epoch, block, the
+    first word and the word count of each of its documents, words)."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("_id"), F.col(source).alias("source"), F.col(text).alias("_text")) \
         .withColumn("size", F.size(words_of(F.col("_text"))).cast("long"))
     sized = written(rows.drop("_text"), "sizes")
@@ -189,9 +238,9 @@ def _mix(df: DataFrame, id_col: str, text: str, source: str, block_words: int, s
     # a shard has a bounded number of slots
     order = Window.partitionBy("shard").orderBy(F.xxhash64("sid", "epoch", "block", F.lit(seed)), "sid", "epoch", "block")
     slots = mix_slots(sources, seed).withColumn("slot", F.row_number().over(order) - 1)
-    blocks = blocks_of(numbered(rows, sources, "_text"), block_words)
-    mix = slots.join(blocks, ["sid", "block"]).select("shard", "slot", "sid", "epoch", "block", "parts")
-    return sized, sources, written(mix, "mix")
+    path = scratch(spark, "mix")
+    _joined(rows, sized, sources, slots, block_words).write.option("compression", "zstd").parquet(path)
+    return sized, sources, spark.read.parquet(path)
 
 
 def mix_blocks(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
@@ -200,15 +249,15 @@ def mix_blocks(df: DataFrame, id_col: str = "doc_id", text: str = "text", source
     _, sources, mix = _mix(df, id_col, text, source, block_words, seed)
     small = sources.select("sid", "source")
     small = F.broadcast(small) if sources.count() <= BROADCAST_SOURCES else small
-    return mix.join(small, "sid").select("shard", "slot", "source", "epoch", "block", F.flatten("parts.tokens").alias("tokens"))
+    return mix.join(small, "sid").select("shard", "slot", "source", "epoch", "block", F.split("words", " ").alias("tokens"))
 
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
                   block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
     """Per document: id, size, source_size, target, taken (words in the mix, repeats counted)."""
     sized, sources, mix = _mix(df, id_col, text, source, block_words, seed)
-    used = mix.select("sid", F.explode("parts").alias("part")).groupBy("sid", F.col("part.first").alias("first")) \
-        .agg(F.sum(F.size("part.tokens")).alias("used"))
+    used = mix.select("sid", F.explode(F.arrays_zip("firsts", "counts")).alias("part")) \
+        .groupBy("sid", F.col("part.firsts").alias("first")).agg(F.sum("part.counts").alias("used"))
     taken = numbered(sized, sources).join(used, ["sid", "first"], "left") \
         .select("sid", "_id", "size", F.coalesce("used", F.lit(0)).cast("long").alias("taken"))
     wordless = sized.filter("size = 0").select("source", "_id", "size", F.lit(0).cast("long").alias("taken"))

@@ -11,6 +11,7 @@ The reference runs a per-bar loop.  Here the same ledger is two prefix scans:
   value (including its 3-fees-per-round-trip quirk, ``fees='parity'``).
 
 Fill price is the bar close (``fill='close'``), as in the reference loop.
+:func:`backtest_open` settles orders at opens and knows a forced exit.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.operators.sequence import Last, Max, Sum, scan
+from barlake.operators.sequence import Last, Max, Sum, lag_cols, scan
 
 # Contract defaults (fixed values of the reference configuration)
 POINT_VALUE = 200.0
@@ -83,6 +84,62 @@ def backtest(df: DataFrame, keys: Sequence[str], contract: Contract = Contract()
                   "_nc_prev", "_mtm_prev", "_eq_prev")
 
 
+def backtest_open(df: DataFrame, keys: Sequence[str], contract: Contract = Contract(), signal: str = "signal",
+                  exit_marker: str | None = None, ts: str = "ts", block: int | None = None) -> DataFrame:
+    """H2 with ``fill='open'`` and H8: what a bar's close decides is a pending order that
+    the next bar's open settles.
+
+    ``signal`` is delayed by one bar already (E1), so it is settled at the open of its
+    own bar; ``exit_marker`` stands on the bar that decides and is settled one bar later
+    as *forced flat*, before any signal of that bar.  The state is -1, 0 or 1: a signal
+    enters or reverses, forced flat closes, a bar without an order keeps the position.
+    A bar earns the old position from the last close to its open and the new one from
+    its open to its close.  Adds ``position``, ``position_prev``, ``fill_price``,
+    ``entry_price``/``entry_ts`` (and ``_prev``: before this bar), ``forced``,
+    ``trade_pnl`` on closing bars, ``equity``, ``peak``, ``drawdown`` and ``ret``.  An
+    order of the last bar is never settled."""
+    keys = list(keys)
+    pv, fee = contract.point_value, contract.fee
+    close_fee = 2.0 * fee if contract.fees == "parity" else fee
+    forced = F.lit(False)
+    if exit_marker is not None:
+        df = lag_cols(df, keys, {"_exit": (exit_marker, 1)}, block)
+        forced = F.coalesce(F.col("_exit"), F.lit(False))
+    x = df.withColumn("_forced", forced)
+    order = F.when(F.col("_forced"), F.lit(0)).otherwise(F.nullif(F.col(signal), F.lit(0)))
+    x = scan(x, keys, {"position": (Last(), order)}, block=block)
+    x = x.withColumn("position", F.coalesce("position", F.lit(0)))
+    x = lag_cols(x, keys, {"position_prev": ("position", 1), "_px_prev": ("close", 1)}, block)
+    x = x.withColumn("position_prev", F.coalesce("position_prev", F.lit(0)))
+    pos, prev = F.col("position"), F.col("position_prev")
+    opening, closing = (pos != prev) & (pos != 0), (pos != prev) & (prev != 0)
+    move = F.coalesce(prev * (F.col("open") - F.col("_px_prev")), F.lit(0.0)) + pos * (F.col("close") - F.col("open"))
+    x = x.withColumns({"fill_price": F.when(pos != prev, F.col("open")), "forced": closing & F.col("_forced"),
+                       "_cls": closing})
+    x = scan(x, keys, {
+        "entry_price": (Last(), F.when(opening, F.col("open"))),
+        "entry_ts": (Last(), F.when(opening, F.col(ts))),
+        "_ne": (Sum(), opening.cast("long")), "_nc": (Sum(), closing.cast("long")), "_mtm": (Sum(), move)},
+        exclusive=["entry_price", "entry_ts"], block=block)
+    x = x.withColumns({
+        "equity": F.lit(contract.init_cash) + F.lit(pv) * F.col("_mtm") - F.lit(fee) * F.col("_ne") - F.lit(close_fee) * F.col("_nc"),
+        "trade_pnl": F.when(F.col("_cls"), (F.col("open") - F.col("entry_price_prev")) * F.col("position_prev")
+                            * F.lit(pv) - F.lit(2.0 * fee))})
+    x = lag_cols(x, keys, {"_eq_prev": ("equity", 1)}, block)
+    x = x.withColumn("ret", F.try_divide(F.col("equity"), F.col("_eq_prev")) - F.lit(1.0))
+    x = scan(x, keys, {"peak": (Max(), F.col("equity"))}, block=block)
+    x = x.withColumn("drawdown", F.try_divide(F.col("equity") - F.col("peak"), F.col("peak")))
+    return x.drop("_px_prev", "_cls", "_forced", "_exit", "_ne", "_nc", "_mtm", "_eq_prev")
+
+
+def open_trades(bt: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Closed trades of :func:`backtest_open`: both fills are opens."""
+    return bt.where(F.col("trade_pnl").isNotNull()).select(
+        *keys, F.col("entry_ts_prev").alias("entry_ts"), F.col(ts).alias("exit_ts"), F.col("position_prev").alias("side"),
+        F.col("entry_price_prev").alias("entry_price"), F.col("fill_price").alias("exit_price"),
+        F.col("trade_pnl").alias("pnl"), "forced")
+
+
 def trades(bt: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Closed trades: one row per closing bar (H2)."""
     return bt.where(F.col("trade_pnl").isNotNull()).select(

@@ -125,6 +125,32 @@ def apply_session_rules(df: DataFrame, session_class: str, signal: str = "signal
         "exit_marker": must_force_close(ts, cls)})
 
 
+# When the day-trading classes are flat
+FLAT_TIMES = {"daytrade_day": hm(13, 40), "daytrade_night": hm(4, 45)}
+
+
+def flat_time(ts, session_class: str) -> Column:
+    """When the class must be flat in the session that a bar belongs to (null: no session
+    of the class).  A night session that opens at 15:00 ends on the next date."""
+    cut = FLAT_TIMES[session_class]
+    t, start = seconds_of_day(ts), F.to_date(ts).cast("timestamp_ntz")
+    at = F.timestamp_add("MINUTE", F.lit(int(cut // 60)), start)
+    if session_class == "daytrade_day":
+        return F.when((t >= DAY_START) & (t <= DAY_END), at)
+    return F.when(t >= NIGHT_START, F.timestamp_add("DAY", F.lit(1), at)).when(t <= LATE_END, at)
+
+
+def force_exit(bars: DataFrame, keys: Sequence[str], session_class: str, ts: str = "ts", block=None) -> DataFrame:
+    """H8 on bars of any width and with holes: ``exit_marker`` is true on the last bar
+    before the class's flat time (13:39 and 04:44 on complete minute bars), so the
+    exit is settled at the first open from then on."""
+    from barlake.operators.sequence import lag_cols
+    x = lag_cols(bars, keys, {"_next": (ts, -1)}, block)
+    flat = flat_time(F.col(ts), session_class)
+    last = (F.col(ts) < flat) & (F.col("_next").isNull() | (F.col("_next") >= flat))
+    return x.withColumn("exit_marker", F.coalesce(last, F.lit(False))).drop("_next")
+
+
 # --------------------------------------------------------------------------
 # trading day
 # --------------------------------------------------------------------------

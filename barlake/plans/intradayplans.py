@@ -53,3 +53,42 @@ def session_rules_daytrade_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sg.ma_cross(b, KEYS, 5, 20, block=bl)
     r = bt.apply_rules_and_force_close(s, "daytrade_day")
     return r.select("symbol", "ts", "signal", "entry_signal", "exit_marker")
+
+
+SESSION_KEYS = ["session_class", "symbol"]
+
+
+def _session_ledger(spark, sf_dir, block=None):
+    """SMA-cross signals on minute bars under both day-trading classes, each in its own
+    view: entries inside the opening window, forced exits, fills at opens."""
+    from barlake.operators import backtest as bt
+    from barlake.operators import signals as sg
+    from barlake.session import materialize
+    bars = materialize(fx.minute_bars(spark, sf_dir))
+    views = [ss.data_view(bars, c).withColumn("session_class", F.lit(c)) for c in ss.FLAT_TIMES]
+    x, bl = sequence(views[0].unionByName(views[1]), SESSION_KEYS, ["ts"], **({"block": block} if block else {}))
+    x = sg.ma_cross(x, SESSION_KEYS, 5, 20, block=bl)
+    x = x.withColumn("signal", F.when(ss.can_open("ts", "session_class"), F.col("signal")).otherwise(F.lit(0)))
+    parts = [ss.force_exit(x.where(F.col("session_class") == c), SESSION_KEYS, c, block=bl) for c in ss.FLAT_TIMES]
+    return bt.backtest_open(parts[0].unionByName(parts[1]), SESSION_KEYS, exit_marker="exit_marker", block=bl)
+
+
+def session_trades(spark: SparkSession, sf_dir: str, block=None) -> DataFrame:
+    """H8 in the ledger: the trades of both day-trading classes, forced exits marked."""
+    from barlake.operators import backtest as bt
+    return round_doubles(bt.open_trades(_session_ledger(spark, sf_dir, block), SESSION_KEYS), 2)
+
+
+def session_backtest(spark: SparkSession, sf_dir: str, block=None) -> DataFrame:
+    """H8: result of each class and symbol, and the bars that still hold a position at
+    their close from the flat time to the session's end (none may)."""
+    led = _session_ledger(spark, sf_dir, block)
+    cls = F.col("session_class")
+    flat = F.when(cls == "daytrade_day", ss.flat_time(F.col("ts"), "daytrade_day")) \
+        .otherwise(ss.flat_time(F.col("ts"), "daytrade_night"))
+    out = led.groupBy(*SESSION_KEYS).agg(
+        F.count(F.lit(1)).alias("n_bars"), F.count("trade_pnl").alias("n_trades"), F.count_if("forced").alias("n_forced"),
+        F.count_if((F.col("position") != 0) & (F.col("ts") >= flat)).alias("n_held_past_flat"),
+        F.sum("trade_pnl").alias("pnl"), F.max_by("equity", "_ord").alias("final_equity"),
+        F.min("drawdown").alias("max_drawdown"))
+    return round_doubles(out.withColumn("pnl", F.round("pnl", 2)), 6)

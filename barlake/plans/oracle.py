@@ -1771,3 +1771,75 @@ def mrr_keyword_q() -> str:
 per AS (SELECT q.id, coalesce(1.0 / min(CASE WHEN h.hit AND h.rank <= 20 THEN h.rank END), 0) AS rr FROM cases q
   LEFT JOIN hits h ON h.qid = q.id GROUP BY q.id)
 SELECT count(*) AS n_cases, round(avg(rr), 6) AS mrr FROM per"""
+
+
+# --------------------------------------------------------------------------
+# fills at opens and forced exits (row-by-row recursion)
+# --------------------------------------------------------------------------
+
+def open_ledger(src: str) -> str:
+    """CTEs ending in ``led``: the recursion over ``src`` (symbol, rn, ts, open, close,
+    ord: the target that this bar's open settles, forced)."""
+    new = "coalesce(s.ord, r.pos)"
+    opens, closes = f"{new} <> r.pos AND {new} <> 0", f"{new} <> r.pos AND r.pos <> 0"
+    return rec_cte("led", src, [
+        ("ts", "s.ts", "s.ts"), ("open", "s.open", "s.open"), ("close", "s.close", "s.close"),
+        ("pos", "coalesce(s.ord, 0)", new), ("prev", "0", "r.pos"),
+        ("ep", "CASE WHEN coalesce(s.ord, 0) <> 0 THEN s.open END", f"CASE WHEN {opens} THEN s.open ELSE r.ep END"),
+        ("et", "CASE WHEN coalesce(s.ord, 0) <> 0 THEN s.ts END", f"CASE WHEN {opens} THEN s.ts ELSE r.et END"),
+        ("ep0", "CAST(NULL AS DOUBLE)", "r.ep"), ("et0", "CAST(NULL AS TIMESTAMP)", "r.et"),
+        ("forced", "false", f"s.forced AND {closes}"),
+        ("pnl", "CAST(NULL AS DOUBLE)", f"CASE WHEN {closes} THEN (s.open - r.ep) * r.pos * 200.0 - 600.0 END"),
+        ("eq", "CAST(500000.0 + 200.0 * coalesce(s.ord, 0) * (s.close - s.open) - CASE WHEN coalesce(s.ord, 0) <> 0 THEN 300.0 ELSE 0 END AS DOUBLE)",
+         f"r.eq + 200.0 * (r.pos * (s.open - r.close) + {new} * (s.close - s.open)) - CASE WHEN {opens} THEN 300.0 ELSE 0 END "
+         f"- CASE WHEN {closes} THEN 600.0 ELSE 0 END"),
+    ])
+
+
+def trade_list_open_q() -> str:
+    return f"""WITH RECURSIVE {DAY_BARS},
+{ma_cross_signals('day_bars', 'symbol', 'ts', 20, 60)},
+src AS (SELECT symbol, ts, open, close, CAST(nullif(signal, 0) AS INTEGER) AS ord, false AS forced,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM sig),
+{open_ledger('src')}
+SELECT symbol, et0 AS entry_ts, ts AS exit_ts, CAST(prev AS INTEGER) AS side, round(ep0, 2) AS entry_price,
+  round(open, 2) AS exit_price, round(pnl, 2) AS pnl FROM led WHERE pnl IS NOT NULL"""
+
+
+def _session_core() -> str:
+    s = sod("ts")
+    day_flat = "CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 820 MINUTE"
+    night_flat = (f"CASE WHEN {s} >= 54000 THEN CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) + INTERVAL 285 MINUTE "
+                  "ELSE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 285 MINUTE END")
+    return f"""WITH RECURSIVE {MINUTE_BARS},
+v AS (SELECT 'daytrade_day|' || symbol AS symbol, ts, open, close, {s} >= 31500 AND {s} < 48300 AS may_open, {day_flat} AS flat
+      FROM minute_bars WHERE {_is_day()}
+      UNION ALL
+      SELECT 'daytrade_night|' || symbol, ts, open, close, ({s} >= 54000 AND {s} <= 86399) OR {s} < 15900, {night_flat}
+      FROM minute_bars WHERE {_is_night()}),
+{ma_cross_signals('v', 'symbol', 'ts', 5, 20)},
+nx AS (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nts FROM sig),
+ex AS (SELECT *, ts < flat AND (nts IS NULL OR nts >= flat) AS mark FROM nx),
+ox AS (SELECT *, coalesce(lag(mark) OVER (PARTITION BY symbol ORDER BY ts), false) AS forced FROM ex),
+src AS (SELECT symbol, ts, open, close, flat, forced,
+  CAST(CASE WHEN forced THEN 0 WHEN may_open THEN nullif(signal, 0) END AS INTEGER) AS ord,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM ox),
+{open_ledger('src')}"""
+
+
+def session_trades_q() -> str:
+    return f"""{_session_core()}
+SELECT split_part(symbol, '|', 1) AS session_class, split_part(symbol, '|', 2) AS symbol, et0 AS entry_ts, ts AS exit_ts,
+  CAST(prev AS INTEGER) AS side, round(ep0, 2) AS entry_price, round(open, 2) AS exit_price, round(pnl, 2) AS pnl, forced
+FROM led WHERE pnl IS NOT NULL"""
+
+
+def session_backtest_q() -> str:
+    return f"""{_session_core()},
+pk AS (SELECT l.*, s.flat, max(eq) OVER (PARTITION BY l.symbol ORDER BY l.rn {RUN}) AS peak
+  FROM led l JOIN src s ON s.symbol = l.symbol AND s.rn = l.rn)
+SELECT split_part(symbol, '|', 1) AS session_class, split_part(symbol, '|', 2) AS symbol, count(*) AS n_bars,
+  count(pnl) AS n_trades, CAST(count_if(forced) AS BIGINT) AS n_forced,
+  CAST(count_if(pos <> 0 AND ts >= flat) AS BIGINT) AS n_held_past_flat, round(sum(pnl), 2) AS pnl,
+  round(arg_max(eq, rn), 2) AS final_equity, round(min((eq - peak) / peak), 6) AS max_drawdown
+FROM pk GROUP BY 1, 2"""

@@ -146,3 +146,6 @@ for _n in ["bar_files", "bar_file_range"]:
     register(_n, getattr(barplans, _n), getattr(oracle, f"{_n}_q")())
 for _n in ["retrieve_bundle", "recall_keyword", "mrr_keyword"]:
     register(_n, getattr(retrievalplans, _n), getattr(oracle, f"{_n}_q")())
+register("trade_list_open", reportplans.trade_list_open, oracle.trade_list_open_q())
+for _n in ["session_trades", "session_backtest"]:
+    register(_n, getattr(intradayplans, _n), getattr(oracle, f"{_n}_q")())

@@ -55,6 +55,13 @@ def trade_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(t, 2)
 
 
+def trade_list_open(spark: SparkSession, sf_dir: str, block=None) -> DataFrame:
+    """H2 with ``fill='open'``: closed trades of the SMA cross, settled at opens."""
+    b, bl = day_bar_seq(spark, sf_dir, block)
+    led = bt.backtest_open(sg.ma_cross(b, KEYS, 20, 60, block=bl), KEYS, block=bl)
+    return round_doubles(bt.open_trades(led, KEYS).drop("forced"), 2)
+
+
 def trade_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     led, bl = _ledger(spark, sf_dir)
     return round_doubles(mt.trade_durations(led, KEYS, block=bl), 4)

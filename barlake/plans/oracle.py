@@ -1353,6 +1353,13 @@ SELECT symbol, {b} AS ts, arg_min(price, ts) AS open, max(price) AS high, min(pr
   arg_max(price, ts) AS close FROM ticks GROUP BY symbol, {b}""", RES_COLS)
 
 
+def stream_bars_5m_q() -> str:
+    b = bin_expr("5min")
+    return rounded(f"""WITH {TICKS}
+SELECT symbol, {b} AS ts, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low,
+  arg_max(price, (ts, event_id)) AS close, count(*) AS n_ticks FROM ticks GROUP BY symbol, {b}""", RES_COLS)
+
+
 def stream_alerts_q() -> str:
     lvl = ("CASE WHEN loss_streak >= 10 OR dd_ratio >= 0.8 THEN 'red' WHEN loss_streak >= 8 OR dd_ratio >= 0.7 "
            "THEN 'orange' WHEN loss_streak >= 5 OR dd_ratio >= 0.5 THEN 'yellow' ELSE 'green' END")

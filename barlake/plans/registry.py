@@ -118,7 +118,7 @@ for _n in ["constraint_check", "upsert_merge", "merge_bars", "clean_minute_bars"
            "knowledge_upsert", "admission"]:
     register(_n, getattr(tableplans, _n), getattr(oracle, f"{_n}_q")())
 
-for _n in ["stream_resample_5m", "stream_alerts", "stream_dedup_documents"]:
+for _n in ["stream_resample_5m", "stream_bars_5m", "stream_alerts", "stream_dedup_documents"]:
     register(_n, getattr(streamplans, _n), getattr(oracle, f"{_n}_q")())
 
 for _n in ["rolling_sharpe", "pnl_histogram", "drawdown_episodes", "split_segments", "unpaired_labels",

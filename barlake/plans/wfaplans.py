@@ -13,6 +13,7 @@ from barlake.operators.sequence import rolling, sequence
 from barlake.operators.signals import _ma_valid, _raw_to_signal
 from barlake.plans.backtests import KEYS
 from barlake.plans.common import round_doubles
+from barlake.session import content_key, materialize, reuse
 from barlake.sources import fixtures as fx
 
 # The reference's example grid
@@ -20,12 +21,7 @@ GRID = {"fast_period": [10, 20, 30], "slow_period": [40, 60, 80]}
 TRAIN, TEST = 24, 6
 
 
-def _segments(spark: SparkSession, sf_dir: str):
-    from barlake.session import materialize
-    # the daily bar table is the stored input of every window, segment and
-    # combo: aggregated once from the orders scan and written to the shared
-    # checkpoint folder, then read by the window and membership steps
-    bars = materialize(fx.day_bars(spark, sf_dir))
+def _segments(bars: DataFrame):
     wins = wf.wfa_windows(bars, KEYS, TRAIN, TEST)
     mem = wf.window_members(bars, wins, KEYS, TRAIN, TEST)
     kept = wf.keep_windows(mem, KEYS)
@@ -33,8 +29,21 @@ def _segments(spark: SparkSession, sf_dir: str):
     return mem, kept
 
 
-def _segment_metrics(spark: SparkSession, sf_dir: str):
-    mem, kept = _segments(spark, sf_dir)
+def segment_metrics(spark: SparkSession, sf_dir: str, contract: bt.Contract = bt.Contract()) -> tuple[DataFrame, DataFrame]:
+    """H10's measures of every (symbol, window, segment, combo) and the windows.  They
+    are stored under a key of the bars' content, the grid and the contract, so the plans
+    that need them share one computation, and other bars are computed anew."""
+    # the daily bar table is the stored input of every window, segment and
+    # combo: aggregated once from the orders scan and written to the shared
+    # checkpoint folder, then read by the key, window and membership steps
+    bars = materialize(fx.day_bars(spark, sf_dir))
+    key = content_key(bars, GRID, TRAIN, TEST, contract)
+    kept = reuse(spark, key, "windows", lambda: _segments(bars)[1])
+    return reuse(spark, key, "segments", lambda: _computed(spark, bars, contract)), kept
+
+
+def _computed(spark: SparkSession, bars: DataFrame, contract: bt.Contract) -> DataFrame:
+    mem, _ = _segments(bars)
     seg = KEYS + ["k", "segment"]
     x, bl = sequence(mem.select(*seg, "ts", "open", "high", "low", "close"), seg, ["ts"],
                      bucket=F.date_trunc("month", F.col("ts")))
@@ -63,30 +72,26 @@ def _segment_metrics(spark: SparkSession, sf_dir: str):
         return {"signal": F.coalesce(F.lag("raw_signal", 1).over(w), F.lit(0)).cast("int")}
 
     sig = rolling(x, keys2, [s2, s3], 2, block=bl)
-    led = bt.backtest(sig, keys2, block=bl)
-    m = mt.metrics_all(led, keys2).join(F.broadcast(grid), "combo_idx")
-    # one row per (symbol, window, segment, combo), read twice by the best-combo
-    # step: written once to the shared checkpoint folder instead of recomputed
-    from barlake.session import materialize
-    return materialize(m), kept
+    led = bt.backtest(sig, keys2, contract, block=bl)
+    return mt.metrics_all(led, keys2).join(F.broadcast(grid), "combo_idx")
 
 
 def wfa_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, kept = _segment_metrics(spark, sf_dir)
+    m, kept = segment_metrics(spark, sf_dir)
     best = wf.pick_best(m, KEYS, ["fast_period", "slow_period"])
     out = kept.join(best, [*KEYS, "k"], "inner").drop("k")
     return round_doubles(out, 6)
 
 
 def wfa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, kept = _segment_metrics(spark, sf_dir)
+    m, kept = segment_metrics(spark, sf_dir)
     best = wf.pick_best(m, KEYS, ["fast_period", "slow_period"])
     return round_doubles(wf.wfa_summary(best, KEYS), 6)
 
 
 def wfa_segment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (symbol, window, segment, combo) back-test: the grid behind H10."""
-    m, kept = _segment_metrics(spark, sf_dir)
+    m, kept = segment_metrics(spark, sf_dir)
     out = m.join(kept.select(*KEYS, "k", "window_idx"), [*KEYS, "k"]).drop("k")
     return round_doubles(out.select(*KEYS, "window_idx", "segment", "combo_idx", "fast_period",
                                     "slow_period", "sharpe", "max_drawdown", "profit_factor",

@@ -10,6 +10,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +85,29 @@ def _drop_stored() -> None:
             return
 
 
+def content_key(df: DataFrame, *params: object) -> str:
+    """A key of a table's content (whatever its row order and layout) and of parameters."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+    row = F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns])
+    n, total, mixed = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
+    return hashlib.sha256(repr((df.dtypes, n, total, mixed, params)).encode()).hexdigest()[:24]
+
+
+def reuse(spark: SparkSession, key: str, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The table stored under a content key, computed and written on first use.  It lies
+    in the shared checkpoint folder and goes when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reuse/{spark.sparkContext.applicationId}/{key}-{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        if not _STORED:
+            atexit.register(_drop_stored)
+        _STORED.append((spark, path))
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -198,6 +198,38 @@ def trade_durations(led: DataFrame, keys: Sequence[str], ts: str = "ts", block=N
                                 F.min(ts).alias("data_start"), F.max(ts).alias("data_end"))
 
 
+# Upper bounds of the holding-time buckets in minutes: a day, a week, two, a month, a quarter
+HOLDING_BUCKETS = [1440, 10_080, 20_160, 43_200, 129_600]
+#: Items of a quantile sketch, and its error in rank (99 %).
+SKETCH_K, SKETCH_ERROR = 200, 0.0133
+
+
+def holding_times(led: DataFrame, keys: Sequence[str], ts: str = "ts", block=None) -> DataFrame:
+    """Closed trades of a ledger with the minutes between entry and exit bar."""
+    from barlake.operators.sequence import Last, scan
+    entered = F.col("entry_price").isNotNull() & (F.col("position") != F.coalesce(F.col("position_prev"), F.lit(0)))
+    x = scan(led, keys, {"_ets": (Last(), F.when(entered, F.col(ts)))}, exclusive=["_ets"], block=block)
+    return x.where(F.col("trade_pnl").isNotNull()).select(
+        *keys, F.col(ts).alias("exit_ts"), F.timestamp_diff("MINUTE", F.col("_ets_prev"), F.col(ts)).alias("minutes"))
+
+
+def holding_time_buckets(held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Trades per key and holding-time bucket (``bucket`` is the lower bound in minutes)."""
+    low = F.lit(0)
+    for bound in HOLDING_BUCKETS:
+        low = F.when(F.col("minutes") >= bound, F.lit(bound)).otherwise(low)
+    return held.groupBy(*keys, low.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n_trades"))
+
+
+def holding_time_quantiles(held: DataFrame, keys: Sequence[str], quantiles: Sequence[float], k: int = SKETCH_K) -> DataFrame:
+    """Quantiles per key from a KLL sketch: a few hundred items per key and task
+    that merge, whatever the number of trades."""
+    sketch = held.groupBy(*keys).agg(F.kll_sketch_agg_bigint("minutes", k).alias("_s"))
+    return sketch.select(*keys, F.explode(F.array(*[F.struct(
+        F.lit(q).alias("quantile"), F.kll_sketch_get_quantile_bigint("_s", F.lit(q)).alias("value")) for q in quantiles])).alias("q")) \
+        .select(*keys, "q.quantile", "q.value")
+
+
 # Health alert levels (losing streak, drawdown share of the limit)
 HEALTH_LEVELS = [("red", 10, 0.80), ("orange", 8, 0.70), ("yellow", 5, 0.50)]
 

@@ -84,13 +84,14 @@ def as_blocking(block: int | Blocking | None) -> Blocking:
 
 def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
              bucket: Column | None = None, block: int = DEFAULT_BLOCK,
-             max_len: int | None = None) -> tuple[DataFrame, Blocking]:
+             max_len: int | None = None, ranged: bool = False) -> tuple[DataFrame, Blocking]:
     """Number rows per key (``_ord``) and choose the blocking.
 
     The longest key is measured with one aggregate over the key columns
     (unless ``max_len`` is given).  Keys that fit one block are numbered with a
     plain per-key ``row_number``; longer ones with :func:`with_ordinal`, whose
-    numbering groups are key × bucket.
+    numbering groups are key × bucket, or with ``ranged`` by :func:`ranged_ordinal`,
+    for keys of which a single bucket may hold a large share of the table.
     """
     keys = list(keys)
     if max_len is None:
@@ -100,7 +101,36 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
         order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
         w = Window.partitionBy(*keys).orderBy(*order_cols)
         return df.withColumn(ORD, (F.row_number().over(w) - F.lit(1)).cast("long")), bl
-    return with_ordinal(df, keys, order, bucket), bl
+    return (ranged_ordinal(df, keys, order) if ranged else with_ordinal(df, keys, order, bucket)), bl
+
+
+#: Tables of key starts up to this many rows are broadcast; larger ones join by shuffle.
+BROADCAST_KEYS = 100_000
+
+
+def ranged_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
+    """Add ``_ord`` without a numbering group: rows are range-partitioned by (keys,
+    order) at sampled boundaries, so a key, and a single hour of it, spreads over as many
+    tasks as its share of the rows; rows are then numbered through by their place in
+    the sorted partitions and the number of a key's first row is taken off."""
+    from barlake.session import materialize
+    keys = list(keys)
+    spark = df.sparkSession
+    by = [F.col(k).asc_nulls_first() for k in keys] + [(F.col(c) if isinstance(c, str) else c).asc_nulls_first() for c in order]
+    n = [parts] if parts else []
+    placed = materialize(df.repartitionByRange(*n, *by).sortWithinPartitions(*by).withColumn("_pos", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_pos", 33), F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per partition of the written table
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("n")).collect()
+    base, bases = 0, []
+    for row in sorted(sizes, key=lambda r: r["_part"]):
+        bases.append((row["_part"], base))
+        base += row["n"]
+    x = placed.withColumn("_part", part).join(F.broadcast(spark.createDataFrame(bases, "_part long, _base long")), "_part")
+    x = x.withColumn(ORD, F.col("_base") + place).drop("_part", "_base", "_pos")
+    starts = materialize(x.groupBy(*keys).agg(F.min(ORD).alias("_first")))
+    small = F.broadcast(starts) if starts.count() <= BROADCAST_KEYS else starts
+    return null_safe_join(x, small, keys, "inner").withColumn(ORD, (F.col(ORD) - F.col("_first")).cast("long")).drop("_first")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:

@@ -168,11 +168,11 @@ def failure_convergence(spark: SparkSession, sf_dir: str, nth: int = 50, horizon
     50th occurrence, how many repeat it (target < 10)."""
     v = fx.validation_log_fx(spark, sf_dir).where(~F.col("passed")).withColumn(
         "pattern", tx.normalise_error("message")).withColumn("_all", F.lit(1))
-    s, bl = sequence(v, ["_all"], ["created_at", "log_id"])
+    s, bl = sequence(v, ["_all"], ["created_at", "log_id"], ranged=True)
     # occurrence number inside a pattern: numbered through the blocked kernel,
     # since one pattern may hold a large share of the log
     occ, _ = sequence(s.withColumnRenamed("_ord", "_gord"), ["pattern"], ["_gord"],
-                      bucket=F.to_date("created_at"))
+                      ranged=True)
     o50 = occ.where(F.col("_ord") == nth - 1).select("pattern", F.col("_gord").alias("_o50"))
     j = s.select("pattern", "_ord").join(o50, "pattern")
     win = (F.col("_ord") > F.col("_o50")) & (F.col("_ord") <= F.col("_o50") + horizon)

@@ -25,7 +25,7 @@ def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.calls_log(spark, sf_dir).withColumn("day", F.to_date("created_at"))
-    s, bl = sequence(c, ["day"], ["created_at", "call_id"], bucket=F.hour("created_at"))
+    s, bl = sequence(c, ["day"], ["created_at", "call_id"], ranged=True)
     out = oa.running_spend(s, block=bl)
     return round_doubles(out.select("call_id", "day", "provider", "spent", "spent_before", "mode", "allowed"))
 

@@ -1909,3 +1909,28 @@ def collection_counts_q() -> str:
         return " UNION ALL ".join(f"SELECT '{step}' AS step, '{name}' AS filter, count(*) AS n FROM embeddings WHERE {keep} AND {cond}"
                                   for name, cond in (("all", "true"), ("logic_type = 3", "label = 3"), ("logic_type < 5", "label < 5")))
     return f"{part('stored', 'true')} UNION ALL {part('type 3 cleared', 'label <> 3')} UNION ALL {part('cleared', 'false')}"
+
+
+# --------------------------------------------------------------------------
+# holding times
+# --------------------------------------------------------------------------
+
+def _held() -> str:
+    return f"""{_ma_ledger()},
+e1 AS (SELECT *, last_value(CASE WHEN chg THEN ts END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts {RUN}) AS ets FROM led),
+e2 AS (SELECT *, lag(ets) OVER (PARTITION BY symbol ORDER BY ts) AS ets_prev FROM e1),
+held AS (SELECT symbol, CAST(floor((epoch_us(ts) - epoch_us(ets_prev)) / 60e6) AS BIGINT) AS minutes FROM e2 WHERE trade_pnl IS NOT NULL)"""
+
+
+def holding_time_buckets_q() -> str:
+    return f"""{_held()}
+SELECT symbol, CAST(CASE WHEN minutes >= 129600 THEN 129600 WHEN minutes >= 43200 THEN 43200 WHEN minutes >= 20160 THEN 20160
+  WHEN minutes >= 10080 THEN 10080 WHEN minutes >= 1440 THEN 1440 ELSE 0 END AS BIGINT) AS bucket, count(*) AS n_trades
+FROM held GROUP BY 1, 2"""
+
+
+def holding_time_quantiles_q() -> str:
+    """What a sketch must reach: each quantile of each symbol within its error."""
+    return f"""{_held()}
+SELECT DISTINCT symbol, q.quantile, true AS rank_within_error
+FROM held, (VALUES (CAST(0.1 AS DOUBLE)), (0.25), (0.5), (0.75), (0.9)) q(quantile)"""

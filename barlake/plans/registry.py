@@ -153,3 +153,5 @@ register("approx_topk", retrievalplans.approx_topk)
 register("approx_recall", retrievalplans.approx_recall, oracle.approx_recall_q())
 for _n in ["stored_upsert", "stored_upsert_report", "minute_table_range", "collection_rejects", "collection_counts"]:
     register(_n, getattr(storedplans, _n), getattr(oracle, f"{_n}_q")())
+for _n in ["holding_time_buckets", "holding_time_quantiles"]:
+    register(_n, getattr(reportplans, _n), getattr(oracle, f"{_n}_q")())

@@ -67,17 +67,38 @@ def trade_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(mt.trade_durations(led, KEYS, block=bl), 4)
 
 
+def holding_time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed trades of the SMA cross by holding time."""
+    led, bl = _ledger(spark, sf_dir)
+    return mt.holding_time_buckets(mt.holding_times(led, KEYS, block=bl), KEYS)
+
+
+QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+def holding_time_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the holding time from a mergeable sketch, held against the exact
+    ranks: is the rank of each within the sketch's error?"""
+    led, bl = _ledger(spark, sf_dir)
+    held = mt.holding_times(led, KEYS, block=bl)
+    q = mt.holding_time_quantiles(held, KEYS, QUANTILES)
+    n = held.join(q, KEYS).groupBy(*KEYS, "quantile").agg(
+        F.avg((F.col("minutes") < F.col("value")).cast("double")).alias("below"),
+        F.avg((F.col("minutes") <= F.col("value")).cast("double")).alias("upto"))
+    ok = (F.col("below") <= F.col("quantile") + mt.SKETCH_ERROR) & (F.col("upto") >= F.col("quantile") - mt.SKETCH_ERROR)
+    return n.select(*KEYS, "quantile", ok.alias("rank_within_error"))
+
+
 TKEYS = ["strategy"]
 
 
-def _trades_seq(spark, sf_dir):
+def _trades_seq(spark, sf_dir, block=None):
     t = fx.trades_fx(spark, sf_dir)
-    return sequence(t, TKEYS, ["exit_ts", "orderkey", "linenumber"],
-                    bucket=F.date_trunc("month", F.col("exit_ts")))
+    return sequence(t, TKEYS, ["exit_ts", "orderkey", "linenumber"], ranged=True, **({"block": block} if block else {}))
 
 
-def loss_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, bl = _trades_seq(spark, sf_dir)
+def loss_streaks(spark: SparkSession, sf_dir: str, block=None) -> DataFrame:
+    t, bl = _trades_seq(spark, sf_dir, block)
     out = mt.loss_streaks(t, TKEYS, block=bl)
     return round_doubles(out.select("strategy", "exit_ts", "orderkey", "linenumber", "pnl",
                                     "loss_streak"), 4)

@@ -27,6 +27,51 @@ def hashing_encoder(df: DataFrame, text: str, out: str, dim: int = 1024) -> Data
     return x.withColumn(out, vector_to_array("_nv", "float32")).drop("_tok", "_tf", "_nv")
 
 
+# Labels of the embedding texts
+PART_TYPE, PART_TIMEFRAME, PART_DIRECTION, PART_SUMMARY = "類型", "時間框架", "方向", "概要"
+PART_NOTES = "備註"
+SUMMARY_CHARS = 50
+
+
+def embedding_parts(lib: DataFrame, metadata_chars: int | None = None, semantic_chars: int | None = None) -> DataFrame:
+    """Three texts of a library entry, each of one kind: what it is (type, timeframe,
+    direction, a short summary), what it means (description, notes) and its code.
+    Without limits nothing is cut but the summary."""
+
+    def cut(text, n):
+        return text if n is None else F.substring(text, 1, n)
+
+    line = lambda label, *v: F.concat(F.lit(f"{label}: "), F.concat_ws(" ", *v))
+    meta = F.concat_ws("\n", line(PART_TYPE, "holding_type", "category"), line(PART_TIMEFRAME, "timeframe"),
+                       line(PART_DIRECTION, "direction"), line(PART_SUMMARY, F.substring("description", 1, SUMMARY_CHARS)))
+    means = F.concat_ws("\n", "description", line(PART_NOTES, F.coalesce("notes", F.lit(""))))
+    return lib.withColumns({"metadata_text": cut(meta, metadata_chars), "semantic_text": cut(means, semantic_chars),
+                            "code_text": F.col("code")})
+
+
+INDEX_SCHEMA = "stem string, name string, category string, semantic_vector array<float>, metadata_vector array<float>, folder string"
+
+
+def index_library(spark, root: str, path: str, folder: str | None = None, dry_run: bool = False, dim: int = 256) -> int:
+    """Library entries → texts → vectors → stored collection, replaced by (folder,
+    stem) in the partitions of their folders.  Returns the number of entries; a dry run
+    stores none."""
+    from barlake.operators.retrieval import check_dim
+    from barlake.sources.bars_csv import load_strategy_library
+    from barlake.sources.stored import stored_upsert
+    lib, _ = load_strategy_library(spark, root)
+    if folder is not None:
+        lib = lib.where(F.col("folder") == folder)
+    x = embedding_parts(lib)
+    for text, out in (("metadata_text", "metadata_vector"), ("semantic_text", "semantic_vector")):
+        x = hashing_encoder(x, text, out, dim)
+    if dry_run:
+        return lib.count()
+    rows = x.select("stem", "name", "category", "semantic_vector", "metadata_vector", "folder")
+    return stored_upsert(rows, path, ["folder", "stem"], "folder", check=lambda d: check_dim(d, "semantic_vector", dim),
+                         rejects=f"{path}-rejects").count()
+
+
 def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int):
     """Wrap a model loader as an iterator pandas UDF returning unit float vectors."""
 

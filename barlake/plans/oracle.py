@@ -1934,3 +1934,62 @@ def holding_time_quantiles_q() -> str:
     return f"""{_held()}
 SELECT DISTINCT symbol, q.quantile, true AS rank_within_error
 FROM held, (VALUES (CAST(0.1 AS DOUBLE)), (0.25), (0.5), (0.75), (0.9)) q(quantile)"""
+
+
+# --------------------------------------------------------------------------
+# report files, strategy library
+# --------------------------------------------------------------------------
+
+def report_numbers_q() -> str:
+    t, three = "CAST(k AS VARCHAR)", "lpad(CAST(k % 1000 AS VARCHAR), 3, '0')"
+    return f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_orderkey * 7 + l_linenumber AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE k % 9 WHEN 0 THEN '$1,' || {three} WHEN 1 THEN '($2,' || {three} || ')'
+  WHEN 2 THEN '-' || {t} || '.5%' WHEN 3 THEN '—' WHEN 4 THEN 'N/A' WHEN 5 THEN '-$' || {t} WHEN 6 THEN '"' || {t} || '"'
+  WHEN 7 THEN {t} || ' 000' ELSE '(' || {t} || '%)' END AS raw,
+  CAST(CASE k % 9 WHEN 0 THEN 1000 + k % 1000 WHEN 1 THEN -2000 - k % 1000 WHEN 2 THEN -k - 0.5 WHEN 6 THEN k WHEN 8 THEN -k END AS DOUBLE) AS value
+FROM x"""
+
+
+def report_files_q() -> str:
+    return """SELECT s_suppkey AS strategy,
+  CAST(CASE WHEN s_suppkey % 5 = 0 THEN -1 ELSE 1 END * ((s_suppkey * 12345) % 2000000) AS DOUBLE) AS total_net_profit,
+  round(s_suppkey % 4 + (s_suppkey % 100) / 100.0, 6) AS profit_factor,
+  CASE WHEN s_suppkey % 4 <> 1 THEN round((s_suppkey % 60 + 0.5) / 100, 6) ELSE 0.0 END AS max_drawdown_pct,
+  CAST(-(s_suppkey * 100 + 1000) AS DOUBLE) AS max_drawdown_abs, s_suppkey % 91 + 60 AS total_trades,
+  CASE WHEN s_suppkey % 2 = 0 THEN round((s_suppkey % 90 + 0.25) / 100, 6)
+       ELSE round((s_suppkey % 50 + 1) / (s_suppkey % 91 + 60), 6) END AS win_rate,
+  CASE WHEN s_suppkey % 7 <> 0 THEN round(s_suppkey % 3 + (s_suppkey % 10) / 10.0, 6) END AS sharpe_ratio,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'sharpe_ratio' ELSE '' END AS missing FROM supplier"""
+
+
+LIBRARY = """lb AS (SELECT s_suppkey AS i, s_name, f.folder, 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS stem,
+  CASE WHEN s_suppkey % 11 = 0 THEN 'scalp' WHEN f.folder = 'Daytrade' THEN 'daytrade' ELSE 'swing' END AS holding_type,
+  CASE WHEN s_suppkey % 6 = 5 THEN 'momentum'
+       ELSE ['trend', 'mean_reversion', 'breakout', 'pattern', 'tunnel'][s_suppkey % 5 + 1] END AS category,
+  'Inputs: n(' || CAST(s_suppkey AS VARCHAR) || '); { 策略 }' || chr(10) || 'Buy Next Bar at Market;' || chr(10) AS code
+  FROM supplier, (VALUES ('Daytrade'), ('Swing')) f(folder)),
+lr AS (SELECT *, CASE WHEN i % 13 = 0 AND folder = 'Daytrade' THEN 'no script file' WHEN i % 9 = 0 THEN 'missing: direction'
+  WHEN i % 11 = 0 THEN 'bad holding_type: scalp' END AS reject_reason FROM lb)"""
+
+
+def strategy_library_q() -> str:
+    return f"""WITH {LIBRARY}
+SELECT folder, stem, holding_type, category, category = 'momentum' AS unknown_category, 'stop,flat' AS risk_features,
+  CAST(length(code) AS INTEGER) AS code_chars, true AS code_decoded, reject_reason FROM lr WHERE reject_reason IS NULL
+UNION ALL SELECT folder, stem, NULL, NULL, NULL, NULL, NULL, NULL, reject_reason FROM lr WHERE reject_reason IS NOT NULL"""
+
+
+def strategy_texts_q() -> str:
+    d = "s_name || ' in ' || folder"
+    return f"""WITH {LIBRARY}
+SELECT folder, stem, '類型: ' || holding_type || ' ' || category || chr(10) || '時間框架: 5min' || chr(10) || '方向: both' || chr(10)
+  || '概要: ' || substring({d}, 1, 50) AS metadata_text,
+  {d} || chr(10) || '備註: n' || CAST(i AS VARCHAR) AS semantic_text, sha256(code) AS code_hash
+FROM lr WHERE reject_reason IS NULL"""
+
+
+def library_index_q() -> str:
+    return f"""WITH {LIBRARY}, ok AS (SELECT * FROM lr WHERE reject_reason IS NULL),
+n AS (SELECT count(*) AS every, count(*) FILTER (folder = 'Swing') AS swing FROM ok)
+SELECT 'dry run' AS run, every AS n_entries, 0 AS n_stored, 0 AS n_not_unit, 0 AS n_swing FROM n
+UNION ALL SELECT 'rebuild', every, every, 0, swing FROM n UNION ALL SELECT 'upsert', swing, every, 0, swing FROM n"""

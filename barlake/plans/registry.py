@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import extraplans, intradayplans, opsplans, storedplans, streamplans, tableplans
+from barlake.plans import extraplans, intradayplans, libraryplans, opsplans, storedplans, streamplans, tableplans
 from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,5 @@ for _n in ["stored_upsert", "stored_upsert_report", "minute_table_range", "colle
     register(_n, getattr(storedplans, _n), getattr(oracle, f"{_n}_q")())
 for _n in ["holding_time_buckets", "holding_time_quantiles"]:
     register(_n, getattr(reportplans, _n), getattr(oracle, f"{_n}_q")())
+for _n in ["report_numbers", "report_files", "strategy_library", "strategy_texts", "library_index"]:
+    register(_n, getattr(libraryplans, _n), getattr(oracle, f"{_n}_q")())

@@ -133,6 +133,41 @@ def first_success(calls: DataFrame, key: str = "request", ts: str = "created_at"
                     pick["provider"].alias("provider"), pick["call_id"].alias("call_id"), pick["at"].alias("at"))
 
 
+def first_success_cascade(calls: DataFrame, cascade: Sequence[str], key: str = "request") -> DataFrame:
+    """K13 in cascade order: per request the call of the first provider of ``cascade`` that
+    succeeded (its earliest one), else the last call of the last provider tried.
+    Providers outside of the cascade come after it, by name."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, cascade)), F.col("provider")), F.lit(0)),
+                       F.lit(len(cascade) + 1))
+    st = F.struct("provider", "call_id")
+    order = F.struct(place.alias("p"), F.col("provider"), F.col("created_at"), F.col("call_id"))
+    g = calls.groupBy(key).agg(F.min_by(F.when(F.col("success"), st), F.when(F.col("success"), order)).alias("_ok"),
+                               F.max_by(F.when(~F.col("success"), st), F.when(~F.col("success"), order)).alias("_ko"))
+    pick = F.coalesce("_ok", "_ko")
+    return g.select(key, F.col("_ok").isNotNull().alias("succeeded"), pick["provider"].alias("provider"), pick["call_id"].alias("call_id"))
+
+
+def kpi_dashboard(strategies: DataFrame, review_sharpe: float = 1.2) -> DataFrame:
+    """D14, one row: counts, those added in the week of the newest one, means, review
+    queue and over-fitted ones.  Strategies: sharpe, max_drawdown, overfitting_flag, added_at."""
+    newest = strategies.agg(F.date_trunc("week", F.max("added_at")).alias("_week"))
+    x = strategies.join(F.broadcast(newest))            # one row
+    return x.agg(F.count(F.lit(1)).alias("strategy_count"), F.count_if(F.col("added_at") >= F.col("_week")).alias("this_week_added"),
+                 F.avg("sharpe").alias("avg_sharpe"), F.avg("max_drawdown").alias("max_drawdown_avg"),
+                 F.count_if(F.col("overfitting_flag") & (F.col("sharpe") >= review_sharpe)).alias("pending_review_count"),
+                 F.count_if("overfitting_flag").alias("overfitting_count"))
+
+
+def kpi_distribution(strategies: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """Strategies per value of each dimension, in one pass."""
+    text = strategies.select(*[F.col(d).cast("string").alias(d) for d in dimensions])
+    g = text.groupingSets([[d] for d in dimensions], *dimensions).agg(
+        *[F.grouping(d).alias(f"_g_{d}") for d in dimensions], F.count(F.lit(1)).alias("n"))
+    name = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, F.lit(d)) for d in dimensions])
+    value = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, F.col(d)) for d in dimensions])
+    return g.select(name.alias("dimension"), value.alias("value"), "n")
+
+
 def weekly_quality(calls: DataFrame, ts: str = "created_at", drop_points: float = 5.0) -> DataFrame:
     """Weekly totals with the change against the previous week; alert
     when the success rate falls by more than ``drop_points`` points."""

@@ -248,6 +248,38 @@ def category_filters(expected: Column) -> dict[str, Column]:
     return {"session_filter": F.try_element_at(s, F.lit(-1)), "logic_filter": F.try_element_at(lg, F.lit(-1))}
 
 
+def sample_examples_by_category(df: DataFrame, category_col: str, n: int, seed: int = 42, name_col: str = "name") -> DataFrame:
+    """I15 for every category at once: per target category its own rows first, then the
+    others, in the seeded order; the first ``n``.  Only the first ``n`` of each category
+    can be among them, so the fill is taken from those (categories squared times n rows)."""
+    draw = F.md5(F.concat(F.lit(str(seed)), F.col(name_col).cast("string")))
+    own = Window.partitionBy(category_col).orderBy("_draw", name_col)
+    few = df.withColumn("_draw", draw).withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= n).drop("_r")
+    targets = few.select(F.col(category_col).alias("target")).distinct()
+    x = few.withColumn("_one", F.lit(1)).join(targets.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    w = Window.partitionBy("target").orderBy(F.col(category_col).eqNullSafe(F.col("target")).desc(), "_draw", name_col)
+    return x.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n).drop("_draw")
+
+
+def query_text(category: Column, holding_type: Column, timeframe: Column, direction: Column, extra: Column) -> Column:
+    """The search text assembled from fields; empty ones leave no line."""
+    part = lambda label, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{label}: "), v))
+    return F.concat_ws("\n", F.concat(F.lit("Category: "), category), part("Holding Type", holding_type),
+                       part("Timeframe", timeframe), part("Direction", direction), part("Requirements", extra))
+
+
+def find_similar_records(queries: DataFrame, collection: DataFrame, k: int, record: str, schema: str,
+                         match: Sequence[tuple[str, str]], **kw) -> DataFrame:
+    """I7 for all categories in one call: the k nearest rows that share the query's
+    matched columns (none: no row), with their JSON ``record`` read back into columns.
+    A record that does not parse is left out, as one that can't be restored is."""
+    top = vector_topk(queries, collection, k, match=match, **kw)
+    c_id, q_id = kw.get("c_id", "id"), kw.get("q_id", "qid")
+    held = collection.select(c_id, F.from_json(F.col(record), schema).alias("_rec"), F.col(record).alias("_raw"))
+    whole = F.col("_rec").isNotNull() & (F.json_object_keys("_raw").isNotNull())
+    return top.join(held, c_id).where(whole).select(q_id, "rank", c_id, "similarity", "_rec.*")
+
+
 def find_similar(queries: DataFrame, collection: DataFrame, k: int, **kw) -> DataFrame:
     """Top k for queries whose filtered collection is non-empty (an empty
     collection yields no rows instead of an error)."""

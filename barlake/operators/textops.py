@@ -14,6 +14,8 @@ from __future__ import annotations
 import html
 
 import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -299,6 +301,16 @@ def effective_lines(code) -> Column:
     return F.size(F.filter(ls, lambda l: (l != "") & ~F.startswith(l, F.lit("//"))))
 
 
+# Declarations that a script must hold, by name in any case
+DECLARATIONS = [("inputs", "inputs 宣告"), ("variables", "variables 宣告"), ("buy", "Buy 進場指令"), ("sell", "Sell Short 進場指令")]
+
+
+def missing_declarations(code) -> Column:
+    """Labels of the declarations that a script lacks, joined by ', ' ('' = none)."""
+    low = F.lower(c(code))
+    return F.concat_ws(", ", *[F.when(~F.contains(low, F.lit(word)), F.lit(label)) for word, label in DECLARATIONS])
+
+
 # Labels of a failure record
 RECORD_STRATEGY, RECORD_SUMMARY, RECORD_FAILED, RECORD_JOIN = "策略", "設計摘要", "失敗", "、"
 
@@ -317,6 +329,36 @@ def fail_record_text(date, kind, direction, timeframe, name, summary, reasons) -
 # pages
 # --------------------------------------------------------------------------
 
+# Heading and labels of the knowledge context
+CONTEXT_HEADING, CONTEXT_TAGS, CONTEXT_NO_TAGS = "## 知識庫參考資料（使用者指定網址）\n", "標籤", "無"
+
+
+def knowledge_context(records: DataFrame, tags: Sequence[str], max_urls: int = 8, max_chars: int = 3000,
+                      order: str = "id") -> DataFrame:
+    """One context per tag filter ('' = no filter): of the records whose tags hold
+    the filter in any case, that have content and were fetched (an unknown state counts
+    as fetched), the first ``max_urls`` by ``order``, clipped, under one heading; ''
+    where there is none.  Records: id, url, title, tags, content, fetch_ok."""
+    from pyspark.sql import Window
+    want = F.explode(F.array(*map(F.lit, tags))).alias("tag_filter")
+    usable = (F.coalesce("content", F.lit("")) != "") & F.coalesce("fetch_ok", F.lit(True))
+    x = records.where(usable).select("*", want).where(
+        F.contains(F.lower(F.coalesce("tags", F.lit(""))), F.lower("tag_filter")))
+    # a filter's first records by a bounded aggregate: no window holds all of its records
+    part = F.pmod(F.xxhash64(order), F.lit(256))
+    near = Window.partitionBy("tag_filter", "_part").orderBy(order)
+    x = x.withColumn("_part", part).withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= max_urls)
+    w = Window.partitionBy("tag_filter").orderBy(order)
+    x = x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_urls)
+    block = F.concat(F.lit("### ["), F.coalesce("title", "url"), F.lit("]("), F.col("url"), F.lit(f")\n{CONTEXT_TAGS}："),
+                     F.coalesce("tags", F.lit(CONTEXT_NO_TAGS)), F.lit("\n"), F.substring("content", 1, max_chars), F.lit("\n"))
+    g = x.groupBy("tag_filter").agg(F.count(F.lit(1)).alias("n_pages"), F.array_sort(F.collect_list(F.struct("_r", block.alias("b")))).alias("_l"))
+    every = records.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(tags)], "tag_filter string")
+    return every.join(g, "tag_filter", "left").select(
+        "tag_filter", F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"),
+        F.coalesce(F.concat(F.lit(CONTEXT_HEADING + "\n"), F.array_join(F.transform("_l", lambda e: e["b"]), "\n")), F.lit("")).alias("context"))
+
+
 def url_host(url) -> Column:
     return F.lower(F.regexp_extract(c(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
 

@@ -566,8 +566,8 @@ b AS (SELECT *, {_sig(f"{up} AND {_gt('close', 'ema_50')}", f"{dn} AND {_gt('ema
 {_delay('b')}"""
 
 
-def sig_trend_breakout_q() -> str:
-    fr = "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
+def sig_trend_breakout_q(prior: bool = False) -> str:
+    fr = "ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING" if prior else "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
     hi = f"CASE WHEN count(high) OVER (PARTITION BY symbol ORDER BY rn {fr}) = 20 THEN max(high) OVER (PARTITION BY symbol ORDER BY rn {fr}) END"
     lo = f"CASE WHEN count(low) OVER (PARTITION BY symbol ORDER BY rn {fr}) = 20 THEN min(low) OVER (PARTITION BY symbol ORDER BY rn {fr}) END"
     return f"""{ind_sql(emas=[50], atr=[14])},
@@ -1993,3 +1993,135 @@ def library_index_q() -> str:
 n AS (SELECT count(*) AS every, count(*) FILTER (folder = 'Swing') AS swing FROM ok)
 SELECT 'dry run' AS run, every AS n_entries, 0 AS n_stored, 0 AS n_not_unit, 0 AS n_swing FROM n
 UNION ALL SELECT 'rebuild', every, every, 0, swing FROM n UNION ALL SELECT 'upsert', swing, every, 0, swing FROM n"""
+
+
+# --------------------------------------------------------------------------
+# faulty feed, registry escapes, metric runs, tags, scripts, cascades, key figures
+# --------------------------------------------------------------------------
+
+FAULTY = """faulty AS (SELECT symbol, ts, CASE WHEN minute(ts) % 17 = 3 THEN open * 1.2 WHEN minute(ts) % 31 = 13 THEN -1.0 ELSE open END AS open,
+  CASE WHEN minute(ts) % 19 = 5 THEN low - 1 ELSE high END AS high, CASE WHEN minute(ts) % 19 = 5 THEN high + 1 ELSE low END AS low,
+  CASE WHEN minute(ts) % 29 <> 11 THEN close END AS close, CASE WHEN minute(ts) % 23 = 7 THEN 0 ELSE n_ticks END AS volume FROM minute_bars)"""
+
+
+def _on_faulty(sql: str) -> str:
+    """An oracle over the minute bars, read from the faulty feed instead."""
+    head, rest = sql.split("fl0 AS (", 1)
+    return f"{head}{FAULTY},\nfl0 AS ({rest.replace('FROM minute_bars)', 'FROM faulty)')}"
+
+
+def faulty_price_jumps_q() -> str:
+    return _on_faulty(rounded(f"WITH {FLAGGED} SELECT symbol, ts, open, prev_close FROM flagged WHERE is_jump", ["open", "prev_close"]))
+
+
+def faulty_bar_report_q() -> str:
+    return _on_faulty(bar_quality_report_q())
+
+
+def faulty_bars_cleaned_q() -> str:
+    return rounded(f"""WITH {MINUTE_BARS}, {FAULTY} SELECT symbol, ts, open, high, low, close FROM faulty
+WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND high >= low AND open > 0 AND volume <> 0""", RES_COLS)
+
+
+def signals_trend_breakout_prior_q() -> str:
+    return sig_trend_breakout_q(prior=True)
+
+
+def pandas_strategy_q() -> str:
+    w_ = "(PARTITION BY symbol, date_trunc('month', ts) ORDER BY ts)"
+    return f"""WITH {DAY_BARS},
+r AS (SELECT *, coalesce(sign(close - lag(close, 2) OVER {w_}), 0) AS raw FROM day_bars)
+SELECT symbol, ts, CAST(coalesce(lag(raw) OVER {w_}, 0) AS INTEGER) AS signal FROM r"""
+
+
+def aligned_signals_q() -> str:
+    return f"""WITH {DAY_BARS},
+{ma_cross_signals('day_bars', 'symbol', 'ts', 20, 60)}
+SELECT d.symbol, d.ts, round(d.close, 6) AS close, CAST(s.signal AS INTEGER) AS signal
+FROM day_bars d JOIN sig s ON s.symbol = d.symbol AND s.ts = d.ts WHERE s.signal <> 0"""
+
+
+def metric_runs_q() -> str:
+    def run(phase: int, keep: str) -> str:
+        return (f"SELECT 'success:' || provider AS metric_name, round(avg(CAST(success AS DOUBLE)), 6) AS value, {phase} AS phase, "
+                f"max(created_at) AS created_at FROM calls_fx WHERE {keep} GROUP BY provider")
+    return f"WITH {CALLS_FX} {run(1, 'call_id % 2 = 0')} UNION ALL {run(3, 'true')}"
+
+
+def knowledge_context_tagged_q() -> str:
+    host = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1))"
+    lang = "regexp_extract(url, '://[^/]+/([a-z]{2})/', 1)"
+    return f"""WITH {PAGES},
+k AS (SELECT page_id AS id, url, title, text, CASE WHEN page_id % 7 <> 3 THEN upper({lang}) || ',' || {host} END AS tags,
+  CASE WHEN page_id % 5 <> 0 THEN page_id % 9 <> 0 END AS fetch_ok FROM pg),
+f AS (SELECT * FROM (VALUES (''), ('EN'), ('fr'), ('shop'), ('zz')) v(tag_filter)),
+u AS (SELECT f.tag_filter, k.*, row_number() OVER (PARTITION BY f.tag_filter ORDER BY k.id) AS r FROM f JOIN k
+  ON contains(lower(coalesce(k.tags, '')), lower(f.tag_filter)) WHERE length(k.text) > 0 AND coalesce(k.fetch_ok, true)),
+c AS (SELECT tag_filter, count(*) AS n, string_agg('### [' || coalesce(title, url) || '](' || url || ')' || chr(10) || '標籤：'
+  || coalesce(tags, '無') || chr(10) || substring(text, 1, 3000) || chr(10), chr(10) ORDER BY id) AS body FROM u WHERE r <= 8 GROUP BY tag_filter)
+SELECT f.tag_filter, coalesce(c.n, 0) AS n_pages,
+  coalesce('## 知識庫參考資料（使用者指定網址）' || chr(10) || chr(10) || c.body, '') AS context FROM f LEFT JOIN c ON c.tag_filter = f.tag_filter"""
+
+
+def script_summary_q() -> str:
+    code = """CASE WHEN doc_id % 2 = 0 THEN 'INPUTS: n(5);' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'Variables: v(0);' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 5 < 3 THEN '// buy later' || chr(10) || '  Buy Next Bar at Market;' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 7 < 5 THEN 'SELL short;' || chr(10) || chr(10) ELSE '' END || coalesce(text, '')"""
+    miss = ", ".join(f"CASE WHEN NOT contains(lower(code), '{w_}') THEN '{label}' END" for w_, label in (
+        ("inputs", "inputs 宣告"), ("variables", "variables 宣告"), ("buy", "Buy 進場指令"), ("sell", "Sell Short 進場指令")))
+    return f"""WITH x AS (SELECT doc_id, {code} AS code FROM documents)
+SELECT doc_id, array_to_string(list_filter([{miss}], lambda m: m IS NOT NULL), ', ') AS missing,
+  CAST(len(list_filter(list_transform(string_split(code, chr(10)), lambda l: trim(l)), lambda l: l <> '' AND NOT starts_with(l, '//'))) AS INTEGER) AS effective_lines
+FROM x"""
+
+
+def first_success_cascade_q() -> str:
+    return f"""WITH {CALLS_FX},
+o AS (SELECT *, CASE provider WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 4 END AS p FROM calls_fx),
+r AS (SELECT *, row_number() OVER (PARTITION BY request, success ORDER BY p, provider, created_at, call_id) AS up,
+  row_number() OVER (PARTITION BY request, success ORDER BY p DESC, provider DESC, created_at DESC, call_id DESC) AS down FROM o),
+ok AS (SELECT * FROM r WHERE success AND up = 1), ko AS (SELECT * FROM r WHERE NOT success AND down = 1)
+SELECT coalesce(ok.request, ko.request) AS request, ok.request IS NOT NULL AS succeeded, coalesce(ok.provider, ko.provider) AS provider,
+  coalesce(ok.call_id, ko.call_id) AS call_id FROM ok FULL JOIN ko ON ko.request = ok.request"""
+
+
+def kpi_overview_q() -> str:
+    return f"""WITH {DEV}, x AS (SELECT *, (id % 51) / 100.0 AS dd, TIMESTAMP '2024-01-01' + to_hours(id) AS added_at FROM dev)
+SELECT count(*) AS strategy_count, CAST(count_if(added_at >= (SELECT date_trunc('week', max(added_at)) FROM x)) AS BIGINT) AS this_week_added,
+  round(avg(sharpe), 6) AS avg_sharpe, round(avg(dd), 6) AS max_drawdown_avg,
+  CAST(count_if(overfitting_flag AND sharpe >= 1.2) AS BIGINT) AS pending_review_count, CAST(count_if(overfitting_flag) AS BIGINT) AS overfitting_count FROM x"""
+
+
+def kpi_distribution_q() -> str:
+    return f"""WITH {DEV} SELECT 'trading_session' AS dimension, CAST(trading_session AS VARCHAR) AS value, count(*) AS n FROM dev GROUP BY 2
+UNION ALL SELECT 'logic_type', CAST(logic_type AS VARCHAR), count(*) FROM dev GROUP BY 2"""
+
+
+def find_similar_records_q() -> str:
+    return f"""WITH {DEV},
+n AS (SELECT *, CASE WHEN trading_session < 2 THEN 'daytrade' ELSE 'swing' END AS holding,
+  ['trend', 'mean_reversion', 'breakout', 'opening', 'scalp', 'pattern'][logic_type % 6 + 1] AS category FROM dev),
+r AS (SELECT q.id AS qid, q.category AS q_category, q.holding AS q_holding, c.id, c.category, c.sharpe,
+  list_cosine_similarity(q.sem, c.sem) AS similarity,
+  CAST(row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.sem, c.sem) DESC, c.id) AS INTEGER) AS rank
+  FROM n q JOIN n c ON c.category = q.category AND c.holding = q.holding AND c.id <> q.id WHERE NOT c.overfitting_flag)
+SELECT qid, 'Category: ' || q_category || chr(10) || 'Holding Type: ' || q_holding || chr(10) || 'Timeframe: 5min' || chr(10) || 'Direction: both'
+  || CASE WHEN qid % 3 = 0 THEN chr(10) || 'Requirements: ATR stop loss' ELSE '' END AS query, rank, id, round(similarity, 6) AS similarity,
+  'S' || CAST(id AS VARCHAR) AS name, category, round(sharpe, 6) AS sharpe FROM r WHERE rank <= 2 AND id % 13 <> 0"""
+
+
+def sample_examples_by_type_q() -> str:
+    return f"""WITH {DEV}, t AS (SELECT DISTINCT logic_type AS target FROM dev),
+r AS (SELECT t.target, d.id, d.logic_type, round(d.sharpe, 6) AS sharpe, CAST(row_number() OVER (PARTITION BY t.target
+  ORDER BY (d.logic_type = t.target) DESC, md5('42' || CAST(d.id AS VARCHAR)), d.id) AS INTEGER) AS slot FROM t, dev d)
+SELECT * FROM r WHERE slot <= 5"""
+
+
+def recall_keyword_query_q() -> str:
+    text = "CASE WHEN q.id % 10 = 3 THEN 'swing momentum entries' WHEN q.id % 10 = 8 THEN 'Momentum of the week' " \
+           "WHEN q.id % 10 = 4 THEN 'fade the opening range' ELSE 'find similar' END"
+    cases = _KEYWORD_CASES.replace("contains(c.sess || ' ' || c.logic, k)", f"(contains(c.sess || ' ' || c.logic, k) OR contains({text}, k))")
+    return f"""WITH {cases},
+per AS (SELECT q.id, coalesce(max(CASE WHEN h.hit AND h.rank <= 5 THEN 1 ELSE 0 END), 0) AS hit FROM cases q
+  LEFT JOIN hits h ON h.qid = q.id GROUP BY q.id)
+SELECT id % 10 AS kind, count(*) AS n_cases, round(avg(hit), 6) AS recall_at_5 FROM per GROUP BY 1"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import extraplans, intradayplans, libraryplans, opsplans, storedplans, streamplans, tableplans
+from barlake.plans import extraplans, intradayplans, libraryplans, moreplans, opsplans, storedplans, streamplans, tableplans
 from barlake.plans import backtests, barplans, indicatorplans, oracle, reportplans, retrievalplans, textplans, wfaplans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {}
 # Sums and counts that DuckDB widens beyond BIGINT, per query: the oracle casts
 # them back so both results carry the same column types.
 WIDE_COLUMNS = {
+    "faulty_bar_report": "null_count ohlc_error_count price_jump_count anomaly_count gap_count valid_bars",
     "bar_quality_report": "null_count ohlc_error_count price_jump_count anomaly_count gap_count valid_bars",
     "signal_distribution": "n_long n_short n_flat",
     "trade_durations": "n_closed",
@@ -157,3 +158,7 @@ for _n in ["holding_time_buckets", "holding_time_quantiles"]:
     register(_n, getattr(reportplans, _n), getattr(oracle, f"{_n}_q")())
 for _n in ["report_numbers", "report_files", "strategy_library", "strategy_texts", "library_index"]:
     register(_n, getattr(libraryplans, _n), getattr(oracle, f"{_n}_q")())
+for _n in ["faulty_price_jumps", "faulty_bar_report", "faulty_bars_cleaned", "signals_trend_breakout_prior", "pandas_strategy",
+           "aligned_signals", "metric_runs", "knowledge_context_tagged", "script_summary", "first_success_cascade",
+           "kpi_overview", "kpi_distribution", "find_similar_records", "sample_examples_by_type", "recall_keyword_query"]:
+    register(_n, getattr(moreplans, _n), getattr(oracle, f"{_n}_q")())

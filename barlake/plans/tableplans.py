@@ -66,12 +66,12 @@ def clean_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collection_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filtered count per logic type and the listing without vectors,
+    """The listing without vectors, ordered by session, logic type and id,
     after adding a defaulted column for old rows."""
     d = tb.evolve_schema(fx.developed_fx(spark, sf_dir), {"notes": ("string", "")})
     listed = d.where(~F.col("overfitting_flag")).select("trading_session", "logic_type", "id", "sharpe",
                                                          "notes")
-    return round_doubles(listed)
+    return round_doubles(listed).orderBy("trading_session", "logic_type", "id")
 
 
 def knowledge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

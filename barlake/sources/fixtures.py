@@ -29,6 +29,20 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(ticks(spark, sf_dir), "1m")
 
 
+def faulty_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars as a faulty feed gives them: opens that jump, highs below lows, opens
+    that are not positive, missing closes and bars without a trade."""
+    m = F.minute("ts")
+    b = minute_bars(spark, sf_dir)
+    swap = m % 19 == 5
+    return b.select("symbol", "ts",
+                    F.when(m % 17 == 3, F.col("open") * 1.2).when(m % 31 == 13, F.lit(-1.0)).otherwise(F.col("open")).alias("open"),
+                    F.when(swap, F.col("low") - 1).otherwise(F.col("high")).alias("high"),
+                    F.when(swap, F.col("high") + 1).otherwise(F.col("low")).alias("low"),
+                    F.when(m % 29 != 11, F.col("close")).alias("close"),
+                    F.when(m % 23 == 7, F.lit(0)).otherwise(F.col("n_ticks")).cast("long").alias("Volume"))
+
+
 def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders → daily OHLC per order priority; open/close by order key."""
     o = table(spark, sf_dir, "orders")

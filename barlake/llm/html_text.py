@@ -1,23 +1,32 @@
 """Main text of HTML pages by text-to-tag ratio.
 
 A streaming parser turns a page into lines, one per block, and counts the tags of
-each.  A line's value is its text length per tag.  Marks in the page overrule it:
-lines inside menus, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments count as tags only (value 0).  Where the page marks its article, the
-marks alone decide and ratio, smoothing and threshold do not: lines outside it have
-value 0 and lines inside it the page's highest value, so a short paragraph is not
-lost.  Inside a marked article a class or role takes a container out only as a whole
-token (``cookie-notice``, ``ad-slot``, not ``related-work``), an id only where it
-names the reader comments, and headings and paragraphs stay.  Silent elements inside
-a line (script, svg, button, …) leave a gap, not a line end.  The values are smoothed with a Gaussian along runs of
-equally marked lines, two-means clustering finds the threshold, and the lines at or
-above it are the content.
+each.  A line's value is its text length per tag.  The values are smoothed with a
+Gaussian along runs of equally marked lines, two-means clustering finds the threshold,
+and the regions whose mean value (weighted by text) reaches it are the content.  So a
+short line, a list or a paragraph of links stays with the container that it is in.
+
+A region is a container's own lines: a ``div``, ``section`` or table cell, a list or
+table that is mostly links, and an ``article`` or ``main`` (also by role, or by a class
+such as ``article-body``) with all that is in it but further articles.  A ``main`` with
+one article is one region with it.
+
+Marks steer the regions.  Lines inside menus, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments are never content: such elements, and
+elements with a class or role of which a whole token consists of such words
+(``cookie-notice``, ``ad-slot``, not ``related-work`` or ``has-sidebar``).  A form or a
+classed element does not close an article that lies inside it; hidden elements and
+reader comments do.  Where nothing else is left on a page, forms and classes count for
+nothing.  Where a page marks an article, lines outside of it have a quarter of their
+value, and the marked region with most text is always content; other marked regions
+(teasers) are, if their value reaches the threshold.  Silent elements inside a line
+(script, svg, button, …) leave a gap, not a line end.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by one line feed.  Null and empty html give an empty
 text.  Unclosed and stray tags are tolerated: an end tag closes what it can reach.
-Repeated rows are extracted one by one, empty tables give an empty result, other
-columns are not read.
+The time is linear in the page, however deep its elements lie.  Repeated rows are
+extracted one by one, empty tables give an empty result, other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,31 +56,35 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that an open paragraph can't contain.
 _ENDS_P = BLOCKS - {"li", "td", "th", "tr", "dd", "dt", "body", "html"}
 MAIN = frozenset(("article", "main"))
-#: Words of class, id and role that mark boilerplate or the article.
+#: Silent elements that do not close an article inside them.
+_SOFT = frozenset(("form", "label", "fieldset"))
+#: Words of class and role tokens that mark boilerplate, and words that add nothing.
 _BOILERPLATE = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo sidebar aside "
                          "complementary ad ads advert adverts advertisement advertising banner sponsor sponsored promo "
                          "promotion cookie cookies consent gdpr notice notices alert newsletter subscribe signup popup "
                          "modal comment comments disqus reply replies respond related recommended share sharing social "
                          "pagination pager search form masthead topbar toolbar widget".split())
-_ARTICLE = frozenset("article".split())
-#: Inside a marked article: elements that marks can take out, words that add nothing
-#: to a mark, and whole ids that are marks.
-_CONTAINERS = frozenset("div section ul ol dl table header figure fieldset details center".split())
-_PLAIN = frozenset("list box bar block wrapper container slot unit buttons links area panel".split())
+_PLAIN = frozenset("list box bar block wrapper container slot unit buttons links area panel articles posts stories items".split())
+_COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 _COMMENT_IDS = frozenset("comments disqus disqus_thread respond".split())
+#: Words of class tokens that mark the article, together with ``article``.
+_ARTICLE = frozenset("article body content text main full entry post page".split())
+#: Elements that marks can take out inside a marked article.
+_CONTAINERS = frozenset("div section ul ol dl table header figure fieldset details center".split())
+#: Elements with a region of their own, and those that have one if they are mostly links.
+_HOLDERS = frozenset("div section td th center fieldset details blockquote".split())
+_LISTS = frozenset("ul ol dl menu table".split())
 _TOKEN = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+#: Marks of lines: shut (no article inside counts), out, undecided, in a marked article.
+SHUT, OUT, PLAIN, IN = -2, -1, 0, 1
+#: Share of their value that lines outside of a marked article keep.
+OUTSIDE = 0.25
 
-def _marks(attrs: list[tuple[str, str | None]]) -> set[str]:
-    out: set[str] = set()
-    for name, value in attrs:
-        if value and name in ("class", "id", "role"):
-            out.update(t.lower() for t in _TOKEN.findall(value))
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            out.add("popup")
-        elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            out.add("popup")
-    return out
+
+def _tokens(attrs: list[tuple[str, str | None]]) -> list[set[str]]:
+    return [{t.lower() for t in _TOKEN.findall(token)} for name, value in attrs if value and name in ("class", "role")
+            for token in value.split()]
 
 
 def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
@@ -79,100 +92,119 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
                or name == "style" and value and "display:none" in value.replace(" ", "").lower() for name, value in attrs)
 
 
-def _furniture(attrs: list[tuple[str, str | None]]) -> bool:
-    """True if a whole class or role token consists of boilerplate words."""
-    for name, value in attrs:
-        if value and name in ("class", "role"):
-            for token in value.split():
-                words = {t.lower() for t in _TOKEN.findall(token)}
-                if words & _BOILERPLATE and words <= _BOILERPLATE | _PLAIN:
-                    return True
-        elif value and name == "id" and value.strip().lower() in _COMMENT_IDS:
-            return True
-    return False
+def _furniture(attrs: list[tuple[str, str | None]]) -> int | None:
+    """OUT or SHUT if a whole class or role token consists of boilerplate words."""
+    out = None
+    for words in _tokens(attrs):
+        if words & _BOILERPLATE and words <= _BOILERPLATE | _PLAIN:
+            if words & _COMMENTS:
+                return SHUT
+            out = OUT
+    if any(name == "id" and value and value.strip().lower() in _COMMENT_IDS for name, value in attrs):
+        return SHUT
+    return out
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, mark) per block; mark is -1 in boilerplate, 1 in a
-    marked article, else 0."""
+    """Collects (text, tags, mark, region) per block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, int, int | None]] = []
-        self.mark = 0
+        self.lines: list[tuple[str, int, int, int]] = []
+        #: Open elements: tag, and what held outside of them (mark, gap mark, region).
+        self.open: list[tuple[str, int, int | None, int]] = []
+        #: Places of the open elements of each tag.
+        self.places: dict[str, list[int]] = {}
+        #: Regions: parent, kind (article, main, list, holder), text, linked text.
+        self.regions: list[list] = [[-1, "", 0, 0]]
+        self.region = 0
+        self.mark = PLAIN
         #: Inside a silent element of a line: that line's mark.
         self.around: int | None = None
         self.gap = False
         self.parts: list[str] = []
         self.tags = 0
+        self.linked = 0
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self._line_mark()))
+            self.lines.append((text, self.tags, self._line_mark(), self.region))
+            self.regions[self.region][2] += len(text)
+            self.regions[self.region][3] += min(self.linked, len(text))
             self.tags = 0
         self.parts.clear()
+        self.linked = 0
         self.gap = False
 
     def _line_mark(self) -> int:
         return self.mark if self.around is None else self.around
 
-    def _enter(self, tag: str, mark: int) -> None:
-        self.open.append((tag, self.mark, self.around))
+    def _enter(self, tag: str, mark: int, region: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, self.mark, self.around, self.region))
         if mark != self.mark and tag not in BLOCKS and self.around is None:
             self.around = self.mark
             self.gap = True
-        self.mark = mark
+        self.mark, self.region = mark, region
 
     def _leave(self, tag: str) -> None:
         """Close the innermost open ``tag`` and all inside it, if there is one."""
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                _, self.mark, self.around = self.open[at]
-                del self.open[at:]
-                return
-
-    def _child_mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        if self.mark < 0 or tag in SILENT:
-            return -1
-        if tag in MAIN:
-            return 1
-        if tag == "header" and self.mark == 0:
-            return -1
-        if self.mark > 0:
-            return -1 if attrs and (_hidden(attrs) or tag in _CONTAINERS and _furniture(attrs)) else 1
-        if attrs and tag not in ("html", "body"):
-            words = _marks(attrs)
-            if words & _BOILERPLATE and not words & _ARTICLE:
-                return -1
-            if tag in ("div", "section") and words & _ARTICLE and not words & _BOILERPLATE:
-                return 1
+        if not self.places.get(tag):
+            return
+        at = self.places[tag][-1]
+        _, self.mark, self.around, self.region = self.open[at]
+        for name, *_ in self.open[at:]:
+            self.places[name].pop()
+        del self.open[at:]
+
+    def _child_mark(self, tag: str, attrs: list[tuple[str, str | None]], main: bool) -> int:
+        if self.mark == SHUT or attrs and _hidden(attrs):
+            return SHUT
+        if tag in SILENT:
+            return OUT if tag in _SOFT and self.mark != SHUT else SHUT
+        found = _furniture(attrs) if attrs and tag not in ("html", "body") else None
+        if found == SHUT and (self.mark != IN or tag in _CONTAINERS):
+            return SHUT
+        if main:
+            return IN
+        if self.mark == OUT:
+            return OUT
+        if tag == "header" and self.mark == PLAIN:
+            return SHUT
+        if found is not None and (self.mark != IN or tag in _CONTAINERS):
+            return found
         return self.mark
 
+    def _child_region(self, tag: str, mark: int, main: bool) -> int:
+        kind = ("main" if tag == "main" else "article") if main and mark == IN else \
+            "" if mark == IN else "list" if tag in _LISTS else "holder" if tag in _HOLDERS else ""
+        if not kind:
+            return self.region
+        self.regions.append([self.region, kind, 0, 0])
+        return len(self.regions) - 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        block = tag in BLOCKS
-        if block:
+        if tag in BLOCKS:
             self._cut()
-            if tag in _ENDS_P and any(t == "p" for t, *_ in self.open):
+            if tag in _ENDS_P:
                 self._leave("p")
-        mark = self._child_mark(tag, attrs)
+        main = tag in MAIN or bool(attrs) and tag in ("div", "section") and self.mark != IN and any(
+            words == {"main"} and name == "role" or name == "class" and "article" in words and words <= _ARTICLE
+            for name, value in attrs if value and name in ("class", "role")
+            for words in ({t.lower() for t in _TOKEN.findall(token)} for token in value.split()))
+        mark = self._child_mark(tag, attrs, main)
         self.tags += 1
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
             return
         if tag == "li":
-            self._close_sibling("li", ("ul", "ol", "menu"))
-        self._enter(tag, mark)
-
-    def _close_sibling(self, tag: str, holders: tuple[str, ...]) -> None:
-        for name, *_ in reversed(self.open):
-            if name in holders:
-                return
-            if name == tag:
-                self._leave(tag)
-                return
+            item = self.places.get("li")
+            if item and item[-1] > max((self.places[h][-1] for h in ("ul", "ol", "menu") if self.places.get(h)), default=-1):
+                self._leave("li")
+                mark = self._child_mark(tag, attrs, main)
+        self._enter(tag, mark, self._child_region(tag, mark, main))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -180,12 +212,11 @@ class Lines(HTMLParser):
             self._leave(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        inside = any(t == tag for t, *_ in self.open)
         if tag in BLOCKS:
             self._cut()
         self.tags += 1
-        if inside:
-            mark, around = next((m, a) for t, m, a in reversed(self.open) if t == tag)
+        if self.places.get(tag):
+            _, mark, around, _ = self.open[self.places[tag][-1]]
             if (mark if around is None else around) != self._line_mark():
                 self._cut()
             self._leave(tag)
@@ -198,20 +229,32 @@ class Lines(HTMLParser):
                 self.parts.append(" ")
             self.gap = False
         self.parts.append(data)
+        if self.places.get("a"):
+            self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, int]]:
+    def finish(self) -> list[tuple[str, int, int, int]]:
+        """The lines, each with the region that it belongs to in the end."""
         self.close()
         self._cut()
-        return self.lines
-
-
-def line_values(lines: list[tuple[str, int, int]]) -> list[float]:
+        articles: dict[int, int] = {}
+        for parent, kind, _, _ in self.regions:
+            if kind == "article" and self.regions[parent][1] == "main":
+                articles[parent] = articles.get(parent, 0) + 1
+        into = list(range(len(self.regions)))
+        for i, (parent, kind, chars, linked) in enumerate(self.regions):
+            one = kind == "article" and articles.get(parent) == 1
+            if one or kind == "list" and 2 * linked <= chars:
+                into[i] = into[parent]
+        lines = [(text, tags, mark, into[region]) for text, tags, mark, region in self.lines]
+        if lines and all(mark < PLAIN for _, _, mark, _ in lines):
+            lines = [(text, tags, PLAIN if mark == OUT else mark, region) for text, tags, mark, region in lines]
+        return lines
+
+
+def line_values(lines: list[tuple[str, int, int, int]]) -> list[float]:
     """Text length per tag, steered by the marks."""
-    ratio = [len(text) / max(1, tags) for text, tags, _ in lines]
-    if any(mark > 0 for _, _, mark in lines):
-        top = max(ratio)
-        return [top if mark > 0 else 0.0 for _, _, mark in lines]
-    return [0.0 if mark < 0 else r for r, (_, _, mark) in zip(ratio, lines)]
+    outside = OUTSIDE if any(mark == IN for _, _, mark, _ in lines) else 1.0
+    return [0.0 if mark < PLAIN else len(text) / max(1, tags) * (1.0 if mark == IN else outside) for text, tags, mark, _ in lines]
 
 
 def smoothed(values: list[float], marks: list[int], sigma: float = SIGMA, radius: int = RADIUS) -> list[float]:
@@ -250,9 +293,21 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    values = smoothed(line_values(lines), [mark for _, _, mark in lines])
+    values = smoothed(line_values(lines), [mark for _, _, mark, _ in lines])
     cut = threshold(values)
-    return "\n".join(text for (text, _, _), v in zip(lines, values) if v > 0 and v >= cut * (1 - 1e-9))
+    chars: dict[int, int] = {}
+    worth: dict[int, float] = {}
+    marked: dict[int, int] = {}
+    for (text, _, mark, region), v in zip(lines, values):
+        if mark >= PLAIN:
+            chars[region] = chars.get(region, 0) + len(text)
+            worth[region] = worth.get(region, 0.0) + len(text) * v
+            if mark == IN:
+                marked[region] = marked.get(region, 0) + len(text)
+    kept = {r for r in chars if worth[r] > 0 and worth[r] >= cut * chars[r] * (1 - 1e-9)}
+    if marked:
+        kept.add(min(marked, key=lambda r: (-marked[r], r)))
+    return "\n".join(text for text, _, mark, region in lines if mark >= PLAIN and region in kept)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -61,3 +61,49 @@ def test_silent_elements_inside_a_line_do_not_cut_it():
     assert h.main_text('<p>A <span class="ad">x</span> B</p>') == "A B"
     assert h.main_text("<article><div>A <button><div>x</div></button> B</div></article>") == "A\nB"
     assert h.main_text("<article><p>A <button>x<p>B<p>C</article>") == "A\nB\nC"
+
+
+LONG = "A real paragraph of the story, with enough words in it to stand out from the links around it."
+
+
+def test_wrappers_never_hide_an_article():
+    article = f"<article><h1>Title</h1><p>{LONG}</p><p>Short.</p></article>"
+    want = f"Title\n{LONG}\nShort."
+    for wrap in ("<form id='aspnetForm'>", "<div class='has-sidebar'>", "<div class='layout sidebar-right'>", "<div class='social-share-enabled'>",
+                 "<div class='comment-open'>", "<div class='widget'>", "<div class='modal'><div class='ad'>", "<section class='form'>", "<table><tr><td>",
+                 "<div id='search'>", "<fieldset>", "<center>"):
+        assert h.main_text(f"<body><nav><a>x</a></nav>{wrap}{article}") == want, wrap
+    for shut in ("<div hidden>", "<div id='comments'>", "<ul class='comment-list'>", "<div style='display: none'>", "<template>"):
+        assert h.main_text(f"<body><p>{LONG}</p>{shut}<article><p>hidden one</p></article>") == LONG, shut
+
+
+def test_lists_and_linked_paragraphs_stay_with_their_container():
+    links = "".join(f'<li><a href="/{i}"><b>go {i}</b></a></li>' for i in range(12))
+    page = (f"<body><ul>{links}</ul><div><p>{LONG}</p><ul><li>One</li><li>Two</li></ul><p>{LONG}</p>"
+            f"<p><a>first</a> <a>second</a> <a>third</a></p></div><div><ul>{links}</ul></div></body>")
+    assert h.main_text(page) == "\n".join([LONG, "One", "Two", LONG, "first second third"])
+
+
+def test_related_lists_and_teasers_go():
+    teaser = "<article><h3><a href='/x'>More of it</a></h3><p>Tiny.</p></article>"
+    body = "".join(f"<p>{LONG}</p>" for _ in range(4))
+    page = f"<main><article><h1>Title</h1>{body}<div class='related-articles'><p>{LONG}</p></div></article>{teaser}{teaser}</main>"
+    assert h.main_text(page) == "\n".join(["Title"] + [LONG] * 4)
+    assert h.main_text(f"<main><h1>Title</h1><article>{body}</article></main>") == "\n".join(["Title"] + [LONG] * 4)
+
+
+def test_a_page_inside_a_form_or_a_classed_element():
+    for wrap in ("<form>", "<div class='widget'>", "<form><div class='modal'>"):
+        assert h.main_text(f"<body><nav>menu</nav>{wrap}<div><p>{LONG}</p><p>Short.</p></div><footer>f</footer>") == f"{LONG}\nShort."
+
+
+def test_deep_markup_is_linear():
+    import time
+    for tag in ("div", "section", "li", "p", "ul", "b", "a", "article"):
+        start = time.perf_counter()
+        h.main_text(f"<{tag}>" * 100_000 + "x")
+        h.main_text(f"<{tag}>x" * 50_000 + f"</{tag}>" * 50_000)
+        assert time.perf_counter() - start < 5, tag
+    start = time.perf_counter()
+    h.main_text("<li><ul>" + "<div><li>y</li>" * 30_000)
+    assert time.perf_counter() - start < 5

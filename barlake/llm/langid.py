@@ -14,9 +14,11 @@ rows first, Spark sums the counts per (language, word), and the n-gram counts co
 from the summed words.  The model keeps the most frequent of each language, up to
 ``TOP_WORDS`` and ``TOP_GRAMS``, so its size is bounded by the number of languages.
 
-With many languages the model's units are shared evenly (``MAX_UNITS``).
+With many languages the model's units are shared evenly (``MAX_UNITS``).  Of more than
+``MAX_LANGUAGES`` languages those with the most training words are learnt; documents in
+one of the others can't be labelled with it.
 
-Null texts and texts without a letter are ``und`` with score 0.  Ties go to the
+Null texts and texts without a letter (marks alone are none) are ``und`` with score 0.  Ties go to the
 language that sorts first.  Without a training row every text is ``und``.
 Repeated rows count as often as they occur.  Other columns are not read.
 """
@@ -47,6 +49,7 @@ TABLE_WORDS = 400_000
 TABLE_SCORES = 2_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _words(text: str | None) -> list[str]:
@@ -116,7 +119,7 @@ def _top(counts: DataFrame, unit: str, limit: int) -> list[tuple[str, str, int,
         .withColumn("total", F.sum(F.col("n") * F.col("units")).over(Window.partitionBy("lang"))) \
         .groupBy("lang").agg(F.min(F.when(F.col("reach") <= limit, F.col("n"))).alias("cut"), F.max("total").alias("total"),
                              F.max("n").alias("most"), F.max_by("units", "n").alias("ties"))
-    cuts = cut.collect()  # one row per language: MAX_LANGUAGES at most
+    cuts = cut.collect()  # one row per language learnt
     if not cuts:
         return []
     rows = counts.join(F.broadcast(counts.sparkSession.createDataFrame(cuts, cut.schema)), "lang")
@@ -188,10 +191,11 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Model of the rows of ``df`` whose ``lang`` is not null."""
     rows = df.filter(F.col(lang).isNotNull())
     words = written(word_counts(rows, lang, text), "words")
-    known = words.select("lang").distinct().count()
-    if known > MAX_LANGUAGES:
-        raise ValueError(f"{known} languages are more than the model may hold ({MAX_LANGUAGES})")
-    share = MAX_UNITS // max(1, known)
+    sizes = words.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        kept = words.sparkSession.createDataFrame([(r["lang"],) for r in sizes[:MAX_LANGUAGES]], "lang string")
+        words = words.join(F.broadcast(kept), "lang")
+    share = MAX_UNITS // max(1, min(len(sizes), MAX_LANGUAGES))
     return Model(_top(words, "word", min(TOP_WORDS, share)), _top(gram_counts(words), "gram", min(TOP_GRAMS, share)))
 
 
@@ -211,7 +215,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             found, scores = [], []
             for value in batch.column("_text").to_pylist():
                 words = _words(value)
-                if not words or not m.languages:
+                if not words or not m.languages or not _LETTER.search(value):
                     found.append(UNKNOWN)
                     scores.append(0.0)
                     continue

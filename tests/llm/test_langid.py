@@ -96,3 +96,67 @@ def test_a_language_whose_units_all_tie_keeps_some(spark):
     assert sorted(r[0] for r in top) == ["aa"] * 10 + ["bb"] * 4
     assert all(r in rows for r in [t[:3] for t in top]) and {r[3] for r in top} == {500, 504}
     assert sorted(top) == sorted(g._top(counts.repartition(7), "word", 10))
+
+
+def test_marks_alone_are_no_language(spark):
+    rows = [(i, f"the river and the hills {i}", "en") for i in range(40)] + [(100, "\u0301\u0308 \u0302", None), (101, "\u0301a", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in g.identify(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] == "en"
+
+
+def test_many_languages_never_stop_the_job(spark, monkeypatch):
+    monkeypatch.setattr(g, "MAX_LANGUAGES", 20)
+    rows = [(i, "hello there my friend " * 5, "en") for i in range(30)] + [(1000 + i, f"dirt{i}", f"x{i:03d}") for i in range(60)]
+    got = {r["doc_id"]: r["lang_pred"] for r in g.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == 90 and all(got[i] == "en" for i in range(30))
+
+
+def test_predictions_equal_brute_force(spark):
+    """Words, then longest n-grams from the left, by the docstring's rules, in plain Python."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    stock = {"en": "the river ran and boats waited near stones".split(), "de": "der fluss lief und boote warten nahe steinen".split(),
+             "fr": "la riviere court et les bateaux attendent".split()}
+    rows = [(i, " ".join(rng.choice(stock[k]) for _ in range(12)) + (" Zug" if i % 7 == 0 else " riverboats"), k)
+            for i in range(120) for k in [("en", "de", "fr")[i % 3]]] + [(500, "steinboot attend unknownword", None), (501, "qqq", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words, grams = {}, {}
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in text.lower().split():
+                words.setdefault(lang, Counter())[w] += 1
+                for n in range(1, 6):
+                    for at in range(len(w) - n + 1):
+                        grams.setdefault(lang, Counter())[w[at:at + n]] += 1
+    langs = sorted(words)
+
+    def table(counts):
+        floor = -math.log(2 * max(sum(c.values()) for c in counts.values()))
+        return floor, {k: {u: math.log(n / sum(c.values())) for u, n in c.items()} for k, c in counts.items()}
+
+    (wf, wt), (gf, gt) = table(words), table(grams)
+
+    def score(w):
+        if any(w in wt[k] for k in langs):
+            return [wt[k].get(w, wf) for k in langs]
+        out, at = [0.0] * len(langs), 0
+        while at < len(w):
+            for n in range(min(5, len(w) - at), 0, -1):
+                if any(w[at:at + n] in gt[k] for k in langs):
+                    out = [a + gt[k].get(w[at:at + n], gf) for a, k in zip(out, langs)]
+                    break
+            else:
+                n, out = 1, [a + gf for a in out]
+            at += n
+        return out
+
+    for r in g.identify(df).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"]).lower().split()
+        sums = [sum(x) for x in zip(*map(score, text))]
+        best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+        share = 1 / sum(math.exp((s - sums[best]) / math.sqrt(len(text))) for s in sums)
+        assert r["lang_pred"] == langs[best] and abs(r["score"] - share) < 1e-9

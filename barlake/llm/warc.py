@@ -20,11 +20,13 @@ are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,9 @@ from pyspark.sql import functions as F
 from barlake.llm.common import scratch, slices, written
 
 VERSION = b"WARC/1.1"
+#: Version lines that are read; records of both versions have the same form.
+VERSIONS = (b"WARC/1.1\r\n", b"WARC/1.0\r\n")
+_LEAD = b"WARC/1."
 _MEMBER = b"\x1f\x8b\x08"
 #: Payloads below this size are never revisits.
 REVISIT_BYTES = 1000
@@ -43,7 +48,7 @@ BROADCAST_TARGETS = 100_000
 RANGE_BYTES = 16 << 20
 #: Bytes asked of an archive at a time.
 CHUNK = 1 << 20
-#: A record that needs more bytes than this is not believed.
+#: A record that needs more bytes than this (a bound of the format read here) is not believed.
 MAX_RECORD = 1 << 31
 
 
@@ -78,15 +83,32 @@ class Broken(ValueError):
     """A check failed."""
 
 
+_ALGORITHMS = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "md5": hashlib.md5}
+
+
+def digest_holds(labelled: str, block: bytes) -> bool:
+    """False if a digest ``algorithm:value`` of the block is wrong; the value may be hex
+    or base32 in any case.  One of an unknown algorithm or form is not a failed check."""
+    name, _, value = labelled.partition(":")
+    algorithm = _ALGORITHMS.get(name.strip().lower())
+    if algorithm is None:
+        return True
+    digest, value = algorithm(block).digest(), value.strip().lower()
+    if len(value) == 2 * len(digest):
+        return value == digest.hex()
+    base32 = base64.b32encode(digest).decode().rstrip("=").lower()
+    return value.rstrip("=") == base32 if len(value.rstrip("=")) == len(base32) else True
+
+
 def parse_record(raw: bytes) -> tuple[Record, int]:
     """The record at the start of ``raw`` and the bytes it takes."""
-    if not raw.startswith(VERSION + b"\r\n"):
+    if not raw.startswith(VERSIONS):
         raise Broken("version line")
     end = raw.find(b"\r\n\r\n")
     if end < 0:
         raise Broken("headers")
     headers = {}
-    for line in raw[len(VERSION) + 2:end].split(b"\r\n"):
+    for line in raw[len(VERSIONS[0]):end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             raise Broken("header line")
@@ -99,8 +121,7 @@ def parse_record(raw: bytes) -> tuple[Record, int]:
     if raw[stop:stop + 4] != b"\r\n\r\n":
         raise Broken("end of record")
     payload = raw[start:stop]
-    block = headers.get("warc-block-digest", "")
-    if block.startswith("sha1:") and hashlib.sha1(payload).hexdigest() != block[5:]:
+    if not digest_holds(headers.get("warc-block-digest", ""), payload):
         raise Broken("digest")
     return Record(0, stop + 4, headers, payload), stop + 4
 
@@ -137,7 +158,7 @@ def _read_member(view: View, offset: int) -> Record:
             got = z.decompress(part)
         except zlib.error as e:
             raise Broken(f"member: {str(e)[:60]}") from None
-        if not out and got and not got.startswith((VERSION + b"\r\n")[:len(got)]):
+        if not out and got and not any(got.startswith(v[:len(got)]) for v in VERSIONS):
             raise Broken("version line")
         out.append(got)
         held += len(got)
@@ -175,10 +196,10 @@ def _read_plain(view: View, offset: int) -> Record:
 def _read_at(view: View, offset: int, packed: bool = False) -> Record:
     """The record at ``offset``.  In a file of gzip members a bare record can only be
     seen through a damaged member (a stored block), so its digest must vouch for it."""
-    lead = view.at(offset, len(VERSION) + 2)
+    lead = view.at(offset, len(VERSIONS[0]))
     if lead.startswith(_MEMBER):
         return _read_member(view, offset)
-    if lead.startswith(VERSION):
+    if lead.startswith(_LEAD):
         record = _read_plain(view, offset)
         if packed and "warc-block-digest" not in record.headers:
             raise Broken("bare record without digest")
@@ -190,8 +211,8 @@ def _next_start(view: View, offset: int, stop: int) -> int:
     """The first offset in [offset, stop) where a member or version line may start."""
     at = offset
     while at < stop:
-        part = view.at(at, min(CHUNK, stop - at) + len(VERSION) - 1)
-        hits = [h for h in (part.find(_MEMBER), part.find(VERSION)) if h >= 0]
+        part = view.at(at, min(CHUNK, stop - at) + len(_LEAD) - 1)
+        hits = [h for h in (part.find(_MEMBER), part.find(_LEAD)) if h >= 0]
         if hits and at + min(hits) < stop:
             return at + min(hits)
         at += min(CHUNK, stop - at)
@@ -255,14 +276,15 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url: str
     """Write the rows as WARC archives below ``folder``; returns the manifest
     (path, bytes, records) of the archives."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")) \
+    rows = df.select(F.col(id_col).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")) \
         .withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload"))
     targets = written(revisit_targets(rows.select("page_id", "digest", "n")), "targets")
     small = targets.count() <= BROADCAST_TARGETS
     joined = rows.join(targets.hint("broadcast" if small else "shuffle_hash"), "digest", "left")
     leads = joined.withColumn("lead", F.col("target").isNull() | F.col("page_id").eqNullSafe(F.col("target")))
     spark = df.sparkSession
-    made = leads.select("page_id", "url", "payload", "digest", "target", "lead").mapInArrow(
+    named = [F.col(c).cast("string").alias(c) for c in ("page_id", "target")]
+    made = leads.select(named[0], "url", "payload", "digest", named[1], "lead").mapInArrow(
         _writer(folder), "path string, bytes long, records long")
     manifest = scratch(spark, "manifest")
     made.write.parquet(manifest)
@@ -279,12 +301,11 @@ def _writer(folder: str):
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(f"{base.rstrip('/')}/{name.rsplit('/', 1)[1]}", compression=None)
             for page, url, payload, digest, target, lead in zip(*(c.to_pylist() for c in batch.columns)):
-                own = "null" if page is None else page
-                headers = [("WARC-Type", "response" if lead else "revisit"), ("WARC-Record-ID", f"<urn:page:{own}>"),
+                headers = [("WARC-Type", "response" if lead else "revisit"), ("WARC-Record-ID", _urn(page)),
                            ("WARC-Target-URI", " ".join((url or "").split())), ("Content-Type", "text/html"),
                            ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
                 if not lead:
-                    headers += [("WARC-Refers-To", f"<urn:page:{target}>"),
+                    headers += [("WARC-Refers-To", _urn(target)),
                                 ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
                 block = payload if lead else b""
                 headers.append(("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"))
@@ -301,13 +322,14 @@ def _writer(folder: str):
     return write
 
 
-READ_SCHEMA = ("kind string, path string, offset long, length long, record_type string, page_id long, url string, "
-               "payload_bytes long, payload_digest string, refers_to long, payload binary, reason string")
+READ_SCHEMA = ("kind string, path string, offset long, length long, record_type string, page_id string, url string, "
+               "payload_bytes long, payload_digest string, refers_to string, payload binary, reason string")
 
 
-def read_archives(manifest: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(manifest: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES, id_type: str = "long") -> DataFrame:
     """Records (kind ``record``) and quarantined gaps (kind ``gap``) of the archives
-    that ``manifest`` lists by path and bytes."""
+    that ``manifest`` lists by path and bytes.  Page ids are read as ``id_type``; records
+    of other writers have none."""
     step = F.when(F.col("path").endswith(".gz"), F.lit(range_bytes).cast("long")).otherwise(F.col("bytes"))
     ranges = manifest.filter("bytes > 0").withColumn("step", step).select("path", "bytes", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("bytes") - 1, F.col("step"))).alias("start"), "step")
@@ -332,12 +354,21 @@ def read_archives(manifest: DataFrame, payloads: bool = True, range_bytes: int =
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
 
-    return spread.mapInArrow(read, READ_SCHEMA)
+    found = spread.mapInArrow(read, READ_SCHEMA)
+    return found.withColumns({c: F.col(c).try_cast(id_type) for c in ("page_id", "refers_to")})
+
+
+_URN = "<urn:page:"
+
+
+def _urn(page: str | None) -> str:
+    """The record id of a page id's text (null: a tail that no quoted text has)."""
+    return f"{_URN}{'null:' if page is None else quote(page, safe='')}>"
 
 
-def _urn(value: str) -> int | None:
-    tail = value.strip("<>").rsplit(":", 1)[-1]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+def _page(value: str) -> str | None:
+    tail = value.strip().removeprefix(_URN).removesuffix(">") if value.strip().startswith(_URN) else "null:"
+    return None if tail == "null:" else unquote(tail)
 
 
 def _row(path: str, item: Record | Gap, payloads: bool) -> tuple:
@@ -345,16 +376,18 @@ def _row(path: str, item: Record | Gap, payloads: bool) -> tuple:
         return ("gap", path, item.offset, item.length, None, None, None, None, None, None, None, item.reason)
     h = item.headers
     kind = h.get("warc-type")
-    full = len(item.payload) if kind != "revisit" else int(h.get("x-payload-length", "0"))
+    stated = h.get("x-payload-length", "0")
+    full = len(item.payload) if kind != "revisit" else int(stated) if stated.isdigit() else 0
     digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-    return ("record", path, item.offset, item.length, kind, _urn(h.get("warc-record-id", "")), h.get("warc-target-uri"),
-            full, digest, _urn(h["warc-refers-to"]) if kind == "revisit" else None,
+    return ("record", path, item.offset, item.length, kind, _page(h.get("warc-record-id", "")), h.get("warc-target-uri"),
+            full, digest, _page(h.get("warc-refers-to", "")) if kind == "revisit" else None,
             item.payload if payloads and kind == "response" else None, None)
 
 
 def round_trip(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write the pages as archives, read them back: one row per page."""
     folder = scratch(df.sparkSession, "warc")
-    records = read_archives(write_archives(df, folder, id_col, url, html), payloads=False)
+    kind = df.select(id_col).schema[0].dataType.simpleString()
+    records = read_archives(write_archives(df, folder, id_col, url, html), payloads=False, id_type=kind)
     return records.filter("kind = 'record'").select(
         F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

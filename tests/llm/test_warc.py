@@ -90,3 +90,40 @@ def test_small_ranges_on_spark(spark, tmp_path):
     got = w.read_archives(manifest, range_bytes=2_000)
     assert got.filter("kind = 'gap'").count() == 0
     assert sorted(r["page_id"] for r in got.collect()) == list(range(300))
+
+
+def test_foreign_records_are_read():
+    import base64
+    import hashlib
+    import io
+
+    body = b"hello there"
+    sha = hashlib.sha1(body).digest()
+    forms = [f"sha1:{base64.b32encode(sha).decode()}", f"SHA1:{sha.hex().upper()}", f"sha1:{base64.b32encode(sha).decode().lower()}",
+             f"sha256:{hashlib.sha256(body).hexdigest()}", f"md5:{hashlib.md5(body).hexdigest()}", "blake9:xyz"]
+    data = b""
+    for version in ("WARC/1.0", "WARC/1.1"):
+        for form in forms:
+            data += (f"{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1-2-3>\r\nWARC-Block-Digest: {form}\r\n"
+                     f"Content-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+    each = [b"WARC/1." + part for part in data.split(b"WARC/1.")[1:]]
+    for raw in (data, b"".join(map(w.gzip_member, each))):
+        found = list(w.salvage(io.BytesIO(raw), len(raw)))
+        assert len(found) == 12 and all(isinstance(x, w.Record) and x.payload == body for x in found)
+    wrong = data.replace(b"blake9:xyz", b"sha1:" + b"A" * 32)
+    found = list(w.salvage(io.BytesIO(wrong), len(wrong)))
+    assert sum(isinstance(x, w.Record) for x in found) == 10
+    assert [x.reason for x in found if isinstance(x, w.Gap)] == ["digest", "digest"]
+    assert w._page("<urn:uuid:1-2-3>") is None and w._page(w._urn("null:")) == "null:" and w._page(w._urn(None)) is None
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+    rows = [("b/1", "u", "z" * 1500), ("b/2", "u", "z" * 1500), ("null", "u", "s"), (None, "u", "s"), ("", "u", None)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for name in ("digest", "target", "payload", "n", "lead", "kind", "path"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in w.round_trip(df).collect()}
+    assert got == {"b/1": ("revisit", "b/2"), "b/2": ("response", None), "null": ("response", None), None: ("response", None), "": ("response", None)}
+    ints = spark.createDataFrame([(7, "u", "x")], "page_id int, url string, html string")
+    assert w.round_trip(ints).schema["page_id"].dataType.simpleString() == "int"

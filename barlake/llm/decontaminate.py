@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from barlake.llm.common import slices, written
 
@@ -176,7 +177,7 @@ def benchmark_slices(benchmark: DataFrame, item_id: str, text: str, slice_tokens
     """The benchmark in parts of about ``slice_tokens`` tokens (letters are counted,
     a token has one at least, so a part never holds more)."""
     items = written(benchmark.filter(F.col(text).isNotNull()).select(
-        F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")), "items")
+        F.col(item_id).alias("item_id"), F.col(text).alias("text")), "items")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = 1 + size // slice_tokens
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
@@ -189,6 +190,8 @@ def leaked_pairs(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     spark = documents.sparkSession
     narrow = documents.select(F.col(id_col).alias("_id"), *carry, F.col(text).alias("_text"))
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in narrow.schema.fields[:-1])
+    item_type = benchmark.select(item_id).schema[0].dataType
+    item_arrow = to_arrow_type(item_type)
     out = None
     for part in benchmark_slices(benchmark, item_id, item_text, slice_tokens):
         rows = [(r["item_id"], tokens(r["text"])) for r in part.collect()]
@@ -209,10 +212,10 @@ def leaked_pairs(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                     own = batch.take(pa.array(at))
                     cols = list(zip(*found))
                     yield pa.RecordBatch.from_arrays(
-                        [*own.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)],
+                        [*own.columns[:-1], pa.array(cols[0], item_arrow), *(pa.array(c, pa.int64()) for c in cols[1:])],
                         names=[*batch.schema.names[:-1], "item_id", "covered", "item_tokens", "tiles"])
 
-        pairs = narrow.mapInArrow(find, f"{kinds}, item_id long, covered long, item_tokens long, tiles long")
+        pairs = narrow.mapInArrow(find, f"{kinds}, item_id {item_type.simpleString()}, covered long, item_tokens long, tiles long")
         out = pairs if out is None else out.unionByName(pairs)
     return out.withColumn("coverage", F.col("covered") / F.col("item_tokens")).withColumnRenamed("_id", id_col)
 

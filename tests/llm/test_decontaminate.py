@@ -63,3 +63,13 @@ def test_odd_and_empty_tables(spark, odd, none):
     kept = d.drop_leaked(odd, items)
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert d.leaked_pairs(none, items).count() == 0 and d.drop_leaked(odd, items.limit(0)).count() == odd.count()
+
+
+def test_item_ids_of_any_type(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "lead " + text), (2, "clean words only here")], "doc_id long, text string")
+    for kind, value in (("string", "item-a"), ("int", 7), ("long", 1 << 40)):
+        bench = spark.createDataFrame([(value, text), (None, "another item with its own words " * 3)], f"item_id {kind}, text string")
+        got = d.leaked_pairs(docs, bench).collect()
+        assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, value)]
+        assert d.drop_leaked(docs, bench).count() == 1

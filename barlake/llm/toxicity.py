@@ -6,7 +6,9 @@ counts, per word and word prefix, the toxic and the other documents that hold it
 the variety of words before it.  A unit is toxic if
 nearly all its documents are, the contrast is significant, and it follows many
 different words (text copied from one toxic document fails that).  Words with a
-toxic unit, in toxic documents, are labelled 1, all other words 0.
+toxic unit, in toxic documents, are labelled 1, all other words 0.  Where no single word
+is toxic, the tokens of the field are pairs: each word with the one before it on its
+line, contrasted and labelled the same way; a toxic pair's span holds both words.
 
 The field has two states per word.  Its emissions are hashed features of the word
 (the word, prefixes, a suffix, its shape), its transitions are free.  It is trained
@@ -20,8 +22,9 @@ rows, of the highest word marginal and the expected number of toxic words.  Word
 whose marginal is at least one half form the offending spans, as character offsets.
 
 Null, empty and wordless texts have the score of a text without a toxic word.
-Repeated rows are scored one by one.  Without a labelled toxic training row every
-score is the share of toxic training rows (0 without any row).  Documents with
+Repeated rows are scored one by one.  Without a labelled toxic training row, or where
+neither words nor pairs tell the labels apart, every score is the share of toxic
+training rows (0 without any row).  Documents with
 several labels count as toxic if one label is 1.  Other columns are not read.
 """
 
@@ -73,7 +76,7 @@ def _words(text: str) -> list[str]:
 def _units(word: str) -> list[str]:
     """The word and its prefixes of four letters and more, in lower case."""
     w = word.lower()
-    return [w + "$", *(w[:n] for n in _PREFIXES if 4 <= n <= len(w))]
+    return [w + "$"] if " " in w else [w + "$", *(w[:n] for n in _PREFIXES if 4 <= n <= len(w))]
 
 
 def sequences(words: list[str], lines: list[int]) -> list[tuple[int, int]]:
@@ -87,15 +90,17 @@ def sequences(words: list[str], lines: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _split(text: str | None) -> tuple[list[str], list[int]]:
-    """Words of a text and the number of them on each line."""
+def _split(text: str | None, pairs: bool = False) -> tuple[list[str], list[int]]:
+    """Words of a text (or each with the word before it) and their number on each line."""
     per_line = [_words(line) for line in (text or "").split("\n")]
+    if pairs:
+        per_line = [[f"{a} {b}" for a, b in zip(["", *ws], ws)] for ws in per_line]
     return [w for ws in per_line for w in ws], [len(ws) for ws in per_line]
 
 
 # --- learning: toxic units -----------------------------------------------------
 
-def unit_contrast(rows: DataFrame) -> DataFrame:
+def unit_contrast(rows: DataFrame, pairs: bool = False) -> DataFrame:
     """(unit, bad, good, contexts) over rows of (text, toxic): documents of either
     label that hold the unit, and a 64-bit sketch of the words before it."""
 
@@ -112,7 +117,7 @@ def unit_contrast(rows: DataFrame) -> DataFrame:
 
         for batch in slices(batches, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words, _ = _split(text)
+                words, _ = _split(text, pairs)
                 own: dict[str, int] = {}
                 for before, word in zip(["", *words], words):
                     bit = 1 << (zlib.crc32(before.encode()) & 63)
@@ -165,7 +170,7 @@ def draw_sample(documents: DataFrame, labels: DataFrame, id_col: str, text: str)
                   (n.get(0, 0), n.get(1, 0)))
 
 
-def toxic_units(sample: Sample) -> list[str]:
+def toxic_units(sample: Sample, pairs: bool = False) -> list[str]:
     """The toxic units, at most ``MAX_UNITS`` by count."""
     bad, good = F.col("bad") / sample.chosen[1], F.col("good") / sample.chosen[0]
     n = F.col("bad") + F.col("good")
@@ -173,7 +178,7 @@ def toxic_units(sample: Sample) -> list[str]:
     base = held[1] / (held[0] + held[1])
     g = 2 * (F.col("bad") * F.log(F.col("bad") / (n * base))
              + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - base)))).otherwise(0.0))
-    top = unit_contrast(sample.rows).filter((F.col("bad") > 0) & (F.col("contexts") >= MIN_CONTEXTS)) \
+    top = unit_contrast(sample.rows, pairs).filter((F.col("bad") > 0) & (F.col("contexts") >= MIN_CONTEXTS)) \
         .filter((bad >= (bad + good) * MIN_SHARE) & (g >= MIN_G)).orderBy(F.desc("bad"), "unit").limit(MAX_UNITS)
     return [r["unit"] for r in top.select("unit").collect()]
 
@@ -203,6 +208,8 @@ class Field:
     #: Logistic over (log odds of the top marginal, log(1 + expected toxic words)); or a constant.
     score: tuple[float, float, float] = (0.0, 0.0, 0.0)
     constant: float | None = None
+    #: Tokens are pairs of words.
+    pairs: bool = False
     #: Weights by name of the features that many words share.
     seen: dict[str, float] = field(default_factory=dict)
 
@@ -294,7 +301,7 @@ def train(examples: list[tuple[list[str], list[int]]]) -> Field:
 
 # --- learning: sample and fit ----------------------------------------------------
 
-def sample_sequences(rows: DataFrame, units: list[str]) -> list[tuple[list[str], list[int]]]:
+def sample_sequences(rows: DataFrame, units: list[str], pairs: bool = False) -> list[tuple[list[str], list[int]]]:
     """About ``SAMPLE_SEQUENCES`` sequences at most with a toxic word and as many
     without, chosen by the hash of their words."""
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(units))
@@ -304,13 +311,13 @@ def sample_sequences(rows: DataFrame, units: list[str]) -> list[tuple[list[str],
         for batch in slices(batches, "text"):
             out: list[tuple[str, str, int]] = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words, lines = _split(text)
+                words, lines = _split(text, pairs)
                 for w in set(words):
                     if w not in toxic_of:
                         toxic_of[w] = int(any(u in shared.value for u in _units(w)))
                 labels = [toxic_of[w] if toxic else 0 for w in words]
                 for lo, hi in sequences(words, lines):
-                    out.append((" ".join(words[lo:hi]), "".join(map(str, labels[lo:hi])), int(1 in labels[lo:hi])))
+                    out.append(("\n".join(words[lo:hi]), "".join(map(str, labels[lo:hi])), int(1 in labels[lo:hi])))
             if len(toxic_of) > TABLE_WORDS:
                 toxic_of.clear()
             if out:
@@ -323,7 +330,7 @@ def sample_sequences(rows: DataFrame, units: list[str]) -> list[tuple[list[str],
     for hit in (1, 0):
         share = min(1.0, SAMPLE_SEQUENCES / max(1, found.get(hit, 0)))
         picked = cuts.filter((F.col("hit") == hit) & _chosen(F.reverse("words"), share))
-        out += [(r["words"].split(" "), [int(c) for c in r["labels"]]) for r in picked.select("words", "labels").collect()]
+        out += [(r["words"].split("\n"), [int(c) for c in r["labels"]]) for r in picked.select("words", "labels").collect()]
     return sorted(out)
 
 
@@ -343,10 +350,15 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     sample = draw_sample(documents, labels, id_col, text)
     if sample.base in (0.0, 1.0):
         return Field(constant=sample.base)
+    pairs = False
     units = toxic_units(sample)
+    if not units:
+        pairs = True
+        units = toxic_units(sample, pairs)
     if not units:
         return Field(constant=sample.base)
-    f = train(sample_sequences(sample.rows, units))
+    f = train(sample_sequences(sample.rows, units, pairs))
+    f.pairs = pairs
     shares = [min(1.0, FIT_DOCUMENTS / max(1.0, c * s)) for c, s in zip(sample.counts, sample.chosen)]
     few = sample.rows.filter(F.when(F.col("toxic") > 0, _chosen(F.reverse("text"), shares[1])).otherwise(_chosen(F.reverse("text"), shares[0])))
     seen = tagged(few.withColumn("_id", F.col("toxic").cast("long")), f, "_id", "text") \
@@ -378,7 +390,7 @@ def tagged(df: DataFrame, f: Field, id_col: str, text: str, carry: tuple[str, ..
             codes, owner, starts, stops = [], [], [], []
             at = 0
             for row, value in enumerate(texts):
-                words, lines = _split(value)
+                words, lines = _split(value, m.pairs)
                 for w in set(words):
                     if w not in known:
                         if len(known) == len(table):
@@ -412,7 +424,7 @@ def tagged(df: DataFrame, f: Field, id_col: str, text: str, carry: tuple[str, ..
                 best = float(own.max()) if len(own) else 0.0
                 top.append(min(12.0, max(-12.0, math.log((best + 1e-12) / (1 - best + 1e-12)))))
                 total.append(math.log1p(float(own[own > 0.05].sum())))
-                spans.append(_spans(value, own) if best >= 0.5 else [])
+                spans.append(_spans(value, own, m.pairs) if best >= 0.5 else [])
             a, b, c = m.score
             odds = a + b * np.array(top, float) + c * np.array(total, float)
             score = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) if m.constant is None else np.full(len(texts), m.constant)
@@ -428,8 +440,13 @@ def tagged(df: DataFrame, f: Field, id_col: str, text: str, carry: tuple[str, ..
         .withColumnRenamed("_id", id_col)
 
 
-def _spans(text: str, p: np.ndarray) -> list[dict]:
+def _spans(text: str, p: np.ndarray, pairs: bool = False) -> list[dict]:
     """Runs of toxic words as character offsets, with their highest marginal."""
+    if pairs:  # a pair's marginal holds for the word before it too
+        first = np.cumsum([0, *_split(text)[1]])[:-1]
+        after = np.append(p[1:], 0.0)
+        after[first[first > 0] - 1] = 0.0
+        p = np.maximum(p, after[:len(p)])
     out: list[dict] = []
     last = -2
     offset = 0

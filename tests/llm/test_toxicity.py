@@ -71,3 +71,51 @@ def test_odd_and_empty_tables(spark, odd, none):
     docs, marks = corpus(spark, 300)
     scored = t.score_documents(docs.unionByName(odd.select(*docs.columns)), marks)
     assert scored.filter("trim(doc_id) in ('1')").count() == 2 and scored.filter("score is null").count() == 0
+
+
+def test_a_pair_of_ordinary_words(spark):
+    """Toxic is "dark" followed by "river"; both are as common elsewhere."""
+    rng = np.random.default_rng(9)
+    docs, labels = [], []
+    for i in range(2000):
+        words = [PLAIN[j] for j in rng.integers(len(PLAIN), size=24)] + ["dark", "river"] * 2
+        rng.shuffle(words)
+        words = [w for k, w in enumerate(words) if not (w == "river" and k and words[k - 1] == "dark")]
+        if i % 5 == 1:
+            at = int(rng.integers(2, len(words) - 2))
+            words[at:at] = ["dark", "river"]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 1)))
+    got = t.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r["held_out"]]
+    right = sum(r["predicted"] == int(r["doc_id"] % 5 == 1) for r in held)
+    assert right >= 0.97 * len(held)
+    text = dict(docs)
+    assert all(any(text[r["doc_id"]][s["start"]:s["stop"]] == "dark river" for s in r["spans"]) for r in held if r["predicted"])
+
+
+def test_scores_equal_brute_force(spark):
+    """Document scores from marginals by enumeration over all taggings."""
+    docs, labels = corpus(spark, 600)
+    f = t.learn(docs, labels)
+    few = docs.limit(6).collect()
+    got = {r["doc_id"]: r["score"] for r in t.score_documents(docs, labels).collect()}
+    for row in few:
+        words = row["text"].split()[:20]
+        emission = [f.bias + sum(f.weights[zlib.crc32(n.encode()) % t.FEATURES] for n in t.feature_names(w)) for w in words]
+        weight = np.zeros((len(words), 2))
+        # exact sums over the 2^20 taggings by elimination, one word fixed at a time
+        for at in range(len(words)):
+            for state in (0, 1):
+                vec = None
+                for k, e in enumerate(emission):
+                    own = np.array([1.0, np.exp(e)])
+                    if k == at:
+                        own[1 - state] = 0.0
+                    vec = own if vec is None else own * (vec @ np.exp(f.moves))
+                weight[at, state] = vec.sum()
+        p = weight[:, 1] / weight.sum(axis=1)
+        top = min(12.0, max(-12.0, float(np.log((p.max() + 1e-12) / (1 - p.max() + 1e-12)))))
+        a, b, c = f.score
+        odds = a + b * top + c * np.log1p(p[p > 0.05].sum())
+        assert abs(1 / (1 + np.exp(-odds)) - got[row["doc_id"]]) < 1e-6

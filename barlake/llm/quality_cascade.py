@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule is a boolean column over the text.  The cascade measures every rule on
-a bounded sample (seconds per row and share of rows rejected), orders the rules
-by rejection per cost and nests them in one CASE: a row that one rule rejects is
-never shown to the later ones.  The order only changes the work, never the
-verdict, which is "no rule rejects".
+A text is split into words and lines once; each rule is a boolean expression over the
+text, its words and its lines.  The cascade measures every rule on a bounded sample
+(seconds beyond the split, in the form that the query runs, and share of rows
+rejected), orders the rules by rejection per cost and nests them in one CASE: a row
+that one rule rejects is never shown to the later ones.  The order only changes the
+work, never the verdict, which is "no rule rejects".  The filter orders the base among
+the rules; the rows that state the base features have to compute those for every text.
 
 Null texts have no words and count as empty; empty texts have zero in every
 feature.  Repeated rows are judged one by one.  An empty table gives an empty
@@ -113,27 +115,26 @@ class Features:
         self.n_stutter_words = let(words_of(text), _stutter_words)
 
 
-class Stored(Features):
-    """The same features read from columns that an earlier projection made."""
+class Split(Features):
+    """The same features over words and lines that are bound once (``split``); what no
+    rule asks for is never computed."""
 
-    def __init__(self) -> None:
-        self.text = F.col("_text")
-        for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stutter_words"):
-            setattr(self, name, F.col(name))
+    def __init__(self, q: Column):
+        self.text = q.getField("text")
+        words, lines = q.getField("w"), q.getField("l")
+        self.n_words = F.size(words).cast("long")
+        self.word_chars = F.length(F.translate(self.text, SEPARATORS, "")).cast("long")
+        self.n_symbols = (F.length(self.text) - F.length(F.translate(self.text, SYMBOLS, ""))).cast("long")
+        self.n_lines = F.size(lines).cast("long")
+        self.n_dup_lines = (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+        self.n_repeat_words = _repeat_words(words)
+        self.n_stutter_words = _stutter_words(words)
 
-    @staticmethod
-    def project(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-        """Split each text once: words and lines are bound and counted together."""
-        t = F.col(text)
-        of_words = let(words_of(t), lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"),
-            _stutter_words(w).alias("n_stutter_words")))
-        of_lines = let(_lines(t), lambda a: F.struct(
-            F.size(a).cast("long").alias("n_lines"),
-            (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines")))
-        return df.select(*keep, _text(t).alias("_text"), word_chars(t).alias("word_chars"),
-                         n_symbols(t).alias("n_symbols"), of_words.alias("_w"), of_lines.alias("_l")).select(
-            *keep, "_text", "word_chars", "n_symbols", "_w.*", "_l.*")
+
+def split(text: Column, body: Callable[[Split], Column]) -> Column:
+    """``body`` over the features of a text that is split once."""
+    parts = F.struct(_text(text).alias("text"), words_of(text).alias("w"), _lines(text).alias("l"))
+    return let(parts, lambda q: body(Split(q)))
 
 
 # --- rules ----------------------------------------------------------------
@@ -205,11 +206,12 @@ def measure(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
         share = job.first()["share"] or 0.0
         return time.perf_counter() - began, share
 
-    timed(F.length("text") > 0)
-    idle = timed(F.length("text") > 0)[0]
+    bare = split(F.col("text"), lambda f: (f.n_words + f.n_lines) > 0)
+    timed(bare)
+    idle = min(timed(bare) for _ in range(2))[0]
     found = []
     for r in rules:
-        seconds, share = min(timed(r.rejects(Features(F.col("text")))) for _ in range(2))
+        seconds, share = min(timed(split(F.col("text"), r.rejects)) for _ in range(2))
         found.append(Measured(r, max(0.0, seconds - idle), share))
     drop(spark, path)
     return found
@@ -240,15 +242,22 @@ def quality_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                  rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per document: id, the base features, ``base_failed`` and ``kept``."""
     order = ordered_rules(df, rules, text)
-    stored = Stored()
-    failed = BASE.rejects(stored)
-    kept, _ = cascade(order, stored)
-    return Stored.project(df, text, [id_col]).select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), F.when(failed, False).otherwise(kept).alias("kept"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def row(f: Split) -> Column:
+        def judged(known: Column) -> Column:
+            for name in base:       # what the row states is not computed again
+                setattr(f, name, known.getField(name))
+            failed = BASE.rejects(f)
+            return F.struct(*[known.getField(name).alias(name) for name in base], failed.alias("base_failed"),
+                            F.when(failed, False).otherwise(cascade(order, f)[0]).alias("kept"))
+
+        return let(F.struct(*[getattr(f, name).alias(name) for name in base]), judged)
+
+    return df.select(id_col, split(F.col(text), row).alias("__quality")).select(id_col, "__quality.*")
 
 
 def quality_filter(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that pass the base and every rule, with their columns unchanged."""
-    kept, _ = cascade(ordered_rules(df, [BASE, *rules], text), Features(F.col(text)))
-    return df.filter(kept)
+    order = ordered_rules(df, [BASE, *rules], text)
+    return df.filter(split(F.col(text), lambda f: cascade(order, f)[0]))

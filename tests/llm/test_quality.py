@@ -48,3 +48,20 @@ def test_odd_and_empty_tables(odd, none):
     assert q.quality_rows(odd).count() == odd.count()
     assert q.quality_filter(odd).columns == odd.columns
     assert q.quality_rows(none).count() == 0 and q.quality_filter(none).count() == 0
+
+
+def test_split_features_equal_those_of_the_text(spark, odd):
+    texts = [r["text"] for r in odd.select("text").collect()] + ["a a b\n a a b\nc", "x!! y", "#* one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stutter_words")
+    plain = q.Features(df["text"])
+    from pyspark.sql import functions as F
+    once = q.split(df["text"], lambda f: F.struct(*[getattr(f, n).alias(n) for n in names]))
+    for r in df.select(F.struct(*[getattr(plain, n).alias(n) for n in names]).alias("a"), once.alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+def test_filter_and_rows_agree(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = {r["doc_id"] for r in q.quality_rows(df).filter("kept").collect()}
+    assert kept == {r["doc_id"] for r in q.quality_filter(df).collect()}

@@ -228,72 +228,80 @@ def alert_rows(trades: DataFrame, state: DataFrame, capital: float, dd_limit: fl
 
 
 _TRADE = "exit_ts timestamp_ntz, orderkey long, linenumber int, pnl double"
+# waiting trades of a strategy, one element per micro-batch that brought some
+_WAITING = "exit_ts array<timestamp_ntz>, orderkey array<long>, linenumber array<int>, pnl array<double>"
 _ALERT = "strategy long, " + _TRADE + ", loss_streak long, dd_ratio double, level string, late boolean"
 
 
-class AlertState(StatefulProcessor):
-    """Per strategy: losing streak, equity and peak, and the trades that wait for the
-    watermark.  A timer at the earliest waiting trade settles all that are final."""
-
-    def __init__(self, capital: float, dd_limit: float):
-        self.capital, self.dd_limit = capital, dd_limit
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", _TRADE)
-        self.state = handle.getValueState("state", "streak long, equity double, peak double")
-        self.timer = handle.getValueState("timer", "at long")
-
-    def _wake(self, first: pd.Timestamp) -> None:
-        at = -int(-first.value // 1_000_000)   # ceiling in milliseconds
-        known = self.timer.get()
-        if known is None or at < known[0]:
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
-            late = batch["exit_ts"] <= pd.Timestamp(mark, unit="ms")
-            if late.any():
-                gone = batch[late]
-                yield pd.DataFrame({"strategy": key[0], **{c: gone[c] for c in ("exit_ts", "orderkey", "linenumber", "pnl")},
-                                    "loss_streak": 0, "dd_ratio": 0.0, "level": "", "late": True})
-            fresh = batch[~late]
-            if len(fresh):
-                self.waiting.appendList([(t.to_pydatetime(), int(o), int(n), float(p)) for t, o, n, p in zip(
-                    fresh["exit_ts"], fresh["orderkey"], fresh["linenumber"], fresh["pnl"])])
-                self._wake(fresh["exit_ts"].min())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.timer.get()
-        if known is None or known[0] != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.timer.clear()
-        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=["exit_ts", "orderkey", "linenumber", "pnl"])
-        final = rows[rows["exit_ts"] <= mark].sort_values(_ORDER)
-        rest = rows[rows["exit_ts"] > mark]
-        self.waiting.clear()
-        if len(rest):
-            self.waiting.put([(t.to_pydatetime(), int(o), int(n), float(p)) for t, o, n, p in rest.itertuples(index=False)])
-            self._wake(rest["exit_ts"].min())
-        if not len(final):
-            return
-        streak, equity, peak = self.state.get() or (0, self.capital, self.capital)
-        pnl = final["pnl"].to_numpy()
-        n = np.arange(1, len(pnl) + 1)
-        last_win = np.maximum.accumulate(np.where(~(pnl < 0), n, 0))
-        streaks = np.where(last_win > 0, n - last_win, streak + n)
-        curve = equity + np.cumsum(pnl)
-        peaks = np.maximum(peak, np.maximum.accumulate(curve))
-        ratio = np.divide(peaks - curve, peaks, out=np.full(len(pnl), np.nan), where=peaks != 0) / self.dd_limit
-        self.state.update((int(streaks[-1]), float(curve[-1]), float(peaks[-1])))
-        yield pd.DataFrame({"strategy": key[0], **{c: final[c] for c in ("exit_ts", "orderkey", "linenumber", "pnl")},
-                            "loss_streak": streaks, "dd_ratio": ratio, "level": "", "late": False})
-
-    def close(self) -> None:
-        pass
+def alert_state(capital: float, dd_limit: float) -> StatefulProcessor:
+    """The processor of M2.  Its class is made here, so that it travels by value: the
+    process that prepares a stateful stream imports nothing of this package."""
+
+    class AlertState(StatefulProcessor):
+        """Per strategy: losing streak, equity and peak, and the trades that wait for the
+        watermark.  A timer at the earliest waiting trade settles all that are final."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", _WAITING)
+            self.state = handle.getValueState("state", "streak long, equity double, peak double")
+            self.timer = handle.getValueState("timer", "at long")
+
+        @staticmethod
+        def _packed(rows: pd.DataFrame) -> tuple:
+            return ([t.to_pydatetime() for t in rows["exit_ts"]], rows["orderkey"].tolist(), rows["linenumber"].tolist(), rows["pnl"].tolist())
+
+        def _wake(self, first: pd.Timestamp) -> None:
+            at = -int(-first.value // 1_000_000)   # ceiling in milliseconds
+            known = self.timer.get()
+            if known is None or at < known[0]:
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            mark = timerValues.getCurrentWatermarkInMs()
+            for batch in rows:
+                late = batch["exit_ts"] <= pd.Timestamp(mark, unit="ms")
+                if late.any():
+                    gone = batch[late]
+                    yield pd.DataFrame({"strategy": key[0], **{c: gone[c] for c in ("exit_ts", "orderkey", "linenumber", "pnl")},
+                                        "loss_streak": 0, "dd_ratio": 0.0, "level": "", "late": True})
+                fresh = batch[~late]
+                if len(fresh):
+                    self.waiting.appendValue(self._packed(fresh))
+                    self._wake(fresh["exit_ts"].min())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            known = self.timer.get()
+            if known is None or known[0] != expiredTimerInfo.getExpiryTimeInMs():
+                return
+            self.timer.clear()
+            mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+            rows = pd.concat([pd.DataFrame(dict(zip(("exit_ts", "orderkey", "linenumber", "pnl"), e))) for e in self.waiting.get()])
+            final = rows[rows["exit_ts"] <= mark].sort_values(_ORDER)
+            rest = rows[rows["exit_ts"] > mark]
+            self.waiting.clear()
+            if len(rest):
+                self.waiting.appendValue(self._packed(rest))
+                self._wake(rest["exit_ts"].min())
+            if not len(final):
+                return
+            streak, equity, peak = self.state.get() or (0, capital, capital)
+            pnl = final["pnl"].to_numpy()
+            n = np.arange(1, len(pnl) + 1)
+            last_win = np.maximum.accumulate(np.where(~(pnl < 0), n, 0))
+            streaks = np.where(last_win > 0, n - last_win, streak + n)
+            curve = equity + np.cumsum(pnl)
+            peaks = np.maximum(peak, np.maximum.accumulate(curve))
+            ratio = np.divide(peaks - curve, peaks, out=np.full(len(pnl), np.nan), where=peaks != 0) / dd_limit
+            self.state.update((int(streaks[-1]), float(curve[-1]), float(peaks[-1])))
+            yield pd.DataFrame({"strategy": key[0], **{c: final[c] for c in ("exit_ts", "orderkey", "linenumber", "pnl")},
+                                "loss_streak": streaks, "dd_ratio": ratio, "level": "", "late": False})
+
+        def close(self) -> None:
+            pass
+
+    return AlertState()
 
 
 def stream_alerts(trades: DataFrame, capital: float = 500_000.0, dd_limit: float = 0.20,
@@ -310,7 +318,7 @@ def stream_alerts(trades: DataFrame, capital: float = 500_000.0, dd_limit: float
     # the watermark column itself stays out, or the engine would drop late rows unseen
     rows = trades.withColumn("at", wall_to_instant("exit_ts")).withWatermark("at", lateness) \
         .select("strategy", *_ORDER, "pnl")
-    alerts = rows.groupBy("strategy").transformWithStateInPandas(AlertState(capital, dd_limit), _ALERT, "append", "eventTime")
+    alerts = rows.groupBy("strategy").transformWithStateInPandas(alert_state(capital, dd_limit), _ALERT, "append", "eventTime")
     _append(alerts, out, chk)
     sunk = _sunk(spark, out, _ALERT)
     done = sunk.where("NOT late").withColumn("dd_ratio", F.when(~F.isnan("dd_ratio"), F.col("dd_ratio")))
@@ -318,7 +326,8 @@ def stream_alerts(trades: DataFrame, capital: float = 500_000.0, dd_limit: float
     wait = _left(spark, chk, "waiting")
     if wait is not None:
         state = _left(spark, chk, "state").select("key.strategy", "value.streak", "value.equity", "value.peak")
-        rest = alert_rows(wait.select("key.strategy", "list_element.*"), state, capital, dd_limit)
+        each = F.explode(F.arrays_zip(*[F.col(f"list_element.{c}").alias(c) for c in ("exit_ts", "orderkey", "linenumber", "pnl")]))
+        rest = alert_rows(wait.select("key.strategy", each.alias("t")).select("strategy", "t.*"), state, capital, dd_limit)
         done = done.unionByName(rest.select(*done.columns))
     return done, sunk.where("late").select("strategy", *_ORDER, "pnl")
 

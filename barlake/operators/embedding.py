@@ -57,9 +57,10 @@ def index_library(spark, root: str, path: str, folder: str | None = None, dry_ru
     stem) in the partitions of their folders.  Returns the number of entries; a dry run
     stores none."""
     from barlake.operators.retrieval import check_dim
+    from barlake.session import materialize
     from barlake.sources.bars_csv import load_strategy_library
     from barlake.sources.stored import stored_upsert
-    lib, _ = load_strategy_library(spark, root)
+    lib = materialize(load_strategy_library(spark, root)[0])    # files are read and parsed once
     if folder is not None:
         lib = lib.where(F.col("folder") == folder)
     x = embedding_parts(lib)

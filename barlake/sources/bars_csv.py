@@ -168,13 +168,14 @@ LIB_SCHEMA = T.StructType([
 
 def _parse_meta(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)      # the C parser where it is built in
     for pdf in it:
         rows = []
         for folder, stem, content in zip(pdf["folder"], pdf["stem"], pdf["content"]):
             rec = {f.name: None for f in LIB_SCHEMA.fields}
             rec["folder"], rec["stem"] = folder, stem
             try:
-                meta = yaml.safe_load(bytes(content).decode("utf-8")) or {}
+                meta = yaml.load(bytes(content).decode("utf-8"), Loader=loader) or {}
             except Exception as e:  # noqa: BLE001
                 rec["reject_reason"] = f"bad yaml: {type(e).__name__}"
                 rows.append(rec)

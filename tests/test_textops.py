@@ -38,3 +38,16 @@ def test_fence_and_json(spark):
     out = df.select(tx.fenced_block("t").alias("f"), j["method"].alias("m")).collect()
     assert out[0].f == "a = 1;\n  b = 2;" and out[0].m == "fence"
     assert out[1].m == "whole" and out[2].m == "failed"
+
+
+def test_unescape_sends_references_only(spark):
+    """Whole texts stay out of Python; the result is that of the standard library."""
+    import html
+    texts = ["", "none", "&", "&&amp;&", "&amp;", "a &amp b&copy;&notit; &#65;&#x42&#x1F600;x &nosuch; &#0;&#128; 漢&eacute😀&lt;", "&NewLine;&nbsp;\n&#10;|",
+             "&" + "a" * 40, "&amp;" * 300, "& amp; &\tlt; &#; &#x; &#xZ;", "a\r&gt\r&Aacute;\f&\fgt;", "& lt;&#x10FFFF;&#xD800;", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df.select("i", tx.html_unescape("t").alias("u"))
+    got = {r.i: r.u for r in out.collect()}
+    assert got == {i: t if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    sent = [n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "EvalPython" in n]
+    assert len(sent) == 1 and "array<string>" in tx.decoded_references.returnType.simpleString()

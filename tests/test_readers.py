@@ -75,3 +75,19 @@ def test_report_numbers(spark):
     df = spark.createDataFrame([("$1,234,567",), ("($234,567)",), ("-26.52%",), ("—",), ("N/A",), ("-$5",), ("5$",), ("1 234",), ("(12%)",)], "s string")
     out = [r[0] for r in df.select(tx.parse_report_number(F.col("s"))).collect()]
     assert out == [1234567.0, -234567.0, -26.52, None, None, None, None, None, -12.0]
+
+
+def test_library_of_many_small_files(spark, tmp_path):
+    """Small files are read many to a task (the stored rows show the tasks), each once, with the right pairs."""
+    from barlake.sources import files as fl
+    (tmp_path / "lib").mkdir()
+    for i in range(400):
+        _write(str(tmp_path / "lib"), f"S{i}.yaml", f"name: S{i}\nholding_type: swing\ncategory: trend\ntimeframe: 1d\ndirection: long\ndescription: d{i}\n")
+        _write(str(tmp_path / "lib"), f"S{i}.ELS", f"code {i}")
+    _write(str(tmp_path / "lib"), "notes.md", "no script")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    lib, rej = bc.load_strategy_library(spark, str(tmp_path))
+    assert {r.stem: (r.description, r.code) for r in lib.collect()} == {f"S{i}": (f"d{i}", f"code {i}") for i in range(400)}
+    assert rej.count() == 0 and len(lib.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    assert fl.SMALL_FILE_COST < 4 << 20

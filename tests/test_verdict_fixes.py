@@ -89,3 +89,19 @@ def test_overfitted_strategies_are_admitted_and_queued(spark):
     assert got.where("admitted and overfit and review_queue").count() > 0
     assert got.where("admitted and not overfit and not review_queue").count() > 0
     assert got.where("review_queue and not admitted").count() == 0
+
+
+def test_constraints_of_a_large_table(spark, monkeypatch):
+    """Keys of a large table are dealt to as many tasks as its rows ask for, with the same report."""
+    rows = [(i % 900, i % 7) for i in range(1000)] + [(None, 1), (None, 1)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    parent = spark.range(5, 800).selectExpr("id as k").unionByName(spark.range(5, 50).selectExpr("id as k"))
+    report = lambda x: sorted((r.constraint, r.kind, r.key or "", r.n_rows) for r in x.collect())
+    check = lambda: tb.check_constraints(df, "t", pk=["a", "b"], unique=[["a"]], fks=[(["a"], parent, ["k"])])
+    small = report(check())
+    assert [x for x in small if x[1] == "foreign_key"] == sorted(("a", "foreign_key", str(i), 2 if i < 100 else 1) for i in [*range(5), *range(800, 900)])
+    monkeypatch.setattr(tb, "KEYS_PER_TASK", 100)
+    large = check()
+    assert report(large) == small and len(small) > 200
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("RepartitionByExpression" in x and x.endswith(", 11") for x in plan.splitlines()) == 4

@@ -146,10 +146,11 @@ def mix_slots(sources: DataFrame, seed: int = 8, shard_slots: int = SHARD_SLOTS,
         .join(totals.hint("broadcast") if totals.count() <= BROADCAST_SOURCES else totals, "sid")
     kept = placed.filter("k < quota").select("shard", "sid", "k", "blocks")
     excess = placed.filter("k >= quota").select("shard", (F.col("over_from") + F.col("k") - F.col("quota")).alias("e"))
+    # wanted has a row per slot: never broadcast, though the planner takes it for as small as totals
     wanted = totals.filter("short > 0").select(
         "sid", "blocks", "drawn", "short_from",
         F.explode(F.sequence(F.col("short_from"), F.col("short_from") + F.col("short") - 1)).alias("e"))
-    moved = excess.join(wanted, "e").select(
+    moved = excess.join(wanted.hint("merge"), "e").select(
         "shard", "sid", (F.col("drawn") + F.col("e") - F.col("short_from")).alias("k"), "blocks")
     slots = kept.unionByName(moved).withColumn("epoch", F.expr("k div blocks"))
     return slots.select("shard", "sid", "epoch", permuted(
@@ -195,8 +196,11 @@ def _joined(rows: DataFrame, sized: DataFrame, sources: DataFrame, slots: DataFr
     second, small shuffle of their pieces."""
     starts = written(bucket_totals(bucketed(sized, sources), "sid", "bucket", "size", "words", "before"), "starts")
     begin, end = F.ceil(F.col("before") / block_words), F.ceil((F.col("before") + F.col("words")) / block_words)
-    homes = starts.filter(begin < end).select("sid", "bucket", F.explode(F.sequence(begin, end - 1)).alias("block"))
-    placed = slots.join(homes, ["sid", "block"]).select(
+    # homes has a row per block: dealt out before it grows, and never broadcast, though the planner takes it for as small as starts
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, (sources.agg(F.sum("blocks")).first()[0] or 0) // (1 << 20) + 1)
+    homes = starts.filter(begin < end).repartition(parts, "sid", "bucket") \
+        .select("sid", "bucket", F.explode(F.sequence(begin, end - 1)).alias("block"))
+    placed = slots.join(homes.hint("merge"), ["sid", "block"]).select(
         "sid", "bucket", F.lit(2).alias("kind"), "block", F.struct("shard", "slot", "epoch").alias("slot"))
     heads = starts.select("sid", "bucket", F.lit(0).alias("kind"), F.col("before").alias("size"), "before",
                           (F.col("before") + F.col("words")).alias("stop"))

@@ -1,4 +1,6 @@
+import re
 from collections import Counter, defaultdict
+from itertools import takewhile
 
 from pyspark.sql import functions as F
 
@@ -99,3 +101,16 @@ def test_the_mix_holds_the_words_that_are_counted(spark):
     for word, n in words.items():
         taken[int(word[1:].split("w")[0])] += n
     assert {r["doc_id"]: r["taken"] for r in m.mix_documents(df).collect() if r["taken"]} == taken
+
+
+def test_nothing_with_a_row_per_block_or_slot_is_broadcast(spark):
+    rows = corpus(spark).selectExpr("doc_id AS _id", "source", "text AS _text", "CAST(length(text) DIV 2 AS LONG) AS size")
+    sized = rows.drop("_text")
+    sources = m.written(m.source_targets(sized), "sources")
+    slots = m.mix_slots(sources).withColumn("slot", F.lit(0))
+    lines = m._joined(rows, sized, sources, slots, m.BLOCK_WORDS)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [re.search("[A-Z]", line).start() if re.search("[A-Z]", line) else 0 for line in lines]
+    assert sum("Generate explode(sequence" in line for line in lines) >= 3
+    for i in (i for i, line in enumerate(lines) if "BroadcastExchange" in line):
+        below = takewhile(lambda k: depth[k] > depth[i], range(i + 1, len(lines)))
+        assert not any("Generate explode(sequence" in lines[k] for k in below)
